@@ -146,3 +146,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     return done.alias("d").join(targets.alias("t"), same).select(
         "d.doc_id", "d.source", "d.size", "t.source_size", "t.target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
     )
+
+
+def mixed(docs: DataFrame, **options: object) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as it is taken, with all columns. Rows are numbered in a written table."""
+    numbered = save(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    taken = mix(numbered.select(F.col("__row").alias("doc_id"), "source", "text"), **options).where("copies > 0")
+    copies = taken.select(F.col("doc_id").alias("__row"), F.col("copies").cast("int").alias("__copies"))
+    repeated = numbered.join(copies, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    return repeated.select(*docs.columns)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, quality, simhash
+from . import decontaminate, mixing, quality, simhash, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +25,10 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "score")
 
 
+def op8_token_ids(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    return tokens.read(tokens.write(table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("word_bpe_49k.json")))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that the classifier keeps, with their expected grade and tail probability."""
     docs = table(spark, sf_dir, "documents")
@@ -39,6 +44,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
     "op7_decontaminate": op7_decontaminate,
+    "op8_token_ids": op8_token_ids,
     "op9_quality": op9_quality,
     "op10_simhash": op10_simhash,
 }

@@ -188,6 +188,18 @@ def links(codes: DataFrame) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_index, "u long, v long")
 
 
+def representatives(docs: DataFrame) -> DataFrame:
+    """One row of each component, with all columns of ``docs``.
+
+    Rows are numbered in a written table, so that repeated and null ids need no rule of their own; the row with the
+    smallest number stays. What goes is usually a small list, which Spark broadcasts only if it is.
+    """
+    numbered = save(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(numbered.select(F.col("__row").alias("doc_id"), "text"))
+    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias("__row"))
+    return numbered.join(gone, "__row", "left_anti").select(*docs.columns)
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, f and component_id of every row."""
     every = save(fingerprints(docs), "fingerprints")
