@@ -8,17 +8,34 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, quality, simhash, tokens
+from . import decontaminate, html, media, mixing, quality, simhash, tokens, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.read(warc.write(table(spark, sf_dir, "pages")), with_payload=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feature is a digest of the fingerprint's arrays."""
+    found = media.analyse(media.store(table(spark, sf_dir, "documents")))
+    arrays = [F.concat_ws(",", F.col(c).cast("array<string>")) for c in ("times", "codes")]
+    feature = F.concat(F.size("codes").cast("string"), F.lit(":"), F.sha1(F.concat_ws(";", *arrays)))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+
+
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every leak: doc_id, item_id and score."""
     found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -42,7 +59,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op2_mix_sources": op2_mix_sources,
+    "op3_media": op3_media,
+    "op6_html": op6_html,
     "op7_decontaminate": op7_decontaminate,
     "op8_token_ids": op8_token_ids,
     "op9_quality": op9_quality,

@@ -112,7 +112,7 @@ def _write(folder: str, tokenizer: str) -> Callable:
             if b.num_rows and out is None:
                 fs, at = filesystem(path)
                 fs.create_dir(at.rpartition("/")[0], recursive=True)
-                out, encode = fs.open_output_stream(at), Encoder(tokenizer)
+                out, encode = fs.open_output_stream(at, compression=None), Encoder(tokenizer)
                 out.write(MAGIC)
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 got = np.append(np.frombuffer(encode(text.as_py()), "<u2"), np.uint16(END))
