@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, media, mixing, quality, simhash, tokens, warc
+from . import decontaminate, html, lines, media, mixing, quality, secrets, simhash, tokens, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,16 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line that goes, and the earlier line that stays instead."""
+    return lines.repeats(table(spark, sf_dir, "documents"))
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every finding that the forest takes for a secret."""
+    return secrets.scan(table(spark, sf_dir, "documents")).where(F.col("score") >= secrets.MIN_SCORE)
+
+
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
@@ -62,6 +72,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_mix_sources": op2_mix_sources,
     "op3_media": op3_media,
+    "op4_line_dedup": op4_line_dedup,
+    "op5_secret_scan": op5_secret_scan,
     "op6_html": op6_html,
     "op7_decontaminate": op7_decontaminate,
     "op8_token_ids": op8_token_ids,
