@@ -8,7 +8,8 @@ within the template's or the page's menus, headers, footers, sidebars, notices,
 its slots are the main text, otherwise all slots that are left.
 
 Vectors are never gathered: a task sums a hash of (page, count) for each token, and sums of tasks are summed again, so a host with a third of
-all pages is many tasks' work. Copies of a page count once in a host, so their text isn't taken for a template. Templates are one small row per host; pages
+all pages is many tasks' work. Different
+pages are dealt to 64 parts by a digest, and a class must be in most of the parts that the host has, so the text of a page's copies isn't taken for a template. Templates are one small row per host; pages
 meet them in a join that Spark broadcasts if the written table is small and splits where a host is hot.
 
 Defined results: a null or empty html gives an empty text; a null url is a host of its own; a page that is cut off is read as far as it
@@ -22,7 +23,6 @@ import zlib
 from collections.abc import Iterator
 from html import unescape
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -136,30 +136,37 @@ def host_of(url: str | None) -> str | None:
     return m[1].lower() if m else url
 
 
+def _signed(x: int) -> int:
+    x &= 0xFFFFFFFFFFFFFFFF
+    return x - (1 << 64) if x >> 63 else x
+
+
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each host and token of a task's pages: pages, and the sum of a hash of (page, count)."""
+    """For each host and token of a task's pages: pages, the sum of a hash of (page, count), and which of 64 parts of all pages they are in."""
     seen: dict[tuple[str | None, int], list] = {}
 
     def out() -> pa.RecordBatch:
-        rows = [(k[0], np.uint64(k[1]).astype(np.int64).item(), v[0], np.uint64(v[1] & 0xFFFFFFFFFFFFFFFF).astype(np.int64).item() >> 8, v[2]) for k, v in seen.items()]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()))], ["host", "token", "pages", "vector", "path"])
+        rows = [(k[0], _signed(k[1]), v[0], _signed(v[1]) >> 8, v[2], _signed(v[3])) for k, v in seen.items()]
+        types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["host", "token", "pages", "vector", "depth", "spread"])
 
     for b in batches:
         for page, url, html in zip(*(c.to_pylist() for c in b.columns), strict=True):
             count: dict[int, int] = {}
-            where: dict[int, str] = {}
+            where: dict[int, int] = {}
             for path, text, *_ in nodes(html or ""):
                 for t in tokens(path, text):
                     count[t] = count.get(t, 0) + 1
-                    where[t] = path
-            host = host_of(url)
+                    where[t] = path.count("/")
+            host, bit = host_of(url), 1 << (page & 63)
             for t, n in count.items():
                 v = zlib.crc32(b"%d" % n, page & 0xFFFFFFFF) << 20 ^ page
                 if own := seen.get((host, t)):
                     own[0] += 1
                     own[1] += v
+                    own[3] |= bit
                 else:
-                    seen[host, t] = [1, v, where[t]]
+                    seen[host, t] = [1, v, where[t], bit]
         if len(seen) > 300_000:
             yield out()
             seen.clear()
@@ -168,19 +175,16 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def templates(pages: DataFrame) -> DataFrame:
     """host, and the tokens of its valid classes with their paths and classes."""
-    digest = F.xxhash64(F.coalesce("html", F.lit("")))
-    # a copy of a page within a host counts once: the digest stands for the page, and one row of each is looked at
-    keyed = pages.select("url", "html", F.pmod(digest, F.lit(1 << 40)).alias("page"))
-    once = pages.select(F.regexp_extract(F.coalesce("url", F.lit("")), r"//([^/?#]*)", 1).alias("h"), F.pmod(digest, F.lit(1 << 40)).alias("page"), F.struct("page_id", "url").alias("own"))
-    first = save(once.groupBy("h", "page").agg(F.min("own").alias("own"), F.count(F.lit(1)).alias("n")), "html-copies")
-    copies = first.where("n > 1").select("h", "page", "own")
-    marked = pages.select("page_id", "url", "html", digest.alias("d")).select("*", F.pmod("d", F.lit(1 << 40)).alias("page"), F.regexp_extract(F.coalesce("url", F.lit("")), r"//([^/?#]*)", 1).alias("h"))
-    chosen = marked.join(copies, ["h", "page"], "left").where(F.col("own").isNull() | F.struct("page_id", "url").eqNullSafe(F.col("own")))
-    vectors = chosen.select("page", "url", "html").mapInArrow(_vectors, "host string, token long, pages long, vector long, path string")
-    totals = save(vectors.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum("vector").alias("vector"), F.min("path").alias("path")).where(F.col("pages") >= MIN_PAGES), "html-vectors")
-    most = totals.groupBy("host").agg(F.max("pages").alias("host_pages"))  # some token, such as the root element, is in all of them
-    common = totals.alias("t").join(most.alias("m"), F.col("t.host").eqNullSafe(F.col("m.host"))).where(F.col("pages") >= F.ceil(F.col("host_pages") * SUPPORT)).select("t.*")
-    classes = common.groupBy("host", "pages", "vector").agg(F.collect_set("token").alias("tokens"), F.min(F.length("path")).alias("depth"))
+    # a page's digest stands for the page, so copies of it add to the same place of every vector
+    keyed = pages.select(F.pmod(F.xxhash64(F.coalesce("html", F.lit(""))), F.lit(1 << 40)).alias("page"), "url", "html")
+    vectors = keyed.mapInArrow(_vectors, "host string, token long, pages long, vector long, depth int, spread long")
+    sums = [F.sum("pages").alias("pages"), F.sum("vector").alias("vector"), F.min("depth").alias("depth"), F.bit_or("spread").alias("spread")]
+    totals = save(vectors.groupBy("host", "token").agg(*sums).where(F.bit_count("spread") >= MIN_PAGES), "html-vectors")
+    # some token, such as the root element, is in all of a host's pages
+    most = totals.groupBy("host").agg(F.max("pages").alias("host_pages"), F.bit_count(F.bit_or("spread")).alias("host_spread"))
+    enough = (F.col("pages") >= F.ceil(F.col("host_pages") * SUPPORT)) & (F.bit_count("spread") >= F.ceil(F.col("host_spread") * SUPPORT))
+    common = totals.alias("t").join(most.alias("m"), F.col("t.host").eqNullSafe(F.col("m.host"))).where(enough).select("t.*")
+    classes = common.groupBy("host", "pages", "vector").agg(F.collect_set("token").alias("tokens"), F.min("depth").alias("depth"))
     valid = classes.where(F.size("tokens") >= CLASS_TOKENS)
     # outer classes, whose tokens stand higher in the tree, first: each class nests in the gaps of those before it
     nested = valid.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("depth", "tokens"))), lambda c: c["tokens"]).alias("classes"))
