@@ -1,0 +1,92 @@
+"""Text functions against values derived by hand."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from palaver.functions import text as T
+
+
+def apply(spark, function, *values):
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, c string")
+    return [r[0] for r in rows.orderBy("i").select(function(F.col("c"))).collect()]
+
+
+def test_tokens(spark):
+    assert apply(spark, T.tokens, *("x" * n for n in (0, 3, 4, 31, 1001))) == [1, 1, 1, 10, 322]
+
+
+def test_roles(spark):
+    assert apply(spark, T.normal_role, " Human ", "Claude Sonnet 4.6", "AI", "You", "tool") == ["user", "assistant", "assistant", "user", "tool"]
+
+
+def test_thinking_and_tags(spark):
+    assert apply(spark, T.strip_thinking, "a<THINK>x\ny</think>b<thinking>open") == ["ab<thinking>open"]
+    text = "k<command-name>a</command-args>m<System-Reminder>z</System-Reminder>"
+    assert apply(spark, T.strip_tags, text) == ["km<System-Reminder>z</System-Reminder>"]
+
+
+def reference_ui(text):
+    out, lines, i = [], text.split("\n"), 0
+    while i < len(lines):
+        s = lines[i].strip()
+        if s == "Show more":
+            i += 1
+            continue
+        out.append(lines[i])
+        i += 2 if s and i + 1 < len(lines) and lines[i + 1].strip() == s and len(s) <= 200 else 1
+    return "\n".join(out)
+
+
+def test_ui_artifacts(spark):
+    text = "x\nx\nx\nShow more\nx\ny\ny\n\n y\ny\ny"
+    cases = [text, "Show more\nShow more\na", "a\nShow more", "Show more", "", "a\n\n\na", "x" * 201 + "\n" + "x" * 201, "x" * 200 + "\n" + "x" * 200, "a b\na b \n\ta b", "ab\na\na"]
+    assert apply(spark, T.strip_ui_artifacts, *cases) == [reference_ui(c) for c in cases]
+    assert apply(spark, T.strip_ui_artifacts, text) == ["x\nx\nx\ny\n\n y\ny"]
+
+
+def test_blank_lines(spark):
+    assert apply(spark, T.collapse_blank_lines, "a\n\n\n\nb") == ["a\n\nb"]
+
+
+def test_boilerplate(spark):
+    cases = ["Certainly! Here is it.\n\nBody", "Certainly! Body", "Body\nHope this helps!\n\nMore", "I'd be happy to help with it.\nBody", "Body\n\nWould you like me to go on?"]
+    assert apply(spark, T.strip_boilerplate, *cases) == ["Body", "Certainly! Body", "Body\nMore", "Body", "Body"]
+    assert apply(spark, T.strip_acknowledgement, "I understand.\n\nBody", "Yes, you're right about it.\nBody") == ["Body", "Body"]
+
+
+def test_unless_empty(spark):
+    rows = spark.createDataFrame([("assistant", "I understand.\n\nBody"), ("user", "I understand.\n\nBody"), ("assistant", "I understand.\n")], "role string, c string")
+    out = [r[0] for r in rows.select(T.unless_empty(F.col("role"), F.col("c"), T.strip_acknowledgement)).collect()]
+    assert out == ["Body", "I understand.\n\nBody", "I understand.\n"]
+
+
+def test_units(spark):
+    assert apply(spark, T.unit_sentences, "(I never drive alone.) hence always ask.") == [["(I never drive alone.)", ") hence always ask.", ""]]
+
+
+@pytest.mark.parametrize("n", [10, 800, 801, 2000])
+def test_trim(spark, n):
+    text = ("word " * n)[: n - 6] + " never"
+    (out,) = apply(spark, T.trim_rule, text)
+    assert len(out) <= 800 and "never" in out and (out == text) == (n <= 800)
+    (safe,) = apply(spark, lambda c: T.trim_rule(c, ("word word",)), text)
+    assert safe == text
+
+
+def test_bigrams(spark):
+    assert apply(spark, T.bigrams, "Never drop the Header", "one", "a b a b") == [["never drop", "drop the", "the header"], [], ["a b", "b a"]]
+
+
+def test_compress(spark):
+    fence = "```\nx = 1\n\ny = 2\n```"
+    long = "First.\n\n" + "Nothing of interest in here at all, really. " * 12 + "The result is stored in `a. b`."
+    cases = ["one\n\ntwo", f"p1\n\n{fence}\n\nThe result is set. Nothing else here matters.", long + "\n\nThird"]
+    short, fenced, header = apply(spark, T.compress, *cases)
+    assert short == "one\n\ntwo" and fenced == f"p1\n\n{fence}"
+    assert header.startswith("[~") and header.endswith("t]\nFirst.\n\n- The result is stored in `a.")  # sentences end inside inline code, too
+
+
+def test_chunks_join_to_the_text(spark):
+    text = "One. Two!  Three?\n\nfour\n\n\nFive. six"
+    (parts,) = apply(spark, T.chunks, text)
+    assert "".join(parts) == text and parts[::2] == ["One.", "Two!", "Three?", "four", "Five. six"]
