@@ -191,7 +191,7 @@ def decode(coded: list[bytes], lengths: list[int], vocabulary: int) -> list[np.n
             less, narrow = np.where(on, less, code), np.where(on, narrow, width)
         out = np.flatnonzero(narrow < U64(1 << 16))
         if len(out):
-            less[out] = (less[out] << U64(16)) | words[used[out], out]
+            less[out] = (less[out] << U64(16)) | words[np.minimum(used[out], len(words) - 1), out]  # damaged blocks may ask for more than there is
             used[out] += 1
             narrow[out] <<= U64(16)
         code, width = less, narrow
