@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 BITS, GRADES, MIN_TAIL = 22, 3, 0.6
 #: Labelled rows that the model is fitted on at most; passes over them; lasso; rows of the sample that a feature occurs in at least.
-FIT_ROWS, PASSES, LASSO, MIN_ROWS = 12_000, 150, 1e-3, 3
+FIT_ROWS, PASSES, LASSO, MIN_ROWS = 8_000, 150, 1e-3, 3
 STEM = 4
 EDGES = "!?#$%&*|;:~=+<>^@/\\.,()[]{}\"'`-_"
 #: Words whose features a task keeps at hand.
@@ -93,7 +93,7 @@ class Ordinal:
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray) -> Ordinal:
     """Maximum likelihood with a lasso, by full-batch steps that are scaled for each weight."""
-    row = np.repeat(np.arange(len(rows)), [len(i) for i, _ in rows])
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(i) for i, _ in rows])
     index = np.concatenate([i for i, _ in rows])
     value = np.concatenate([v for _, v in rows])
     used, index, often = np.unique(index, return_inverse=True, return_counts=True)
@@ -101,7 +101,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray) -> Ordina
     place = np.full(len(used), -1)
     place[common] = np.arange(len(common))
     keep = place[index] >= 0
-    row, index, value, used = row[keep], place[index[keep]], value[keep], used[common]
+    row, index, value, used = row[keep], place[index[keep]].astype(np.int32), value[keep].astype(np.float64), used[common]
     n, k = len(grades), np.arange(len(grades))
     w = np.zeros(len(used))
     at = np.clip(np.cumsum(np.bincount(grades, minlength=GRADES))[:-1] / n, 1e-3, 1 - 1e-3)
@@ -151,7 +151,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Ordinal |
     lists = [(seen.column(c).combine_chunks()) for c in ("i", "v")]
     ends = lists[0].offsets.to_numpy()
     i, v = (x.values.to_numpy(zero_copy_only=False) for x in lists)
-    got = [(i[a:b], v[a:b].astype(np.float64)) for a, b in zip(ends, ends[1:], strict=False)]
+    got = [(i[a:b], v[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
     # an order of their own makes the result independent of how the rows were dealt
     order = sorted(range(len(got)), key=lambda k: (int(seen.column("grade")[k].as_py()), zlib.crc32(got[k][0].tobytes()), zlib.crc32(got[k][1].tobytes())))
     return fit([got[k] for k in order], np.array([seen.column("grade")[k].as_py() for k in order]))
