@@ -126,35 +126,41 @@ def encode(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
     words = np.zeros((2 * steps + 2, n), U32)
     used = np.zeros(n, np.int64)
     lane = np.arange(n)
-    everyone = np.count_nonzero
+    row = lane * (EVENTS + 1)
 
     def put(start: np.ndarray, size: np.ndarray, on: np.ndarray | None) -> None:
+        """Narrow the intervals of all lanes, or of those in ``on``."""
         nonlocal low, width
-        unit = width >> U64(TOTAL_BITS)
-        grown, narrow = low + unit * start.astype(U64), unit * size.astype(U64)
-        if on is not None:
-            grown, narrow = np.where(on, grown, low), np.where(on, narrow, width)
+        unit = (width if on is None else width[on]) >> U64(TOTAL_BITS)
+        grown, narrow = unit * start.view(U64), unit * size.view(U64)
+        grown += low if on is None else low[on]
         out = np.flatnonzero(narrow < U64(1 << 16))
         if len(out):
-            words[used[out], out] = grown[out] >> U64(16)
-            used[out] += 1
-            grown[out] = (grown[out] & U64(0xFFFF)) << U64(16)
+            place, value = out if on is None else on[out], grown[out]
+            words[used[place], place] = value >> U64(16)
+            used[place] += 1
+            grown[out] = (value & U64(0xFFFF)) << U64(16)
             narrow[out] <<= U64(16)
-        low, width = grown, narrow
+        if on is None:
+            low, width = grown, narrow
+        else:
+            low[on], width[on] = grown, narrow
 
     for t in range(steps):
         now = ids[t]
         on = None if length[-1] > t else length > t
-        starts = model.predict()
+        starts = model.predict().ravel()
         event, place = model.event_of(now)
-        first = starts[lane, event]
-        put(first, starts[lane, event + 1] - first, on)
-        digits = np.maximum(event - 2, 0)
-        rest = digits > 0
-        rest = rest if on is None else rest & on
-        if everyone(rest):
+        at = row + event
+        first = starts.take(at).astype(np.int64)
+        size = starts.take(at + 1) - first
+        some = None if on is None else np.flatnonzero(on)
+        put(first if on is None else first[some], size if on is None else size[some], some)
+        rest = np.flatnonzero(event > 2 if on is None else (event > 2) & on)
+        if len(rest):
+            digits = event[rest] - 2
             shift = TOTAL_BITS - digits
-            put(((place + 1) - (1 << digits)) << shift, 1 << shift, rest)
+            put(((place[rest] + 1) - (1 << digits)) << shift, 1 << shift, rest)
         model.update(now, event, place, on)
     words[used, lane], words[used + 1, lane] = low >> U64(16), low & U64(0xFFFF)
     used += 2
@@ -185,41 +191,51 @@ def decode(coded: list[bytes], lengths: list[int], vocabulary: int) -> list[np.n
     ids = np.zeros((steps, n), np.uint16)
 
     def take(unit: np.ndarray, start: np.ndarray, size: np.ndarray, on: np.ndarray | None) -> None:
+        """Narrow the intervals of all lanes, or of those in ``on``."""
         nonlocal code, width
-        less, narrow = code - unit * start.astype(U64), unit * size.astype(U64)
-        if on is not None:
-            less, narrow = np.where(on, less, code), np.where(on, narrow, width)
+        less, narrow = unit * start.view(U64), unit * size.view(U64)
+        np.subtract(code if on is None else code[on], less, out=less)
         out = np.flatnonzero(narrow < U64(1 << 16))
         if len(out):
-            less[out] = (less[out] << U64(16)) | words[np.minimum(used[out], len(words) - 1), out]  # damaged blocks may ask for more than there is
-            used[out] += 1
+            place = out if on is None else on[out]
+            # damaged blocks may ask for more than there is
+            less[out] = (less[out] << U64(16)) | words[np.minimum(used[place], len(words) - 1), place]
+            used[place] += 1
             narrow[out] <<= U64(16)
-        code, width = less, narrow
+        if on is None:
+            code, width = less, narrow
+        else:
+            code[on], width[on] = less, narrow
 
+    row = lane * (EVENTS + 1)
     for t in range(steps):
         on = None if length[-1] > t else length > t
         starts = model.predict()
         unit = width >> U64(TOTAL_BITS)
         at = np.minimum(code // unit, U64(TOTAL - 1)).astype(np.int32)
         event = (starts[:, 1:EVENTS] <= at[:, None]).sum(1)
-        first = starts[lane, event]
-        take(unit, first, starts[lane, event + 1] - first, on)
+        flat, at = starts.ravel(), row + event
+        first = flat.take(at).astype(np.int64)
+        size = flat.take(at + 1) - first
+        some = None if on is None else np.flatnonzero(on)
+        if on is None:
+            take(unit, first, size, None)
+        else:
+            take(unit[some], first[some], size[some], some)
         digits = np.maximum(event - 2, 0)
-        rest = digits > 0
-        rest = rest if on is None else rest & on
         place = (1 << digits) - 1
-        if np.count_nonzero(rest):
-            unit, shift = width >> U64(TOTAL_BITS), TOTAL_BITS - digits
-            at = np.minimum(code // unit, U64(TOTAL - 1)).astype(np.int64) >> shift
-            at[~rest] = 0
+        rest = np.flatnonzero(digits > 0 if on is None else (digits > 0) & on)
+        if len(rest):
+            unit, shift = width[rest] >> U64(TOTAL_BITS), TOTAL_BITS - digits[rest]
+            at = np.minimum(code[rest] // unit, U64(TOTAL - 1)).astype(np.int64) >> shift
             take(unit, at << shift, 1 << shift, rest)
-            place = place + at
+            place[rest] += at
         place = np.minimum(place, vocabulary - 1)
         now = np.where(event == 0, model.c2, np.where(event == 1, model.c1, model.listed[model.base + place])).astype(np.int64)
         if on is not None:
             now = np.where(on, now, 0)
-        known = model.place[model.base + np.minimum(now, vocabulary - 1)].astype(np.int64)
-        model.update(np.minimum(now, vocabulary - 1), event, known, on)
+        now = np.minimum(now, vocabulary - 1)
+        model.update(now, event, model.place[model.base + now].astype(np.int64), on)
         ids[t] = now
     out: list[np.ndarray] = [np.empty(0, np.uint16)] * n
     for k, i in enumerate(order):

@@ -10,7 +10,8 @@ and the crc32 of its ids (u32 each), then the blocks' bytes; ``DOCS`` has the do
 (zlib), with a crc32 before. Every block can be decoded by itself.
 
 White space never joins tokens in the vocabulary's rules, so a word's ids are the same in any text: words are encoded once by the
-library and kept at hand.
+library and kept at hand, for as long as a worker lives. Words of Latin letters go straight to the library's model, as its normalizer and splitter leave
+them whole.
 
 Defined results: a null or empty text is the end id alone; a null doc_id comes before all others; repeated rows are written each; an
 empty table gives an empty result; other columns are ignored.
@@ -19,6 +20,7 @@ empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -36,6 +38,8 @@ from .shared import filesystem, save, scratch
 MAGIC, END = b"PALID1\n", 1
 #: Ids in a block; blocks that go in step; words kept at hand.
 BLOCK, LANES, MEMO = 4096, 512, 500_000
+#: Letters of one code point that stay as they are but for case.
+LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 SPACE = str.maketrans("\t\n\x0b\x0c\r", "     ")
 
 
@@ -44,9 +48,10 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
+        self.as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.vocabulary = self.library.get_vocab_size()
         self.memo: dict[str, bytes] = {}
         self.cores: dict[str, bytes] = {}
@@ -56,16 +61,21 @@ class Encoder:
 
     def learn(self, word: str) -> bytes:
         core = word.rstrip(".,")
-        if core and core.isascii() and core.isalpha():  # letters and what follows them are tokens of their own; case is folded
-            ids = self.core(core.lower())
-            return ids + self.core(word[len(core) :]) if len(core) < len(word) else ids
+        if LETTERS.fullmatch(core):  # letters and what follows them are tokens of their own; case is folded
+            ids = self.core(core.lower(), True)
+            return ids + self.core(word[len(core) :], False) if len(core) < len(word) else ids
         return self.direct(word)
 
-    def core(self, word: str) -> bytes:
+    def core(self, word: str, letters: bool) -> bytes:
         if (ids := self.cores.get(word)) is None:
             if len(self.cores) >= MEMO:
                 self.cores.clear()
-            ids = self.cores[word] = self.direct(word)
+            if letters:
+                piece = word if word.isascii() else self.as_bytes.pre_tokenize_str(word)[0][0]
+                ids = np.array([t.id for t in self.library.model.tokenize(piece)], "<u2").tobytes()
+            else:
+                ids = self.direct(word)
+            self.cores[word] = ids
         return ids
 
     def __call__(self, text: str | None) -> bytes:
@@ -78,6 +88,16 @@ class Encoder:
         return b"".join(map(memo.__getitem__, words))
 
 
+ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One per worker process and file."""
+    if path not in ENCODERS:
+        ENCODERS[path] = Encoder(path)
+    return ENCODERS[path]
+
+
 def section(kind: bytes, body: bytes) -> bytes:
     return kind + struct.pack("<Q", len(body)) + body
 
@@ -112,7 +132,7 @@ def _write(folder: str, tokenizer: str) -> Callable:
             if b.num_rows and out is None:
                 fs, at = filesystem(path)
                 fs.create_dir(at.rpartition("/")[0], recursive=True)
-                out, encode = fs.open_output_stream(at, compression=None), Encoder(tokenizer)
+                out, encode = fs.open_output_stream(at, compression=None), encoder(tokenizer)
                 out.write(MAGIC)
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 got = np.append(np.frombuffer(encode(text.as_py()), "<u2"), np.uint16(END))
