@@ -6,7 +6,8 @@ bound, the line itself and the line without each of its words, are emitted as ha
 of which one is whole, are within one edit; that is verified on the words.
 
 Only lines that can have a partner emit variants: one edit leaves the first or the second half of a line as it is, so lines whose
-halves (for their own length and for one word less) occur in no other line have none. That loses no pair. Groups of equal keys are
+halves (for their own length and for one word less) occur in no other line have none. That loses no pair. Halves that lines share are marked in a bitmap
+of fixed size, which lets the second scan pass over most lines before any exchange; an exact join follows. Groups of equal keys are
 aggregated to their earliest line, never paired, so a passage in a third of all documents costs its rows once.
 
 Defined results: null and empty texts have no lines; a null doc_id comes before all others; repeated rows have equal places, so neither's lines are
@@ -15,17 +16,21 @@ earlier, and both stay as they are; an empty table gives an empty result; other
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import save
 
 MIN_WORDS = 8
+#: Bits of the filter that the second scan gets, as a power of two (4 MB).
+FILTER_BITS = 25
+MASK = (1 << FILTER_BITS) - 1
 #: Base of the rolling hash, odd, and its inverse modulo 2 ** 64.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -33,22 +38,80 @@ INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 ROWS = 1 << 17
 
 
-def split_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, words and h of each line that isn't blank."""
-    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    lines = lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.trim(F.regexp_replace("line", r"[\x09-\x0D\x20]+", " ")).alias("line")).where("line != ''")
-    return lines.select("doc_id", "line_no", "line", F.xxhash64("line").alias("h"))
+def _hash(data: bytes) -> int:
+    return xxhash.xxh64_intdigest(data)
 
 
-def halves(words: Column) -> Column:
+def halves(words: list[bytes]) -> list[int]:
     """Keys of both halves, for the line's length and for one word less."""
-    n = F.size(words)
-    keys = []
-    for less in (0, 1):
-        m = n - less
-        low = F.floor(m / 2).cast("int")
-        keys += [F.xxhash64(F.lit("first"), m, F.slice(words, F.lit(1), low)), F.xxhash64(F.lit("second"), m, F.slice(words, n - (m - low) + 1, m - low))]
-    return F.array(*keys)
+    n, keys = len(words), []
+    for m in (n, n - 1):
+        low = m // 2
+        keys += [_hash(b"first %d " % m + b" ".join(words[:low])), _hash(b"second %d " % m + b" ".join(words[n - m + low :]))]
+    return keys
+
+
+def _lines(batch: pa.RecordBatch) -> Iterator[tuple[int | None, int, list[bytes]]]:
+    """doc_id, line_no and words of each line that isn't blank."""
+    for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        for i, line in enumerate((text.as_py() or "").encode("utf-8", "surrogatepass").split(b"\n")):
+            if words := line.split():
+                yield doc_id, i, words
+
+
+def _signed(values: list[int | None]) -> pa.Array:
+    return pa.array([None if v is None else v - (1 << 64) if v >> 63 else v for v in values], pa.int64())
+
+
+def _keys(min_words: int) -> Callable:
+    """Keys of each line; those of its halves once for each line and task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for b in batches:
+            rows = []
+            for doc_id, i, words in _lines(b):
+                h = _hash(b" ".join(words))
+                new = len(words) >= min_words and h not in seen
+                if new:
+                    seen.add(h)
+                rows.append((doc_id, i, h, *(halves(words) if new else (None,) * 4)))
+            if len(seen) > 1 << 20:
+                seen.clear()
+            columns = [pa.array([r[k] for r in rows], pa.int64()) for k in range(2)] + [_signed([r[k] for r in rows]) for k in range(2, 7)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "line_no", "h", "k0", "k1", "k2", "k3"])
+
+    return run
+
+
+def _hopeful(min_words: int, held: Broadcast) -> Callable:
+    """Lines with a half whose bit is set, and those halves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = held.value
+        for b in batches:
+            rows = []
+            for doc_id, i, words in _lines(b):
+                if len(words) >= min_words:
+                    hits = [k for k in halves(words) if bits[(k & MASK) >> 3] >> (k & 7) & 1]
+                    if hits:
+                        line = b" ".join(words)
+                        rows.append((doc_id, i, _hash(line), line.decode("utf-8", "surrogatepass"), hits))
+            flat = _signed([k for r in rows for k in r[4]])
+            ends = np.cumsum([0, *(len(r[4]) for r in rows)]).astype(np.int32)
+            columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), _signed([r[2] for r in rows]), pa.array([r[3] for r in rows], pa.string()), pa.ListArray.from_arrays(pa.array(ends), flat)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "line_no", "h", "line", "ks"])
+
+    return run
+
+
+def bitmap(keys: DataFrame) -> bytes:
+    """Bits of the keys k, by their low digits: ``2 ** FILTER_BITS`` of them whatever the number of keys."""
+    low = F.col("k").bitwiseAND(F.lit(MASK))
+    set_ = keys.groupBy(F.shiftright(low, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(k & 63 as int))")).alias("b")).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    out[set_.column("w").to_numpy()] = set_.column("b").to_numpy()
+    return out.tobytes()
 
 
 def _word_hashes(words: list[str]) -> np.ndarray:
@@ -104,19 +167,19 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, line_no, kept_doc_id, kept_line_no and edits (0 or 1) of each line that goes, with an earlier line as the reason."""
-    lines = split_lines(docs)
-    words = F.split("line", " ")
-    enough = F.size(words) >= min_words
-    keys = save(lines.select("doc_id", "line_no", "h", F.when(enough, halves(words)).alias("halves")), "line-keys")
+    texts = docs.select(F.col("doc_id").cast("long"), "text")
+    schema = "doc_id long, line_no long, h long, k0 long, k1 long, k2 long, k3 long"
+    keys = save(texts.mapInArrow(_keys(min_words), schema), "line-keys")
     place = F.struct("doc_id", "line_no")
     first = save(keys.groupBy("h").agg(F.min(place).alias("first")), "line-first")
 
-    half = keys.select("h", F.explode("halves").alias("k"))
-    shared = half.groupBy("k").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a != b").select("k")
-    hopeful = half.join(shared, "k", "left_semi").select("h").distinct().join(first, "h").select("h", "first.*")
-    hopeful = save(hopeful, "line-hopeful")
-    chosen = lines.where(enough).join(hopeful.withColumnRenamed("doc_id", "fd").withColumnRenamed("line_no", "fl"), "h")
-    chosen = chosen.where(F.col("doc_id").eqNullSafe(F.col("fd")) & (F.col("line_no") == F.col("fl")))
+    half = keys.where("k0 IS NOT NULL").select("h", F.explode(F.array("k0", "k1", "k2", "k3")).alias("k"))
+    shared = save(half.groupBy("k").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a != b").select("k"), "line-halves")
+    held = docs.sparkSession.sparkContext.broadcast(bitmap(shared))
+    hopeful = save(texts.mapInArrow(_hopeful(min_words, held), "doc_id long, line_no long, h long, line string, ks array<long>"), "line-hopeful")
+    sure = hopeful.select("h", F.explode("ks").alias("k")).join(shared, "k", "left_semi").select("h").distinct().join(first, "h")
+    sure = sure.select("h", F.col("first.doc_id").alias("fd"), F.col("first.line_no").alias("fl"))
+    chosen = hopeful.drop("ks").join(sure, "h").where(F.col("doc_id").eqNullSafe(F.col("fd")) & (F.col("line_no") == F.col("fl")))
     chosen = save(chosen.select("h", "doc_id", "line_no", "line").dropDuplicates(["h"]), "line-chosen")
 
     emitted = save(chosen.select("doc_id", "line_no", "line").mapInArrow(_emit, "key long, place long, doc_id long, line_no long"), "line-variants")
@@ -135,7 +198,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     near = save(verified.select(F.struct("doc_id", "line_no").alias("near_own"), F.struct(F.col("kept_doc_id").alias("doc_id"), F.col("kept_line_no").alias("line_no")).alias("near_kept")), "line-near")
 
     verdict = first.join(near, F.col("first").eqNullSafe(F.col("near_own")), "left").select("h", "first", "near_kept")
-    judged = keys.select("h", place.alias("own")).join(verdict, "h")
+    judged = keys.select("h", place.alias("own")).join(verdict, "h")  # a hot line's rows are split
     exact = ~F.col("own").eqNullSafe(F.col("first"))
     kept = F.coalesce("near_kept", F.when(exact, F.col("first")))
     return judged.select("own", kept.alias("kept"), F.when(F.col("near_kept").isNotNull(), 1).otherwise(0).alias("edits")).where("kept IS NOT NULL").select(
