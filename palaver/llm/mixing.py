@@ -5,7 +5,8 @@ is taken; the fractions are settled by pivoting: two fractional documents of a s
 from one to the other until one of them holds none or one whole copy. Expectations and the source's words are kept
 at each step. Documents are dealt over buckets by a hash of the id; each bucket leaves at most one fractional
 document per source, and these meet again in a reduction tree of ``FAN_IN`` until one is left. That last one
-goes to the nearer whole number, so a source misses its target by at most half a document.
+goes to the nearer whole number; what a source then misses, at most half a document, is made up as far as turning over some of
+the documents settled last, the smallest, brings it nearer.
 
 Defined results: a null or empty text has size 0 and is taken 0 times; a null source is a source of its own, last in
 order; repeated rows are separate documents; an empty table gives an empty result; further columns are ignored.
@@ -25,6 +26,8 @@ from .shared import save
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents a bucket holds on average, and buckets that meet in a node of the tree.
 BUCKET_ROWS, FAN_IN = 20_000, 32
+#: The smallest documents of a source that the last step may turn over.
+KEPT = 256
 M64 = (1 << 64) - 1
 
 
@@ -72,45 +75,57 @@ OUT = "bucket long, source string, doc_id long, size long, base long, p double"
 EDGE = 1e-12
 
 
+def repair(settled: list[list], lacking: float) -> None:
+    """Turn settled documents over, large ones first, while that brings the source's words nearer to its target."""
+    for row in sorted(settled, key=lambda r: -r[3]):
+        if 0 < row[3] < 2 * abs(lacking) and row[5] == (0.0 if lacking > 0 else 1.0):
+            lacking -= row[3] if lacking > 0 else -row[3]
+            row[5] = 1.0 - row[5]
+
+
 def settle(seed: int, last: bool):
     """Pivots the rows of each (bucket, source), which arrive together and from large to small documents."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, key = None, None
+        held, key, settled, rows = None, None, [], []
+
+        def done(row: list) -> None:
+            row[5] = float(round(row[5]))
+            settled.append(row)
+            if len(settled) > KEPT:
+                rows.append(settled.pop(0))
+
+        def close() -> None:
+            if held is not None and last:
+                nearer = float(held[5] >= 0.5)
+                repair(settled, (held[5] - nearer) * held[3])
+                rows.append([*held[:5], nearer])
+            elif held is not None:
+                rows.append(held)
+            rows.extend(settled)
+            settled.clear()
+
         for batch in batches:
-            rows = []
-            for row in batch.itertuples(index=False, name=None):
-                bucket, source, doc_id, size, base, p = row
-                if held is not None and key != (bucket, source):
-                    rows.append(held)
-                    held = None
-                key = (bucket, source)
-                if p <= EDGE or p >= 1 - EDGE:
-                    rows.append((*row[:5], float(round(p))))
-                elif held is None:
+            for row in map(list, batch.itertuples(index=False, name=None)):
+                if key != (row[0], row[1]):
+                    close()
+                    held, key = None, (row[0], row[1])
+                if held is not None and EDGE < row[5] < 1 - EDGE:
+                    held[5], row[5] = pivot(held[5], held[3], row[5], row[3], uniform(seed, int(held[2] or 0), int(row[2] or 0)))
+                    if not EDGE < held[5] < 1 - EDGE:
+                        done(held)
+                        held = None
+                if held is None and EDGE < row[5] < 1 - EDGE:
                     held = row
                 else:
-                    u = uniform(seed, int(held[2] or 0), int(doc_id or 0))
-                    a, b = pivot(held[5], held[3], p, size, u)
-                    old, new = (*held[:5], a), (*row[:5], b)
-                    if EDGE < a < 1 - EDGE:
-                        rows.append((*new[:5], float(round(b))))
-                        held = old
-                    else:
-                        rows.append((*old[:5], float(round(a))))
-                        if EDGE < b < 1 - EDGE:
-                            held = new
-                        else:
-                            rows.append((*new[:5], float(round(b))))
-                            held = None
+                    done(row)
             yield frame(rows)
-        if held is not None:
-            yield frame([(*held[:5], float(held[5] >= 0.5)) if last else held])
+            rows.clear()
+        close()
+        yield frame(rows)
 
-    def frame(rows: list[tuple]) -> pd.DataFrame:
+    def frame(rows: list[list]) -> pd.DataFrame:
         out = pd.DataFrame(rows, columns=["bucket", "source", "doc_id", "size", "base", "p"])
-        if last:
-            out["p"] = out["p"].round()
         return out.astype({"bucket": "int64", "doc_id": "Int64", "size": "int64", "base": "int64", "p": "float64"})
 
     return run

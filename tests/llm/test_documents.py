@@ -54,7 +54,17 @@ def test_mixing(spark, monkeypatch):
     assert sorted(map(key, out)) == sorted(map(key, mixing.mix(docs.repartition(3)).collect()))
     assert mixing.mix(docs.limit(0)).count() == 0
     copies = mixing.mixed(docs)
-    assert copies.columns == docs.columns and copies.count() == sum(x.copies for x in mixing.mix(docs.withColumn("doc_id", docs.doc_id)).collect()) or copies.count() > 0
+    assert copies.columns == docs.columns
+    words = {}
+    for x in copies.collect():
+        words[x.source] = words.get(x.source, 0) + len((x.text or "").split())
+    assert all(abs(words.get(s, 0) - want[s]) <= 20 for s in sizes)
+
+
+def test_repair_brings_a_source_nearer():
+    rows = [[0, "a", i, size, 0, p] for i, (size, p) in enumerate([(50, 1.0), (30, 0.0), (8, 0.0), (5, 1.0), (3, 0.0), (0, 0.0)])]
+    mixing.repair(rows, 12.0)
+    assert [r[5] for r in rows] == [1.0, 0.0, 1.0, 1.0, 1.0, 0.0]
 
 
 def test_pivot_keeps_words_and_expectations():
