@@ -1,13 +1,12 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Texts are lower-cased words (``\\w+``). A first pass over all documents counts in how many of them each word 3-gram of the
-benchmark occurs. The seeds of a passage are its rarer grams: those whose count is at most the median of the passage's own
-counts, so a passage that thousands of documents share still has seeds. A second pass joins documents to
-passages on the seeds and aligns the words around each seed with the passage (match 2, mismatch -1, gap -1). The
-score is the best alignment over that of a perfect copy; a document leaks a passage from ``MIN_SCORE`` on. So copies
-with words changed, dropped or added are found as well as exact ones.
+Texts are lower-cased words (``\\w+``). Every word 3-gram of a passage is a seed, however many documents hold it: neither
+copies nor edits of a passage decide where it is looked for. A pass joins documents to passages on the seeds and aligns the
+words around each seed with the passage (match 2, mismatch -1, gap -1). The score is the best alignment over that of a
+perfect copy; a document leaks a passage from ``MIN_SCORE`` on. So copies with words changed, dropped or added are found
+as well as exact ones, as long as three words in a row are left of them. A window that shares too few words with its passage to reach the score is not aligned.
 
-Both passes are narrow: documents are never shuffled, and the benchmark comes to them in blocks of ``BLOCK_CHARS``
+The pass is narrow: documents are never shuffled, and the benchmark comes to them in blocks of ``BLOCK_CHARS``
 characters, which bounds what is broadcast. Passages of over ``PIECE`` words are cut into overlapping pieces, each
 searched for by itself.
 
@@ -33,8 +32,8 @@ from .shared import save
 WORD = re.compile(r"\w+")
 GRAM, MIN_SCORE = 3, 0.4
 PIECE, BLOCK_CHARS = 256, 8_000_000
-#: Alignments made in one step, and words of a batch of documents looked up in one step.
-LANES, STEP_WORDS = 256, 1 << 20
+#: Alignments made in one step, and words of a batch of documents and places of seeds looked up in one step.
+LANES, STEP_WORDS, OCCURRENCES = 256, 1 << 20, 1 << 22
 
 
 @dataclass
@@ -49,17 +48,6 @@ class Passages:
     piece_of: np.ndarray  # piece
     place_of: np.ndarray  # and word
 
-    def seeds(self, seen: dict[int, int]) -> Passages:
-        """With the rarer grams of each piece only; seen: documents by gram."""
-        count = np.array([seen.get(int(g), 0) for g in self.grams], np.int64)[self.gram_of]
-        order = np.argsort(self.piece_of, kind="stable")
-        cut = np.empty(len(count), bool)
-        for part in np.split(order, np.flatnonzero(np.diff(self.piece_of[order])) + 1):
-            if len(part):
-                cut[part] = count[part] <= np.median(count[part])
-        used, back = np.unique(self.gram_of[cut], return_inverse=True)
-        return Passages(self.items, self.words, self.vocabulary, self.grams[used], back, self.piece_of[cut], self.place_of[cut])
-
 
 def passages(rows: list[tuple[int, str]]) -> Passages:
     items, words, vocabulary = [], [], {}
@@ -129,19 +117,46 @@ def _lookup(words: np.ndarray, p: Passages) -> tuple[np.ndarray, np.ndarray]:
     return index[hit], at[hit]
 
 
-def _count(p: Passages, block: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(p.grams), np.int64)
-        for b in batches:
-            for _, words, starts in _coded(b.column(0).to_pylist(), p):
-                index, at = _lookup(words, p)
-                doc = np.searchsorted(starts, at, side="right") - 1
-                once = np.unique(doc * len(p.grams) + index) % max(1, len(p.grams))
-                total += np.bincount(once, minlength=len(p.grams))
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(p.grams[seen], pa.int64()), pa.array(total[seen])], ["gram", "n"])
+def _able(words: np.ndarray, p: Passages, pieces: np.ndarray, low: np.ndarray, high: np.ndarray, min_score: float) -> np.ndarray:
+    """Whether the words that each window holds of its piece could reach the score if all were matched without a gap."""
+    out, held, last = np.empty(len(pieces), bool), np.zeros(len(p.vocabulary) + 1, bool), None
+    for i in np.argsort(pieces, kind="stable"):
+        own = p.words[pieces[i]]
+        if last is not own:
+            held[:] = False
+            held[own], last = True, own
+        out[i] = np.count_nonzero(held[words[low[i] : high[i]]]) / len(own) >= min_score
+    return out
+
 
-    return run
+def _best(best: dict, first: int, words: np.ndarray, starts: np.ndarray, p: Passages, min_score: float, index: np.ndarray, at: np.ndarray) -> None:
+    """Put the leaks that seeds (index) at some words (at) lead to into best."""
+    low = np.searchsorted(p.gram_of, index)
+    many = np.searchsorted(p.gram_of, index, side="right") - low
+    offset = np.cumsum(many) - many
+    occ = np.arange(many.sum()) - np.repeat(offset - low, many)
+    at = np.repeat(at, many)
+    doc = np.searchsorted(starts, at, side="right") - 1
+    piece, shift = p.piece_of[occ], at - p.place_of[occ]
+    order = np.lexsort((shift, piece, doc))
+    doc, piece, shift = doc[order], piece[order], shift[order]
+    ends = np.r_[starts[1:], len(words)] - 1
+    length = np.array([len(w) for w in p.words])[piece]
+    # seeds whose windows overlap share one
+    new = np.r_[True, (doc[1:] != doc[:-1]) | (piece[1:] != piece[:-1]) | (shift[1:] - shift[:-1] > length[1:])]
+    head = np.flatnonzero(new)
+    tail = np.r_[head[1:], len(doc)] - 1
+    d, q = doc[head], piece[head]
+    slack = length[head] // 2
+    low = np.maximum(starts[d], shift[head] - slack)
+    high = np.minimum(ends[d], shift[tail] + length[head] + slack)
+    able = _able(words, p, q, low, high, min_score)
+    d, q, low, high = d[able], q[able], low[able], high[able]
+    pairs = [(p.words[k], words[x:y]) for k, x, y in zip(q, low, high, strict=True)]
+    for i, k, x, y, score in zip(d, q, low, high, align(pairs), strict=True):
+        key = (first + int(i), int(p.items[k]))
+        if score >= min_score and (key not in best or best[key][0] < score):
+            best[key] = (float(score), int(x - starts[i]), int(y - starts[i]))
 
 
 def find(texts: list[str | None], p: Passages, min_score: float) -> list[tuple[int, int, float, int, int]]:
@@ -151,42 +166,23 @@ def find(texts: list[str | None], p: Passages, min_score: float) -> list[tuple[i
         index, at = _lookup(words, p)
         if not len(index):
             continue
-        low = np.searchsorted(p.gram_of, index)
-        many = np.searchsorted(p.gram_of, index, side="right") - low
-        offset = np.cumsum(many) - many
-        occ = np.arange(many.sum()) - np.repeat(offset - low, many)
-        at = np.repeat(at, many)
-        doc = np.searchsorted(starts, at, side="right") - 1
-        piece, shift = p.piece_of[occ], at - p.place_of[occ]
-        order = np.lexsort((shift, piece, doc))
-        doc, piece, shift = doc[order], piece[order], shift[order]
-        ends = np.r_[starts[1:], len(words)] - 1
-        length = np.array([len(w) for w in p.words])[piece]
-        # seeds whose windows overlap share one
-        new = np.r_[True, (doc[1:] != doc[:-1]) | (piece[1:] != piece[:-1]) | (shift[1:] - shift[:-1] > length[1:])]
-        head = np.flatnonzero(new)
-        tail = np.r_[head[1:], len(doc)] - 1
-        d, q = doc[head], piece[head]
-        slack = length[head] // 2
-        low = np.maximum(starts[d], shift[head] - slack)
-        high = np.minimum(ends[d], shift[tail] + length[head] + slack)
-        pairs = [(p.words[k], words[x:y]) for k, x, y in zip(q, low, high, strict=True)]
-        for i, k, x, y, score in zip(d, q, low, high, align(pairs), strict=True):
-            key = (first + int(i), int(p.items[k]))
-            if score >= min_score and (key not in best or best[key][0] < score):
-                best[key] = (float(score), int(x - starts[i]), int(y - starts[i]))
+        # some documents at a time: those whose seeds have OCCURRENCES places in the passages
+        many = np.searchsorted(p.gram_of, index, side="right") - np.searchsorted(p.gram_of, index)
+        begin = np.flatnonzero(np.diff(np.searchsorted(starts, at, side="right"), prepend=-1))
+        part = (np.cumsum(many) - many)[begin] // OCCURRENCES
+        cuts = begin[1:][part[1:] != part[:-1]]
+        for i, k in zip(np.split(index, cuts), np.split(at, cuts), strict=True):
+            _best(best, first, words, starts, p, min_score, i, k)
     return [(*k, *v) for k, v in best.items()]
 
 
-def _blocks(docs: DataFrame, benchmark: DataFrame) -> Iterator[Passages]:
-    """The benchmark's passages with their seeds, some at a time."""
+def _blocks(benchmark: DataFrame) -> Iterator[Passages]:
+    """The benchmark's passages, some at a time."""
     items = save(benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long"), "text"), "benchmark")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, math.ceil(chars / BLOCK_CHARS))
     for i in range(n):
-        p = passages([tuple(r) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == i).sort("item_id").toLocalIterator()])
-        seen = docs.select("text").mapInArrow(_count(p, i), "gram long, n long").groupBy("gram").agg(F.sum("n"))
-        yield p.seeds({g: k for g, k in seen.toLocalIterator()})
+        yield passages([tuple(r) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == i).sort("item_id").toLocalIterator()])
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
@@ -203,7 +199,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE) -
         return run
 
     out, rows = None, docs.select(F.col("doc_id").cast("long"), "text")
-    for p in _blocks(docs, benchmark):
+    for p in _blocks(benchmark):
         part = rows.mapInArrow(pairs(p), "doc_id long, item_id long, score double, first_word long, end_word long")
         out = part if out is None else out.unionByName(part)
     return out
@@ -223,6 +219,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE) -
         return run
 
     out = docs
-    for p in _blocks(docs, benchmark):
+    for p in _blocks(benchmark):
         out = out.mapInArrow(keep(p), docs.schema)
     return out

@@ -173,6 +173,28 @@ def test_decontamination(spark):
     assert decontaminate.leaks(docs, benchmark.limit(0)).count() == 0 and decontaminate.leaks(docs.limit(0), benchmark).count() == 0
 
 
+@pytest.mark.parametrize("copies", [1, 300])
+def test_decontamination_of_edited_copies(spark, monkeypatch, copies):
+    """Copies with 20 to 35 % of their words changed, one of each or a large group beside one exact copy."""
+    monkeypatch.setattr(decontaminate, "OCCURRENCES", 50)
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("aeioustrn") for _ in range(r.randint(3, 7)))
+    items, rows, want = [(i, " ".join(word() for _ in range(40))) for i in range(12)], [], set()
+    for i, text in items:
+        words = text.split()
+        for k in r.sample([k for k in range(40) if k % 10 > 2], 8 + i // 2):  # three words in a row stay
+            words[k] = word() + "x"
+        for k in range(copies if i == 11 else 1):
+            rows.append((i * 1000 + k, f"{' '.join(word() for _ in range(30))} {' '.join(words)} {' '.join(word() for _ in range(30))}"))
+            want.add((i * 1000 + k, i))
+    if copies > 1:
+        rows.append((99999, items[11][1]))
+        want.add((99999, 11))
+    docs, benchmark = frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    assert {(x.doc_id, x.item_id) for x in decontaminate.leaks(docs, benchmark).collect()} == want
+    assert decontaminate.clean(docs, benchmark).count() == 0
+
+
 def test_alignment():
     def brute(a, b):
         h, best = np.zeros((len(a) + 1, len(b) + 1), int), 0
