@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from palaver.llm import components, decontaminate, html, lines, mixing, quality, secrets, simhash
+import corpus_pipeline
+from palaver.llm import components, decontaminate, html, lines, mixing, nearcopies, quality, secrets, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -148,6 +149,38 @@ def test_components(spark):
     assert components.components(links.limit(0)).count() == 0
 
 
+# --- near copies ---
+def brute_shingles(text):
+    words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").encode().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+@pytest.mark.parametrize("step", [1 << 17, 30])
+def test_pipeline_drops_copies_at_similarity_of_080(spark, monkeypatch, step):
+    """Groups by chains of links, pairs just above and just below the bound, and a large group."""
+    monkeypatch.setattr(nearcopies, "STEP", step)
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("aeioustrn") for _ in range(6))
+    texts = [None, "", " \n", "Ab c", "aB c", "É é", "x y"]
+    for n in (60, 120, 240):
+        for _ in range(6):
+            texts.append(" ".join(word() for _ in range(n)))
+            for _ in range(4):  # each a few words further from the first
+                words = texts[-1].split()
+                for _ in range(r.randint(1, n // 40 + 1)):
+                    words[r.randrange(n)] = word()
+                texts.append(" ".join(words).upper() if r.random() < 0.3 else " ".join(words))
+    base = [word() for _ in range(100)]
+    texts += [" ".join(base[:k] + [word()] + base[k + 1 :]) for k in range(100)]
+    sets = [brute_shingles(t) for t in texts]
+    roots = union(len(sets), [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
+    docs = frame(spark, [(i, t, "n") for i, t in enumerate(texts)], "doc_id long, text string, row string")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(roots[x.doc_id] for x in kept.collect()) == sorted(set(roots))
+    assert nearcopies.representatives(docs.limit(0)).count() == 0
+
+
 # --- decontamination ---
 def test_decontamination(spark):
     r = random.Random(6)
