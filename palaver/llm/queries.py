@@ -80,4 +80,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_simhash": op10_simhash,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_warc": """
+WITH rows AS (
+    SELECT page_id::BIGINT AS page_id, url, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(encode(coalesce(html, ''))) AS payload_digest FROM pages
+), equal AS (
+    SELECT payload_digest, max(page_id) AS keeper FROM rows WHERE payload_bytes >= 1000 GROUP BY payload_digest HAVING count(*) > 1
+), kept AS (
+    SELECT rows.*, keeper, keeper IS NOT NULL AND page_id IS DISTINCT FROM keeper AS revisit FROM rows LEFT JOIN equal USING (payload_digest)
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN revisit THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN revisit THEN keeper END AS refers_to,
+    CASE WHEN url IS NULL OR NOT regexp_matches(url, '[\\x00-\\x20\\x7f]') THEN url ELSE array_to_string(list_transform(range(1, length(url) + 1),
+        lambda i: CASE WHEN unicode(substr(url, i, 1)) <= 32 OR unicode(substr(url, i, 1)) = 127 THEN printf('%%%02X', unicode(substr(url, i, 1))) ELSE substr(url, i, 1) END), '') END AS url
+FROM kept""",
+}

@@ -116,3 +116,21 @@ def test_id_files(spark, monkeypatch):
         assert r.start == start and (r.n_tokens, r.ids_crc32) in want[r.doc_id]
         start += r.n_tokens
     assert tokens.read(tokens.write(docs.limit(0), path)).count() == 0
+
+
+def test_warc_sql(spark, tmp_path):
+    """The query and its SQL agree on nulls, equal payloads of both lengths, repeated ids and unsafe URLs."""
+    import duckdb
+
+    from palaver.llm import queries
+
+    long, short = "<p>ü</p>" * 200, "<p>short</p>"
+    rows = [(1, "http://a/", long), (2, "http://b/ c\r\n\x7fü%", long), (2, None, long), (None, "http://n/", long), (3, "", short), (4, "http://d/\t", short), (5, "u", None), (6, "u", ""), (None, "v", "<i>" * 500), (None, "w", "<i>" * 500), (-7, "x", "y" * 999), (8, "x", "y" * 1000), (-9, "x", "y" * 1000)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    for folder, path in ((str(tmp_path), f"{tmp_path}/pages.parquet/*.parquet"), ("/root/testdata/sf0.001", "/root/testdata/sf0.001/pages.parquet")):
+        duck = duckdb.connect()
+        duck.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{path}')")
+        got = queries.QUERIES["op1_warc"](spark, folder)
+        want = duck.execute(queries.ORACLE_SQL["op1_warc"])
+        assert got.columns == [c[0] for c in want.description]
+        assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want.fetchall()))
