@@ -1,6 +1,7 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-Candidates are runs of ``MIN_LENGTH`` or more characters that tokens are made of, with a digit. The forest judges each by its length, its mix of
+Candidates are runs of ``MIN_LENGTH`` or more characters that tokens are made of, with a digit or, where a secret word or an issuer's beginning stands
+by them, without; and whatever is assigned to a secret word, from ``MIN_ASSIGNED`` characters, in quotes or up to a blank (with other symbols, runs in it are judged beside it). The forest judges each by its length, its mix of
 characters and how often their kind changes, how much of it dictionary words cover, the path it stands in, and the words beside it. It is trained here on labelled
 findings: ``labelled()`` makes them from a seed, secrets and the usual false alarms (digests, commits, ids, numbers, placeholders, paths,
 words), in many contexts; ``train`` takes any others of that form.
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MIN_LENGTH, MIN_SCORE = 12, 0.5
+MIN_LENGTH, MIN_ASSIGNED, MIN_SCORE = 12, 6, 0.5
 #: Labelled findings, trees, their depth, bins of a feature, and rows that a leaf holds at least.
 FINDINGS, TREES, DEPTH, BINS, LEAF = 4000, 40, 8, 32, 3
 CANDIDATE = re.compile(rf"[A-Za-z0-9_\-+/=.]{{{MIN_LENGTH},}}")
@@ -40,6 +41,10 @@ OTHER_WORDS = {"commit", "sha", "md", "digest", "checksum", "hash", "uuid", "gui
 EXAMPLE_WORDS = {"example", "examples", "test", "tests", "fixture", "fixtures", "sample", "samples", "mock", "doc", "docs", "demo", "placeholder", "dummy", "fake", "template"}
 DICTIONARY = sorted(SECRET_WORDS | OTHER_WORDS | EXAMPLE_WORDS | {"your", "here", "change", "insert", "value", "user", "name", "admin", "config", "http", "https", "www", "com", "org", "html", "index", "page", "static", "assets", "main", "master", "release", "service", "server", "data", "line", "number", "this", "that", "with", "from", "have", "string", "default", "none", "null", "true", "false", "xxxx", "abcd", "foo", "bar", "lorem", "ipsum", "home", "local", "lib", "module", "node", "python", "java", "class", "function", "return", "import", "package", "december", "january", "monday", "report", "final", "draft", "copy", "the", "and", "for", "ing", "tion"} - {"id", "md"})
 COVER = re.compile("|".join(sorted((w for w in DICTIONARY if len(w) > 2), key=len, reverse=True)), re.I)
+#: A value after = or :, in quotes or up to a blank, and the word before the place.
+ASSIGNED = re.compile(rf"[=:](?=\s{{0,3}}(?:([\"'`])([^\s\"'`]{{{MIN_ASSIGNED},200}})\1|([^\s\"'`,;]{{{MIN_ASSIGNED},200}})))")
+NAME = re.compile(r"([A-Za-z]+)[^A-Za-z]{0,5}$")
+NAMES = tuple(sorted(SECRET_WORDS))
 #: Beginnings that issuers give their tokens.
 ISSUED = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "glpat-", "xoxb-", "xoxp-", "sk-", "sk_live_", "pk_live_", "eyJ", "AIza", "npm_", "SG.")
 KIND = {**dict.fromkeys(string.ascii_lowercase, 0), **dict.fromkeys(string.ascii_uppercase, 1), **dict.fromkeys(string.digits, 2)}
@@ -75,15 +80,32 @@ def features(value: str, before: str, after: str, path: str) -> list[float]:
 
 def candidates(text: str | None) -> Iterator[tuple[int, str, str, str]]:
     """(start, value, text before, text after)."""
-    for m in CANDIDATE.finditer(text or ""):
+    text, found = text or "", []
+    for m in CANDIDATE.finditer(text):
         value, start = m[0].rstrip(".="), m.start()
         lead = len(value) - len(value.lstrip(".-=/+"))
         value, start = value[lead:], start + lead
         if "=" in value[:-2] and not value.endswith("="):  # name=value without spaces
             cut = value.rfind("=") + 1
             value, start = value[cut:], start + cut
-        if len(value) >= MIN_LENGTH and DIGIT.search(value):
-            yield start, value, text[max(0, start - CONTEXT) : start], text[start + len(value) : start + len(value) + CONTEXT]
+        if len(value) >= MIN_LENGTH and (DIGIT.search(value) or value.startswith(ISSUED) or _named(text, start)):
+            found.append((start, value))
+    ends, at = [start + len(value) for start, value in found], 0
+    for m in ASSIGNED.finditer(text):
+        k = 2 if m[2] else 3
+        while at < len(ends) and ends[at] <= m.start(k):
+            at += 1
+        held = at < len(ends) and found[at][0] < m.end(k) and CANDIDATE.fullmatch(m[k])  # its run is a candidate
+        if not held and _named(text, m.start()):
+            found.append((m.start(k), m[k]))
+    for start, value in sorted(set(found)):
+        yield start, value, text[max(0, start - CONTEXT) : start], text[start + len(value) : start + len(value) + CONTEXT]
+
+
+def _named(text: str, place: int) -> bool:
+    """Whether the word beside the place is, or ends with, one that names a secret."""
+    word = NAME.search(text[max(0, place - CONTEXT) : place])
+    return bool(word) and word[1].lower().endswith(NAMES)
 
 
 def labelled(n: int = FINDINGS, seed: int = 5) -> list[tuple[str, str, str, str, int]]:

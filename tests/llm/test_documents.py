@@ -328,6 +328,14 @@ def test_secrets(spark):
     assert secrets.scan(frame(spark, [], "doc_id long, text string, source string"), forest).count() == 0
 
 
+def test_secrets_without_digits_or_with_symbols(spark):
+    forest = secrets.train(secrets.labelled())
+    values = {1: "gSNnzxHPebRwNaxLlXUb", 2: "ghp_RCHjZSgrLKWvRIpETSAEbmPviCKJtwAOBuzb", 3: "hunter!2x@Q", 4: "p@ss#W!rd$x"}
+    rows = [(1, f'token = "{values[1]}" more', "a"), (2, f"take {values[2]} now", "a"), (3, f'{{"db_password": "{values[3]}"}}', "a"), (4, f"x: y, password={values[4]} and", "a"), (5, "key: understanding and password: required for internationalization", "a")]
+    found = [x for x in secrets.scan(frame(spark, rows, "doc_id long, text string, source string"), forest).collect() if x.score >= 0.5]
+    assert sorted((x.doc_id, x.length) for x in found) == sorted((k, len(v)) for k, v in values.items())
+
+
 # --- HTML ---
 PAGE = """<!DOCTYPE html><html><head><title>T {0}</title><style>p{{}}</style><script>var t="</p>";</script></head><body><header>Site name</header><nav><ul><li><a href="/">Home</a></li></ul></nav>
 <div class="cookie-notice">We use cookies</div><div class="x">Everyone sees this sentence on each page of the site, whatever the page</div><div class="ad">Buy {0}</div><aside>Side {0}</aside>
