@@ -1,243 +1,326 @@
 """Adaptive context-mixing range coder for blocks of ids, many blocks at once.
 
-Each block starts from the same fresh state. An id is coded by what predicts it: the id that followed the same two
-ids last time (order 2), the one that followed the same last id (order 1), or its place in a list of all ids
-that is kept in order of use (order 0): an id that occurs changes places with the one at half its place. The 18
-events - order 2 hits, order 1 hits, or the place has so many binary digits - have two adaptive
-distributions, one by how sure orders 2 and 1 have been, one by the last two events; they are mixed by weights that follow
-which of the two gave more to the events so far. The digits of the place follow as they are.
-
-The range coder writes 16-bit words; carries are settled when a block ends. All is integer arithmetic, so encoder and
-decoder agree on every machine. The blocks of a call go in step, one numpy operation for all; that makes no difference to their bytes.
+Each block starts from nothing but the list of its distinct ids, which goes before it. Three orders predict an id: the one that
+followed the same two ids last time (order 2), the one that followed the same last id (order 1), and the frequencies of the
+block's ids so far (order 0). An event says which of them gives the id: 0 the prediction of order 2, 1 that of order 1, 2 the
+distribution of order 0. Two adaptive distributions of events, one by how sure orders 2 and 1 have been, one by the last two events, are
+mixed by a weight that follows which of the two gave more to the events so far. Event and order 0 together give one interval of ``2 ** BITS``
+parts to the range coder, which writes 16-bit words; carries are settled when a block ends.
+
+Predictions of orders 1 and 2 are learned with every id, distributions and weights after each segment: ``EVENT_STEP`` ids for
+events, up to ``ORDER0_STEP`` ids for order 0. So the encoder, which knows all ids, finds predictions and events of a whole
+block by sorting, and the decoder's steps stay short. The blocks of a call go in step, one numpy operation for all; that makes no difference to their
+bytes. All numbers are whole and below 2 ** 53, most of them in floating point, which is exact there and faster than 64-bit integers; so encoder and
+decoder agree on every machine.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 
-EVENTS, TOTAL_BITS = 18, 15
-TOTAL = 1 << TOTAL_BITS
-CONTEXTS_A, CONTEXTS_B = 4 * 4 * 2, EVENTS * EVENTS
-ORDER1_BITS, ORDER2_BITS = 12, 12
-RATE_A, RATE_B, WEIGHT_BITS = 5, 5, 3
-U32, U64 = np.uint32, np.uint64
-NONE = 0xFFFF
-#: Binary digits of place + 1, and so its event.
-EVENT_OF_PLACE = (2 + np.floor(np.log2(np.arange(1, 1 << 16)))).astype(np.int64)
-ONE_HOT = np.eye(EVENTS, dtype=np.int16) * np.int16(TOTAL - EVENTS)
-
-
-class Model:
-    """State of ``lanes`` blocks; vocabulary: ids are below it."""
-
-    def __init__(self, lanes: int, vocabulary: int):
-        self.lanes, self.size = lanes, vocabulary
-        self.lane = np.arange(lanes)
-        #: Where each id stands in the list, and the list.
-        order = np.arange(vocabulary, dtype=np.uint16)
-        self.place, self.listed = np.tile(order, lanes), np.tile(order, lanes)
-        self.base = self.lane * vocabulary
-        self.next1, self.sure1 = np.full(lanes << ORDER1_BITS, NONE, np.uint16), np.zeros(lanes << ORDER1_BITS, np.uint8)
-        self.next2, self.sure2 = np.full(lanes << ORDER2_BITS, NONE, np.uint16), np.zeros(lanes << ORDER2_BITS, np.uint8)
-        self.base1, self.base2 = self.lane << ORDER1_BITS, self.lane << ORDER2_BITS
-        flat = np.full(EVENTS, (TOTAL - EVENTS) // EVENTS, np.int16)
-        self.a = np.tile(flat, (lanes * CONTEXTS_A, 1))
-        self.b = np.tile(flat, (lanes * CONTEXTS_B, 1))
-        self.weight = np.full(lanes, 1 << (WEIGHT_BITS - 1), np.int16)
-        self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.events = np.zeros(lanes, np.int64)
-        self.one_hot = ONE_HOT
-
-    def predict(self) -> np.ndarray:
-        """Starts of the events' shares of TOTAL; (lanes, EVENTS + 1)."""
-        self.at1 = self.base1 + ((self.last * 40503) >> 3 & ((1 << ORDER1_BITS) - 1))
-        self.at2 = self.base2 + (((self.last * 40503) ^ (self.before * 2654435)) & ((1 << ORDER2_BITS) - 1))
-        self.c1, self.c2 = self.next1[self.at1], self.next2[self.at2]
-        self.s1, self.s2 = self.sure1[self.at1], self.sure2[self.at2]
-        self.ia = self.lane * CONTEXTS_A + ((self.s2.astype(np.int64) * 4 + self.s1) * 2 + (self.c1 == self.c2))
-        self.ib = self.lane * CONTEXTS_B + self.events
-        self.pa, self.pb = self.a.take(self.ia, 0), self.b.take(self.ib, 0)
-        w = self.weight[:, None]
-        share = (self.pa >> WEIGHT_BITS) * w
-        share += (self.pb >> WEIGHT_BITS) * (np.int16(1 << WEIGHT_BITS) - w)
-        share += np.int16(1)
-        starts = np.zeros((self.lanes, EVENTS + 1), np.int32)
-        np.cumsum(share, axis=1, out=starts[:, 1:])
-        starts[:, EVENTS] = TOTAL  # the last event takes what rounding left
-        return starts
-
-    def event_of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Event and place of each id."""
-        place = self.place[self.base + ids].astype(np.int64)
-        event = np.where(ids == self.c1, 1, EVENT_OF_PLACE[place])
-        return np.where(ids == self.c2, 0, event), place
-
-    def update(self, ids: np.ndarray, event: np.ndarray, place: np.ndarray, on: np.ndarray | None) -> None:
-        """Learn the ids; ``on``: lanes that have one, None for all."""
-        hot = self.one_hot.take(event, 0)
-        lane = self.lane
-        pa, pb = self.pa[lane, event], self.pb[lane, event]
-        step = np.sign(pa - pb)
-        small = ids.astype(np.uint16)
-        s1 = np.where(self.c1 == small, np.minimum(self.s1 + 1, 3), self.s1 >> 1).astype(np.uint8)
-        s2 = np.where(self.c2 == small, np.minimum(self.s2 + 1, 3), self.s2 >> 1).astype(np.uint8)
-        # an id changes places with the one that stands at half its place
-        half = place >> 1
-        mine, other = self.base + place, self.base + half
-        moved = self.listed[other]
-        if on is None:
-            self.a[self.ia] = self.pa + ((hot - self.pa) >> RATE_A)
-            self.b[self.ib] = self.pb + ((hot - self.pb) >> RATE_B)
-            self.weight += step
-            np.clip(self.weight, 1, (1 << WEIGHT_BITS) - 1, out=self.weight)
-            self.sure1[self.at1], self.sure2[self.at2] = s1, s2
-            self.next1[self.at1], self.next2[self.at2] = small, small
-            self.listed[mine], self.listed[other] = moved, small
-            self.place[self.base + moved], self.place[self.base + ids] = place, half
-            self.before, self.last = self.last, ids
-            self.events = (self.events % EVENTS) * EVENTS + event
-            return
-        self.a[self.ia[on]] = (self.pa + ((hot - self.pa) >> RATE_A))[on]
-        self.b[self.ib[on]] = (self.pb + ((hot - self.pb) >> RATE_B))[on]
-        self.weight[on] = np.clip(self.weight + step, 1, (1 << WEIGHT_BITS) - 1)[on]
-        self.sure1[self.at1[on]], self.sure2[self.at2[on]] = s1[on], s2[on]
-        self.next1[self.at1[on]] = self.next2[self.at2[on]] = small[on]
-        self.listed[mine[on]], self.listed[other[on]] = moved[on], small[on]
-        self.place[(self.base + moved)[on]] = place[on]
-        self.place[(self.base + ids)[on]] = half[on]
-        self.before, self.last = np.where(on, self.last, self.before), np.where(on, ids, self.last)
-        self.events = np.where(on, (self.events % EVENTS) * EVENTS + event, self.events)
-
-
-def encode(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
-    """The bytes of each block of ids."""
+#: Digits of the events' shares, of weights, of order 0's shares, and of all.
+EVENT_BITS, WEIGHT_BITS, ORDER0_BITS = 12, 4, 12
+BITS = EVENT_BITS + WEIGHT_BITS + ORDER0_BITS
+ONE, ONE0, WHOLE = 1 << EVENT_BITS, 1 << ORDER0_BITS, float(1 << BITS)
+#: Ids between lessons, and ids of a block at most: order 0 needs a part for each.
+EVENT_STEP, ORDER0_STEP, MOST = 64, 512, 4096
+CONTEXTS_A, CONTEXTS_B, EVENTS = 32, 9, 3
+#: What an event adds to its count, and where counts are halved.
+COUNT, LIMIT = 4, 1 << 10
+ORDER2_BITS = 11
+NONE = 0x3FFF
+U16 = np.uint16
+STEPS = tuple(np.unique(np.r_[64 << np.arange(3), np.arange(ORDER0_STEP, MOST + 1, ORDER0_STEP)]).tolist())
+#: Digits of an event's share, in 256ths: what it costs.
+COST = np.rint(256 * (EVENT_BITS - np.log2(np.maximum(1, np.arange(ONE + 1))))).astype(np.int32)
+FULL, HALF, WORD = float(1 << 48), float(1 << 32), float(1 << 16)
+#: A prediction that held is surer by one, 3 at most.
+UP = np.arange(1 << 16, dtype=U16)
+UP += UP & 3 != 3
+
+
+class Lessons:
+    """What blocks learn by segments: distributions of events, their weight, and frequencies of ids."""
+
+    def __init__(self, sizes: np.ndarray):
+        self.lanes, self.most, self.sizes = len(sizes), int(sizes.max()), sizes
+        lane = np.arange(self.lanes)
+        self.base_a, self.base_b, self.base0 = lane * CONTEXTS_A, lane * CONTEXTS_B, lane * self.most
+        self.count_a = np.ones((EVENTS, self.lanes * CONTEXTS_A), np.int32)
+        self.count_b = np.ones((EVENTS, self.lanes * CONTEXTS_B), np.int32)
+        self.weight = np.full(self.lanes, 1 << (WEIGHT_BITS - 1), np.int64)
+        #: Of order 0: 1 where the lane has an id, and occurrences.
+        self.have = (np.arange(self.most) < sizes[:, None]).astype(np.int32)
+        self.count0 = np.zeros((self.lanes, self.most), np.int32)
+        self.distributions()
+        self.frequencies()
+
+    def distributions(self) -> None:
+        """Ends of the first two events' shares by context, as one complex number, each distribution times its weight."""
+        self.shares, packed = [], []
+        for count, weight in ((self.count_a, self.weight), (self.count_b, (1 << WEIGHT_BITS) - self.weight)):
+            scaled = count * ((ONE - EVENTS) // (count[0] + count[1] + count[2])) + 1
+            second = scaled[0] + scaled[1]
+            self.shares.append((scaled[0], scaled[1], ONE - second))
+            both = np.empty((self.lanes, count.shape[1] // self.lanes), np.complex128)
+            part = (weight * float(ONE0))[:, None]
+            np.multiply(scaled[0].reshape(both.shape), part, out=both.real)
+            np.multiply(second.reshape(both.shape), part, out=both.imag)
+            packed.append(both.ravel())
+        self.a, self.b = packed
+
+    def frequencies(self) -> None:
+        """Where each id's share of order 0 begins, and how large it is, as one complex number."""
+        total = self.count0.sum(1)
+        scale = np.where(total > 0, ((ONE0 - self.sizes) << 12) // np.maximum(1, total), 0)
+        share = ((self.count0 * scale[:, None]) >> 12).astype(np.int32) + self.have
+        share[np.arange(self.lanes), self.sizes - 1] += ONE0 - share.sum(1)  # the last id takes what rounding left
+        self.share0 = share.ravel()
+        both = np.empty(share.shape, np.complex64)
+        both.real, both.imag = np.cumsum(share, axis=1, dtype=np.int32) - share, share
+        self.both0 = both.ravel()
+
+    def mixed(self, ia: np.ndarray, ib: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ends of the first two events' shares, in parts of the whole."""
+        both = self.a.take(ia)
+        both += self.b.take(ib)
+        return both.real, both.imag
+
+    @staticmethod
+    def interval(first: np.ndarray, second: np.ndarray, part: np.ndarray, one: np.ndarray, rest: np.ndarray, both0: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of the parts of ids: those of order 0 (rest; each of its shares is ``part``), of order 1 (one), or else of order 2."""
+        begin = both0.real * part
+        begin += second
+        return np.where(rest, begin, np.where(one, first, 0.0)), np.where(rest, both0.imag * part, np.where(one, second - first, first))
+
+    def learn_events(self, ia: np.ndarray, ib: np.ndarray, event: np.ndarray) -> None:
+        """Contexts and events of a segment; (ids, lanes)."""
+        costs = []
+        for count, shares, at, contexts in ((self.count_a, self.shares[0], ia, CONTEXTS_A), (self.count_b, self.shares[1], ib, CONTEXTS_B)):
+            seen = np.bincount((event.astype(np.int64) * count.shape[1] + at).ravel(), minlength=count.size).reshape(count.shape).astype(np.int32)
+            costs.append(sum(seen[e] * COST.take(shares[e]) for e in range(EVENTS)).reshape(self.lanes, contexts).sum(1))
+            count += seen * COUNT
+            over = np.flatnonzero(count[0] + count[1] + count[2] > LIMIT)
+            count[:, over] = (count[:, over] + 1) >> 1
+        self.weight += np.sign(costs[1] - costs[0])
+        np.clip(self.weight, 1, (1 << WEIGHT_BITS) - 1, out=self.weight)
+        self.distributions()
+
+    def learn_ids(self, ids: np.ndarray) -> None:
+        """Ids of a segment by their place in the block's list; (ids, lanes)."""
+        self.count0 += np.bincount((self.base0 + ids).ravel(), minlength=self.count0.size).reshape(self.count0.shape).astype(np.int32)
+        self.frequencies()
+
+
+def _predictions(ids: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """Of each id: the one that followed its context last time and how often in a row (1 to 3; 0: never seen), as prediction * 4 + times."""
+    order = np.argsort(context, kind="stable")
+    own, group = ids[order], context[order]
+    same = group[1:] == group[:-1]
+    hit = same & (own[1:] == own[:-1])
+    at = np.arange(len(ids), dtype=np.int16)
+    missed = np.maximum.accumulate(np.where(np.r_[False, hit], 0, at))
+    times = np.minimum(at - missed, 2).astype(U16)
+    out = np.full(len(ids), NONE << 2, U16)
+    out[order[1:]] = np.where(same, (own[:-1] << 2) + times[:-1] + 1, U16(NONE << 2))
+    return out
+
+
+def _modelled(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Context by orders 2 and 1, context by the last two events, and event of each id of a block."""
+    last = np.r_[U16(0), ids[:-1]]
+    before = np.r_[U16(0), last[:-1]]
+    e1 = _predictions(ids, last)
+    e2 = _predictions(ids, (last * U16(13) + before * U16(601)) & U16((1 << ORDER2_BITS) - 1))
+    c1, c2 = e1 >> 2, e2 >> 2
+    a = ((e2 & 3) << 3) | ((e1 & 3) << 1) | (c1 == c2)
+    event = np.where(c2 == ids, 0, np.where(c1 == ids, 1, 2)).astype(np.int16)
+    b = np.r_[0, event[:-1]] + 3 * np.r_[0, 0, event[:-2]][: len(ids)]
+    return a, b, event
+
+
+def _listed(block: np.ndarray, seen: np.ndarray, rank: np.ndarray) -> tuple[int, np.ndarray, bytes]:
+    """How many distinct ids a block has, its ids by their place among them, and the list as bytes. ``seen`` (all false) and ``rank`` are scratch space."""
+    seen[block] = True
+    known = np.flatnonzero(seen)
+    seen[known] = False
+    rank[known] = np.arange(len(known))
+    local = rank[block]
+    gaps = np.diff(known, prepend=-1) - 1
+    small = np.minimum(gaps, 255).astype(np.uint8).tobytes() + gaps[gaps >= 255].astype("<u4").tobytes()
+    deflate = zlib.compressobj(6, zlib.DEFLATED, -15, 9, zlib.Z_HUFFMAN_ONLY)
+    return len(known), local, deflate.compress(small) + deflate.flush()
+
+
+def _unlisted(coded: bytes, size: int) -> np.ndarray:
+    try:
+        raw = zlib.decompress(coded, -15)
+        gaps = np.frombuffer(raw, np.uint8, size).astype(np.int64)
+        large = gaps == 255
+        gaps[large] = np.frombuffer(raw, "<u4", int(large.sum()), size)
+    except (zlib.error, ValueError) as e:
+        raise ValueError("a block's list of ids is damaged") from e
+    return np.cumsum(gaps + 1) - 1
+
+
+def encode(blocks: list[np.ndarray]) -> list[bytes]:
+    """The bytes of each block of 16-bit ids; a block holds 1 to ``MOST``."""
     if not blocks:
         return []
-    if vocabulary > NONE:
-        raise ValueError("ids must fit in 16 bits, and one value is kept free")
-    order = np.argsort([-len(b) for b in blocks], kind="stable")
-    length = np.array([len(blocks[i]) for i in order])
-    n, steps = len(blocks), int(length[0])
-    ids = np.zeros((steps, n), np.int64)
-    for k, i in enumerate(order):
-        ids[: length[k], k] = blocks[i]
-    model = Model(n, vocabulary)
-    low, width = np.zeros(n, U64), np.full(n, 0xFFFFFFFF, U64)
-    words = np.zeros((2 * steps + 2, n), U32)
-    used = np.zeros(n, np.int64)
+    if any(not 0 < len(b) <= MOST for b in blocks):
+        raise ValueError(f"a block holds 1 to {MOST} ids")
+    n, steps = len(blocks), max(map(len, blocks))
+    ids, a, b, event = (np.zeros((n, steps), np.int16) for _ in range(4))
+    sizes, heads, seen, rank = np.zeros(n, np.int64), [], np.zeros(1 << 16, bool), np.zeros(1 << 16, U16)
+    length = np.array([len(x) for x in blocks])
+    for k, block in enumerate(blocks):
+        sizes[k], local, head = _listed(block, seen, rank)
+        heads.append(head)
+        own = slice(0, len(block))
+        ids[k, own] = local
+        a[k, own], b[k, own], event[k, own] = _modelled(local)
+    lessons = Lessons(sizes)
+    low, width = np.zeros(n), np.full(n, FULL - 1)
+    stride = 2 * steps + 2
+    words = np.zeros(n * stride, np.uint32)
     lane = np.arange(n)
-    row = lane * (EVENTS + 1)
-
-    def put(start: np.ndarray, size: np.ndarray, on: np.ndarray | None) -> None:
-        """Narrow the intervals of all lanes, or of those in ``on``."""
-        nonlocal low, width
-        unit = (width if on is None else width[on]) >> U64(TOTAL_BITS)
-        grown, narrow = unit * start.view(U64), unit * size.view(U64)
-        grown += low if on is None else low[on]
-        out = np.flatnonzero(narrow < U64(1 << 16))
-        if len(out):
-            place, value = out if on is None else on[out], grown[out]
-            words[used[place], place] = value >> U64(16)
-            used[place] += 1
-            grown[out] = (value & U64(0xFFFF)) << U64(16)
-            narrow[out] <<= U64(16)
-        if on is None:
-            low, width = grown, narrow
-        else:
-            low[on], width[on] = grown, narrow
+    used = lane * stride
+    learned, short = 0, int(length.min())
+    for at in range(0, steps, EVENT_STEP):
+        part = slice(at, min(steps, at + EVENT_STEP))
+        own, kind = (np.ascontiguousarray(x[:, part].T) for x in (ids, event))
+        ia, ib = lessons.base_a + a[:, part].T, lessons.base_b + b[:, part].T
+        first, second = lessons.mixed(ia, ib)
+        start, size = lessons.interval(first, second, (WHOLE - second) * (1 / ONE0), kind == 1, kind == 2, lessons.both0.take(lessons.base0 + own))
+        if part.stop > short:
+            over = np.arange(part.start, part.stop)[:, None] >= length
+            start[over], size[over] = 0, WHOLE
+        for s, z in zip(start, size, strict=True):
+            width *= 1 / WHOLE
+            np.floor(width, out=width)
+            s *= width
+            low += s
+            width *= z
+            for _ in range(2):  # a part is 2 ** -28 of the interval at least
+                narrow = width < HALF
+                if not narrow.any():
+                    break
+                word = np.floor(low * (1 / HALF))
+                words[used] = word  # stays only where it is passed over
+                used += narrow
+                np.multiply(width, WORD, out=width, where=narrow)
+                word *= HALF
+                word *= narrow
+                low -= word
+                np.multiply(low, WORD, out=low, where=narrow)
+        if part.stop in STEPS:
+            lessons.learn_ids(ids[:, learned : part.stop].T)
+            learned = part.stop
+        lessons.learn_events(ia, ib, kind)
+    # two more words name a place within the interval, whatever follows them
+    last = (low.astype(np.int64) + 0xFFFF) >> 16
+    words[used], words[used + 1] = last >> 16, last & 0xFFFF
+    used += 2 - lane * stride
+    words = words.reshape(n, stride)[:, : int(used.max())]
+    if (words >> 16).any():
+        by_place = np.ascontiguousarray(words.T)
+        for t in range(len(by_place) - 1, 0, -1):  # carries, from the end of each block to its beginning
+            by_place[t - 1] += by_place[t] >> np.uint32(16)
+        words = by_place.T
+    small = words.astype("<u2")
+    return [len(h).to_bytes(2, "little") + int(z).to_bytes(2, "little") + h + small[k, : used[k]].tobytes() for k, (h, z) in enumerate(zip(heads, sizes, strict=True))]
 
-    for t in range(steps):
-        now = ids[t]
-        on = None if length[-1] > t else length > t
-        starts = model.predict().ravel()
-        event, place = model.event_of(now)
-        at = row + event
-        first = starts.take(at).astype(np.int64)
-        size = starts.take(at + 1) - first
-        some = None if on is None else np.flatnonzero(on)
-        put(first if on is None else first[some], size if on is None else size[some], some)
-        rest = np.flatnonzero(event > 2 if on is None else (event > 2) & on)
-        if len(rest):
-            digits = event[rest] - 2
-            shift = TOTAL_BITS - digits
-            put(((place[rest] + 1) - (1 << digits)) << shift, 1 << shift, rest)
-        model.update(now, event, place, on)
-    words[used, lane], words[used + 1, lane] = low >> U64(16), low & U64(0xFFFF)
-    used += 2
-    # carries, from the end of each block to its beginning
-    for t in range(int(used.max()) - 1, 0, -1):
-        words[t - 1] += words[t] >> U32(16)
-    words &= U32(0xFFFF)
-    out: list[bytes] = [b""] * n
-    for k, i in enumerate(order):
-        out[i] = words[: used[k], k].astype("<u2").tobytes()
-    return out
 
-
-def decode(coded: list[bytes], lengths: list[int], vocabulary: int) -> list[np.ndarray]:
+@np.errstate(invalid="ignore", over="ignore", divide="ignore")  # beyond the end of blocks, and in damaged ones
+def decode(coded: list[bytes], lengths: list[int]) -> list[np.ndarray]:
     """The ids of each block."""
     if not coded:
         return []
-    order = np.argsort([-x for x in lengths], kind="stable")
-    length = np.array([lengths[i] for i in order])
-    n, steps = len(coded), int(length[0])
-    arrays = [np.frombuffer(coded[i], "<u2") for i in order]
-    words = np.zeros((max(len(a) for a in arrays) + 2, n), U64)
-    for k, a in enumerate(arrays):
-        words[: len(a), k] = a
-    model = Model(n, vocabulary)
-    lane, used = np.arange(n), np.full(n, 2)
-    code, width = (words[0] << U64(16)) | words[1], np.full(n, 0xFFFFFFFF, U64)
-    ids = np.zeros((steps, n), np.uint16)
-
-    def take(unit: np.ndarray, start: np.ndarray, size: np.ndarray, on: np.ndarray | None) -> None:
-        """Narrow the intervals of all lanes, or of those in ``on``."""
-        nonlocal code, width
-        less, narrow = unit * start.view(U64), unit * size.view(U64)
-        np.subtract(code if on is None else code[on], less, out=less)
-        out = np.flatnonzero(narrow < U64(1 << 16))
-        if len(out):
-            place = out if on is None else on[out]
-            # damaged blocks may ask for more than there is
-            less[out] = (less[out] << U64(16)) | words[np.minimum(used[place], len(words) - 1), place]
-            used[place] += 1
-            narrow[out] <<= U64(16)
-        if on is None:
-            code, width = less, narrow
-        else:
-            code[on], width[on] = less, narrow
-
-    row = lane * (EVENTS + 1)
+    known, streams = [], []
+    for c, length in zip(coded, lengths, strict=True):
+        head, size = int.from_bytes(c[:2], "little"), int.from_bytes(c[2:4], "little")
+        if not 0 < size <= length <= MOST or len(c) < 8 + head:
+            raise ValueError("a block's head is damaged")
+        known.append(_unlisted(c[4 : 4 + head], size))
+        streams.append(c[4 + head :])
+    n, steps = len(coded), max(lengths)
+    sizes = np.array([len(k) for k in known], np.int64)
+    words = np.frombuffer(b"".join(s[: len(s) // 2 * 2] for s in streams) + bytes(8), "<u2")
+    at_word = np.cumsum([0, *(len(s) // 2 for s in streams[:-1])])
+    code = words[at_word] * HALF + words[at_word + 1] * WORD + words[at_word + 2]
+    at_word += 3
+    lessons = Lessons(sizes)
+    width = np.full(n, FULL - 1)
+    lane = np.arange(n)
+    base0, base2, base_slot = lane * lessons.most, lane << ORDER2_BITS, lane << ORDER0_BITS
+    table1, table2 = np.full(n * lessons.most, NONE << 2, U16), np.full(n << ORDER2_BITS, NONE << 2, U16)
+    every = np.tile(np.arange(lessons.most, dtype=U16), n)
+    slots = np.repeat(every, lessons.share0)
+    ids = np.zeros((steps, n), U16)
+    a, b, event = (np.zeros((EVENT_STEP, n), np.int64) for _ in range(3))
+    last, before, old = np.zeros(n, U16), np.zeros(n, U16), np.zeros(n, np.int64)
+    history, lane_end = np.zeros(n, np.int64), (sizes - 1).astype(U16)
+    learned, mask = 0, U16((1 << ORDER2_BITS) - 1)
     for t in range(steps):
-        on = None if length[-1] > t else length > t
-        starts = model.predict()
-        unit = width >> U64(TOTAL_BITS)
-        at = np.minimum(code // unit, U64(TOTAL - 1)).astype(np.int32)
-        event = (starts[:, 1:EVENTS] <= at[:, None]).sum(1)
-        flat, at = starts.ravel(), row + event
-        first = flat.take(at).astype(np.int64)
-        size = flat.take(at + 1) - first
-        some = None if on is None else np.flatnonzero(on)
-        if on is None:
-            take(unit, first, size, None)
+        row = t % EVENT_STEP
+        now, ia, ib, kind = ids[t], a[row], b[row], event[row]
+        np.add(lessons.base_b, history, out=ib)
+        i1 = base0 + last
+        i2 = last * U16(13)
+        i2 += before
+        i2 &= mask
+        i2 = base2 + i2
+        e1, e2 = table1.take(i1), table2.take(i2)
+        c1, c2 = e1 >> 2, e2 >> 2
+        sure = e2 & 3
+        sure <<= 2
+        sure |= e1 & 3
+        sure <<= 1
+        sure |= c1 == c2
+        np.add(lessons.base_a, sure, out=ia)
+        first, second = lessons.mixed(ia, ib)
+        part = WHOLE - second
+        part *= 1 / ONE0
+        width *= 1 / WHOLE
+        np.floor(width, out=width)
+        # quotients are off a whole number by 2 ** -20 at least where they aren't one, so their floors are exact
+        at = code / width
+        one, rest = at >= first, at >= second
+        at -= second
+        at /= part
+        inside = at.astype(np.int64)
+        inside += base_slot
+        mine = slots.take(inside, mode="clip")
+        start, size = lessons.interval(first, second, part, one, rest, lessons.both0.take(base0 + mine))
+        np.minimum(np.where(rest, mine, np.where(one, c1, c2)), lane_end, out=now)  # damaged blocks may name what there isn't
+        start *= width
+        code -= start
+        width *= size
+        for _ in range(2):
+            narrow = width < HALF
+            if not narrow.any():
+                break
+            np.multiply(width, WORD, out=width, where=narrow)
+            np.multiply(code, WORD, out=code, where=narrow)
+            np.add(code, words.take(at_word, mode="clip"), out=code, where=narrow)
+            at_word += narrow
         else:
-            take(unit[some], first[some], size[some], some)
-        digits = np.maximum(event - 2, 0)
-        place = (1 << digits) - 1
-        rest = np.flatnonzero(digits > 0 if on is None else (digits > 0) & on)
-        if len(rest):
-            unit, shift = width[rest] >> U64(TOTAL_BITS), TOTAL_BITS - digits[rest]
-            at = np.minimum(code[rest] // unit, U64(TOTAL - 1)).astype(np.int64) >> shift
-            take(unit, at << shift, 1 << shift, rest)
-            place[rest] += at
-        place = np.minimum(place, vocabulary - 1)
-        now = np.where(event == 0, model.c2, np.where(event == 1, model.c1, model.listed[model.base + place])).astype(np.int64)
-        if on is not None:
-            now = np.where(on, now, 0)
-        now = np.minimum(now, vocabulary - 1)
-        model.update(now, event, model.place[model.base + now].astype(np.int64), on)
-        ids[t] = now
-    out: list[np.ndarray] = [np.empty(0, np.uint16)] * n
-    for k, i in enumerate(order):
-        out[i] = ids[: length[k], k].copy()
-    return out
+            np.maximum(width, HALF, out=width)  # these too
+        np.add(one, rest, out=kind, dtype=np.int64)
+        history = old + kind
+        old = 3 * kind
+        fresh = now << 2
+        fresh |= 1
+        table1[i1] = np.where(c1 == now, UP.take(e1), fresh)
+        table2[i2] = np.where(c2 == now, UP.take(e2), fresh)
+        before, last = last * U16(601), now
+        if row == EVENT_STEP - 1:
+            if t + 1 in STEPS:
+                lessons.learn_ids(ids[learned : t + 1])
+                slots = np.repeat(every, lessons.share0)
+                learned = t + 1
+            lessons.learn_events(a, b, event)
+    by_lane = np.ascontiguousarray(ids.T)
+    return [k[by_lane[i, :length]].astype(U16) for i, (k, length) in enumerate(zip(known, lengths, strict=True))]

@@ -5,13 +5,13 @@ texts with the tokenizers library, appends the end id to each, cuts the stream i
 ``coder`` each from a fresh state, and writes one file to the shared folder. A file that a lost task left is not in the
 manifest, which Spark commits; each attempt has a file name of its own.
 
-File: ``PALID1\\n``; then sections, each a 4-byte kind, a length (u64) and that many bytes: ``BLKS`` has for each block its ids, bytes
+File: ``PALID2\\n``; then sections, each a 4-byte kind, a length (u64) and that many bytes: ``BLKS`` has for each block its ids, bytes
 and the crc32 of its ids (u32 each), then the blocks' bytes; ``DOCS`` has the documents' ids, nulls, and lengths
 (zlib), with a crc32 before. Every block can be decoded by itself.
 
-White space never joins tokens in the vocabulary's rules, so a word's ids are the same in any text: words are encoded once by the
-library and kept at hand, for as long as a worker lives. Words of Latin letters go straight to the library's model, as its normalizer and splitter leave
-them whole.
+Where white space never joins tokens in the vocabulary's rules, a word's ids are the same in any text: words are encoded once by the
+library and kept at hand, for as long as a worker lives. Where its normalizer and splitter leave words of Latin letters whole, these go straight to the
+library's model. Vocabularies with other rules get whole texts.
 
 Defined results: a null or empty text is the end id alone; a null doc_id comes before all others; repeated rows are written each; an
 empty table gives an empty result; other columns are ignored.
@@ -19,15 +19,19 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import string
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,57 +39,153 @@ from pyspark.sql import functions as F
 from . import coder
 from .shared import filesystem, save, scratch
 
-MAGIC, END = b"PALID1\n", 1
-#: Ids in a block; blocks that go in step; words kept at hand.
-BLOCK, LANES, MEMO = 4096, 512, 500_000
+MAGIC, END, OTHER = b"PALID2\n", 1, -1
+#: What a splitter's pattern that never crosses white space begins with: words, digits, and whatever is neither.
+SPLIT = r"[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: Ids in a block; blocks that go in step; words kept at hand; bytes of texts whose words are looked up together.
+BLOCK, LANES, MEMO, STEP = 4096, 1024, 800_000, 16 << 20
 #: Letters of one code point that stay as they are but for case.
 LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
-SPACE = str.maketrans("\t\n\x0b\x0c\r", "     ")
+SMALL = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
 
 
 class Encoder:
-    """ids of whole texts, as little-endian 16-bit numbers."""
+    """Ids of whole texts, as 16-bit numbers.
+
+    How a vocabulary may be used is read from its rules. If white space always parts words, words are encoded one by one and kept. If letters and
+    what follows them are tokens of their own and case is folded, too, a word of Latin letters goes straight to the library's model. Otherwise whole texts
+    go to the library.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
-        self.as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.vocabulary = self.library.get_vocab_size()
-        self.memo: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
-
-    def direct(self, word: str) -> bytes:
-        return np.array(self.library.encode(word, add_special_tokens=False).ids, "<u2").tobytes()
-
-    def learn(self, word: str) -> bytes:
-        core = word.rstrip(".,")
-        if LETTERS.fullmatch(core):  # letters and what follows them are tokens of their own; case is folded
-            ids = self.core(core.lower(), True)
-            return ids + self.core(word[len(core) :], False) if len(core) < len(word) else ids
-        return self.direct(word)
-
-    def core(self, word: str, letters: bool) -> bytes:
-        if (ids := self.cores.get(word)) is None:
-            if len(self.cores) >= MEMO:
-                self.cores.clear()
-            if letters:
-                piece = word if word.isascii() else self.as_bytes.pre_tokenize_str(word)[0][0]
-                ids = np.array([t.id for t in self.library.model.tokenize(piece)], "<u2").tobytes()
-            else:
-                ids = self.direct(word)
-            self.cores[word] = ids
+        if self.vocabulary > 1 << 16:
+            raise ValueError("ids must fit in 16 bits")
+        rules = json.loads(self.library.to_str())
+        self.by_word, self.by_model = parted(rules), folded(rules)
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.pieces = {ord(c): as_bytes.pre_tokenize_str(c)[0][0] for c in SMALL}
+        self.special = "|".join(re.escape(t["content"]) for t in rules.get("added_tokens", [])) or r"\z."
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty what is kept: of words of letters, which unit they are, the units' ids and where each begins; of other units, their ids' bytes."""
+        self.cores: dict[str, int] = {}
+        self.flat, self.starts = np.empty(0, np.uint16), np.zeros(1, np.int64)
+        self.words: dict[str, bytes] = {}
+
+    def direct(self, text: str) -> bytes:
+        return array("H", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def word(self, word: str) -> bytes:
+        """Ids of a word, which holds no white space."""
+        ids = self.words.get(word)
+        if ids is None:
+            ids = self.words[word] = self.direct(word)
         return ids
 
-    def __call__(self, text: str | None) -> bytes:
-        words = (text or "").translate(SPACE).split(" ")
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        for word in set(words).difference(memo):
-            memo[word] = self.learn(word) if word else b""
-        return b"".join(map(memo.__getitem__, words))
+    def learn(self, cores: list[str]) -> None:
+        """Keep the ids of words of Latin letters only; other words are kept as ``OTHER``."""
+        held, pieces = [], []
+        for core in cores:
+            if core.isascii() and core.isalpha():
+                held.append(core)
+                pieces.append(core.lower())
+            elif LETTERS.fullmatch(core):
+                held.append(core)
+                pieces.append(core.lower().translate(self.pieces))
+            else:
+                self.cores[core] = OTHER
+        tokenize = self.library.model.tokenize
+        flat, sizes = [], []
+        for piece in pieces:
+            own = tokenize(piece)
+            sizes.append(len(own))
+            flat += [t.id for t in own]
+        first = len(self.starts) - 1
+        self.cores.update(zip(held, range(first, first + len(held)), strict=True))
+        self.flat = np.r_[self.flat, np.array(flat, np.uint16)]
+        self.starts = np.r_[self.starts, self.starts[-1] + np.cumsum(sizes, dtype=np.int64)]
+
+    def units(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of units (words, words of letters, what follows these) one after another, where each begins, and which two of them each of the distinct words is made of."""
+        if len(self.cores) > MEMO or len(self.words) > MEMO:
+            self.forget()
+        n = len(words)
+        if self.by_model:
+            core = pc.ascii_rtrim(words, characters=string.punctuation)  # after letters these are one token of their own
+            distinct = core.dictionary_encode()
+            cores = distinct.dictionary.to_pylist()
+            found = list(map(self.cores.get, cores))
+            if None in found:
+                self.learn([c for c, k in zip(cores, found, strict=True) if k is None])
+                found = list(map(self.cores.get, cores))
+            first = np.array(found, np.int64)[distinct.indices.to_numpy()]
+            longer = pc.binary_length(words).to_numpy() > pc.binary_length(core).to_numpy()
+            held = np.flatnonzero(longer & (first != OTHER))
+            whole = np.flatnonzero(first == OTHER)
+        else:
+            first, held, whole = np.empty(n, np.int64), np.empty(0, np.int64), np.arange(n)
+        known = len(self.starts) - 1
+        others: dict[str, int] = {"": known}
+        second = np.full(n, known)
+        if len(held):
+            sizes = pc.binary_length(core.take(pa.array(held))).to_numpy()
+            second[held] = [others.setdefault(w[k:].decode(), known + len(others)) for w, k in zip(words.take(pa.array(held)).cast(pa.binary()).to_pylist(), sizes.tolist(), strict=True)]
+        if len(whole):
+            first[whole] = [others.setdefault(w, known + len(others)) for w in words.take(pa.array(whole)).to_pylist()]
+        got = list(map(self.word, others))
+        flat = np.r_[self.flat, np.frombuffer(b"".join(got), "<u2")]
+        starts = np.r_[self.starts, self.starts[-1] + np.cumsum(np.fromiter(map(len, got), np.int64, len(got)) // 2)]
+        return flat, starts, first, second
+
+    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, and how many each has."""
+        if not self.by_word:
+            got = [self.direct(t.as_py() or "") for t in texts]
+            return np.frombuffer(b"".join(got), "<u2"), np.array([len(g) // 2 for g in got], np.int64)
+        texts = pc.fill_null(texts, "")
+        if self.by_model and not pc.any(pc.match_substring_regex(texts, self.special, ignore_case=True)).as_py():
+            texts = pc.ascii_lower(texts)  # as the normalizer does; the marks that the library takes for special ones could come to be otherwise
+        lists = pc.ascii_split_whitespace(texts)
+        words = lists.flatten().dictionary_encode()
+        flat, starts, first, second = self.units(words.dictionary)
+        index = words.indices.to_numpy()
+        # most words have no second unit
+        parts, doubled = first[index], second != len(self.starts) - 1
+        at = np.flatnonzero(doubled[index])
+        parts = np.insert(parts, at + 1, second[index[at]])
+        many = (starts[1:] - starts[:-1])[parts]
+        ends = np.cumsum(many)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = flat[np.repeat(starts[parts] - (ends - many), many) + np.arange(total)]
+        bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        bounds = np.r_[0, ends][bounds + np.searchsorted(at, bounds)]
+        return ids, np.diff(bounds)
+
+
+def parted(rules: dict) -> bool:
+    """Whether white space parts words whatever stands beside it, by rules that are known to do so."""
+    kinds, splits = _rules(rules)
+    return kinds <= {"NFC", "Lowercase", "Replace"} and len(splits) == 2 and SPLIT in str(splits[0].get("pattern")) and splits[0]["behavior"] == "Removed" and splits[0]["invert"] and not splits[1]["add_prefix_space"] and not splits[1]["use_regex"]
+
+
+def folded(rules: dict) -> bool:
+    """Whether letters are tokens apart from what isn't one, folded to lower case, and go to the model as bytes."""
+    kinds, _ = _rules(rules)
+    return parted(rules) and "Lowercase" in kinds and rules["model"]["type"] == "BPE" and not rules["model"].get("dropout")
+
+
+def _rules(rules: dict) -> tuple[set[str], list[dict]]:
+    """Kinds of normalizers, and the steps of the splitter: a pattern, then bytes."""
+    normalizer, splitter = rules.get("normalizer") or {}, rules.get("pre_tokenizer") or {}
+    kinds = {n["type"] for n in normalizer.get("normalizers", [normalizer] if normalizer else [])}
+    steps = splitter.get("pretokenizers", [])
+    return kinds, steps if [s["type"] for s in steps] == ["Split", "ByteLevel"] else []
 
 
 ENCODERS: dict[str, Encoder] = {}
@@ -102,27 +202,36 @@ def section(kind: bytes, body: bytes) -> bytes:
     return kind + struct.pack("<Q", len(body)) + body
 
 
-def pack(blocks: list[np.ndarray], vocabulary: int) -> bytes:
-    coded = coder.encode(blocks, vocabulary)
+def pack(blocks: list[np.ndarray]) -> bytes:
+    coded = coder.encode(blocks)
     heads = [struct.pack("<III", len(b), len(c), zlib.crc32(b.astype("<u4").tobytes())) for b, c in zip(blocks, coded, strict=True)]
-    return section(b"BLKS", struct.pack("<II", len(blocks), vocabulary) + b"".join(heads) + b"".join(coded))
+    return section(b"BLKS", struct.pack("<I", len(blocks)) + b"".join(heads) + b"".join(coded))
 
 
 def unpack(body: bytes) -> list[np.ndarray]:
     """The blocks of a section; raises ValueError where a checksum differs."""
-    n, vocabulary = struct.unpack_from("<II", body)
-    heads = [struct.unpack_from("<III", body, 8 + 12 * i) for i in range(n)]
-    at, coded = 8 + 12 * n, []
+    (n,) = struct.unpack_from("<I", body)
+    heads = [struct.unpack_from("<III", body, 4 + 12 * i) for i in range(n)]
+    at, coded = 4 + 12 * n, []
     for _, size, _ in heads:
         coded.append(body[at : at + size])
         at += size
-    blocks = coder.decode(coded, [h[0] for h in heads], vocabulary)
+    blocks = coder.decode(coded, [h[0] for h in heads])
     for b, (_, _, crc) in zip(blocks, heads, strict=True):
         if zlib.crc32(b.astype("<u4").tobytes()) != crc:
             raise ValueError("a block's checksum differs")
     return blocks
 
 
+def slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """Texts of about ``STEP`` bytes at a time."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = [0, *(np.flatnonzero(np.diff(size // STEP)) + 1).tolist(), len(texts)]
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        if high > low:
+            yield texts.slice(low, high - low)
+
+
 def _write(folder: str, tokenizer: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, out, encode = TaskContext.get().partitionId(), None, None
@@ -134,24 +243,21 @@ def _write(folder: str, tokenizer: str) -> Callable:
                 fs.create_dir(at.rpartition("/")[0], recursive=True)
                 out, encode = fs.open_output_stream(at, compression=None), encoder(tokenizer)
                 out.write(MAGIC)
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                got = np.append(np.frombuffer(encode(text.as_py()), "<u2"), np.uint16(END))
-                ids.append(doc_id)
-                sizes.append(len(got))
-                held.append(got)
-                count += len(got)
-                if count >= BLOCK * LANES:
+            ids += b.column(0).to_pylist()
+            for texts in slices(b.column(1)):
+                got, many = encode.texts(texts)
+                held.append(np.insert(got, np.cumsum(many), np.uint16(END)))  # after each text
+                sizes.append(many + 1)
+                count += len(held[-1])
+                while count >= BLOCK * LANES:
                     stream = np.concatenate(held)
-                    cut = len(stream) // BLOCK * BLOCK
-                    for i in range(0, cut, BLOCK * LANES):
-                        out.write(pack(np.split(stream[i : min(cut, i + BLOCK * LANES)], range(BLOCK, min(cut - i, BLOCK * LANES), BLOCK)), encode.vocabulary))
-                    held, count, total = [stream[cut:]], len(stream) - cut, total + cut
+                    out.write(pack(np.split(stream[: BLOCK * LANES], LANES)))
+                    held, count, total = [stream[BLOCK * LANES :]], count - BLOCK * LANES, total + BLOCK * LANES
         if out is None:
             return
         if count:
-            stream = np.concatenate(held)
-            out.write(pack(np.split(stream, range(BLOCK, count, BLOCK)), encode.vocabulary))
-        body = zlib.compress(np.array([i or 0 for i in ids], "<i8").tobytes() + np.array([i is None for i in ids], np.uint8).tobytes() + np.array(sizes, "<i8").tobytes())
+            out.write(pack(np.split(np.concatenate(held), range(BLOCK, count, BLOCK))))
+        body = zlib.compress(np.array([i or 0 for i in ids], "<i8").tobytes() + np.array([i is None for i in ids], np.uint8).tobytes() + np.concatenate(sizes).astype("<i8").tobytes())
         out.write(section(b"DOCS", struct.pack("<QI", len(ids), zlib.crc32(body)) + body))
         out.close()
         yield pa.RecordBatch.from_pydict({"part": [part], "path": [path], "n_docs": [len(ids)], "n_ids": [total + count]})
@@ -162,9 +268,9 @@ def _write(folder: str, tokenizer: str) -> Callable:
 def write(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Write the files; returns the manifest: part, path, n_docs, n_ids and start, the ids before the file."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
-    # the text's hash only splits ranges where an id repeats
-    dealt = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
+    # the part only splits ranges where an id repeats; the pass that finds ranges reads no texts
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.spark_partition_id().alias("part"))
+    dealt = rows.repartitionByRange("doc_id", "part").sortWithinPartitions("doc_id", "part", F.xxhash64("text")).select("doc_id", "text")
     files = save(dealt.mapInArrow(_write(scratch(spark, "ids"), tokenizer), "part long, path string, n_docs long, n_ids long"), "ids-manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over files, not documents
     return files.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))

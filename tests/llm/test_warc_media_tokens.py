@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -75,28 +76,62 @@ def test_peaks_of_a_tone():
 def test_coder():
     rng = np.random.default_rng(0)
     for trial in range(6):
-        blocks = [rng.integers(0, 49408, rng.integers(0, 300)) if trial % 2 else rng.zipf(1.3, rng.integers(1, 400)) % 49408 for _ in range(rng.integers(1, 20))]
-        coded = coder.encode(blocks, 49408)
-        back = coder.decode(coded, [len(b) for b in blocks], 49408)
+        blocks = [rng.integers(0, 1 << 16, rng.integers(1, 300)) if trial % 2 else rng.zipf(1.3, rng.integers(1, 4097)) % 49408 for _ in range(rng.integers(1, 20))]
+        coded = coder.encode(blocks)
+        back = coder.decode(coded, [len(b) for b in blocks])
         assert all(np.array_equal(a, b) for a, b in zip(blocks, back, strict=True))
-        assert coder.encode(blocks[:1], 49408)[0] == coded[0]  # a block's bytes don't depend on its neighbours
-    assert len(coder.encode([np.zeros(4096, np.int64)], 49408)[0]) < 200
+        assert coder.encode(blocks[:1])[0] == coded[0]  # a block's bytes don't depend on its neighbours
+    edges = [np.zeros(4096, np.int64), np.arange(4096) * 16, rng.permutation(4096), np.array([65535]), np.tile([7, 65535, 0], 1365)]
+    coded = coder.encode(edges)
+    assert all(np.array_equal(a, b) for a, b in zip(edges, coder.decode(coded, [len(b) for b in edges]), strict=True))
+    assert len(coded[0]) < 60 and len(coded[4]) < 120
+    for bad in ([np.arange(0)], [np.arange(4097)]):
+        with pytest.raises(ValueError):
+            coder.encode(bad)
+
+
+def test_all_three_orders_predict():
+    """Each order's structure is made use of: few bytes where only that order tells the next id."""
+    rng = np.random.default_rng(1)
+    size = lambda ids: len(coder.encode([np.asarray(ids)])[0])
+    plain = size(rng.integers(0, 256, 4096))  # nothing to know: 8 digits an id
+    assert 4000 < plain < 4700
+    skewed = np.minimum(rng.geometric(0.3, 4096), 255)
+    assert size(skewed) < 0.5 * plain
+    following = rng.permutation(256)  # the last id tells the next, but for one in ten
+    chain = [0]
+    for jump in rng.random(4095) < 0.1:
+        chain.append(int(rng.integers(0, 256)) if jump else int(following[chain[-1]]))
+    assert size(chain) < 0.5 * plain
+    table = rng.integers(0, 40, (40, 40))  # the last two do
+    pair = [1, 2]
+    for jump in rng.random(4094) < 0.02:
+        pair.append(int(rng.integers(0, 40)) if jump else int(table[pair[-2], pair[-1]]))
+    assert size(pair) < 0.75 * size(rng.permutation(pair))
 
 
 def test_damage_is_noticed():
-    body = tokens.pack([np.arange(500, dtype=np.uint16)], 49408)[12:]
-    with pytest.raises(ValueError):
-        tokens.unpack(body[:-100] + bytes([body[-100] ^ 1]) + body[-99:])
+    body = tokens.pack([np.arange(500, dtype=np.uint16), np.arange(4096, dtype=np.uint16)])[12:]
+    assert [len(b) for b in tokens.unpack(body)] == [500, 4096]
+    r = random.Random(0)
+    for at in [4, 8, 12, 28, 29, 30, 31, *(r.randrange(32, len(body)) for _ in range(60))]:
+        with pytest.raises(ValueError):
+            tokens.unpack(body[:at] + bytes([body[at] ^ 1 << r.randrange(8)]) + body[at + 1 :])
 
 
-def test_words_are_encoded_as_in_the_whole_text():
-    path = public_tokenizers.path("word_bpe_49k.json")
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_words_are_encoded_as_in_the_whole_text(name):
+    path = public_tokenizers.path(name)
     library, encode = Tokenizer.from_file(path), tokens.Encoder(path)
+    assert encode.by_word == encode.by_model == (name == "word_bpe_49k.json")
     r = random.Random(4)
-    pieces = ["Hello", "world's", "don't", "12", "x2y", "é", "é", "ΣΑΣ", "İ", "<|endoftext|>", "...", "a,b", "THE.", " ", "\x1c", "日本", "ﬁ", "it'", "'s", "́", "ß"]
-    for _ in range(300):
-        text = "".join(r.choice(pieces) + r.choice(["", " ", "  ", "\n", "\t", "\r\n"]) for _ in range(r.randint(0, 12)))
-        assert np.frombuffer(encode(text), "<u2").tolist() == library.encode(text, add_special_tokens=False).ids, text
+    pieces = ["Hello", "world's", "don't", "12", "x2y", "é", "É", "ΣΑΣ", "İ", "<|endoftext|>", "<|EndOfText|>", "...", "a,b", "THE.", "end!?", "(word)", "'sword", "a<|", " ", "\x1c", "日本", "ﬁ", "it'", "'s", "\u0301", "ß", "x\u0301."]
+    for _ in range(60):
+        texts = ["".join(r.choice(pieces) + r.choice(["", " ", "  ", "\n", "\t", "\r\n"]) for _ in range(r.randint(0, 12))) for _ in range(r.randint(1, 8))] + [None]
+        ids, many = encode.texts(pa.array(["left out", *texts]).slice(1))
+        assert len(many) == len(texts)
+        for text, own in zip(texts, np.split(ids, np.cumsum(many)[:-1]), strict=True):
+            assert own.tolist() == library.encode(text or "", add_special_tokens=False).ids, text
 
 
 def test_id_files(spark, monkeypatch):
