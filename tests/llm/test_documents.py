@@ -360,3 +360,77 @@ def test_html(spark):
     for i, text in want.items():
         assert got[i].text == text and got[i].n_chars == len(text), i
     assert len(got) == len(pages) and html.extract(frame_.limit(0)).count() == 0
+
+
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def made_pages(r, hosts=4, pages=14):
+    """Pages of random templates: some parts on all pages, some on some, lists of any length, copies."""
+    rows = []
+    for h in range(hosts):
+        parts = [(f"<div class='{r.choice(['x', 'menu', 'box', 'ad'])}{k}'>", r.random() < 0.7, r.choice(["constant words here", None])) for k in range(6)]
+        for p in range(pages):
+            body = ""
+            for opening, always, words in parts:
+                if always or r.random() < 0.5:
+                    body += opening + "".join(f"<p>{words or ' '.join(r.choice('abcdefgh') * 3 for _ in range(r.randint(1, 15)))}</p>" for _ in range(r.randint(1, 3) if words is None else 1)) + "</div>"
+            rows.append((h * 100 + p, f"http://h{h}.example/{p}", f"<html><body>{body}</body></html>"))
+    rows += [(1000 + k, rows[3][1], rows[3][2]) for k in range(5)] + [(2000, None, None), (2001, "http://h0.example/z", "")]
+    return rows
+
+
+def test_equivalence_classes_against_brute_force(spark):
+    """Tokens of equal occurrence vectors on most different pages of a host, and no others, form the valid classes."""
+    rows = made_pages(random.Random(4))
+    vectors, hosts = {}, {}
+    for i, (_, url, text) in enumerate(rows):
+        host, digest = html.host_key(url), xxhash.xxh64_intdigest((text or "").encode(), 42)
+        hosts.setdefault(host, []).append((i, digest & 63))
+        for t, (n, *_) in html.occurrences(html.parse(text or "")).items():
+            vectors.setdefault((host, t), {})[i] = (n, digest & 63)
+    want = {}
+    for (host, t), vector in vectors.items():
+        pages, parts = len(vector), len({part for _, part in vector.values()})
+        every = len({part for _, part in hosts[host]})
+        if parts >= html.MIN_PAGES and pages >= 0.9 * len(hosts[host]) and parts >= 0.9 * every:
+            want.setdefault((host, tuple(sorted((i, n) for i, (n, _) in vector.items()))), set()).add(signed(t))
+    want = sorted((host, sorted(own)) for (host, _), own in want.items() if len(own) >= html.CLASS_TOKENS)
+    got = [(x.host, sorted(t.token for t in x.tokens)) for x in html.classes(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
+    assert sorted(got) == want and len({h for h, _ in want}) >= 4
+
+
+def test_what_the_template_tells(spark):
+    """Constants without a telling name, unnamed menus of changing links, and slots whose names mislead: only the host's pages together tell."""
+    shell = "<html><body><div class='q'>Same words on each page of the site</div><div class='r'><a href='/{0}'>see {0}</a> <a href='/b'>and {1}</a></div><div class='promo'><p>{2}</p></div><div><p>{3}</p></div></body></html>"
+    pages, want = [], {}
+    for i in range(10):
+        long, short = f"Story number {i}. " + "It goes on for a while. " * (20 if i else 1), f"See story {i}."
+        pages.append((i, f"http://t.example/{i}", shell.format(i, i + 7, long.strip(), short)))
+        want[i] = f"{' '.join(long.split())}\n{short}"  # the slot holds most of the host's text, whatever it is called
+    table = spark.createDataFrame(pages, "page_id long, url string, html string")
+    assert {x.page_id: x.text for x in html.extract(table).collect()} == want
+    # without a template each page is judged alone
+    alone = {x.page_id: x.text for x in html.extract(table, html.templates(table).limit(0)).collect()}
+    assert all(alone[i] != want[i] and "Same words" in alone[i] and f"see {i}" in alone[i] for i in want)
+    # roles in another order: the page isn't read by the template
+    odd = spark.createDataFrame([*pages, (99, "http://t.example/99", "<html><body><div><p>First and long enough to be the text.</p></div><div class='q'>Same words on each page of the site</div></body></html>")], "page_id long, url string, html string")
+    got = {x.page_id: x.text for x in html.extract(odd).collect()}
+    assert {k: got[k] for k in want} == want and got[99] == "First and long enough to be the text.\nSame words on each page of the site"
+
+
+@pytest.mark.parametrize("text, want", [
+    ('<article><div class="article-header"><h1>Title</h1></div><p>Body</p></article>', "Title\nBody"),
+    ('<div class="post search-result"><p>Body</p></div>', "Body"),
+    ('<p>x</p><div class="pull-left side">Body side</div>', "x\nBody side"),
+    ('<article></article><div>Full div</div>', "Full div"),
+    ('<div class="search-result"><p>Body</p></div>', "Body"),
+    ('<article><p>Body of it all</p><div class="comment-list"><p>Nice</p></div><div id="share">Share</div></article>', "Body of it all"),
+    ('<main><p>lead</p><article><p>Body</p></article><div class="cookieNotice">Ok?</div></main>', "Body"),
+    ('<main><p>lead</p><p>rest</p></main><p>other</p>', "lead\nrest"),
+    ('<article><header><h1>Head</h1></header><p>Body</p><footer>by me</footer></article><article class="comment"><p>Hm</p></article>', "Head\nBody"),
+    ("<p>a&nbsp;b &lt;i&gt;</p>", "a b <i>"),
+])
+def test_html_keeps_main_text(text, want):
+    assert html.main_text(text, None) == want
