@@ -40,7 +40,7 @@ from .shared import save
 
 CLASS_TOKENS, SUPPORT, MIN_PAGES = 3, 0.9, 5
 #: Text nodes up to so many words are read word by word; share of linked text that makes a slot a menu; share of constants that makes pages copies; tokens that a task holds.
-SHORT, LINKED, COPIES, HELD = 12, 0.8, 0.9, 300_000
+SHORT, LINKED, COPIES, HELD = 12, 0.8, 0.9, 100_000
 MARK = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]+|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
