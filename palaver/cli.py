@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import os
+import sys
 
 from pyspark.sql import SparkSession
 
@@ -11,7 +12,10 @@ from palaver import api
 from palaver.functions import patterns as P
 from palaver.operators.store import RuleStore
 from palaver.plans import prune as plans
-from palaver.sources import files
+from palaver.sources import files, transcripts
+
+#: Rows shown at most.
+SHOWN = 60
 
 
 def parser() -> argparse.ArgumentParser:
@@ -19,10 +23,11 @@ def parser() -> argparse.ArgumentParser:
     commands = p.add_subparsers(dest="command", required=True)
     for name in ("diagnose", "prune", "brief"):
         c = commands.add_parser(name)
-        c.add_argument("paths", nargs="+")
+        c.add_argument("paths", nargs="+", help="files or folders; - for the standard input")
         c.add_argument("--verbatim", type=int, default=int(os.environ.get("PALAVER_VERBATIM", P.VERBATIM_TURNS)))
         c.add_argument("--rx", choices=sorted(P.PRESCRIPTIONS), default="aggressive" if name == "brief" else "standard")
         c.add_argument("--output", help="folder for the result; without it, a few rows are shown")
+        c.add_argument("--warn-size", type=int, nargs="?", const=P.WARN_INPUT_CHARS, help="tell inputs of more characters, which takes a pass over them")
     commands.add_parser("rules-status").add_argument("store")
     commands.add_parser("discover").add_argument("path")
     return p
@@ -35,13 +40,21 @@ def main(argv: list[str] | None = None) -> int:
         out = api.rules_status(RuleStore(spark, args.store))
     elif args.command == "discover":
         out = files.list_files(spark, args.path)
+        config = files.host_config()
+        print(f"Host configuration: {config}, servers: {', '.join(files.configured_servers(config)) or 'none'}" if config else "Host configuration: not found")
     else:
+        if args.warn_size and args.paths != ["-"]:
+            for row in transcripts.oversize(transcripts.read_files(spark, args.paths), args.warn_size).limit(SHOWN).collect():
+                print(f"Warning: {row.conv_id} has {row.n_chars:,} characters; processing may be slow.", file=sys.stderr)
         turns = api.load(spark, args.paths)
+        if args.command == "prune":
+            for row in plans.prune_summary(turns, args.verbatim, args.rx).limit(SHOWN).collect():
+                print(f"{row.conv_id}\n{row.summary}", file=sys.stderr)
         out = {"diagnose": lambda: plans.diagnosis_text(turns, args.verbatim), "prune": lambda: api.prune_conversation(turns, args.verbatim, args.rx)[0], "brief": lambda: api.create_briefing(turns, args.verbatim, args.rx)}[args.command]()
     if getattr(args, "output", None):
         out.write.mode("overwrite").parquet(args.output)
     else:
-        out.show(60, truncate=False)
+        out.show(SHOWN, truncate=False)
     return 0
 
 

@@ -1,4 +1,8 @@
-"""Column expressions over message texts. All are built-in functions, so plans stay in the JVM."""
+"""Column expressions over message texts. All are built-in functions, so plans stay in the JVM.
+
+A null text gives a null, or an empty array; an empty one is a text like any other. Where pieces of a text have to be told from the text itself, Unicode's
+noncharacters U+FDD0 to U+FDD2, which no text may hold, stand between them; ``compress`` and the parser of pasted text drop them from their input.
+"""
 
 from __future__ import annotations
 
@@ -15,8 +19,22 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+#: Between pieces.
+MARKS = ("\ufdd0", "\ufdd1", "\ufdd2")
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, P.STRIP, "")
+    return F.btrim(c, F.lit(P.SPACE))
+
+
+def unmarked(c: Column) -> Column:
+    return F.translate(c, "".join(MARKS), "")
+
+
+def without(c: Column, pattern: str, end: str) -> Column:
+    """Text without what the pattern finds, which ends as ``end`` says: only what comes before the last such end is searched."""
+    head = lambda h: F.concat(F.regexp_replace(h, pattern, ""), F.substring(c, F.length(h) + 1, F.length(c)))
+    return F.when(F.contains(c, F.lit("</")), let(F.regexp_extract(c, end, 0), head)).otherwise(c)
 
 
 def tokens(c: Column) -> Column:
@@ -30,11 +48,11 @@ def normal_role(raw: Column) -> Column:
 
 
 def strip_thinking(c: Column) -> Column:
-    return strip(F.regexp_replace(c, P.THINKING, ""))
+    return strip(without(c, P.THINKING, P.THINKING_END))
 
 
 def strip_tags(c: Column) -> Column:
-    return strip(F.regexp_replace(c, P.TAGS, ""))
+    return strip(without(c, P.TAGS, P.TAGS_END))
 
 
 def strip_ui_artifacts(c: Column) -> Column:
@@ -76,19 +94,22 @@ def content_hash(c: Column) -> Column:
 
 def chunks(c: Column) -> Column:
     """Chunks at even and separators at odd places; joined, they are the text."""
-    return F.split(F.regexp_replace(F.translate(c, "\u0001", ""), P.CHUNK_BREAK, "\u0001$1\u0001"), "\u0001")
+    pieces, breaks = F.split(c, P.CHUNK_BREAK), F.regexp_extract_all(c, F.lit(P.CHUNK_BREAK), F.lit(0))
+    return F.flatten(F.zip_with(pieces, breaks, lambda p, b: F.when(b.isNull(), F.array(p)).otherwise(F.array(p, b))))
 
 
 def repeat_marker(part: Column) -> Column:
-    lead, trail = F.regexp_extract(part, r"\A\s*", 0), F.regexp_extract(part, r"\s*\z", 0)
-    preview = F.regexp_replace(F.substring(space_key(part), 1, 50), r"\s+\z", "")
+    space = F.lit(P.SPACE)
+    lead = F.substring(part, F.lit(1), F.length(part) - F.length(F.ltrim(part, space)))
+    trail = F.substring(part, F.length(F.rtrim(part, space)) + 1, F.length(part))
+    preview = F.rtrim(F.substring(space_key(part), 1, 50), space)
     return F.concat(lead, F.lit('[Repeated, unchanged: "'), preview, F.lit('..."]'), trail)
 
 
 def sentence_units(c: Column) -> Column:
     """Pieces up to and with a full stop, or up to a line's end."""
-    marked = F.replace(F.replace(F.translate(c, "\u0001", ""), F.lit("."), F.lit(".\u0001")), F.lit("\n"), F.lit("\u0001"))
-    return F.split(marked, "\u0001")
+    units = F.regexp_extract_all(c, F.lit(r"[^.\n]*+\.|[^.\n]*+\n|[^.\n]++\z|(?<=[.\n])\z|\A\z"), F.lit(0))
+    return F.transform(units, lambda u: F.rtrim(u, F.lit("\n")))
 
 
 def unit_sentences(c: Column) -> Column:
@@ -145,20 +166,20 @@ def paragraphs(c: Column) -> Column:
 
 
 def _numbered(bare: Column) -> Column:
-    """Text with code replaced by its number between control characters."""
-    pieces = F.split(F.regexp_replace(bare, P.CODE, "\u0001"), "\u0001")
-    return F.array_join(F.transform(pieces, lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.lit("\u0001"), (i - 1).cast("string"), F.lit("\u0002"), p))), "")
+    """Text with code replaced by its number between marks."""
+    pieces = F.split(bare, P.CODE)
+    return F.array_join(F.transform(pieces, lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.lit(MARKS[0]), (i - 1).cast("string"), F.lit(MARKS[1]), p))), "")
 
 
 def _restored(text: Column, blocks: Column) -> Column:
-    block = lambda x: F.element_at(blocks, F.substring_index(x, "\u0002", 1).cast("int") + 1)
-    rest = lambda x: F.substring(x, F.instr(x, "\u0002") + 1, F.length(x))
-    return F.array_join(F.transform(F.split(text, "\u0001"), lambda x, i: F.when(i == 0, x).otherwise(F.concat(block(x), rest(x)))), "")
+    block = lambda x: F.element_at(blocks, F.substring_index(x, MARKS[1], 1).cast("int") + 1)
+    rest = lambda x: F.substring(x, F.instr(x, MARKS[1]) + 1, F.length(x))
+    return F.array_join(F.transform(F.split(text, MARKS[0]), lambda x, i: F.when(i == 0, x).otherwise(F.concat(block(x), rest(x)))), "")
 
 
 def _reduced(para: Column) -> Column:
     """The paragraph with fenced code, or up to four telling sentences of one without."""
-    sentences = F.transform(F.split(F.regexp_replace(para, r"([.!?])\s+", "$1\u0003"), "\u0003"), strip)
+    sentences = F.transform(F.split(para, r"(?<=[.!?])\s+"), strip)
     telling = F.filter(sentences, lambda s: (F.length(s) >= 20) & s.rlike(P.SIGNAL))
     return F.when(F.contains(para, F.lit("```")), F.array(para)).otherwise(F.transform(F.slice(telling, 1, 4), lambda s: F.concat(F.lit("- "), s)))
 
@@ -172,7 +193,7 @@ def compress(content: Column) -> Column:
         return F.when(before > after + P.HEADER_SLACK, F.concat(header, short)).otherwise(short)
 
     def shortened(c: Column) -> Column:
-        bare = F.translate(c, "\u0001\u0002\u0003", "")
+        bare = unmarked(c)
 
         def of(x: Column) -> Column:
             parts = F.transform(x["paragraphs"], lambda p: _restored(p, x["blocks"]))

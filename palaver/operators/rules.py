@@ -1,4 +1,8 @@
-"""Behavioural rules: sentences of users that correct the assistant, and their merge into a store."""
+"""Behavioural rules: sentences of users that correct the assistant, and their merge into a store.
+
+Defined results: a null content has no rules; a null conversation is one of its own; rules of turns without a place come last; of equal rules the first counts; null
+rules are left out of merges; empty tables give empty results; further columns are ignored.
+"""
 
 from __future__ import annotations
 
@@ -7,18 +11,25 @@ from pyspark.sql import functions as F
 
 from palaver.functions import patterns as P
 from palaver.functions import text as T
+from palaver.operators.turns import beside
 
 
 def rule_sentences(turns: DataFrame, terms: tuple[str, ...] = P.PROTECTED_TERMS) -> DataFrame:
     """conv_id, pos, kind (0 correction, 1 implicit), unit_no, rule: every sentence with a trigger. Narrow.
 
-    A trigger counts within the unit (up to a full stop or line end) that holds it. A unit with both kinds is a correction.
+    A trigger counts within the unit (up to a full stop or line end) that holds it, or across full stops of a line; that sentence goes from the unit in which the
+    trigger begins to the one in which it ends. A unit with both kinds is a correction.
     """
-    users = turns.where(F.col("role") == "user").where(F.col("content").rlike(P.CORRECTION) | F.col("content").rlike(P.IMPLICIT_CORRECTION))
-    paired = F.arrays_zip(T.sentence_units(F.col("content")).alias("unit"), T.unit_sentences(F.col("content")).alias("sentence"))
-    units = users.select("conv_id", "pos", F.posexplode(paired).alias("unit_no", "u")).select("conv_id", "pos", "unit_no", "u.unit", "u.sentence")
-    kind = F.when(F.col("unit").rlike(P.CORRECTION), 0).when(F.col("unit").rlike(P.IMPLICIT_CORRECTION), 1)
-    return units.select("conv_id", "pos", kind.alias("kind"), "unit_no", T.trim_rule(F.col("sentence"), terms).alias("rule")).where("kind IS NOT NULL")
+    c = F.col("content")
+    users = turns.where(F.col("role") == "user").where(c.rlike(P.CORRECTION) | c.rlike(P.IMPLICIT_CORRECTION))
+    kind = lambda u: F.when(u.rlike(P.CORRECTION), 0).when(u.rlike(P.IMPLICIT_CORRECTION), 1)
+    found = lambda kind, unit_no, sentence: F.struct(kind.alias("kind"), unit_no.cast("int").alias("unit_no"), sentence.alias("sentence"))
+    paired = F.arrays_zip(T.sentence_units(c).alias("unit"), T.unit_sentences(c).alias("sentence"))
+    units = F.filter(F.transform(paired, lambda u, i: found(kind(u["unit"]), i, u["sentence"])), lambda x: x["kind"].isNotNull())
+    before = lambda x: F.size(T.sentence_units(F.substring(c, F.lit(1), F.instr(c, x) - 1))) - 1
+    across = F.transform(F.regexp_extract_all(c, F.lit(P.ACROSS), F.lit(0)), lambda x: found(F.lit(0), before(x), T.strip(x)))
+    every = users.select("conv_id", "pos", F.explode(F.concat(units, across)).alias("u")).select("conv_id", "pos", "u.kind", "u.unit_no", "u.sentence")
+    return every.select("conv_id", "pos", "kind", "unit_no", T.trim_rule(F.col("sentence"), terms).alias("rule"))
 
 
 def extract_rules(turns: DataFrame, most: int = P.MAX_RULES, terms: tuple[str, ...] = P.PROTECTED_TERMS) -> DataFrame:
@@ -26,7 +37,7 @@ def extract_rules(turns: DataFrame, most: int = P.MAX_RULES, terms: tuple[str, .
     found = rule_sentences(turns, terms).where((F.length("rule") >= P.MIN_RULE_LENGTH) & ((F.length("rule") <= P.MAX_RULE_LENGTH) | T.protected(F.col("rule"), terms)))
     keyed = found.withColumn("rule_key", T.space_key(F.lower("rule")))
     first = keyed.groupBy("conv_id", "rule_key").agg(F.min(F.struct("pos", "kind", "unit_no", "rule")).alias("first"))
-    order = Window.partitionBy("conv_id").orderBy("first.pos", "first.kind", "first.unit_no")
+    order = Window.partitionBy("conv_id").orderBy(F.col("first.pos").asc_nulls_last(), "first.kind", "first.unit_no")
     ranked = first.withColumn("rule_pos", F.row_number().over(order)).where(F.col("rule_pos") <= most)
     return ranked.select("conv_id", "rule_pos", F.col("first.rule").alias("rule"), "rule_key")
 
@@ -42,7 +53,7 @@ def forced_rules(turns: DataFrame, rules: DataFrame, terms: tuple[str, ...] = P.
     wanted = users.select("conv_id", "pos", "term", F.concat(T.strip(piece), F.lit(".")).alias("rule")).where("rule IS NOT NULL")
     first = wanted.groupBy("conv_id", "term").agg(F.min(F.struct("pos", "rule")).alias("first")).select("conv_id", "term", "first.rule")
     have = rules.where(T.protected(F.col("rule"), terms)).select("conv_id", F.explode(F.filter(F.array(*[F.when(F.contains(F.lower("rule"), F.lit(t.lower())), F.lit(t.lower())) for t in terms]), lambda t: t.isNotNull())).alias("term"))
-    return first.join(have, ["conv_id", "term"], "left_anti").select("conv_id", "rule")
+    return beside(first, have, "conv_id", "term", how="left_anti").select("conv_id", "rule")
 
 
 def new_rules(rules: DataFrame, store: DataFrame) -> DataFrame:
@@ -63,15 +74,20 @@ def merge_rules(rules: DataFrame, store: DataFrame, most: int = P.STORE_RULES) -
 def near_duplicates(new: DataFrame, known: DataFrame, least: float = P.NEAR_DUPLICATE) -> DataFrame:
     """new_rule, rule, overlap: pairs whose shared word bigrams are ``least`` of the larger set. Report only.
 
-    Rules meet through the bigrams they share, so pairs without one are never made.
+    Rules meet only through their rarest bigrams: those that are left when ``least`` of them, less one, are put aside. Similar rules share one of these,
+    and a bigram that most rules have is hardly ever among them.
     """
     a = new.select(F.col("rule").alias("new_rule")).distinct().withColumn("b", T.bigrams(F.col("new_rule")))
     b = known.select("rule").distinct().withColumn("b", T.bigrams(F.col("rule")))
-    left = a.select("new_rule", F.size("b").alias("n1"), F.explode("b").alias("bigram"))
-    right = b.select("rule", F.size("b").alias("n2"), F.explode("b").alias("bigram"))
-    shared = left.join(right, "bigram").where("new_rule != rule").groupBy("new_rule", "rule", "n1", "n2").agg(F.count(F.lit(1)).alias("n"))
-    overlap = F.col("n") / F.greatest("n1", "n2")
-    return shared.where(overlap >= least).select("new_rule", "rule", F.round(overlap, 2).alias("overlap"))
+    every = a.select(F.col("new_rule").alias("rule"), "b").union(b).distinct().select("rule", F.size("b").alias("n"), F.explode("b").alias("bigram"))
+    often = every.groupBy("bigram").agg(F.count(F.lit(1)).alias("often"))
+    listed = every.join(often, "bigram").groupBy("rule", "n").agg(F.sort_array(F.collect_list(F.struct("often", "bigram"))).alias("own"))
+    kept = F.slice("own", F.lit(1), F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1)
+    rare = listed.select("rule", F.explode(F.transform(kept, lambda x: x["bigram"])).alias("bigram"))
+    left, right = (df.join(rare.withColumnRenamed("rule", name), name) for df, name in ((a, "new_rule"), (b.withColumnRenamed("b", "c"), "rule")))
+    pairs = left.join(right, "bigram").where("new_rule != rule").select("new_rule", "rule", "b", "c").distinct()
+    overlap = F.size(F.array_intersect("b", "c")) / F.greatest(F.size("b"), F.size("c"))
+    return pairs.where(overlap >= least).select("new_rule", "rule", F.round(overlap, 2).alias("overlap"))
 
 
 def review_flags(pairs: DataFrame, most: int = 3) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,8 @@ from palaver.operators.rules import merge_rules
 
 RULES = S.StructType([S.StructField("rule", S.StringType()), S.StructField("first_seen_seq", S.LongType())])
 MANIFEST = "version long, n long, checksum string, saved_at timestamp"
+#: Versions, from the latest on, among which one that is whole is looked for.
+LOOKED_AT = 50
 
 
 def checksum(rules: list[str]) -> str:
@@ -35,7 +38,8 @@ class RuleStore:
 
     def _manifests(self) -> list[tuple]:
         try:
-            return self.spark.read.schema(MANIFEST).parquet(f"{self.path}/manifest").orderBy(F.col("version").desc()).select("version", "n", "checksum", "saved_at").collect()
+            found = self.spark.read.schema(MANIFEST).parquet(f"{self.path}/manifest").orderBy(F.col("version").desc())
+            return found.select("version", "n", "checksum", "saved_at").limit(LOOKED_AT).collect()
         except AnalysisException:
             return []
 
@@ -50,6 +54,9 @@ class RuleStore:
             except AnalysisException:
                 continue
             if len(rows) == n and checksum([r[0] for r in rows]) == digest:
+                longest = max((len(r[0]) for r in rows if r[0] is not None), default=0)
+                if longest > P.STORE_WARN_LENGTH:
+                    warnings.warn(f"the rule store holds a rule of {longest} characters", stacklevel=3)
                 return version, [r for r in rows if r[0] is not None][: self.most]
         return 0, []
 

@@ -1,10 +1,16 @@
-"""Prune, diagnose and brief: plans over many conversations at once."""
+"""Prune, diagnose and brief: plans over many conversations at once.
 
-from __future__ import annotations
+All strengths come from one relation, ``shortened``: each turn with its cleaned content, whether it is recent, whether a later turn has the same
+content, and the places of repeated chunks. A strength is an expression over these columns, so statistics of all strengths are one aggregation, and
+columns that aren't asked for are never computed. An executed plan scans texts three times for this (the rows, hashes for the duplicates, chunks for the repeats;
+exchanges are used again), and places once; gentle pruning scans texts once.
+
+Defined results are those of ``operators.turns``; a conversation whose turns have no tokens saves 0 %; one without rules has an empty list.
+"""
 
-from functools import reduce
+from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palaver.functions import patterns as P
@@ -13,54 +19,129 @@ from palaver.operators import rules as R
 from palaver.operators import turns as O
 
 
-def prune(turns: DataFrame, verbatim: int = P.VERBATIM_TURNS, prescription: str = "standard") -> DataFrame:
-    """The turns that stay, with ``is_recent``. Recent turns are cleaned only; an unknown prescription is ``standard``."""
-    does = P.PRESCRIPTIONS.get(prescription, P.PRESCRIPTIONS["standard"])
-    flagged = O.flag_recent(turns, verbatim)
-    cleaned = flagged.withColumn("content", T.clean(F.col("content")))
-    old, recent = cleaned.where(~F.col("is_recent")), cleaned.where("is_recent")
-    role = F.col("role")
-    if "boilerplate" in does:
-        old = old.withColumn("content", T.unless_empty(role, F.col("content"), T.strip_boilerplate))
-    if "acknowledgement" in does:
-        old = old.withColumn("content", T.unless_empty(role, F.col("content"), T.strip_acknowledgement))
+def of(prescription: str) -> set[str]:
+    """What a prescription does; an unknown one is ``standard``."""
+    return P.PRESCRIPTIONS.get(prescription, P.PRESCRIPTIONS["standard"])
+
+
+def shortened(turns: DataFrame, verbatim: int, does: set[str]) -> DataFrame:
+    """Turns with ``is_recent``, ``cleaned`` (and freed of filler if old), ``gone`` (a later old turn is equal) and ``repeats``, as far as ``does`` needs them."""
+    role, cleaned = F.col("role"), T.clean(F.col("content"))
+    rows = O.flag_recent(turns, verbatim)
+    for step, strip in (("boilerplate", T.strip_boilerplate), ("acknowledgement", T.strip_acknowledgement)):
+        if step in does:
+            cleaned = T.unless_empty(role, cleaned, strip)
+    rows = rows.withColumn("cleaned", F.when(F.col("is_recent"), T.clean(F.col("content"))).otherwise(cleaned))
+    old = rows.where(~F.col("is_recent"))
     if "dedup" in does:
-        old = O.dedup_keep_last(old)
+        last = O.last_places(old, F.col("cleaned"))
+        mark = lambda df: O.beside(df.withColumn("hash", F.when(~F.col("is_recent"), T.content_hash(F.col("cleaned")))), last, "conv_id", "hash").drop("hash")
+        gone = ~F.col("is_recent") & F.coalesce(F.col("pos") < F.col("last_pos"), F.lit(False))
+        rows = mark(rows).withColumn("gone", gone).drop("last_pos")
+        old = rows.where(~F.col("is_recent") & ~F.col("gone"))
+    else:
+        rows = rows.withColumn("gone", F.lit(False))
     if "collapse" in does:
-        old = O.collapse_repeats(old)
+        places = O.repeated_parts(old.where("role = 'assistant'"), F.col("cleaned")).select("*", F.lit("assistant").alias("role"), F.lit(False).alias("is_recent"), F.lit(False).alias("gone"))
+        rows = O.beside(rows, places, "conv_id", "pos", "role", "is_recent", "gone")
+    else:
+        rows = rows.withColumn("repeats", F.lit(None).cast("array<int>"))
+    return rows
+
+
+def content_of(does: set[str]) -> Column:
+    """The content that a turn is left with, null if it goes."""
+    short = O.collapsed(F.col("cleaned"), F.col("repeats")) if "collapse" in does else F.col("cleaned")
     if "compress" in does:
-        old = old.withColumn("content", T.compress(F.col("content")))
-    return old.unionByName(recent).where(F.col("content").rlike(r"\S"))
+        short = F.when(F.col("is_recent"), short).otherwise(T.compress(short))
+    return F.when(~F.col("gone"), T.let(short, lambda c: F.when(c.rlike(r"\S"), c)))
+
+
+def prune(turns: DataFrame, verbatim: int = P.VERBATIM_TURNS, prescription: str = "standard") -> DataFrame:
+    """The turns that stay, with ``is_recent``. Recent turns are cleaned only; an unknown prescription is ``standard``."""
+    does = of(prescription)
+    rows = shortened(turns, verbatim, does).withColumn("content", content_of(does)).where("content IS NOT NULL")
+    return rows.select(*turns.columns, "is_recent")
+
+
+def rules_of(turns: DataFrame) -> DataFrame:
+    """conv_id and the rules of each conversation, in order; there are ``MAX_RULES`` of them at most."""
+    ordered = F.array_sort(F.collect_list(F.struct("rule_pos", "rule")))
+    return R.extract_rules(turns).groupBy("conv_id").agg(F.transform(ordered, lambda x: x["rule"]).alias("rules"))
+
+
+def measured(turns: DataFrame, verbatim: int, prescriptions: list[str], *more: Column) -> DataFrame:
+    """One row per conversation: turns and tokens before, and for each prescription p ``turns_p`` and ``tokens_p`` after; ``more`` aggregates of the same rows.
+
+    Prescriptions that take the same steps before compressing share their rows.
+    """
+    steps = set().union(*(of(p) for p in prescriptions))
+    if len({frozenset(of(p) - {"compress"}) for p in prescriptions}) > 1:
+        raise ValueError("these prescriptions don't share their rows")
+    rows = shortened(turns, verbatim, steps)
+    for p in prescriptions:
+        rows = rows.withColumn(f"left_{p}", content_of(of(p)))
+    after = [c for p in prescriptions for c in (F.count(f"left_{p}").alias(f"turns_{p}"), F.coalesce(F.sum(T.tokens(F.col(f"left_{p}")) * F.when(F.col(f"left_{p}").isNotNull(), 1)), F.lit(0)).cast("long").alias(f"tokens_{p}"))]
+    return rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("orig_turns"), F.sum(T.tokens(F.col("content"))).alias("orig_tokens"), *after, *more)
+
+
+def stats_columns(prescription: str, verbatim: int) -> list[Column]:
+    """The statistics of one prescription, from ``measured`` and a column of rules."""
+    final = F.col(f"tokens_{prescription}")
+    zero = F.lit(0).cast("long")
+    return [
+        F.lit(prescription).alias("prescription"), F.col("orig_turns"), F.col(f"turns_{prescription}").alias("final_turns"), F.col("orig_tokens"), final.alias("final_tokens"),
+        (F.col("orig_tokens") - final).alias("saved_tokens"), T.saved_pct(F.col("orig_tokens"), final).alias("saved_pct"),
+        F.greatest(zero, F.least(F.lit(verbatim).cast("long"), F.col("orig_turns"))).alias("verbatim"), F.coalesce(F.size("rules").cast("long"), zero).alias("rules_found"),
+    ]
 
 
 def prune_stats(turns: DataFrame, verbatim: int = P.VERBATIM_TURNS, prescription: str = "standard") -> DataFrame:
     """One row per conversation: turns and tokens before and after, saved tokens and percent, verbatim turns, rules found."""
-    token = T.tokens(F.col("content"))
-    before = turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("orig_turns"), F.sum(token).alias("orig_tokens"))
-    after = prune(turns, verbatim, prescription).groupBy("conv_id").agg(F.count(F.lit(1)).alias("final_turns"), F.sum(token).alias("final_tokens"))
-    found = R.extract_rules(turns).groupBy("conv_id").agg(F.count(F.lit(1)).alias("rules_found"))
-    zero = F.lit(0).cast("long")
-    rows = before.join(after, "conv_id", "left").join(found, "conv_id", "left").withColumns({c: F.coalesce(c, zero) for c in ("final_turns", "final_tokens", "rules_found")})
-    return rows.select(
-        "conv_id", F.lit(prescription).alias("prescription"), "orig_turns", "final_turns", "orig_tokens", "final_tokens", (F.col("orig_tokens") - F.col("final_tokens")).alias("saved_tokens"),
-        T.saved_pct(F.col("orig_tokens"), F.col("final_tokens")).alias("saved_pct"), F.greatest(zero, F.least(F.lit(verbatim).cast("long"), F.col("orig_turns"))).alias("verbatim"), "rules_found",
-    )
+    rows = O.beside(measured(turns, verbatim, [prescription]), rules_of(turns), "conv_id")
+    return rows.select("conv_id", *stats_columns(prescription, verbatim))
+
+
+def prune_summary(turns: DataFrame, verbatim: int = P.VERBATIM_TURNS, prescription: str = "standard") -> DataFrame:
+    """conv_id and what a console says of a pruning: counts, the first rules, and a warning if a long conversation gave few rules."""
+    rows = O.beside(measured(turns, verbatim, [prescription]), rules_of(turns), "conv_id").select("conv_id", "rules", *stats_columns(prescription, verbatim))
+    number = lambda c: F.format_number(c, 0)
+    shown = F.transform(F.slice("rules", 1, P.SHOWN_RULES), lambda r: F.concat(F.lit("         -> "), F.substring(r, 1, P.SHOWN_RULE_LENGTH)))
+    few = (F.col("rules_found") < P.FEW_RULES) & (F.col("orig_turns") > P.FEW_RULES_TURNS)
+    lines = [
+        F.concat(F.lit("Turns:   "), F.col("orig_turns").cast("string"), F.lit(" -> "), F.col("final_turns").cast("string")),
+        F.concat(F.lit("Tokens:  ~"), number("orig_tokens"), F.lit(" -> ~"), number("final_tokens")),
+        F.concat(F.lit("Saved:   ~"), number("saved_tokens"), F.lit(" tokens  ("), F.col("saved_pct").cast("string"), F.lit("%)")),
+        F.concat(F.lit("Rules:   "), F.col("rules_found").cast("string"), F.lit(" kept")),
+        F.when(few, F.lit("WARNING: very few rules were found; the conversation's form may not have been understood.")),
+        F.when(F.size("rules") > 0, F.array_join(shown, "\n")),
+    ]
+    return rows.select("conv_id", F.concat_ws("\n", *lines).alias("summary"))
+
+
+GENTLE, FIRM = ["gentle"], ["standard", "aggressive"]
 
 
 def savings(turns: DataFrame, verbatim: int = P.VERBATIM_TURNS) -> DataFrame:
     """Tokens saved by each prescription, over all conversations."""
-    parts = [prune_stats(turns, verbatim, p).groupBy("prescription").agg(F.sum("orig_tokens").alias("orig_tokens"), F.sum("saved_tokens").alias("saved_tokens")) for p in P.PRESCRIPTIONS]
-    return reduce(DataFrame.unionByName, parts).withColumn("saved_pct", T.saved_pct(F.col("orig_tokens"), F.col("orig_tokens") - F.col("saved_tokens")))
+    parts = []
+    for group in (GENTLE, FIRM):
+        totals = measured(turns, verbatim, group).agg(F.sum("orig_tokens").alias("orig_tokens"), *[F.sum(f"tokens_{p}").alias(p) for p in group])
+        each = F.explode(F.array(*[F.struct(F.lit(p).alias("prescription"), F.col(p).alias("final")) for p in group])).alias("x")
+        parts.append(totals.where("orig_tokens IS NOT NULL").select("orig_tokens", each).select("x.prescription", "orig_tokens", (F.col("orig_tokens") - F.col("x.final")).alias("saved_tokens")))
+    return parts[0].unionByName(parts[1]).withColumn("saved_pct", T.saved_pct(F.col("orig_tokens"), F.col("orig_tokens") - F.col("saved_tokens")))
 
 
 def diagnose(turns: DataFrame, verbatim: int = P.VERBATIM_TURNS) -> DataFrame:
     """One row per conversation: sizes, noise, duplicates, rules, the largest turns, and what each prescription saves."""
-    rules = R.extract_rules(turns).groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_rules"))
     top = O.largest_turns(turns).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("rank", "pos", "role", "tokens"))).alias("largest"))
-    out = O.conversation_summary(turns).join(O.noise_counts(turns), "conv_id").join(O.duplicate_groups(turns), "conv_id").join(rules, "conv_id", "left").join(top, "conv_id")
-    for p in P.PRESCRIPTIONS:
-        out = out.join(prune_stats(turns, verbatim, p).select("conv_id", F.col("saved_tokens").alias(f"saved_{p}"), F.col("saved_pct").alias(f"saved_pct_{p}")), "conv_id")
-    return out.withColumn("n_rules", F.coalesce("n_rules", F.lit(0).cast("long")))
+    content = F.col("content")
+    out = measured(turns, verbatim, FIRM, *O.summary_columns(content), *O.noise_columns(content))
+    for more in (measured(turns, verbatim, GENTLE).select("conv_id", "tokens_gentle"), O.duplicate_groups(turns), rules_of(turns), top):
+        out = O.beside(out, more, "conv_id")
+    saved = [c for p in P.PRESCRIPTIONS for c in ((F.col("orig_tokens") - F.col(f"tokens_{p}")).alias(f"saved_{p}"), T.saved_pct(F.col("orig_tokens"), F.col(f"tokens_{p}")).alias(f"saved_pct_{p}"))]
+    n_rules = F.coalesce(F.size("rules").cast("long"), F.lit(0).cast("long")).alias("n_rules")
+    return out.select("conv_id", "n_turns", "n_chars", "n_tokens", "context_pct", "thinking_turns", "tag_turns", "duplicate_groups", n_rules, "largest", *saved)
 
 
 def diagnosis_text(turns: DataFrame, verbatim: int = P.VERBATIM_TURNS) -> DataFrame:
@@ -80,20 +161,21 @@ def diagnosis_text(turns: DataFrame, verbatim: int = P.VERBATIM_TURNS) -> DataFr
 
 
 def briefing(turns: DataFrame, verbatim: int = P.VERBATIM_TURNS, prescription: str = "aggressive", stamp: str | None = None) -> DataFrame:
-    """conv_id and document: statistics, rules, and the pruned history with labels."""
-    stats, kept = prune_stats(turns, verbatim, prescription), prune(turns, verbatim, prescription)
+    """conv_id and document: statistics, rules, and the pruned history with labels. A document is one row, as large as its conversation's history."""
     label = F.when(F.col("role") == "user", "**User**").otherwise("**Assistant**")
-    history = kept.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.concat(label, F.lit(": "), "content").alias("line")))), lambda x: x["line"]), "\n\n").alias("history"))
-    rules = R.extract_rules(turns).groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rule_pos", "rule"))), lambda x: F.concat(F.lit("- "), x["rule"])).alias("rules"))
-    d = stats.join(history, "conv_id", "left").join(rules, "conv_id", "left")
+    turn = F.when(F.col(f"left_{prescription}").isNotNull(), F.struct("pos", F.concat(label, F.lit(": "), F.col(f"left_{prescription}")).alias("line")))
+    history = F.array_join(F.transform(F.array_sort(F.collect_list(turn)), lambda x: x["line"]), "\n\n").alias("history")
+    rows = O.beside(measured(turns, verbatim, [prescription], history), rules_of(turns), "conv_id")
+    d = rows.select("conv_id", "history", "rules", *stats_columns(prescription, verbatim))
     number = lambda c: F.format_number(c, 0)
-    n = F.coalesce(F.size("rules"), F.lit(0))
-    rule_lines = F.when(n > 0, F.concat_ws("\n", F.lit("---"), F.lit(""), F.lit("## BEHAVIORAL RULES"), F.lit("*Stated by the user in the original conversation; they hold from here on.*"), F.lit(""), F.array_join("rules", "\n"), F.lit("")))
+    n = F.col("rules_found")
+    listed = F.array_join(F.transform("rules", lambda r: F.concat(F.lit("- "), r)), "\n")
+    rule_lines = F.when(n > 0, F.concat_ws("\n", F.lit("---"), F.lit(""), F.lit("## BEHAVIORAL RULES"), F.lit("*Stated by the user in the original conversation; they hold from here on.*"), F.lit(""), listed, F.lit("")))
     warning = F.when(n >= int(P.STORE_RULES * 0.8), F.concat(F.lit("**WARNING:** "), n.cast("string"), F.lit(f" of {P.STORE_RULES} rules are in use.")))
     document = F.concat_ws(
         "\n", F.lit("# CONVERSATION BRIEFING"), *([F.lit(f"*Made on {stamp}*")] if stamp else []), F.lit(""), F.concat(F.lit("*Original: "), F.col("orig_turns").cast("string"), F.lit(" turns, ~"), number("orig_tokens"), F.lit(" tokens*")),
         F.concat(F.lit("*Compressed: "), F.col("final_turns").cast("string"), F.lit(" turns, ~"), number("final_tokens"), F.lit(" tokens*")),
         F.concat(F.lit("*Saved: "), F.col("saved_pct").cast("string"), F.lit("% | Last "), F.col("verbatim").cast("string"), F.lit(" turns verbatim*")),
-        warning, F.lit(""), F.lit("> **How to use**: paste this document as the first message of a new conversation."), F.lit(""), rule_lines, F.lit("---"), F.lit(""), F.lit("## CONVERSATION HISTORY"), F.lit(""), F.coalesce("history", F.lit("")),
+        warning, F.lit(""), F.lit("> **How to use**: paste this document as the first message of a new conversation."), F.lit(""), rule_lines, F.lit("---"), F.lit(""), F.lit("## CONVERSATION HISTORY"), F.lit(""), F.col("history"),
     )
     return d.select("conv_id", document.alias("document"))

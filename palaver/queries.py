@@ -64,9 +64,28 @@ OVERLAY_SQL = f"SELECT conv_id, turn::BIGINT AS pos, role, {OVERLAY.format(strin
 DOCUMENTS_SQL = "SELECT lang AS conv_id, doc_id AS pos, 'assistant' AS role, text AS content FROM documents"
 
 
+# --- the SQL's own patterns, written for RE2 and apart from those of the engine ---
+WHITE = " || ".join(f"chr({c})" for c in (9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288))
+S_THINKING = r"(?is)<think>.*?</think>|<thinking>.*?</thinking>"
+S_TAGS = r"(?s)<system-reminder>.*?</system-reminder>|<local-command(-caveat|-stdout|-stderr)?>.*?</local-command(-caveat|-stdout|-stderr)?>|<command-(name|message|args)>.*?</command-(name|message|args)>"
+S_OPENERS = (
+    r"(?i)\A\s*(Certainly|Sure|Of course|Absolutely|Great( +question)?)[!,]?[ \t]+[^\n]*\n\n?",
+    r"(?i)\A\s*(I'?('ll|'d)( be)? (glad|happy|delighted)( to)? (review|analyze|help|work through|look at)|Let me ((thorough|careful|systematical)ly )?(work through|walk you through|help|look at|analyze|review)"
+    r"|I'?('ve)? ((thorough|careful)ly )?(evaluated|reviewed|analyzed|looked at|gone through))[^\n]*\n\n?",
+)
+S_CLOSER = (
+    r"(?im)\n+((please )?let me know (what|how|if)|(please feel|feel) free to (share|ask|reach out|let me know)|(I )?hope this (provides?|gives?|helps?|(was|has been) helpful)"
+    r"|I'?('m|'ll) (available|happy|here|glad)( to)? (adjust|help|answer|assist|make|revisit)|happy to (adjust|help|assist|elaborate|dive|explore|clarify|discuss|revisit)"
+    r"|would you like (me to|to)|is there anything (more|else|other)|want me to)[^\n]*[.!?]?\s*$"
+)
+S_AGREED = r"(?i)\A\s*(Yes(,| -)? (absolutely|exactly|you('re| are) right|that('s| is) (correct|fair|a good point))|I (fully )?understand|That('s| is)( a)? (good|great|fair|valid|excellent)|You('re| are)( totally| absolutely)? right)[^\n]*\n\n?"
+S_CORRECTION = r"(?i)\b((please )?don'?t|do not|never|always|stop\s+\w+ing|from now on|remember (to|that)|make sure (to|you)|you shouldn'?t|use .{1,30} instead)\b"
+S_IMPLICIT = r"(?i)\b(actually[,.]|that's (not right|incorrect)\b|no[, ]+that's\b|wait[, ]+no\b|I (meant|said)\b|sorry[, ]+but\b|actually[, ]+I\b)"
+S_SIGNAL = r"(?i)\b(error|result|output|fix|fixed|note|warning|important|must|should|resolved|completed|configured|installed|return|returns|raise|raises|set|use|run|add|remove|decided|conclusion)\b"
+
+
 def duck(pattern: str) -> str:
-    """A pattern as a DuckDB literal: no u and d flags, quotes doubled."""
-    return "'" + re.sub(r"\(\?([a-z]+)\)", lambda m: f"(?{m[1].replace('u', '').replace('d', '')})", pattern).replace("'", "''") + "'"
+    return "'" + pattern.replace("'", "''") + "'"
 
 
 def cut(x: str, pattern: str, by: str = "''") -> str:
@@ -74,7 +93,7 @@ def cut(x: str, pattern: str, by: str = "''") -> str:
 
 
 def sql_strip(x: str) -> str:
-    return cut(x, P.STRIP)
+    return f"trim({x}, {WHITE})"
 
 
 def sql_tokens(x: str) -> str:
@@ -92,8 +111,8 @@ def sql_ui(source: str) -> str:
 
 
 def sql_clean(source: str) -> str:
-    thinking = sql_strip(cut("content", P.THINKING))
-    bare = f"SELECT conv_id, pos, role, {sql_strip(cut('c', P.TAGS))} AS content FROM (SELECT conv_id, pos, role, {thinking} AS c FROM ({source}))"
+    thinking = sql_strip(cut("content", S_THINKING))
+    bare = f"SELECT conv_id, pos, role, {sql_strip(cut('c', S_TAGS))} AS content FROM (SELECT conv_id, pos, role, {thinking} AS c FROM ({source}))"
     return f"SELECT conv_id, pos, role, {sql_strip(cut('content', chr(10) + '{3,}', 'chr(10) || chr(10)'))} AS content FROM ({sql_ui(bare)})"
 
 
@@ -105,11 +124,11 @@ def sql_unless_empty(source: str, *patterns: str) -> str:
 
 
 def sql_boilerplate(source: str) -> str:
-    return sql_unless_empty(source, P.OPENER_A, P.OPENER_B, P.CLOSER)
+    return sql_unless_empty(source, *S_OPENERS, S_CLOSER)
 
 
 def sql_ack(source: str) -> str:
-    return sql_unless_empty(source, P.ACKNOWLEDGEMENT)
+    return sql_unless_empty(source, S_AGREED)
 
 
 def sql_dedup(source: str) -> str:
@@ -134,18 +153,35 @@ def sql_flagged(source: str, verbatim: int = VERBATIM) -> str:
 
 def sql_prune(source: str, prescription: str) -> str:
     old = sql_boilerplate(sql_clean(f"SELECT conv_id, pos, role, content FROM ({sql_flagged(source)}) WHERE NOT is_recent"))
-    if prescription == "standard":
+    if prescription != "gentle":
         old = sql_collapse(sql_dedup(sql_ack(old)))
+    if prescription == "aggressive":
+        old = sql_compress(old)
     recent = sql_clean(f"SELECT conv_id, pos, role, content FROM ({sql_flagged(source)}) WHERE is_recent")
     return f"SELECT conv_id, pos, role, content FROM ({old}) WHERE regexp_matches(content, '\\S') UNION ALL SELECT conv_id, pos, role, content FROM ({recent}) WHERE regexp_matches(content, '\\S')"
 
 
+def sql_compress(source: str) -> str:
+    """First paragraph, paragraphs with a fence, and up to four telling sentences of each other one; step by step."""
+    code = r"'```[\s\S]*?```|`[^`\n]+`'"
+    restored = lambda x: f"array_to_string(list_transform(string_split({x}, chr(1)), lambda y, j: CASE WHEN j = 1 THEN y ELSE blocks[split_part(y, chr(2), 1)::INT + 1] || substring(y, strpos(y, chr(2)) + 1) END), '')"
+    sentences = f"list_transform(string_split(regexp_replace(p, '([.!?])\\s+', '\\1' || chr(3), 'g'), chr(3)), lambda x: {sql_strip('x')})"
+    telling = f"list_transform(list_filter({sentences}, lambda x: length(x) >= 20 AND regexp_matches(x, {duck(S_SIGNAL)}))[1:4], lambda x: '- ' || x)"
+    held = sql_strip(cut(sql_strip(cut("numbered", S_THINKING)), S_TAGS))
+    short = "array_to_string(flatten(list_transform(parts, lambda p, i: CASE WHEN i = 1 OR contains(p, '```') THEN [p] ELSE " + telling + " END)), chr(10) || chr(10))"
+    return f"""SELECT conv_id, pos, role, CASE WHEN len(parts) <= 2 THEN {sql_strip(restored('held'))} WHEN {sql_tokens('content')} > floor(length(short) / 3.1::DOUBLE) + 30
+        THEN '[~' || {sql_tokens('content')} || 'to' || floor(length(short) / 3.1::DOUBLE)::BIGINT || 't]' || chr(10) || short ELSE short END AS content
+      FROM (SELECT *, {short} AS short FROM (SELECT *, list_transform(list_filter(list_transform(string_split_regex(held, '\\n{{2,}}'), lambda x: {sql_strip('x')}), lambda x: x <> ''), lambda x: {restored('x')}) AS parts
+        FROM (SELECT *, {held} AS held FROM (SELECT *, array_to_string(list_transform(string_split_regex(content, {code}), lambda x, i: CASE WHEN i = 1 THEN x ELSE chr(1) || (i - 2) || chr(2) || x END), '') AS numbered,
+          regexp_extract_all(content, {code}) AS blocks FROM ({source})))))"""
+
+
 def sql_sentences(source: str) -> str:
     split = "string_split(replace(replace(content, '.', '.' || chr(1)), chr(10), chr(1)), chr(1))"
     closing = "'\\A[" + re.escape(P.CLOSERS).replace("'", "''") + "]{0,5}'"
     sentence = sql_strip(f"CASE WHEN unit LIKE '%.' THEN unit || regexp_extract(coalesce(following, ''), {closing}) ELSE unit END")
     return f"""SELECT conv_id, pos, kind, unit_no, {sentence} AS rule FROM (
-      SELECT *, CASE WHEN regexp_matches(unit, {duck(P.CORRECTION)}) THEN 0 WHEN regexp_matches(unit, {duck(P.IMPLICIT_CORRECTION)}) THEN 1 END AS kind, lead(unit) OVER (PARTITION BY conv_id, pos ORDER BY unit_no) AS following
+      SELECT *, CASE WHEN regexp_matches(unit, {duck(S_CORRECTION)}) THEN 0 WHEN regexp_matches(unit, {duck(S_IMPLICIT)}) THEN 1 END AS kind, lead(unit) OVER (PARTITION BY conv_id, pos ORDER BY unit_no) AS following
       FROM (SELECT conv_id, pos, unnest({split}) AS unit, unnest(range(len({split}))) AS unit_no FROM ({source}) WHERE role = 'user')) WHERE kind IS NOT NULL"""
 
 
@@ -168,6 +204,40 @@ def sql_stats(source: str, prescription: str) -> str:
     LEFT JOIN (SELECT conv_id, count(*)::BIGINT AS n FROM ({sql_rules(source)}) GROUP BY conv_id) r ON r.conv_id = b.conv_id"""
 
 
+def sql_savings(source: str) -> str:
+    each = " UNION ALL ".join(f"SELECT prescription, sum(orig_tokens)::BIGINT AS orig_tokens, sum(saved_tokens)::BIGINT AS saved_tokens FROM ({sql_stats(source, p)}) GROUP BY prescription" for p in P.PRESCRIPTIONS)
+    return f"SELECT *, {sql_pct('orig_tokens', '(orig_tokens - saved_tokens)')} AS saved_pct FROM ({each})"
+
+
+def sql_diagnosis(source: str) -> str:
+    tokens = sql_tokens("content")
+    base = f"""SELECT conv_id, count(*) AS n_turns, sum(length(content))::BIGINT AS n_chars, sum({tokens})::BIGINT AS n_tokens, count(*) FILTER (WHERE regexp_matches(content, {duck(S_THINKING)})) AS thinking,
+      count(*) FILTER (WHERE regexp_matches(content, {duck(S_TAGS)})) AS tags FROM ({source}) GROUP BY conv_id"""
+    doubled = f"SELECT conv_id, count(*) FILTER (WHERE n > 1) AS n FROM (SELECT conv_id, substring(content, 1, 2000) AS c, count(*) AS n FROM ({source}) GROUP BY ALL) GROUP BY conv_id"
+    top = f"""SELECT conv_id, string_agg('  ' || repeat('#', least(24, t // 200)) || printf(' Turn %3d (%-9s): ~%s tokens', pos, role, format('{{:,}}', t)), chr(10) ORDER BY t DESC, pos) AS lines
+      FROM (SELECT conv_id, pos, role, {tokens} AS t FROM ({source}) QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY {tokens} DESC, pos) <= 5) GROUP BY conv_id"""
+    saved = " || chr(10) || ".join(f"rpad('  {p}', 14, ' ') || ' ~' || format('{{:,}}', {p[0]}.saved_tokens) || ' tokens saved (' || {p[0]}.saved_pct || '%)'" for p in P.PRESCRIPTIONS)
+    line = lambda name, value: f"rpad('{name}', 20, ' ') || {value}"
+    lines = [
+        line("Turns:", "n_turns"), line("Characters:", "format('{:,}', n_chars)"), line("Tokens (est.):", "format('{:,}', n_tokens)"), line("Context fill:", "printf('%.1f%%', n_tokens / 200000::DOUBLE * 100)"), "''", "'Noise detected:'",
+        line("  Thinking blocks:", "thinking"), line("  Tagged turns:", "tags"), line("  Duplicate turns:", "d.n"), line("  Correction rules:", "s.rules_found"), "''", "'Largest turns:'", "lines", "''", "'Estimated savings:'", saved,
+    ]
+    joins = " ".join(f"JOIN ({sql_stats(source, p)}) {p[0]} ON {p[0]}.conv_id = b.conv_id" for p in P.PRESCRIPTIONS)
+    return f"SELECT b.conv_id, {' || chr(10) || '.join(lines)} AS report FROM ({base}) b JOIN ({doubled}) d ON d.conv_id = b.conv_id JOIN ({top}) t ON t.conv_id = b.conv_id {joins}"
+
+
+def sql_briefing(source: str, prescription: str = "aggressive") -> str:
+    history = f"SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN '**User**' ELSE '**Assistant**' END || ': ' || content, chr(10) || chr(10) ORDER BY pos) AS history FROM ({sql_prune(source, prescription)}) GROUP BY conv_id"
+    rules = f"SELECT conv_id, string_agg('- ' || rule, chr(10) ORDER BY rule_pos) AS rules FROM ({sql_rules(source)}) GROUP BY conv_id"
+    lines = [
+        "'# CONVERSATION BRIEFING'", "''", "'*Original: ' || orig_turns || ' turns, ~' || format('{:,}', orig_tokens) || ' tokens*'", "'*Compressed: ' || final_turns || ' turns, ~' || format('{:,}', final_tokens) || ' tokens*'",
+        "'*Saved: ' || saved_pct || '% | Last ' || verbatim || ' turns verbatim*'", "CASE WHEN rules_found >= 24 THEN '**WARNING:** ' || rules_found || ' of 30 rules are in use.' END", "''",
+        "'> **How to use**: paste this document as the first message of a new conversation.'", "''",
+        "CASE WHEN rules IS NOT NULL THEN concat_ws(chr(10), '---', '', '## BEHAVIORAL RULES', '*Stated by the user in the original conversation; they hold from here on.*', '', rules, '') END", "'---'", "''", "'## CONVERSATION HISTORY'", "''", "coalesce(history, '')",
+    ]
+    return f"SELECT s.conv_id, concat_ws(chr(10), {', '.join(lines)}) AS document FROM ({sql_stats(source, prescription)}) s LEFT JOIN ({history}) h ON h.conv_id = s.conv_id LEFT JOIN ({rules}) r ON r.conv_id = s.conv_id"
+
+
 STORE_SQL = "SELECT * FROM (VALUES " + ", ".join(f"('{r}', {i + 1})" for i, r in enumerate(STORE)) + ") AS s(rule, first_seen_seq)"
 BIGRAMS = r"list_distinct(list_transform(range(1, len(regexp_extract_all(lower({0}), '\w+'))), lambda i: regexp_extract_all(lower({0}), '\w+')[i] || ' ' || regexp_extract_all(lower({0}), '\w+')[i + 1]))"
 NEAR_SQL = f"""SELECT new_rule, rule, round(overlap, 2) AS overlap FROM (SELECT a.rule AS new_rule, b.rule AS rule, len(list_intersect(a.b, b.b))::DOUBLE / greatest(len(a.b), len(b.b)) AS overlap
@@ -177,11 +247,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable:
+def query(sql: str) -> Callable:
     def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
+        ORACLE_SQL[f.__name__] = sql
         return f
 
     return add
@@ -209,12 +278,12 @@ def role_filter_normalize(spark, sf_dir):
     return rows.select("conv_id", F.col("turn").cast("long").alias("pos"), T.normal_role(F.expr(LABEL)).alias("role")).where(F.col("role").isin("user", "assistant", "system"))
 
 
-@query(f"SELECT conv_id, pos, role, {sql_strip(cut('content', P.THINKING))} AS content FROM ({OVERLAY_SQL})")
+@query(f"SELECT conv_id, pos, role, {sql_strip(cut('content', S_THINKING))} AS content FROM ({OVERLAY_SQL})")
 def strip_thinking(spark, sf_dir):
     return overlay(spark, sf_dir).withColumn("content", T.strip_thinking(F.col("content"))).select(*KEEP)
 
 
-@query(f"SELECT conv_id, pos, role, {sql_strip(cut('content', P.TAGS))} AS content FROM ({OVERLAY_SQL})")
+@query(f"SELECT conv_id, pos, role, {sql_strip(cut('content', S_TAGS))} AS content FROM ({OVERLAY_SQL})")
 def strip_tags(spark, sf_dir):
     return overlay(spark, sf_dir).withColumn("content", T.strip_tags(F.col("content"))).select(*KEEP)
 
@@ -253,7 +322,7 @@ def strip_ack(spark, sf_dir):
     return rows.withColumn("content", T.unless_empty(F.col("role"), F.col("content"), T.strip_acknowledgement)).select(*KEEP)
 
 
-@query(f"SELECT conv_id, count(*) FILTER (WHERE regexp_matches(content, {duck(P.THINKING)}))::BIGINT AS thinking_turns, count(*) FILTER (WHERE regexp_matches(content, {duck(P.TAGS)}))::BIGINT AS tag_turns FROM ({OVERLAY_SQL}) GROUP BY conv_id")
+@query(f"SELECT conv_id, count(*) FILTER (WHERE regexp_matches(content, {duck(S_THINKING)}))::BIGINT AS thinking_turns, count(*) FILTER (WHERE regexp_matches(content, {duck(S_TAGS)}))::BIGINT AS tag_turns FROM ({OVERLAY_SQL}) GROUP BY conv_id")
 def noise_counts(spark, sf_dir):
     return O.noise_counts(overlay(spark, sf_dir))
 
@@ -344,7 +413,7 @@ def rules_status(spark, sf_dir):
     return R.rules_status(R.extract_rules(overlay(spark, sf_dir)).select("rule").distinct())
 
 
-@query()
+@query(sql_compress(sql_clean(OVERLAY_SQL)))
 def compress_turns(spark, sf_dir):
     return overlay(spark, sf_dir).withColumn("content", T.compress(T.clean(F.col("content")))).select(*KEEP)
 
@@ -364,22 +433,22 @@ def prune_standard_turns(spark, sf_dir):
     return plans.prune(overlay(spark, sf_dir), VERBATIM, "standard").select(*KEEP)
 
 
-@query()
+@query(sql_stats(OVERLAY_SQL, "aggressive"))
 def prune_aggressive_stats(spark, sf_dir):
     return plans.prune_stats(overlay(spark, sf_dir), VERBATIM, "aggressive")
 
 
-@query()
+@query(sql_savings(OVERLAY_SQL))
 def savings_by_prescription(spark, sf_dir):
     return plans.savings(overlay(spark, sf_dir), VERBATIM)
 
 
-@query()
+@query(sql_diagnosis(OVERLAY_SQL))
 def diagnose(spark, sf_dir):
     return plans.diagnosis_text(overlay(spark, sf_dir), VERBATIM)
 
 
-@query()
+@query(sql_briefing(OVERLAY_SQL))
 def briefing_document(spark, sf_dir):
     return plans.briefing(overlay(spark, sf_dir), VERBATIM)
 

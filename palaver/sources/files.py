@@ -28,6 +28,13 @@ def list_files(spark: SparkSession, path: str, most: int = 60) -> DataFrame:
     return files.select("path", F.floor(F.col("length") / 1024).alias("kb"), label.alias("label")).orderBy("path").limit(most)
 
 
+def host_config(candidates: list[str] | None = None) -> str | None:
+    """The first JSON configuration of a host application that exists: the one that ``PALAVER_HOST_CONFIG`` names, or in a folder of ``data_dirs``."""
+    named = os.environ.get("PALAVER_HOST_CONFIG")
+    found = candidates or ([named] if named else [str(p) for d in data_dirs() for p in sorted(Path(d).glob("*/*_desktop_config.json"))])
+    return next((p for p in found if os.path.isfile(p)), None)
+
+
 def configured_servers(config: str) -> list[str]:
     """Names of the servers in a host application's JSON configuration; none if it can't be read."""
     try:

@@ -1,11 +1,15 @@
 """Transcripts in JSON, JSONL or pasted text, to turns(conv_id, pos, idx, role, content).
 
+A null or blank input gives no turns; equal inputs give turns each. Text before the first label is left out.
+
 ``pos`` is a turn's place in its conversation, counted from 0 over kept turns; ``idx`` is the same except for JSON messages, where it is the place in the raw array.
 Everything is narrow: a transcript is one row, and becomes rows of turns by ``posexplode``.
 """
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,10 +17,14 @@ from palaver.functions import patterns as P
 from palaver.functions import text as T
 
 ROLES = ("user", "assistant", "system")
+#: Results within results that are read as content.
+DEPTH = 3
 
 
 def read_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """conv_id (the file's path) and value (its whole text)."""
+    """conv_id (the file's path) and value (its whole text); ``-`` is what comes in on the driver's standard input."""
+    if paths == "-" or paths == ["-"]:
+        return spark.createDataFrame([("-", sys.stdin.read())], "conv_id string, value string")
     return spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("conv_id"), "value")
 
 
@@ -37,8 +45,8 @@ def _text(v: Column, path: str) -> Column:
     return F.coalesce(F.try_variant_get(v, path, "string"), F.lit(""))
 
 
-def content_text(v: Column, depth: int = 1) -> Column:
-    """The text of a content value: a string, or blocks of text, thinking, tool calls and tool results; results hold content again, to ``depth``."""
+def content_text(v: Column, depth: int = DEPTH) -> Column:
+    """The text of a content value: a string, or blocks of text, thinking, tool calls and tool results; results hold content again, ``depth`` deep, and JSON below."""
 
     def block(b: Column) -> Column:
         kind = F.try_variant_get(b, "$.type", "string")
@@ -89,14 +97,14 @@ def jsonl_turns(raw: DataFrame) -> DataFrame:
 
 
 def _labelled(value: Column, pattern: str) -> Column:
-    parts = F.slice(F.split(F.regexp_replace(value, pattern, "\u0001$1\u0002"), "\u0001"), 2, 1 << 30)
-    turn = lambda p: F.struct(T.normal_role(F.substring_index(p, "\u0002", 1)).alias("role"), T.strip(F.substring(p, F.instr(p, "\u0002") + 1, F.length(p))).alias("content"))
+    parts = F.slice(F.split(F.regexp_replace(value, pattern, f"{T.MARKS[0]}$1{T.MARKS[1]}"), T.MARKS[0]), 2, 1 << 30)
+    turn = lambda p: F.struct(T.normal_role(F.substring_index(p, T.MARKS[1], 1)).alias("role"), T.strip(F.substring(p, F.instr(p, T.MARKS[1]) + 1, F.length(p))).alias("content"))
     return F.filter(F.transform(parts, turn), lambda t: t["content"] != "")
 
 
 def _dated(value: Column) -> Column:
     """Chunks between date lines; text before the first is the user's, later chunks by whether they ask something."""
-    parts = F.split(F.regexp_replace(value, P.DATE_LINE, "\u0001"), "\u0001")
+    parts = F.split(value, P.DATE_LINE)
     asks = lambda c: c.rlike(P.ASKS) | F.lower(F.substring(c, 1, 100)).rlike(P.ASKS_EARLY)
     turn = lambda p, i: F.struct(F.when((i == 0) | asks(T.strip(p)), "user").otherwise("assistant").alias("role"), T.strip(p).alias("content"))
     return F.filter(F.transform(parts, turn), lambda t: t["content"] != "")
@@ -104,7 +112,7 @@ def _dated(value: Column) -> Column:
 
 def text_turns(raw: DataFrame) -> DataFrame:
     """Turns of pasted text: labels with colons, labels on lines of their own, or date lines; else one turn of the user."""
-    value = F.regexp_replace(F.translate(F.col("value"), "\u0001\u0002", ""), P.HISTORY, "")
+    value = F.regexp_replace(T.unmarked(F.col("value")), P.HISTORY, "")
     rows = raw.select("conv_id", value.alias("value"))
     v = F.col("value")
     n_colon, n_solo, n_date = (F.regexp_count(v, F.lit(p)) for p in (P.COLON_LABEL, P.SOLO_LABEL, P.DATE_LINE))
@@ -117,12 +125,15 @@ def text_turns(raw: DataFrame) -> DataFrame:
 
 
 def parse(raw: DataFrame) -> DataFrame:
-    """Turns of every input, by its form: JSON if it parses to messages, session lines if it begins like one, else text."""
+    """Turns of every input, by its form: JSON if it parses to messages, session lines if the first line begins like an object, else text.
+
+    Session lines without any turn give none; a line that is JSON but no object makes the input text.
+    """
     stripped = raw.select("conv_id", T.strip(F.col("value")).alias("value")).where("value != ''")
     v = F.try_parse_json("value")
     messages = F.col("value").rlike(r"\A[\[{]") & _messages(v).isNotNull()
-    first = F.try_parse_json(F.regexp_extract("value", r"\A[^\n]*", 0))
-    session = F.col("value").startswith("{") & F.try_variant_get(first, "$.type", "string").isNotNull()
+    lines = F.transform(F.split("value", r"\r?\n"), F.try_parse_json)
+    session = F.col("value").startswith("{") & ~F.exists(lines, lambda x: x.isNotNull() & ~_kind(x).startswith("OBJECT"))
     form = F.when(messages, "json").when(session, "jsonl").otherwise("text")
     marked = stripped.withColumn("form", form)
     return json_turns(marked.where("form = 'json'")).unionByName(jsonl_turns(marked.where("form = 'jsonl'"))).unionByName(text_turns(marked.where("form = 'text'")))

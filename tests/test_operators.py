@@ -1,8 +1,11 @@
 """Operators over turns, rules and the store."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
-from palaver import api
+from palaver import api, cli
 from palaver.functions import patterns as P
 from palaver.operators import rules as R
 from palaver.operators import turns as O
@@ -67,6 +70,17 @@ def test_merge_and_flags(spark):
     assert R.review_flags(R.near_duplicates(R.new_rules(new, store), store)).first().near_duplicates[0].overlap == 0.75
 
 
+def test_near_duplicates_against_all_pairs(spark):
+    r = random.Random(2)
+    rules = sorted({" ".join(r.choice(["never", "drop", "the", "row", "of", "it"]) for _ in range(r.randint(1, 9))) for _ in range(120)})
+    new, known = rules[:60], rules[50:]
+    grams = {x: {p for p in zip(x.split(), x.split()[1:])} for x in rules}
+    want = {(a, b, round(len(grams[a] & grams[b]) / max(len(grams[a]), len(grams[b])), 2)) for a in new for b in known if a != b and grams[a] and grams[b] and len(grams[a] & grams[b]) >= 0.5 * max(len(grams[a]), len(grams[b]))}
+    frame = lambda x: spark.createDataFrame([(v,) for v in x], "rule string")
+    got = [tuple(x) for x in R.near_duplicates(frame(new), frame(known)).collect()]
+    assert len(got) == len(set(got)) and {(a, b, round(o, 2)) for a, b, o in got} == want and len(want) > 50
+
+
 def test_status(spark):
     for n, want in ((23, "OK"), (24, "APPROACHING"), (30, "FULL")):
         assert R.rules_status(spark.range(n).select(F.col("id").cast("string").alias("rule"))).first().status == want
@@ -100,6 +114,69 @@ def test_nulls_do_not_crash(spark):
     R.extract_rules(rows).collect()
 
 
+def test_a_null_conversation_is_a_conversation(spark):
+    """Each operator gives a null conversation what it gives another one; turns without a place stay."""
+    s = "This sentence is long enough to be collapsed when it comes a second time in a talk."
+    talk = [("user", "Never drop a column."), ("assistant", s), ("user", "same"), ("assistant", f"Other. {s}"), ("user", "same"), ("user", "last")]
+    rows = spark.createDataFrame([(c, i, i, role, text, 7) for c in (1, None) for i, (role, text) in enumerate(talk)] + [(1, None, None, "user", "same", 7), (1, None, None, "user", "same", 7)], SCHEMA + ", rank int")
+    own = lambda df, c: sorted(repr(tuple(r)[1:]) for r in df.where(F.col("conv_id").eqNullSafe(F.lit(c))).where("pos IS NOT NULL").collect())
+    for df in (plans.prune(rows, 1, "standard"), O.dedup_keep_last(rows), O.collapse_repeats(rows), O.flag_recent(rows, 2), plans.prune(rows, 1, "aggressive")):
+        assert own(df, 1) == own(df, None) and df.where("pos IS NULL").count() == 2 and "rank" in df.columns
+    kept = plans.prune(rows.where("pos IS NOT NULL"), 1)
+    assert sorted((r.pos, r.content) for r in kept.where("conv_id IS NULL").collect()) == [(0, "Never drop a column."), (1, s), (3, f'Other. [Repeated, unchanged: "{s[:50].rstrip()}..."]'), (4, "same"), (5, "last")]
+    stats = plans.prune_stats(rows.where("pos IS NOT NULL"), 1).collect()
+    assert len(stats) == 2 and len({tuple(r)[1:] for r in stats}) == 1 and stats[0].final_turns == 5 and stats[0].rules_found == 1
+    for df in (plans.diagnosis_text(rows, 1), plans.briefing(rows, 1), plans.prune_summary(rows, 1), R.extract_rules(rows), R.forced_rules(rows, R.extract_rules(rows), ("last one",))):
+        df.collect()
+    assert plans.briefing(rows.where("pos IS NOT NULL"), 1).select("document").distinct().count() == 1
+
+
+def test_empty_tables(spark):
+    rows = turns(spark, "x").limit(0)
+    for df in (plans.prune(rows), plans.diagnose(rows), plans.diagnosis_text(rows), plans.briefing(rows), plans.savings(rows), plans.prune_summary(rows), O.collapse_repeats(rows), O.dedup_keep_last(rows), R.extract_rules(rows)):
+        assert df.count() == 0
+
+
+def test_repeats_within_a_turn(spark):
+    s, u = ("This sentence is long enough to be collapsed when it comes again, number %d of them." % k for k in (1, 2))
+    out = {r.pos: r.content for r in O.collapse_repeats(turns(spark, f"{s} {u} {s} {s}", f"{u}\n\n{s}", "Short one. Short one.")).collect()}
+    mark = lambda x: f'[Repeated, unchanged: "{x[:50].rstrip()}..."]'
+    assert out == {0: f"{s} {u} {mark(s)} {mark(s)}", 1: f"{mark(u)}\n\n{mark(s)}", 2: "Short one. Short one."}
+
+
+def test_triggers_across_full_stops(spark):
+    cases = {
+        "Please use the thing. here instead, ok. Next": ["Please use the thing. here instead, ok."],
+        "use a.b.c instead\nuse the one\nhere instead": ["use a.b.c instead"],
+        "One. Use x. y. z instead": ["Use x. y. z instead"],
+        "use the thing that is much too far. away from the word instead": [],
+        "Never mind.\nuse it. or that instead of this.": ["Never mind.", "use it. or that instead of this."],
+    }
+    for text, want in cases.items():
+        assert [r.rule for r in R.extract_rules(turns(spark, text, role="user")).orderBy("rule_pos").collect()] == want, text
+
+
+def test_long_rules_are_cut_near_the_trigger(spark):
+    early, late = "never " + "word " * 300 + "end.", "word " * 300 + "never ends."
+    rules = [r.rule for r in R.extract_rules(turns(spark, early, late, role="user")).orderBy("rule_pos").collect()]
+    assert len(rules) == 2 and all(len(r) <= 800 for r in rules) and rules[0].startswith("never word") and rules[0].endswith("word…") and rules[1].endswith("never ends.")
+
+
+def test_scans_of_texts(spark):
+    """One relation serves all strengths; scans that take part in the executed plan, exchanges that are used again counted once."""
+    from palaver.queries import overlay
+
+    rows = overlay(spark, "/root/testdata/sf0.001")
+
+    def scans(df):
+        df.collect()
+        return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("FileScan")
+
+    # places of what is recent, rows, hashes of duplicates, chunks, and rules
+    assert scans(plans.prune_stats(rows, 2, "aggressive")) <= 5 and scans(plans.briefing(rows, 2)) <= 5
+    assert scans(plans.prune(rows, 2, "gentle")) == 2 and scans(plans.diagnose(rows, 2)) <= 8
+
+
 def test_formats(spark):
     raw = lambda *texts: spark.createDataFrame(list(enumerate(texts)), "conv_id long, value string")
     got = lambda *texts: [(r.role, r.content) for r in transcripts.parse(raw(*texts)).orderBy("conv_id", "pos").collect()]
@@ -113,7 +190,12 @@ def test_formats(spark):
     assert got(result) == [("user", '[tool:f {"b":1}]\n[result: ok]')]
     assert got('{"type":"user","message":{"content":"q"}}\nnot json\n\n{"type":"assistant","message":{"content":"a"}}\n{"type":"x"}') == [("user", "q"), ("assistant", "a")]
     assert got("## Conversation History\n**User**: a\n**Assistant**: b") == [("user", "a"), ("assistant", "b")]
-    assert got('{"a": 1}') == [("user", '{"a": 1}')]
+    # an object without messages is a log without turns; JSON lines that are no objects make the input text
+    assert got('{"a": 1}') == [] and got('{"a": 1}\n[2]') == [("user", '{"a": 1}\n[2]')]
+    assert got('{"summary": "s"}\n{"type":"user","message":{"content":"q"}}') == [("user", "q")]
+    nested = '[{"role":"user","content":[{"type":"tool_result","content":[{"type":"tool_result","content":[{"type":"tool_result","content":"deep"}]}]}]}]'
+    assert got(nested) == [("user", "[result: [result: [result: deep]]]")]
+    assert got("x\ufdd0y\u0001z") == [("user", "xy\u0001z")]
     assert transcripts.oversize(raw("x" * 10), 5).count() == 1 and transcripts.within_limit(raw("x" * 10), 5).count() == 0
 
 
@@ -150,3 +232,44 @@ def test_stream(spark, tmp_path):
     query = sessions.merge_rules_from(sessions.stream_turns(spark, str(tmp_path / "in")), store, str(tmp_path / "checkpoint"))
     query.awaitTermination(120)
     assert [r.rule for r in store.load().collect()] == ["Never drop the header row."]
+
+
+def test_long_rules_in_the_store_are_told(spark, tmp_path):
+    store = RuleStore(spark, str(tmp_path / "store"))
+    store._save(1, [("x" * 2001, 1)])
+    with pytest.warns(UserWarning, match="2001 characters"):
+        assert store.load().count() == 1
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    lines = "\n\n".join(f"**{'User' if i % 2 == 0 else 'Assistant'}**: Never drop column {i}." for i in range(12))
+    (tmp_path / "talk.txt").write_text(lines)
+    assert cli.main(["prune", str(tmp_path / "talk.txt"), "--verbatim", "2", "--output", str(tmp_path / "out")]) == 0
+    said = capsys.readouterr().err
+    assert "Turns:   12 -> 12" in said and "Rules:   6 kept" in said and "-> Never drop column 8." in said and "WARNING" not in said
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 12
+    assert cli.main(["diagnose", str(tmp_path / "talk.txt"), "--warn-size", "10"]) == 0
+    out = capsys.readouterr()
+    assert "Correction rules: 6" in " ".join(out.out.split()) and "talk.txt" in out.err
+    monkeypatch.setattr("sys.stdin", __import__("io").StringIO(lines))
+    assert cli.main(["brief", "-"]) == 0 and "CONVERSATION BRIEFING" in capsys.readouterr().out
+    (tmp_path / "claude.json").write_text('{"mcpServers": {"b": {}, "a": {}}}')
+    monkeypatch.setenv("PALAVER_HOST_CONFIG", str(tmp_path / "claude.json"))
+    assert files.host_config() == str(tmp_path / "claude.json") and cli.main(["discover", str(tmp_path)]) == 0
+    assert "a, b" in capsys.readouterr().out
+    assert cli.main(["rules-status", str(tmp_path / "none")]) == 0
+
+
+def test_few_rules_in_a_long_conversation_are_told(spark):
+    (row,) = plans.prune_summary(turns(spark, *(f"Plain message {i}." for i in range(12)), role="user"), 2).collect()
+    assert "WARNING" in row.summary and "Rules:   0 kept" in row.summary
+
+
+def test_distinct_turns_of_a_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for k in range(2):
+        (tmp_path / f"in/s{k}.jsonl").write_text('{"type":"user","message":{"content":"same"}}\n{"type":"user","message":{"content":"same"}}\n')
+    timed = sessions.stream_turns(spark, str(tmp_path / "in")).withColumn("at", F.lit("2020-01-01").cast("timestamp"))
+    query = sessions.distinct_turns(timed, "at", "1 hour").writeStream.format("memory").queryName("distinct_turns").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination(60)
+    assert spark.table("distinct_turns").count() == 2

@@ -1,5 +1,7 @@
 """Text functions against values derived by hand."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,6 +66,49 @@ def test_units(spark):
     assert apply(spark, T.unit_sentences, "(I never drive alone.) hence always ask.") == [["(I never drive alone.)", ") hence always ask.", ""]]
 
 
+def test_units_end_at_full_stops_and_lines(spark):
+    cases = ["a. b.\n)c\n\nd", "", "x.", "x", "\n", ".", "..\n", None]
+    assert apply(spark, T.sentence_units, *cases) == [["a.", " b.", "", ")c", "", "d"], [""], ["x.", ""], ["x"], ["", ""], [".", ""], [".", ".", "", ""], None]
+    assert apply(spark, T.unit_sentences, "a.\n)c") == [["a.", "", ")c"]]
+
+
+def linear(spark, function, *texts):
+    """Results for long texts, which must come soon."""
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(texts)], "i int, c string").repartition(1)
+    began = time.time()
+    out = [r[0] for r in rows.orderBy("i").select(function(F.col("c"))).collect()]
+    assert time.time() - began < 20
+    return out
+
+
+def test_long_runs_take_no_time_and_no_stack(spark):
+    n = 500_000
+    blanks, lines = "a" + " " * n + "b", "a" + "\n" * n + "b"
+    more, more_later, equal = "Show more\n" * (n // 10), "a" + "\nShow more" * (n // 10), "same line\n" * (n // 10)
+    assert linear(spark, T.strip, blanks, " " * n) == [blanks, ""]
+    assert linear(spark, T.clean, blanks, lines, more, more_later, equal, "<think>" * (n // 7), "<command-name>" * (n // 14)) == [
+        blanks, "a\n\nb", "", "a", "same line\n" * (n // 20 - 1) + "same line", "<think>" * (n // 7), "<command-name>" * (n // 14)]
+    assert linear(spark, T.strip_boilerplate, blanks, lines, "\nHope this helps!" * (n // 17), "Sure!" + " " * n, " " * n) == [blanks, lines, "", "Sure!", ""]
+    assert linear(spark, T.strip_acknowledgement, blanks, lines) == [blanks, lines]
+    assert [len(x) for x in linear(spark, T.chunks, blanks, lines, "One. Two! " * (n // 10))] == [1, 3, n // 5 * 2 - 1]
+    assert linear(spark, T.space_key, blanks, lines) == ["a b", "a b"]
+    assert linear(spark, T.repeat_marker, blanks) == ['[Repeated, unchanged: "a b..."]']
+    assert [len(x) for x in linear(spark, T.unit_sentences, blanks, lines, "." * 100_000)] == [1, n + 1, 100_001]
+    assert linear(spark, T.compress, blanks, lines) == [blanks, lines]
+
+
+def test_marks_stay_out_of_the_way(spark):
+    text = "a\u0001b\u0002c\u0003d"
+    long = f"p\n\n`{text}` {text}\n\nThe result {text} is stored in `x`. No."
+    assert apply(spark, T.chunks, text) == [[text]] and apply(spark, T.sentence_units, text) == [[text]]
+    assert apply(spark, T.compress, long) == [f"p\n\n- The result {text} is stored in `x`."]
+
+
+def test_closing_lines_follow_each_other(spark):
+    cases = ["Body\nHope this helps!\n\nLet me know if you like.\nMore", "Body\n\n\nFeel free to ask.", "Body\nHope this helps!\nFeel free to ask.\nWould you like me to go on?"]
+    assert apply(spark, T.strip_boilerplate, *cases) == ["Body\nMore", "Body", "Body"]
+
+
 @pytest.mark.parametrize("n", [10, 800, 801, 2000])
 def test_trim(spark, n):
     text = ("word " * n)[: n - 6] + " never"
