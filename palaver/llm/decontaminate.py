@@ -10,8 +10,8 @@ The pass is narrow: documents are never shuffled, and the benchmark comes to the
 characters, which bounds what is broadcast. Passages of over ``PIECE`` words are cut into overlapping pieces, each
 searched for by itself.
 
-Defined results: null and empty texts leak nothing; an item with fewer than 3 words, or null, matches nothing; repeated
-rows are judged each; empty tables give an empty result; other columns are passed through by ``clean`` and ignored by ``leaks``.
+Defined results: null and empty texts leak nothing; an item with fewer than 3 words, or null, matches nothing; items with a null id
+are one item, found with a null id; repeated rows are judged each; empty tables give an empty result; other columns are passed through by ``clean`` and ignored by ``leaks``.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +41,7 @@ LANES, STEP_WORDS, OCCURRENCES = 256, 1 << 20, 1 << 22
 class Passages:
     """Pieces of benchmark items as word codes; grams as sorted codes, each with the places where it occurs."""
 
-    items: np.ndarray  # item of each piece
+    items: list[int | None]  # item of each piece
     words: list[np.ndarray]
     vocabulary: dict[str, int]
     grams: np.ndarray  # sorted, distinct
@@ -62,7 +63,7 @@ def passages(rows: list[tuple[int, str]]) -> Passages:
     place = np.concatenate([np.arange(len(c)) for c in codes]) if words else np.empty(0, np.int64)
     grams, of = np.unique(np.concatenate(codes) if words else np.empty(0, np.int64), return_inverse=True)
     order = np.argsort(of, kind="stable")
-    return Passages(np.array(items, np.int64), words, vocabulary, grams, of[order], piece[order], place[order])
+    return Passages(items, words, vocabulary, grams, of[order], piece[order], place[order])
 
 
 def gram_codes(w: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -154,7 +155,7 @@ def _best(best: dict, first: int, words: np.ndarray, starts: np.ndarray, p: Pass
     d, q, low, high = d[able], q[able], low[able], high[able]
     pairs = [(p.words[k], words[x:y]) for k, x, y in zip(q, low, high, strict=True)]
     for i, k, x, y, score in zip(d, q, low, high, align(pairs), strict=True):
-        key = (first + int(i), int(p.items[k]))
+        key = (first + int(i), p.items[k])
         if score >= min_score and (key not in best or best[key][0] < score):
             best[key] = (float(score), int(x - starts[i]), int(y - starts[i]))
 
@@ -188,10 +189,10 @@ def _blocks(benchmark: DataFrame) -> Iterator[Passages]:
 def leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """doc_id, item_id, score and the window's first and end word of every leak."""
 
-    def pairs(p: Passages) -> Callable:
+    def pairs(held: Broadcast) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                got = find(b.column(1).to_pylist(), p, min_score)
+                got = find(b.column(1).to_pylist(), held.value, min_score)
                 own = b.column(0).take(pa.array([g[0] for g in got], pa.int64()))
                 rest = [pa.array([g[k] for g in got], t) for k, t in ((1, pa.int64()), (2, pa.float64()), (3, pa.int64()), (4, pa.int64()))]
                 yield pa.RecordBatch.from_arrays([own, *rest], ["doc_id", "item_id", "score", "first_word", "end_word"])
@@ -200,7 +201,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE) -
 
     out, rows = None, docs.select(F.col("doc_id").cast("long"), "text")
     for p in _blocks(benchmark):
-        part = rows.mapInArrow(pairs(p), "doc_id long, item_id long, score double, first_word long, end_word long")
+        part = rows.mapInArrow(pairs(docs.sparkSession.sparkContext.broadcast(p)), "doc_id long, item_id long, score double, first_word long, end_word long")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -209,16 +210,16 @@ def clean(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE) -
     """``docs`` without the rows whose text leaks an item; all columns are kept."""
     at = docs.columns.index("text")
 
-    def keep(p: Passages) -> Callable:
+    def keep(held: Broadcast) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 ok = np.ones(b.num_rows, bool)
-                ok[[g[0] for g in find(b.column(at).to_pylist(), p, min_score)]] = False
+                ok[[g[0] for g in find(b.column(at).to_pylist(), held.value, min_score)]] = False
                 yield b.filter(pa.array(ok))
 
         return run
 
     out = docs
     for p in _blocks(benchmark):
-        out = out.mapInArrow(keep(p), docs.schema)
+        out = out.mapInArrow(keep(docs.sparkSession.sparkContext.broadcast(p)), docs.schema)
     return out

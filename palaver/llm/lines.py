@@ -25,7 +25,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import save
+from .shared import save, spare
 
 MIN_WORDS = 8
 #: Bits of the filter that the second scan gets, as a power of two (4 MB).
@@ -208,8 +208,9 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def clean(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` without the lines that go; all columns are kept, and so are rows without text."""
-    gone = repeats(docs, min_words).groupBy("doc_id").agg(F.collect_set("line_no").alias("__gone"))
+    name = spare(docs, "gone")
+    gone = repeats(docs, min_words).groupBy("doc_id").agg(F.collect_set("line_no").alias(name))
     joined = docs.alias("d").join(gone.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")), "left")
-    left = F.filter(F.split("d.text", "\n"), lambda x, i: ~F.array_contains("__gone", i.cast("long")))
-    text = F.when(F.col("__gone").isNull() | F.col("d.text").isNull(), F.col("d.text")).otherwise(F.array_join(left, "\n"))
+    left = F.filter(F.split("d.text", "\n"), lambda x, i: ~F.array_contains(F.col(f"g.{name}"), i.cast("long")))
+    text = F.when(F.col(f"g.{name}").isNull() | F.col("d.text").isNull(), F.col("d.text")).otherwise(F.array_join(left, "\n"))
     return joined.select(*[text.alias("text") if c == "text" else F.col(f"d.{c}") for c in docs.columns])

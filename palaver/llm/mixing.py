@@ -9,19 +9,21 @@ goes to the nearer whole number; what a source then misses, at most half a docum
 the documents settled last, the smallest, brings it nearer.
 
 Defined results: a null or empty text has size 0 and is taken 0 times; a null source is a source of its own, last in
-order; repeated rows are separate documents; an empty table gives an empty result; further columns are ignored.
+order; a null id is an id like any other; repeated rows are separate documents; an empty table gives an empty result; further columns are ignored by
+``mix`` and kept by ``mixed``, whatever they are called.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import save
+from .shared import save, spare
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents a bucket holds on average, and buckets that meet in a node of the tree.
@@ -72,61 +74,86 @@ def pivot(p: float, s: float, q: float, t: float, u: float) -> tuple[float, floa
 
 
 OUT = "bucket long, source string, doc_id long, size long, base long, p double"
+NAMES = ["bucket", "source", "doc_id", "size", "base", "p"]
 EDGE = 1e-12
 
 
-def repair(settled: list[list], lacking: float) -> None:
-    """Turn settled documents over, large ones first, while that brings the source's words nearer to its target."""
-    for row in sorted(settled, key=lambda r: -r[3]):
-        if 0 < row[3] < 2 * abs(lacking) and row[5] == (0.0 if lacking > 0 else 1.0):
-            lacking -= row[3] if lacking > 0 else -row[3]
-            row[5] = 1.0 - row[5]
-
-
-def settle(seed: int, last: bool):
-    """Pivots the rows of each (bucket, source), which arrive together and from large to small documents."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, key, settled, rows = None, None, [], []
-
-        def done(row: list) -> None:
-            row[5] = float(round(row[5]))
-            settled.append(row)
-            if len(settled) > KEPT:
-                rows.append(settled.pop(0))
-
-        def close() -> None:
-            if held is not None and last:
-                nearer = float(held[5] >= 0.5)
-                repair(settled, (held[5] - nearer) * held[3])
-                rows.append([*held[:5], nearer])
-            elif held is not None:
-                rows.append(held)
-            rows.extend(settled)
-            settled.clear()
-
+def repair(settled: list[tuple[int, int, float]], lacking: float) -> dict[int, float]:
+    """Which of some settled documents (row, size, p) to turn over, large ones first, while that brings the source's words nearer to its target."""
+    turned = {}
+    for row, size, p in sorted(settled, key=lambda r: -r[1]):
+        if 0 < size < 2 * abs(lacking) and p == (0.0 if lacking > 0 else 1.0):
+            lacking -= size if lacking > 0 else -size
+            turned[row] = 1.0 - p
+    return turned
+
+
+class Pivots:
+    """Settles the rows of one (bucket, source), which come from large to small documents; rows are numbers of the task's own."""
+
+    def __init__(self, seed: int, last: bool):
+        self.seed, self.last = seed, last
+        self.held: tuple[int, float, int, int] | None = None  # row, p, size, and a number for the draws
+        self.settled: deque[tuple[int, int, float]] = deque(maxlen=KEPT)  # the smallest ones that are settled
+        self.p: dict[int, float] = {}
+
+    def done(self, row: int, size: int, p: float) -> None:
+        p = float(round(p))
+        self.p[row] = p
+        if self.last and size:
+            self.settled.append((row, size, p))
+
+    def take(self, row: int, p: float, size: int, key: int) -> None:
+        if self.held is not None and EDGE < p < 1 - EDGE:
+            other, q, large, own = self.held
+            q, p = pivot(q, large, p, size, uniform(self.seed, own, key))
+            self.held = (other, q, large, own)
+            if not EDGE < q < 1 - EDGE:
+                self.done(other, large, q)
+                self.held = None
+        if self.held is None and EDGE < p < 1 - EDGE:
+            self.held = (row, p, size, key)
+        else:
+            self.done(row, size, p)
+
+    def close(self) -> None:
+        if self.held is not None:
+            row, p, size, _ = self.held
+            if self.last:
+                nearer = float(p >= 0.5)
+                self.p |= repair(list(self.settled), (p - nearer) * size)
+                p = nearer
+            self.p[row] = p
+
+
+def settle(seed: int, last: bool) -> Callable:
+    """Pivots each (bucket, source), whose rows arrive together, from large to small documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[tuple[int, pa.RecordBatch]] = []  # batches with rows that aren't settled, and the first row's number
+        own, group, n = Pivots(seed, last), None, 0
+        settled: dict[int, float] = {}
+
+        def ready(all_: bool) -> Iterator[pa.RecordBatch]:
+            while waiting and (all_ or group_start >= waiting[0][0] + waiting[0][1].num_rows):
+                first, batch = waiting.pop(0)
+                p = [settled.pop(i) for i in range(first, first + batch.num_rows)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(p, pa.float64())], NAMES)
+
+        group_start = 0
         for batch in batches:
-            for row in map(list, batch.itertuples(index=False, name=None)):
-                if key != (row[0], row[1]):
-                    close()
-                    held, key = None, (row[0], row[1])
-                if held is not None and EDGE < row[5] < 1 - EDGE:
-                    held[5], row[5] = pivot(held[5], held[3], row[5], row[3], uniform(seed, int(held[2] or 0), int(row[2] or 0)))
-                    if not EDGE < held[5] < 1 - EDGE:
-                        done(held)
-                        held = None
-                if held is None and EDGE < row[5] < 1 - EDGE:
-                    held = row
-                else:
-                    done(row)
-            yield frame(rows)
-            rows.clear()
-        close()
-        yield frame(rows)
-
-    def frame(rows: list[list]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=["bucket", "source", "doc_id", "size", "base", "p"])
-        return out.astype({"bucket": "int64", "doc_id": "Int64", "size": "int64", "base": "int64", "p": "float64"})
+            waiting.append((n, batch))
+            for key in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 3, 5)), strict=True):
+                if key[:2] != group:
+                    own.close()
+                    settled |= own.p
+                    own, group, group_start = Pivots(seed, last), key[:2], n
+                own.take(n, key[4], key[3], key[2] or 0)
+                n += 1
+            yield from ready(False)
+        own.close()
+        settled |= own.p
+        yield from ready(True)
 
     return run
 
@@ -150,7 +177,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
         dealt = left.repartition(buckets, "bucket").sortWithinPartitions(
             "bucket", "source", F.col("size").desc(), F.xxhash64("doc_id"), "doc_id"
         )
-        out = save(dealt.mapInPandas(settle(seed + level, last), OUT), f"mix-level{level}")
+        out = save(dealt.mapInArrow(settle(seed + level, last), OUT), f"mix-level{level}")
         settled = out.where((F.col("p") == 0) | (F.col("p") == 1))
         done = settled if done is None else done.unionByName(settled)
         if last:
@@ -165,8 +192,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
 
 def mixed(docs: DataFrame, **options: object) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, with all columns. Rows are numbered in a written table."""
-    numbered = save(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    taken = mix(numbered.select(F.col("__row").alias("doc_id"), "source", "text"), **options).where("copies > 0")
-    copies = taken.select(F.col("doc_id").alias("__row"), F.col("copies").cast("int").alias("__copies"))
-    repeated = numbered.join(copies, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return repeated.select(*docs.columns)
+    row = spare(docs, "row")
+    numbered = save(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    taken = mix(numbered.select(F.col(row).alias("doc_id"), "source", "text"), **options).where("copies > 0")
+    copies = taken.select(F.col("doc_id").alias(row), F.sequence(F.lit(1), F.col("copies").cast("int")).alias(spare(docs, "copies")))
+    repeated = numbered.join(copies, row)
+    return repeated.withColumn(row, F.explode(copies.columns[1])).select(*docs.columns)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import save
+from .shared import save, spare
 
 MAX_BITS, SHINGLE, SEED = 3, 3, 42
 #: Entries of a (block, value) group beyond which it is dealt again; words hashed at a time; entries, and pairs of nodes, looked at in one step.
@@ -194,10 +194,11 @@ def representatives(docs: DataFrame) -> DataFrame:
     Rows are numbered in a written table, so that repeated and null ids need no rule of their own; the row with the
     smallest number stays. What goes is usually a small list, which Spark broadcasts only if it is.
     """
-    numbered = save(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    found = near_duplicates(numbered.select(F.col("__row").alias("doc_id"), "text"))
-    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias("__row"))
-    return numbered.join(gone, "__row", "left_anti").select(*docs.columns)
+    row = spare(docs, "row")
+    numbered = save(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(numbered.select(F.col(row).alias("doc_id"), "text"))
+    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias(row))
+    return numbered.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

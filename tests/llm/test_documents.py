@@ -39,8 +39,10 @@ def test_mixing(spark, monkeypatch):
     monkeypatch.setattr(mixing, "FAN_IN", 2)
     r = random.Random(1)
     rows = [(i, " ".join(["w"] * r.randint(0, 40)), r.choice(["a", "b", "ü", "c", None, "hot", "hot", "hot"]), 1) for i in range(400)] + [(1000, None, "a", 1), (7, "x y", "a", 1), (7, "x y", "a", 1), (None, "x", "b", 1), (2000, "", "empty", 1)]
-    docs = frame(spark, rows, "doc_id long, text string, source string, taken int")
+    rows += [(None if i % 5 else (1 << 60) + i, " ".join(["n"] * (i % 7)), r.choice(["hot", "a"]), 1) for i in range(60)]  # null ids among large ones
+    docs = frame(spark, rows, "doc_id long, text string, source string, row int")
     out = mixing.mix(docs).collect()
+    assert sorted(str(x.doc_id) for x in out) == sorted(str(x[0]) for x in rows)
     sizes = {}
     for _, t, s, _ in rows:
         sizes[s] = sizes.get(s, 0) + len((t or "").split())
@@ -63,9 +65,8 @@ def test_mixing(spark, monkeypatch):
 
 
 def test_repair_brings_a_source_nearer():
-    rows = [[0, "a", i, size, 0, p] for i, (size, p) in enumerate([(50, 1.0), (30, 0.0), (8, 0.0), (5, 1.0), (3, 0.0), (0, 0.0)])]
-    mixing.repair(rows, 12.0)
-    assert [r[5] for r in rows] == [1.0, 0.0, 1.0, 1.0, 1.0, 0.0]
+    rows = [(i, size, p) for i, (size, p) in enumerate([(50, 1.0), (30, 0.0), (8, 0.0), (5, 1.0), (3, 0.0), (0, 0.0)])]
+    assert mixing.repair(rows, 12.0) == {2: 1.0, 4: 1.0}
 
 
 def test_pivot_keeps_words_and_expectations():
@@ -185,7 +186,7 @@ def test_pipeline_drops_copies_at_similarity_of_080(spark, monkeypatch, step):
 def test_decontamination(spark):
     r = random.Random(6)
     word = lambda: "".join(r.choice("aeioustrn") for _ in range(r.randint(2, 6)))
-    items = [(i, " ".join(word() for _ in range(r.randint(20, 50)))) for i in range(20)] + [(20, "two words"), (21, None), (22, "")]
+    items = [(i, " ".join(word() for _ in range(r.randint(20, 50)))) for i in range(20)] + [(20, "two words"), (21, None), (22, ""), (None, "an item that has no id of its own at all"), (None, None)]
     rows, want = [], set()
     for i, text in items[:20]:
         words = text.split()
@@ -197,12 +198,13 @@ def test_decontamination(spark):
             want.add((i * 10 + k, i))
         rows.append((i * 10 + 5, f"{filler(200)} {' '.join(words[:4])} {filler(50)}", "x"))
     rows += [(900 + k, items[0][1], "x") for k in range(200)] + [(2000, None, "x"), (2001, "", "x"), (2001, "", "x")]  # one passage in most documents
-    want |= {(900 + k, 0) for k in range(200)}
+    want |= {(900 + k, 0) for k in range(200)} | {(3000, None), (None, None)}
+    rows += [(3000, "so an item that has no id of its own at all comes here", "x"), (None, "an item that has no id of its own at all", "x")]
     docs, benchmark = frame(spark, rows, "doc_id long, text string, item_id string"), spark.createDataFrame(items, "item_id long, text string")
     got = {(x.doc_id, x.item_id) for x in decontaminate.leaks(docs, benchmark).collect()}
     assert got == want
     kept = decontaminate.clean(docs, benchmark)
-    assert kept.columns == docs.columns and sorted(x.doc_id for x in kept.collect()) == sorted(d for d, *_ in rows if d not in {a for a, _ in want})
+    assert kept.columns == docs.columns and sorted(str(x.doc_id) for x in kept.collect()) == sorted(str(d) for d, *_ in rows if d not in {a for a, _ in want})
     assert decontaminate.leaks(docs, benchmark.limit(0)).count() == 0 and decontaminate.leaks(docs.limit(0), benchmark).count() == 0
 
 
