@@ -5,12 +5,14 @@ seed 42, a bit is set if it is set in over half the hashes. Two fingerprints lin
 differing bits.
 
 Equal fingerprints are one entry. With at most 3 differing bits, one of four 16-bit blocks is equal, so each entry is
-dealt to four groups, one per (block, value); a group of over ``SPLIT`` entries is dealt again by the same argument
-over its other 48 bits. Within its groups a task sorts the entries by Gray rank, so that entries which share
-the bits under a mask stand together, and factors the shared patterns into the nodes of a tree, 8 bits a level. Pairs of
-nodes go down the tree with the differences accumulated so far and are dropped as whole groups once these exceed
-the bound; nodes whose entries all lie within it are linked as a whole; nodes already joined are skipped. A group returns at most one
-link per entry, so copies never become pairs.
+dealt to four groups, one per (block, value); groups of over ``SPLIT`` entries are dealt again by the same argument
+over the bits that are left (48, then 36 and 27 of them), as often as there are such groups.
+
+Within its groups a task sorts the entries by Gray rank, so that neighbours differ in few bits, and builds a tree over them: ``FAN`` neighbours are a node, ``FAN``
+neighbouring nodes are one, and so on. A node's mask are the bits that all its entries share, wherever these are, and its pattern is their values: what
+is shared is factored into upper nodes. Pairs of nodes go down the tree; the differences of their patterns under both masks accumulate on the way
+down as masks grow, and pairs are dropped as whole groups once these exceed the bound; nodes whose entries all lie within it are linked as a whole; nodes
+already joined are skipped. A group returns at most one link per entry, so copies never become pairs.
 
 Defined results: null and empty texts and texts of white space have fingerprint zero, linked like any other; repeated
 rows are returned each; a null id takes part but is never a component's id unless all its ids are null; an empty table gives an empty
@@ -19,7 +21,7 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -32,8 +34,8 @@ from .components import components
 from .shared import save, spare
 
 MAX_BITS, SHINGLE, SEED = 3, 3, 42
-#: Entries of a (block, value) group beyond which it is dealt again; words hashed at a time; entries, and pairs of nodes, looked at in one step.
-SPLIT, CHUNK, ENTRIES, PAIRS = 4096, 1 << 16, 1 << 18, 1 << 21
+#: Entries of a group beyond which it is dealt again; children of a node; words hashed at a time; entries, and pairs of nodes, looked at in one step.
+SPLIT, FAN, CHUNK, ENTRIES, PAIRS = 4096, 8, 1 << 16, 1 << 18, 1 << 21
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -88,45 +90,59 @@ def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = up
 
 
-def group_links(group: np.ndarray, f: np.ndarray, bits: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect the entries of each group as all pairs within ``bits`` would; at most one per entry."""
-    order = np.lexsort((gray_rank(f), group))
+class Tree:
+    """Levels of nodes over sorted entries, the roots (one a group) first: first entry, entries, what all entries have and what any has, children."""
+
+    def __init__(self, group: np.ndarray, f: np.ndarray):
+        starts, own = np.arange(len(f)), group
+        self.levels: list[tuple[np.ndarray, ...]] = [self.level(f, starts)]
+        self.child: list[tuple[np.ndarray, np.ndarray]] = []  # first child and number of children
+        while (own[1:] == own[:-1]).any():
+            run = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            place = np.arange(len(own)) - np.repeat(run, np.diff(np.r_[run, len(own)]))
+            first = np.flatnonzero(place % FAN == 0)
+            self.child.insert(0, (first, np.diff(np.r_[first, len(own)])))
+            starts, own = starts[first], own[first]
+            self.levels.insert(0, self.level(f, starts))
+
+    @staticmethod
+    def level(f: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
+        return starts, np.diff(np.r_[starts, len(f)]), np.bitwise_and.reduceat(f, starts), np.bitwise_or.reduceat(f, starts)
+
+
+def group_links(group: np.ndarray, f: np.ndarray, bits: int = MAX_BITS, rank: Callable = gray_rank, looked_at: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect the entries of each group as all pairs within ``bits`` would; at most one per entry. ``looked_at`` gets the pairs of nodes of each step."""
+    order = np.lexsort((rank(f), group))
     g, f = group[order], f[order]
     n = len(f)
     if not n:
         return f, f
-    # levels of the tree: runs of equal group and equal top 0, 8, ..., 64 bits
-    levels = []
-    for top in range(0, 65, 8):
-        masked = f & np.uint64(((1 << top) - 1) << (64 - top))
-        new = np.r_[True, (g[1:] != g[:-1]) | (masked[1:] != masked[:-1])]
-        at = np.flatnonzero(new)
-        levels.append((at, np.diff(np.r_[at, n]), masked[at], np.bitwise_or.reduceat(f, at), np.bitwise_and.reduceat(f, at)))
-    child = []  # first child and number of children
-    for (at, _, *_), (below, *_) in zip(levels, levels[1:], strict=False):
-        first = np.searchsorted(below, at)
-        child.append((first, np.diff(np.r_[first, len(below)])))
+    tree = Tree(g, f)
     label = np.arange(n)
-    roots = np.flatnonzero(levels[0][1] > 1)
+    roots = np.flatnonzero(tree.levels[0][1] > 1)
     stack = [(0, roots, roots)]
     while stack:
-        level, a, b = stack.pop()
+        depth, a, b = stack.pop()
         if not len(a):
             continue
-        first, count = child[level]
+        first, count = tree.child[depth]
         weight = np.cumsum(count[a] * count[b])
         if weight[-1] > PAIRS and len(a) > 1:
             cut = min(max(1, int(np.searchsorted(weight, PAIRS))), len(a) - 1)
-            stack.append((level, a[cut:], b[cut:]))
+            stack.append((depth, a[cut:], b[cut:]))
             a, b = a[:cut], b[:cut]
         x = _spread(first[a], count[a])
         per = np.repeat(count[b], count[a])
         y = _spread(np.repeat(first[b], count[a]), per)
         x = np.repeat(x, per)
-        below, size, pattern, ors, ands = levels[level + 1]
+        below, size, ands, ors = tree.levels[depth + 1]
         keep = (x < y) | ((x == y) & (size[x] > 1))
         x, y = x[keep], y[keep]
-        keep = np.bitwise_count(pattern[x] ^ pattern[y]) <= bits  # differences under the mask, accumulated over the levels
+        if looked_at is not None:
+            looked_at.append(len(x))
+        # bits that all have on one side and none has on the other
+        apart = (ands[x] & ~ors[y]) | (ands[y] & ~ors[x])
+        keep = np.bitwise_count(apart) <= bits
         x, y = x[keep], y[keep]
         i, j = below[x], below[y]
         whole = np.bitwise_count((ors[x] | ors[y]) & ~(ands[x] & ands[y])) <= bits
@@ -141,8 +157,8 @@ def group_links(group: np.ndarray, f: np.ndarray, bits: int = MAX_BITS) -> tuple
             one = np.minimum.reduceat(label, below) == np.maximum.reduceat(label, below)
             keep = ~(one[x] & one[y] & (label[i] == label[j]))
             near = x[keep] == y[keep]
-            stack.append((level + 1, x[keep][~near], y[keep][~near]))
-            stack.append((level + 1, x[keep][near], y[keep][near]))  # within a node first: it joins most
+            stack.append((depth + 1, x[keep][~near], y[keep][~near]))
+            stack.append((depth + 1, x[keep][near], y[keep][near]))  # within a node first: it joins most
     moved = np.flatnonzero(label != np.arange(n))
     return f[moved], f[label[moved]]
 
@@ -165,27 +181,32 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out(keys, codes)
 
 
-def _block(width: int, low: int):
-    return F.shiftrightunsigned("f", low).bitwiseAND(F.lit((1 << width) - 1))
+def _deal(rows: DataFrame, width: int) -> DataFrame:
+    """Rows (f, rest, key) once for each of four blocks of ``rest``'s ``width`` bits, with the bits that are left and a key of the block's value."""
+    dealt = []
+    for low, high in zip((0, width // 4, width // 2, width * 3 // 4), (width // 4, width // 2, width * 3 // 4, width), strict=True):
+        value = F.shiftrightunsigned("rest", low).bitwiseAND(F.lit((1 << (high - low)) - 1))
+        above = F.shiftleft(F.shiftrightunsigned("rest", high), low) if high < 64 else F.lit(0).cast("long")
+        rest = above.bitwiseOR(F.col("rest").bitwiseAND(F.lit((1 << low) - 1)))
+        dealt.append(F.struct(rest.alias("rest"), F.xxhash64("key", F.lit(low), value).alias("key")))
+    return rows.select("f", F.explode(F.array(*dealt)).alias("b")).select("f", "b.rest", "b.key")
 
 
 def links(codes: DataFrame) -> DataFrame:
     """u, v: links that connect distinct codes (column f) as all pairs within MAX_BITS would."""
-    blocks = F.array(*[F.struct(F.lit(i).alias("block"), _block(16, 16 * i).alias("value")) for i in range(4)])
-    dealt = codes.select("f", F.explode(blocks).alias("b")).select("f", (F.col("b.block") * 65536 + F.col("b.value")).alias("k"))
-    sizes = dealt.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    dealt = dealt.join(sizes, "k")  # entries alone in a group have no partner there
-    inner = []
-    for i in range(4):  # the 48 bits beside block i as four blocks of 12, taken from the rotated code
-        turned = F.shiftleft("f", (64 - 16 * (i + 1)) % 64).bitwiseOR(F.shiftrightunsigned("f", 16 * (i + 1))) if i < 3 else F.col("f")
-        parts = [F.lit(j * 4096) + F.shiftrightunsigned(turned, 12 * j).bitwiseAND(F.lit(4095)) for j in range(4)]
-        inner.append((i, F.array(*parts)))
-    again = F.lit(None).cast("array<bigint>")
-    for i, parts in inner:
-        again = F.when(F.floor(F.col("k") / 65536) == i, parts).otherwise(again)
-    again = F.when(F.col("n") > SPLIT, again).otherwise(F.array(F.lit(-1).cast("long")))
-    rows = dealt.select("f", "k", F.explode(again).alias("s")).select((F.col("k") * 16384 + F.col("s") + 1 + F.when(F.col("s") >= 0, F.lit(1 << 40)).otherwise(F.lit(0))).alias("key"), "f")
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_index, "u long, v long")
+    width, done = 64, None
+    rows = codes.select("f", F.col("f").alias("rest"), F.lit(0).cast("long").alias("key"))
+    while True:
+        rows = save(_deal(rows, width), "simhash-dealt")
+        width -= width // 4 if width > 32 else width  # what is left is at most the largest three blocks
+        sizes = save(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "simhash-sizes")  # entries alone in a group have no partner there
+        again = width > 0 and (sizes.agg(F.max("n")).first()[0] or 0) > SPLIT
+        ready = rows.join(sizes.where(F.col("n") <= SPLIT) if again else sizes, "key").select("key", "f")
+        done = ready if done is None else done.unionByName(ready)
+        if not again:
+            break
+        rows = rows.join(sizes.where(F.col("n") > SPLIT), "key").select("f", "rest", "key")
+    return done.repartition("key").sortWithinPartitions("key").mapInArrow(_index, "u long, v long")
 
 
 def representatives(docs: DataFrame) -> DataFrame:
