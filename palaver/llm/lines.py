@@ -1,9 +1,10 @@
 """Line dedup by a deletion-neighbourhood join over words.
 
 A line is its words, joined by one space; blank lines are left alone. Of equal lines the earliest (by doc_id, then line) stays. A
-line of ``MIN_WORDS`` words or more also goes if an earlier line is within one edit of a word (one put in, dropped or changed). All variants within the
+line of ``MIN_WORDS`` words or more also goes if an earlier line, of whatever length, is within one edit of a word (one put in, dropped or changed). All variants within the
 bound, the line itself and the line without each of its words, are emitted as hashed keys; lines that share a key and the deleted place, or
-of which one is whole, are within one edit; that is verified on the words.
+of which one is whole, are within one edit; that is verified on the words. Where that earlier line goes, too, the reason is the line at the end of the
+chain, which stays.
 
 Only lines that can have a partner emit variants: one edit leaves the first or the second half of a line as it is, so lines whose
 halves (for their own length and for one word less) occur in no other line have none. That loses no pair. Halves that lines share are marked in a bitmap
@@ -72,7 +73,7 @@ def _keys(min_words: int) -> Callable:
             rows = []
             for doc_id, i, words in _lines(b):
                 h = _hash(b" ".join(words))
-                new = len(words) >= min_words and h not in seen
+                new = len(words) >= min_words - 1 and h not in seen  # one word less may be a partner's
                 if new:
                     seen.add(h)
                 rows.append((doc_id, i, h, *(halves(words) if new else (None,) * 4)))
@@ -92,7 +93,7 @@ def _hopeful(min_words: int, held: Broadcast) -> Callable:
         for b in batches:
             rows = []
             for doc_id, i, words in _lines(b):
-                if len(words) >= min_words:
+                if len(words) >= min_words - 1:
                     hits = [k for k in halves(words) if bits[(k & MASK) >> 3] >> (k & 7) & 1]
                     if hits:
                         line = b" ".join(words)
@@ -165,8 +166,18 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.filter(pa.array(ok, pa.bool_())).select(["doc_id", "line_no", "kept_doc_id", "kept_line_no"])
 
 
+def ends(near: DataFrame) -> DataFrame:
+    """near_own and near_kept (places), with the end of each chain of them as near_kept. Chains halve with each round, which is a written table."""
+    while True:
+        further = near.select(F.col("near_own").alias("via"), F.col("near_kept").alias("end"))
+        jumped = save(near.join(further, F.col("near_kept").eqNullSafe(F.col("via")), "left").select("near_own", F.coalesce("end", "near_kept").alias("near_kept"), F.col("end").isNotNull().alias("moved")), "line-ends")
+        near = jumped.drop("moved")
+        if jumped.where("moved").isEmpty():
+            return near
+
+
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, line_no, kept_doc_id, kept_line_no and edits (0 or 1) of each line that goes, with an earlier line as the reason."""
+    """doc_id, line_no, kept_doc_id, kept_line_no and edits (0, or 1 for near lines) of each line that goes, with the earlier line that stays for it."""
     texts = docs.select(F.col("doc_id").cast("long"), "text")
     schema = "doc_id long, line_no long, h long, k0 long, k1 long, k2 long, k3 long"
     keys = save(texts.mapInArrow(_keys(min_words), schema), "line-keys")
@@ -190,12 +201,14 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     by_place = emitted.where(less).groupBy("key", "place").agg(F.min(own).alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     changed = emitted.join(by_place, ["key", "place"]).select(own, "kept")
     near = put_in.unionByName(changed).where("kept < own").groupBy("own").agg(F.min("kept").alias("kept"))
+    enough = F.size(F.split("a", " ")) >= min_words
     texts = chosen.select(F.struct("doc_id", "line_no").alias("at"), "line")
-    pairs = near.join(texts.withColumnRenamed("line", "a"), F.col("own").eqNullSafe(F.col("at"))).drop("at")
+    pairs = near.join(texts.withColumnRenamed("line", "a"), F.col("own").eqNullSafe(F.col("at"))).drop("at").where(enough)
     pairs = pairs.join(texts.withColumnRenamed("line", "b"), F.col("kept").eqNullSafe(F.col("at"))).drop("at")
     pairs = pairs.select("own.doc_id", "own.line_no", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.line_no").alias("kept_line_no"), "a", "b")
     verified = pairs.mapInArrow(_verify, "doc_id long, line_no long, kept_doc_id long, kept_line_no long")
     near = save(verified.select(F.struct("doc_id", "line_no").alias("near_own"), F.struct(F.col("kept_doc_id").alias("doc_id"), F.col("kept_line_no").alias("line_no")).alias("near_kept")), "line-near")
+    near = ends(near)
 
     verdict = first.join(near, F.col("first").eqNullSafe(F.col("near_own")), "left").select("h", "first", "near_kept")
     judged = keys.select("h", place.alias("own")).join(verdict, "h")  # a hot line's rows are split

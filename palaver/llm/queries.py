@@ -33,7 +33,7 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line that goes, and the earlier line that stays instead."""
+    """Every line that goes, and the earlier line that stays for it."""
     return lines.repeats(table(spark, sf_dir, "documents"))
 
 
