@@ -9,8 +9,8 @@ hashed shape features hold the shares of the distinct words that end in a symbol
 that repeat the word before, and the share of words that occur again. A lasso leaves most weights at zero, so that long texts
 gather no noise from neutral words.
 
-The model is fitted on at most ``FIT_ROWS`` labelled rows, chosen by a hash of the id; everything else covers all
-rows. Scoring is narrow; only the weights (those that are not zero of ``2 ** BITS``, whatever the corpus) go to the executors.
+The model is fitted on at most ``FIT_ROWS`` labelled rows, chosen by a hash of the id, which have ``FIT_VALUES`` features in all at most (or on the first alone);
+everything else covers all rows. Scoring is narrow; only the weights (those that are not zero of ``2 ** BITS``, whatever the corpus) go to the executors.
 
 Defined results: a null or empty text has score 0 before thresholds (it is graded by the thresholds alone); labels with a
 null are left out, of repeated labels the lowest counts; without any labels nothing is rejected and all probabilities are 1;
@@ -31,9 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import save
+
 BITS, GRADES, MIN_TAIL = 22, 3, 0.6
-#: Labelled rows that the model is fitted on at most; passes over them; lasso; rows of the sample that a feature occurs in at least.
-FIT_ROWS, PASSES, LASSO, MIN_ROWS = 8_000, 150, 1e-3, 3
+#: Labelled rows that the model is fitted on at most, and their features (8 bytes each); passes over them; lasso; rows of the sample that a feature occurs in at least.
+FIT_ROWS, FIT_VALUES, PASSES, LASSO, MIN_ROWS = 8_000, 8_000_000, 150, 1e-3, 3
 STEM = 4
 EDGES = "!?#$%&*|;:~=+<>^@/\\.,()[]{}\"'`-_"
 #: Words whose features a task keeps at hand.
@@ -138,16 +140,22 @@ def graded(labels: DataFrame) -> DataFrame:
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         got = [vector(t) for t in b.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array([i.tolist() for i, _ in got], pa.list_(pa.int32())), pa.array([v.tolist() for _, v in got], pa.list_(pa.float32())), b.column(1)], ["i", "v", "grade"])
+        columns = [pa.array([i.tolist() for i, _ in got], pa.list_(pa.int32())), pa.array([v.tolist() for _, v in got], pa.list_(pa.float32())), b.column(1), b.column(2), b.column(3), pa.array([len(i) for i, _ in got], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["i", "v", "grade", "rank", "tie", "size"])
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Ordinal | None:
     """A model fitted on at most ``rows`` labelled documents; None where there are no labels."""
     sample = graded(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     own = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most ``rows`` pairs of numbers
-    seen = own.select("text", "grade").mapInArrow(_vectors, "i array<int>, v array<float>, grade int").toArrow()
-    if not seen.num_rows:
+    ranked = own.select("text", "grade", F.xxhash64("doc_id").alias("rank"), F.xxhash64("text").alias("tie"))
+    made = save(ranked.mapInArrow(_vectors, "i array<int>, v array<float>, grade int, rank long, tie long, size long"), "quality-vectors")
+    # repeated ids may give more rows than labels: the first ``rows`` again, as far as their features stay within the bound
+    sizes = made.select("rank", "tie", "size").orderBy("rank", "tie", "size").limit(rows).collect()
+    if not sizes:
         return None
+    within = max(1, int(np.searchsorted(np.cumsum([r.size for r in sizes]), FIT_VALUES, side="right")))
+    seen = made.orderBy("rank", "tie", "size").limit(within).select("i", "v", "grade").toArrow()
     lists = [(seen.column(c).combine_chunks()) for c in ("i", "v")]
     ends = lists[0].offsets.to_numpy()
     i, v = (x.values.to_numpy(zero_copy_only=False) for x in lists)
