@@ -121,7 +121,9 @@ def _predictions(ids: np.ndarray, context: np.ndarray) -> np.ndarray:
     same = group[1:] == group[:-1]
     hit = same & (own[1:] == own[:-1])
     at = np.arange(len(ids), dtype=np.int16)
-    missed = np.maximum.accumulate(np.where(np.r_[False, hit], 0, at))
+    missed = at.copy()
+    missed[1:][hit] = 0
+    np.maximum.accumulate(missed, out=missed)
     times = np.minimum(at - missed, 2).astype(U16)
     out = np.full(len(ids), NONE << 2, U16)
     out[order[1:]] = np.where(same, (own[:-1] << 2) + times[:-1] + 1, U16(NONE << 2))
@@ -130,14 +132,16 @@ def _predictions(ids: np.ndarray, context: np.ndarray) -> np.ndarray:
 
 def _modelled(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Context by orders 2 and 1, context by the last two events, and event of each id of a block."""
-    last = np.r_[U16(0), ids[:-1]]
-    before = np.r_[U16(0), last[:-1]]
+    last, before = np.zeros(len(ids), U16), np.zeros(len(ids), U16)
+    last[1:], before[2:] = ids[:-1], ids[:-2]
     e1 = _predictions(ids, last)
     e2 = _predictions(ids, (last * U16(13) + before * U16(601)) & U16((1 << ORDER2_BITS) - 1))
     c1, c2 = e1 >> 2, e2 >> 2
     a = ((e2 & 3) << 3) | ((e1 & 3) << 1) | (c1 == c2)
     event = np.where(c2 == ids, 0, np.where(c1 == ids, 1, 2)).astype(np.int16)
-    b = np.r_[0, event[:-1]] + 3 * np.r_[0, 0, event[:-2]][: len(ids)]
+    b = np.zeros(len(ids), np.int16)
+    b[1:] = event[:-1]
+    b[2:] += 3 * event[:-2]
     return a, b, event
 
 

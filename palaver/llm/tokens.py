@@ -19,6 +19,7 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -102,10 +103,14 @@ class Encoder:
                 self.cores[core] = OTHER
         tokenize = self.library.model.tokenize
         flat, sizes = [], []
+        collects = gc.isenabled()
+        gc.disable()  # the lists hold no cycles
         for piece in pieces:
             own = tokenize(piece)
             sizes.append(len(own))
             flat += [t.id for t in own]
+        if collects:
+            gc.enable()
         first = len(self.starts) - 1
         self.cores.update(zip(held, range(first, first + len(held)), strict=True))
         self.flat = np.r_[self.flat, np.array(flat, np.uint16)]
