@@ -140,6 +140,40 @@ def test_simhash_index(spark, monkeypatch, split):
     assert found == union(len(f), zip(i.tolist(), j.tolist(), strict=True))
 
 
+@pytest.mark.parametrize("n", [1, 2, 8, 9, 64, 65, 500])
+def test_simhash_tree(n):
+    """Nodes hold all entries of their group, and their masks and patterns are what the entries share."""
+    rng = np.random.default_rng(n)
+    group, f = np.sort(rng.integers(0, 3, n)), rng.integers(0, 2**63, n, dtype=np.uint64)
+    tree = simhash.Tree(group, f)
+    assert len(tree.levels) == len(tree.child) + 1 and len(tree.levels[0][0]) == len(np.unique(group))
+    for depth, (starts, sizes, ands, ors) in enumerate(tree.levels):
+        for i in range(len(starts)):
+            own = slice(starts[i], starts[i] + sizes[i])
+            assert len(set(group[own])) == 1 and ands[i] == np.bitwise_and.reduce(f[own]) and ors[i] == np.bitwise_or.reduce(f[own])
+            if depth < len(tree.child):
+                first, count = (x[i] for x in tree.child[depth])
+                assert count <= simhash.FAN and sum(tree.levels[depth + 1][1][first : first + count]) == sizes[i]
+
+
+def test_gray_order_saves_comparisons():
+    """The tree over Gray order looks at fewer pairs of nodes than the same tree over plain order, and far fewer than there are pairs of entries."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 150, dtype=np.uint64)
+    for n, bits, seeds in ((4000, 3, np.repeat(base, 27)[:4000]), (4000, 3, rng.integers(0, 2**24, 4000, dtype=np.uint64))):
+        f = seeds.copy()
+        for _ in range(5):
+            f = f ^ (np.uint64(1) << rng.integers(0, 24, n).astype(np.uint64))
+        f = np.unique(f)
+        pairs, found = {}, {}
+        for name, rank in (("gray", simhash.gray_rank), ("plain", lambda x: x)):
+            counted = []
+            u, v = simhash.group_links(np.zeros(len(f), np.int64), f, bits, rank, counted)
+            at = {int(x): i for i, x in enumerate(f)}
+            pairs[name], found[name] = sum(counted), union(len(f), [(at[int(a)], at[int(b)]) for a, b in zip(u, v, strict=True)])
+        assert found["gray"] == found["plain"] and pairs["gray"] < 0.97 * pairs["plain"] and pairs["gray"] < len(f) ** 2 / 3, pairs
+
+
 def test_components(spark):
     r = random.Random(5)
     pairs = [(r.randrange(60), r.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(40)] + [(200, 201 + i) for i in range(30)]
@@ -295,12 +329,14 @@ def test_lines(spark):
             own.append(" " * r.randint(0, 2) + "  ".join(w))
         rows.append((d, "\n".join(own), 0))
     docs = frame(spark, rows, "doc_id long, text string, line_no int")
-    got = {(x.doc_id, x.line_no) for x in lines.repeats(docs).collect()}
+    found = lines.repeats(docs).collect()
+    got = {(x.doc_id, x.line_no) for x in found}
+    assert all((x.kept_doc_id, x.kept_line_no) not in got and (x.kept_doc_id, x.kept_line_no) < (x.doc_id, x.line_no) for x in found)  # reasons stay
     seen, want = [], set()
     for d, text, _ in sorted(rows):
         for i, line in enumerate((text or "").split("\n")):
             if w := line.split():
-                if any(v == w or min(len(v), len(w)) >= lines.MIN_WORDS and lines.within_one(w, v) for v in seen):
+                if any(v == w or len(w) >= lines.MIN_WORDS and lines.within_one(w, v) for v in seen):
                     want.add((d, i))
                 seen.append(w)
     assert got == want
@@ -312,6 +348,14 @@ def test_lines(spark):
     assert lines.repeats(docs.limit(0)).count() == 0
 
 
+def test_line_chains_and_short_partners(spark):
+    a = "one two three four five six seven eight nine".split()
+    rows = [(1, " ".join(a)), (2, " ".join(["x", *a[1:]])), (3, " ".join(["x", "y", *a[2:]])), (4, " ".join(["x", "y", "z", *a[3:]])), (5, " ".join(a[:7])), (6, " ".join([*a[:7], "more"])), (7, "a b c"), (8, "a b d"), (9, " ".join(["x", "y", "z", *a[3:]]))]
+    got = {(x.doc_id, x.kept_doc_id, x.edits) for x in lines.repeats(frame(spark, rows)).collect()}
+    # the eight words of 6 go for the seven of 5; lines of under eight words go for equal ones only
+    assert got == {(2, 1, 1), (3, 1, 1), (4, 1, 1), (9, 1, 1), (6, 5, 1)}
+
+
 def test_within_one():
     cases = {("a b", "a b"): True, ("a b c", "a c"): True, ("a c", "a b c"): True, ("a b", "a c"): True, ("a b", "b a"): False, ("a", "b c"): False, ("a a", "a a a"): True, ("a b c", "b c d"): False}
     assert {k: lines.within_one(k[0].split(), k[1].split()) for k in cases} == cases
