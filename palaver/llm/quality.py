@@ -1,6 +1,6 @@
 """Quality classifier: ordinal cumulative-link regression on graded ratings.
 
-A document's rating is its grade of ``0 .. GRADES - 1``; for the labels table, ``quality + (1 - toxic)``. One weight vector over hashed
+A document's rating is its grade of ``0 .. GRADES - 1``; for the labels table, 0 if it is toxic, else 1, or 2 if it is of quality. One weight vector over hashed
 words is shared by all grades and ordered thresholds cut the score: P(grade <= k) = sigmoid(threshold_k - score).
 Scoring gives the expected grade and the tail probability P(grade >= top), by which documents are selected.
 
@@ -13,7 +13,7 @@ The model is fitted on at most ``FIT_ROWS`` labelled rows, chosen by a hash of t
 everything else covers all rows. Scoring is narrow; only the weights (those that are not zero of ``2 ** BITS``, whatever the corpus) go to the executors.
 
 Defined results: a null or empty text has score 0 before thresholds (it is graded by the thresholds alone); labels with a
-null are left out, of repeated labels the lowest counts; without any labels nothing is rejected and all probabilities are 1;
+null that leaves the grade open are left out, of repeated labels the lowest counts; without any labels nothing is rejected and all probabilities are 1;
 repeated rows are scored each; an empty table gives an empty result; other columns are passed through by ``select`` and ignored by ``score``.
 """
 
@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 
 from .shared import save
 
-BITS, GRADES, MIN_TAIL = 22, 3, 0.6
+BITS, GRADES, MIN_TAIL = 22, 3, 0.5
 #: Labelled rows that the model is fitted on at most, and their features (8 bytes each); passes over them; lasso; rows of the sample that a feature occurs in at least.
-FIT_ROWS, FIT_VALUES, PASSES, LASSO, MIN_ROWS = 8_000, 8_000_000, 150, 1e-3, 3
+FIT_ROWS, FIT_VALUES, PASSES, LASSO, MIN_ROWS = 8_000, 8_000_000, 400, 1e-3, 3
 STEM = 4
 EDGES = "!?#$%&*|;:~=+<>^@/\\.,()[]{}\"'`-_"
 #: Words whose features a task keeps at hand.
@@ -133,8 +133,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray) -> Ordina
 
 def graded(labels: DataFrame) -> DataFrame:
     """doc_id and grade, one row per labelled document."""
-    grade = F.col("quality").cast("int") + 1 - F.col("toxic").cast("int")
-    return labels.select(F.col("doc_id").alias("doc_id"), grade.alias("grade")).where("doc_id IS NOT NULL AND grade BETWEEN 0 AND 2").groupBy("doc_id").agg(F.min("grade").alias("grade"))
+    grade = F.when(F.col("toxic") == 1, 0).when(F.col("toxic") == 0, F.when(F.col("quality") == 1, 2).when(F.col("quality") == 0, 1))
+    return labels.select(F.col("doc_id").alias("doc_id"), grade.alias("grade")).where("doc_id IS NOT NULL AND grade IS NOT NULL").groupBy("doc_id").agg(F.min("grade").alias("grade"))
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
