@@ -2,30 +2,30 @@
 
 Each block starts from nothing but the list of its distinct ids, which goes before it. Three orders predict an id: the one that
 followed the same two ids last time (order 2), the one that followed the same last id (order 1), and the frequencies of the
-block's ids so far (order 0). An event says which of them gives the id: 0 the prediction of order 2, 1 that of order 1, 2 the
-distribution of order 0. Two adaptive distributions of events, one by how sure orders 2 and 1 have been, one by the last two events, are
-mixed by a weight that follows which of the two gave more to the events so far. Event and order 0 together give one interval of ``2 ** BITS``
-parts to the range coder, which writes 16-bit words; carries are settled when a block ends.
-
-Predictions of orders 1 and 2 are learned with every id, distributions and weights after each segment: ``EVENT_STEP`` ids for
-events, up to ``ORDER0_STEP`` ids for order 0. So the encoder, which knows all ids, finds predictions and events of a whole
-block by sorting, and the decoder's steps stay short. The blocks of a call go in step, one numpy operation for all; that makes no difference to their
-bytes. All numbers are whole and below 2 ** 53, most of them in floating point, which is exact there and faster than 64-bit integers; so encoder and
-decoder agree on every machine.
+block's ids that those two didn't give (order 0). An event says which of them gives the id: 0 the prediction of order 2, 1 that of order 1, 2
+the distribution of order 0. Two adaptive distributions of events, one by how sure orders 2 and 1 have been, one by the last two events, are
+mixed by a weight that follows which of the two gave more to the events so far. Events go to one range coder, the ids of order 0 in turn to ``WAYS`` others,
+which all write 16-bit words; carries are settled when a block ends.
+
+Predictions of orders 1 and 2 are learned with every id, distributions and weights after each segment: ``EVENT_STEP`` events,
+up to ``ORDER0_STEP`` ids of order 0. So the encoder, which knows all ids, finds predictions and events of a whole
+block by sorting, and the decoder's steps stay short: it reads all ids of order 0 before the events. The blocks of a call go in step, one numpy operation for all; that
+makes no difference to their bytes. All numbers are whole and below 2 ** 53, most of them in floating point, which is exact there and faster than 64-bit
+integers; so encoder and decoder agree on every machine.
 """
 
 from __future__ import annotations
 
 import zlib
+from struct import Struct
 
 import numpy as np
 
-#: Digits of the events' shares, of weights, of order 0's shares, and of all.
+#: Digits of the events' shares, of weights, and of order 0's shares.
 EVENT_BITS, WEIGHT_BITS, ORDER0_BITS = 12, 4, 12
-BITS = EVENT_BITS + WEIGHT_BITS + ORDER0_BITS
-ONE, ONE0, WHOLE = 1 << EVENT_BITS, 1 << ORDER0_BITS, float(1 << BITS)
-#: Ids between lessons, and ids of a block at most: order 0 needs a part for each.
-EVENT_STEP, ORDER0_STEP, MOST = 64, 512, 4096
+ONE, ALL, ONE0 = 1 << EVENT_BITS, float(1 << EVENT_BITS + WEIGHT_BITS), 1 << ORDER0_BITS
+#: Events, and ids of order 0, between lessons; coders that take these in turn; ids of a block at most: order 0 needs a part for each.
+EVENT_STEP, ORDER0_STEP, WAYS, MOST = 128, 512, 4, 4096
 CONTEXTS_A, CONTEXTS_B, EVENTS = 32, 9, 3
 #: What an event adds to its count, and where counts are halved.
 COUNT, LIMIT = 4, 1 << 10
@@ -39,23 +39,19 @@ FULL, HALF, WORD = float(1 << 48), float(1 << 32), float(1 << 16)
 #: A prediction that held is surer by one, 3 at most.
 UP = np.arange(1 << 16, dtype=U16)
 UP += UP & 3 != 3
+#: Of a block: bytes of its list, distinct ids, ids of order 0, and words of each coder but the last.
+HEAD = Struct(f"<{3 + WAYS}H")
 
 
-class Lessons:
-    """What blocks learn by segments: distributions of events, their weight, and frequencies of ids."""
+class Events:
+    """What blocks learn of events: two distributions and their weight."""
 
-    def __init__(self, sizes: np.ndarray):
-        self.lanes, self.most, self.sizes = len(sizes), int(sizes.max()), sizes
-        lane = np.arange(self.lanes)
-        self.base_a, self.base_b, self.base0 = lane * CONTEXTS_A, lane * CONTEXTS_B, lane * self.most
-        self.count_a = np.ones((EVENTS, self.lanes * CONTEXTS_A), np.int32)
-        self.count_b = np.ones((EVENTS, self.lanes * CONTEXTS_B), np.int32)
-        self.weight = np.full(self.lanes, 1 << (WEIGHT_BITS - 1), np.int64)
-        #: Of order 0: 1 where the lane has an id, and occurrences.
-        self.have = (np.arange(self.most) < sizes[:, None]).astype(np.int32)
-        self.count0 = np.zeros((self.lanes, self.most), np.int32)
+    def __init__(self, lanes: int):
+        self.lanes, lane = lanes, np.arange(lanes)
+        self.base_a, self.base_b = lane * CONTEXTS_A, lane * CONTEXTS_B
+        self.count_a, self.count_b = (np.ones((EVENTS, lanes * n), np.int32) for n in (CONTEXTS_A, CONTEXTS_B))
+        self.weight = np.full(lanes, 1 << (WEIGHT_BITS - 1), np.int64)
         self.distributions()
-        self.frequencies()
 
     def distributions(self) -> None:
         """Ends of the first two events' shares by context, as one complex number, each distribution times its weight."""
@@ -65,37 +61,18 @@ class Lessons:
             second = scaled[0] + scaled[1]
             self.shares.append((scaled[0], scaled[1], ONE - second))
             both = np.empty((self.lanes, count.shape[1] // self.lanes), np.complex128)
-            part = (weight * float(ONE0))[:, None]
-            np.multiply(scaled[0].reshape(both.shape), part, out=both.real)
-            np.multiply(second.reshape(both.shape), part, out=both.imag)
+            np.multiply(scaled[0].reshape(both.shape), weight[:, None], out=both.real)
+            np.multiply(second.reshape(both.shape), weight[:, None], out=both.imag)
             packed.append(both.ravel())
         self.a, self.b = packed
 
-    def frequencies(self) -> None:
-        """Where each id's share of order 0 begins, and how large it is, as one complex number."""
-        total = self.count0.sum(1)
-        scale = np.where(total > 0, ((ONE0 - self.sizes) << 12) // np.maximum(1, total), 0)
-        share = ((self.count0 * scale[:, None]) >> 12).astype(np.int32) + self.have
-        share[np.arange(self.lanes), self.sizes - 1] += ONE0 - share.sum(1)  # the last id takes what rounding left
-        self.share0 = share.ravel()
-        both = np.empty(share.shape, np.complex64)
-        both.real, both.imag = np.cumsum(share, axis=1, dtype=np.int32) - share, share
-        self.both0 = both.ravel()
-
     def mixed(self, ia: np.ndarray, ib: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ends of the first two events' shares, in parts of the whole."""
+        """Ends of the first two events' shares."""
         both = self.a.take(ia)
         both += self.b.take(ib)
         return both.real, both.imag
 
-    @staticmethod
-    def interval(first: np.ndarray, second: np.ndarray, part: np.ndarray, one: np.ndarray, rest: np.ndarray, both0: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and size of the parts of ids: those of order 0 (rest; each of its shares is ``part``), of order 1 (one), or else of order 2."""
-        begin = both0.real * part
-        begin += second
-        return np.where(rest, begin, np.where(one, first, 0.0)), np.where(rest, both0.imag * part, np.where(one, second - first, first))
-
-    def learn_events(self, ia: np.ndarray, ib: np.ndarray, event: np.ndarray) -> None:
+    def learn(self, ia: np.ndarray, ib: np.ndarray, event: np.ndarray) -> None:
         """Contexts and events of a segment; (ids, lanes)."""
         costs = []
         for count, shares, at, contexts in ((self.count_a, self.shares[0], ia, CONTEXTS_A), (self.count_b, self.shares[1], ib, CONTEXTS_B)):
@@ -108,10 +85,94 @@ class Lessons:
         np.clip(self.weight, 1, (1 << WEIGHT_BITS) - 1, out=self.weight)
         self.distributions()
 
-    def learn_ids(self, ids: np.ndarray) -> None:
-        """Ids of a segment by their place in the block's list; (ids, lanes)."""
-        self.count0 += np.bincount((self.base0 + ids).ravel(), minlength=self.count0.size).reshape(self.count0.shape).astype(np.int32)
-        self.frequencies()
+
+class Frequencies:
+    """What blocks learn of order 0."""
+
+    def __init__(self, sizes: np.ndarray):
+        self.lanes, self.most, self.sizes = len(sizes), int(sizes.max()), sizes
+        self.base = np.arange(self.lanes) * self.most
+        #: 1 where the lane has an id, and occurrences.
+        self.have = (np.arange(self.most) < sizes[:, None]).astype(np.int32)
+        self.count = np.zeros((self.lanes, self.most), np.int32)
+        self.shared()
+
+    def shared(self) -> None:
+        """Where each id's share begins, and how large it is, as one complex number."""
+        total = self.count.sum(1)
+        scale = np.where(total > 0, ((ONE0 - self.sizes) << 12) // np.maximum(1, total), 0)
+        share = ((self.count * scale[:, None]) >> 12).astype(np.int32) + self.have
+        share[np.arange(self.lanes), self.sizes - 1] += ONE0 - share.sum(1)  # the last id takes what rounding left
+        self.share = share.ravel()
+        both = np.empty(share.shape, np.complex64)
+        both.real, both.imag = np.cumsum(share, axis=1, dtype=np.int32) - share, share
+        self.both = both.ravel()
+
+    def learn(self, ids: np.ndarray) -> None:
+        """Ids of a segment by their place in the block's list; (lanes, ids)."""
+        self.count += np.bincount((self.base[:, None] + ids).ravel(), minlength=self.count.size).reshape(self.count.shape).astype(np.int32)
+        self.shared()
+
+
+class Writer:
+    """Range coders that go in step."""
+
+    def __init__(self, lanes: int, steps: int):
+        self.low, self.width = np.zeros(lanes), np.full(lanes, FULL - 1)
+        self.stride = steps + 3  # no step narrows an interval by more than a word
+        self.words = np.zeros(lanes * self.stride, np.uint32)
+        self.first = np.arange(lanes) * self.stride
+        self.used = self.first.copy()
+
+    def put(self, start: np.ndarray, size: np.ndarray, whole: float) -> None:
+        """Narrow the intervals step by step; (steps, lanes), in parts of ``whole``."""
+        low, width, words, used = self.low, self.width, self.words, self.used
+        for s, z in zip(start, size, strict=True):
+            width *= 1 / whole
+            np.floor(width, out=width)
+            s *= width
+            low += s
+            width *= z
+            narrow = width < HALF
+            if narrow.any():
+                word = np.floor(low * (1 / HALF))
+                words[used] = word  # stays only where it is passed over
+                used += narrow
+                np.multiply(width, WORD, out=width, where=narrow)
+                word *= HALF
+                word *= narrow
+                low -= word
+                np.multiply(low, WORD, out=low, where=narrow)
+
+    def close(self) -> tuple[np.ndarray, np.ndarray]:
+        """All words (lanes, words) and how many each lane has. Two more words name a place within the interval, whatever follows them."""
+        last = (self.low.astype(np.int64) + 0xFFFF) >> 16
+        self.words[self.used], self.words[self.used + 1] = last >> 16, last & 0xFFFF
+        used = self.used + 2 - self.first
+        words = self.words.reshape(len(used), self.stride)[:, : int(used.max())]
+        if (words >> 16).any():
+            by_place = np.ascontiguousarray(words.T)
+            for t in range(len(by_place) - 1, 0, -1):  # carries, from the end of each lane to its beginning
+                by_place[t - 1] += by_place[t] >> np.uint32(16)
+            words = by_place.T
+        return words.astype("<u2"), used
+
+
+class Reader:
+    """The same, from words that each begin at their own place."""
+
+    def __init__(self, words: np.ndarray, at: np.ndarray):
+        self.words, self.width = words, np.full(len(at), FULL - 1)
+        self.code = words[at] * HALF + words[at + 1] * WORD + words[at + 2]
+        self.at = at + 3
+
+    def fill(self) -> None:
+        narrow = self.width < HALF
+        if narrow.any():
+            np.multiply(self.width, WORD, out=self.width, where=narrow)
+            np.multiply(self.code, WORD, out=self.code, where=narrow)
+            np.add(self.code, self.words.take(self.at, mode="clip"), out=self.code, where=narrow)
+            self.at += narrow
 
 
 def _predictions(ids: np.ndarray, context: np.ndarray) -> np.ndarray:
@@ -176,65 +237,55 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
     if any(not 0 < len(b) <= MOST for b in blocks):
         raise ValueError(f"a block holds 1 to {MOST} ids")
     n, steps = len(blocks), max(map(len, blocks))
-    ids, a, b, event = (np.zeros((n, steps), np.int16) for _ in range(4))
-    sizes, heads, seen, rank = np.zeros(n, np.int64), [], np.zeros(1 << 16, bool), np.zeros(1 << 16, U16)
+    a, b, event = (np.zeros((n, steps), np.int16) for _ in range(3))
+    sizes, heads, given = np.zeros(n, np.int64), [], []
+    seen, rank = np.zeros(1 << 16, bool), np.zeros(1 << 16, U16)
     length = np.array([len(x) for x in blocks])
     for k, block in enumerate(blocks):
         sizes[k], local, head = _listed(block, seen, rank)
         heads.append(head)
         own = slice(0, len(block))
-        ids[k, own] = local
         a[k, own], b[k, own], event[k, own] = _modelled(local)
-    lessons = Lessons(sizes)
-    low, width = np.zeros(n), np.full(n, FULL - 1)
-    stride = 2 * steps + 2
-    words = np.zeros(n * stride, np.uint32)
-    lane = np.arange(n)
-    used = lane * stride
-    learned, short = 0, int(length.min())
+        given.append(local[event[k, own] == 2])
+
+    events, writer, short = Events(n), Writer(n, steps), int(length.min())
     for at in range(0, steps, EVENT_STEP):
         part = slice(at, min(steps, at + EVENT_STEP))
-        own, kind = (np.ascontiguousarray(x[:, part].T) for x in (ids, event))
-        ia, ib = lessons.base_a + a[:, part].T, lessons.base_b + b[:, part].T
-        first, second = lessons.mixed(ia, ib)
-        start, size = lessons.interval(first, second, (WHOLE - second) * (1 / ONE0), kind == 1, kind == 2, lessons.both0.take(lessons.base0 + own))
+        kind = np.ascontiguousarray(event[:, part].T)
+        ia, ib = events.base_a + a[:, part].T, events.base_b + b[:, part].T
+        first, second = events.mixed(ia, ib)
+        rest, one = kind == 2, kind == 1
+        start = np.where(rest, second, np.where(one, first, 0.0))
+        size = np.where(rest, ALL - second, np.where(one, second - first, first))
         if part.stop > short:
             over = np.arange(part.start, part.stop)[:, None] >= length
-            start[over], size[over] = 0, WHOLE
-        for s, z in zip(start, size, strict=True):
-            width *= 1 / WHOLE
-            np.floor(width, out=width)
-            s *= width
-            low += s
-            width *= z
-            for _ in range(2):  # a part is 2 ** -28 of the interval at least
-                narrow = width < HALF
-                if not narrow.any():
-                    break
-                word = np.floor(low * (1 / HALF))
-                words[used] = word  # stays only where it is passed over
-                used += narrow
-                np.multiply(width, WORD, out=width, where=narrow)
-                word *= HALF
-                word *= narrow
-                low -= word
-                np.multiply(low, WORD, out=low, where=narrow)
-        if part.stop in STEPS:
-            lessons.learn_ids(ids[:, learned : part.stop].T)
-            learned = part.stop
-        lessons.learn_events(ia, ib, kind)
-    # two more words name a place within the interval, whatever follows them
-    last = (low.astype(np.int64) + 0xFFFF) >> 16
-    words[used], words[used + 1] = last >> 16, last & 0xFFFF
-    used += 2 - lane * stride
-    words = words.reshape(n, stride)[:, : int(used.max())]
-    if (words >> 16).any():
-        by_place = np.ascontiguousarray(words.T)
-        for t in range(len(by_place) - 1, 0, -1):  # carries, from the end of each block to its beginning
-            by_place[t - 1] += by_place[t] >> np.uint32(16)
-        words = by_place.T
-    small = words.astype("<u2")
-    return [len(h).to_bytes(2, "little") + int(z).to_bytes(2, "little") + h + small[k, : used[k]].tobytes() for k, (h, z) in enumerate(zip(heads, sizes, strict=True))]
+            start[over], size[over] = 0, ALL
+        writer.put(start, size, ALL)
+        events.learn(ia, ib, kind)
+    streams = [writer.close()]
+
+    many = np.array([len(g) for g in given])
+    turns = max(1, -(-int(many.max()) // WAYS))
+    ids = np.zeros((n, turns * WAYS), U16)
+    for k, own in enumerate(given):
+        ids[k, : len(own)] = own
+    frequencies, writer, at = Frequencies(sizes), Writer(n * WAYS, turns), 0
+    while at < turns * WAYS:
+        stop = min(turns * WAYS, next((s for s in STEPS if s > at), MOST))
+        own = ids[:, at:stop]
+        both = frequencies.both.take(frequencies.base[:, None] + own)
+        both[np.arange(at, stop) >= many[:, None]] = complex(0, ONE0)
+        both = both.reshape(n, -1, WAYS).transpose(1, 0, 2).reshape(-1, n * WAYS)
+        writer.put(both.real.astype(np.float64), both.imag.astype(np.float64), float(ONE0))
+        frequencies.learn(own)
+        at = stop
+    words, used = writer.close()
+    streams += [(words[k::WAYS], used[k::WAYS]) for k in range(WAYS)]
+    out = []
+    for k, head in enumerate(heads):
+        lengths = [int(u[k]) for _, u in streams]
+        out.append(HEAD.pack(len(head), sizes[k], many[k], *lengths[:-1]) + head + b"".join(w[k, :u].tobytes() for (w, _), u in zip(streams, lengths, strict=True)))
+    return out
 
 
 @np.errstate(invalid="ignore", over="ignore", divide="ignore")  # beyond the end of blocks, and in damaged ones
@@ -242,36 +293,65 @@ def decode(coded: list[bytes], lengths: list[int]) -> list[np.ndarray]:
     """The ids of each block."""
     if not coded:
         return []
-    known, streams = [], []
+    known, bodies, many, begins, place = [], [], [], [], 0
     for c, length in zip(coded, lengths, strict=True):
-        head, size = int.from_bytes(c[:2], "little"), int.from_bytes(c[2:4], "little")
-        if not 0 < size <= length <= MOST or len(c) < 8 + head:
+        if len(c) < HEAD.size:
+            raise ValueError("a block's head is damaged")
+        head, size, own, *used = HEAD.unpack_from(c)
+        body = c[HEAD.size + head :]
+        if not 0 < size <= length <= MOST or own > length or 2 * sum(used) > len(body):
             raise ValueError("a block's head is damaged")
-        known.append(_unlisted(c[4 : 4 + head], size))
-        streams.append(c[4 + head :])
+        known.append(_unlisted(c[HEAD.size : HEAD.size + head], size))
+        bodies.append(body[: len(body) // 2 * 2])
+        many.append(own)
+        begins.append(place + np.cumsum([0, *used]))
+        place += len(body) // 2
     n, steps = len(coded), max(lengths)
     sizes = np.array([len(k) for k in known], np.int64)
-    words = np.frombuffer(b"".join(s[: len(s) // 2 * 2] for s in streams) + bytes(8), "<u2")
-    at_word = np.cumsum([0, *(len(s) // 2 for s in streams[:-1])])
-    code = words[at_word] * HALF + words[at_word + 1] * WORD + words[at_word + 2]
-    at_word += 3
-    lessons = Lessons(sizes)
-    width = np.full(n, FULL - 1)
+    words, begin = np.frombuffer(b"".join(bodies) + bytes(8), "<u2"), np.array(begins)
     lane = np.arange(n)
-    base0, base2, base_slot = lane * lessons.most, lane << ORDER2_BITS, lane << ORDER0_BITS
-    table1, table2 = np.full(n * lessons.most, NONE << 2, U16), np.full(n << ORDER2_BITS, NONE << 2, U16)
-    every = np.tile(np.arange(lessons.most, dtype=U16), n)
-    slots = np.repeat(every, lessons.share0)
+
+    # the ids of order 0
+    turns = max(1, -(-max(many) // WAYS))
+    frequencies, reader = Frequencies(sizes), Reader(words, begin[:, 1:].ravel())
+    every = np.tile(np.arange(frequencies.most, dtype=U16), n)
+    slots, base_slot, base = np.repeat(every, frequencies.share), np.repeat(lane << ORDER0_BITS, WAYS), np.repeat(frequencies.base, WAYS)
+    given = np.empty((turns, n, WAYS), U16)
+    learned = 0
+    for t in range(turns):
+        width, code = reader.width, reader.code
+        width *= 1 / ONE0
+        np.floor(width, out=width)
+        # a quotient that isn't whole is off a whole number by 2 ** -36 at least, and both are exact, so its floor is
+        inside = (code / width).astype(np.int64)
+        inside += base_slot
+        mine = slots.take(inside, mode="clip")
+        both = frequencies.both.take(base + mine)
+        code -= both.real * width
+        width *= both.imag
+        reader.fill()
+        given[t] = mine.reshape(n, WAYS)
+        if (t + 1) * WAYS in STEPS:
+            frequencies.learn(given[learned : t + 1].transpose(1, 0, 2).reshape(n, -1))
+            slots = np.repeat(every, frequencies.share)
+            learned = t + 1
+    given = given.transpose(1, 0, 2).ravel()
+    at_given = lane * (turns * WAYS)
+
+    # the events, and so all ids
+    events, reader = Events(n), Reader(words, begin[:, 0])
+    base1, base2 = frequencies.base, lane << ORDER2_BITS
+    table1, table2 = np.full(n * frequencies.most, NONE << 2, U16), np.full(n << ORDER2_BITS, NONE << 2, U16)
     ids = np.zeros((steps, n), U16)
     a, b, event = (np.zeros((EVENT_STEP, n), np.int64) for _ in range(3))
     last, before, old = np.zeros(n, U16), np.zeros(n, U16), np.zeros(n, np.int64)
-    history, lane_end = np.zeros(n, np.int64), (sizes - 1).astype(U16)
-    learned, mask = 0, U16((1 << ORDER2_BITS) - 1)
+    history, lane_end, mask = np.zeros(n, np.int64), (sizes - 1).astype(U16), U16((1 << ORDER2_BITS) - 1)
+    width, code = reader.width, reader.code
     for t in range(steps):
         row = t % EVENT_STEP
         now, ia, ib, kind = ids[t], a[row], b[row], event[row]
-        np.add(lessons.base_b, history, out=ib)
-        i1 = base0 + last
+        np.add(events.base_b, history, out=ib)
+        i1 = base1 + last
         i2 = last * U16(13)
         i2 += before
         i2 &= mask
@@ -283,35 +363,23 @@ def decode(coded: list[bytes], lengths: list[int]) -> list[np.ndarray]:
         sure |= e1 & 3
         sure <<= 1
         sure |= c1 == c2
-        np.add(lessons.base_a, sure, out=ia)
-        first, second = lessons.mixed(ia, ib)
-        part = WHOLE - second
-        part *= 1 / ONE0
-        width *= 1 / WHOLE
+        np.add(events.base_a, sure, out=ia)
+        first, second = events.mixed(ia, ib)
+        width *= 1 / ALL
         np.floor(width, out=width)
-        # quotients are off a whole number by 2 ** -20 at least where they aren't one, so their floors are exact
-        at = code / width
-        one, rest = at >= first, at >= second
-        at -= second
-        at /= part
-        inside = at.astype(np.int64)
-        inside += base_slot
-        mine = slots.take(inside, mode="clip")
-        start, size = lessons.interval(first, second, part, one, rest, lessons.both0.take(base0 + mine))
-        np.minimum(np.where(rest, mine, np.where(one, c1, c2)), lane_end, out=now)  # damaged blocks may name what there isn't
-        start *= width
+        first = first * width
+        second = second * width
+        one, rest = code >= first, code >= second
+        start = np.where(one, first, 0.0)
+        np.copyto(start, second, where=rest)
+        end = np.where(one, second, first)
+        width *= ALL
+        np.copyto(end, width, where=rest)
         code -= start
-        width *= size
-        for _ in range(2):
-            narrow = width < HALF
-            if not narrow.any():
-                break
-            np.multiply(width, WORD, out=width, where=narrow)
-            np.multiply(code, WORD, out=code, where=narrow)
-            np.add(code, words.take(at_word, mode="clip"), out=code, where=narrow)
-            at_word += narrow
-        else:
-            np.maximum(width, HALF, out=width)  # these too
+        np.subtract(end, start, out=width)
+        reader.fill()
+        np.minimum(np.where(rest, given.take(at_given, mode="clip"), np.where(one, c1, c2)), lane_end, out=now)  # damaged blocks may name what there isn't
+        at_given += rest
         np.add(one, rest, out=kind, dtype=np.int64)
         history = old + kind
         old = 3 * kind
@@ -321,10 +389,6 @@ def decode(coded: list[bytes], lengths: list[int]) -> list[np.ndarray]:
         table2[i2] = np.where(c2 == now, UP.take(e2), fresh)
         before, last = last * U16(601), now
         if row == EVENT_STEP - 1:
-            if t + 1 in STEPS:
-                lessons.learn_ids(ids[learned : t + 1])
-                slots = np.repeat(every, lessons.share0)
-                learned = t + 1
-            lessons.learn_events(a, b, event)
+            events.learn(a, b, event)
     by_lane = np.ascontiguousarray(ids.T)
     return [k[by_lane[i, :length]].astype(U16) for i, (k, length) in enumerate(zip(known, lengths, strict=True))]

@@ -5,8 +5,8 @@ texts with the tokenizers library, appends the end id to each, cuts the stream i
 ``coder`` each from a fresh state, and writes one file to the shared folder. A file that a lost task left is not in the
 manifest, which Spark commits; each attempt has a file name of its own.
 
-File: ``PALID2\\n``; then sections, each a 4-byte kind, a length (u64) and that many bytes: ``BLKS`` has for each block its ids, bytes
-and the crc32 of its ids (u32 each), then the blocks' bytes; ``DOCS`` has the documents' ids, nulls, and lengths
+File: ``PALID3\\n``; then sections, each a 4-byte kind, a length (u64) and that many bytes: ``BLKS`` has for each block how many ids and bytes it has
+and the crc32 of its bytes and of its ids (u32 each), then the blocks' bytes; ``DOCS`` has the documents' ids, nulls, and lengths
 (zlib), with a crc32 before. Every block can be decoded by itself.
 
 Where white space never joins tokens in the vocabulary's rules, a word's ids are the same in any text: words are encoded once by the
@@ -40,13 +40,14 @@ from pyspark.sql import functions as F
 from . import coder
 from .shared import filesystem, save, scratch
 
-MAGIC, END, OTHER = b"PALID2\n", 1, -1
+MAGIC, END, OTHER = b"PALID3\n", 1, -1
 #: What a splitter's pattern that never crosses white space begins with: words, digits, and whatever is neither.
 SPLIT = r"[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 #: Ids in a block; blocks that go in step; words kept at hand; bytes of texts whose words are looked up together.
 BLOCK, LANES, MEMO, STEP = 4096, 1024, 800_000, 16 << 20
 #: Letters of one code point that stay as they are but for case.
 LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+ALL_LETTERS = string.ascii_letters + "".join(chr(c) for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7))
 SMALL = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
 
 
@@ -116,37 +117,37 @@ class Encoder:
         self.flat = np.r_[self.flat, np.array(flat, np.uint16)]
         self.starts = np.r_[self.starts, self.starts[-1] + np.cumsum(sizes, dtype=np.int64)]
 
-    def units(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of units (words, words of letters, what follows these) one after another, where each begins, and which two of them each of the distinct words is made of."""
+    def of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words, one after another, and where each word's begin and the last one's end.
+
+        A word is one or two units: a core of letters and what follows it, or the whole word.
+        """
         if len(self.cores) > MEMO or len(self.words) > MEMO:
             self.forget()
-        n = len(words)
-        if self.by_model:
-            core = pc.ascii_rtrim(words, characters=string.punctuation)  # after letters these are one token of their own
-            distinct = core.dictionary_encode()
-            cores = distinct.dictionary.to_pylist()
+        if not self.by_model:
+            own = list(map(self.word, words.to_pylist()))
+            return np.frombuffer(b"".join(own), "<u2"), np.r_[0, np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) // 2)]
+        core = pc.ascii_rtrim(words, characters=string.punctuation)  # after letters these are one token of their own
+        distinct = core.dictionary_encode()
+        cores = distinct.dictionary.to_pylist()
+        found = list(map(self.cores.get, cores))
+        if None in found:
+            self.learn([c for c, k in zip(cores, found, strict=True) if k is None])
             found = list(map(self.cores.get, cores))
-            if None in found:
-                self.learn([c for c, k in zip(cores, found, strict=True) if k is None])
-                found = list(map(self.cores.get, cores))
-            first = np.array(found, np.int64)[distinct.indices.to_numpy()]
-            longer = pc.binary_length(words).to_numpy() > pc.binary_length(core).to_numpy()
-            held = np.flatnonzero(longer & (first != OTHER))
-            whole = np.flatnonzero(first == OTHER)
-        else:
-            first, held, whole = np.empty(n, np.int64), np.empty(0, np.int64), np.arange(n)
-        known = len(self.starts) - 1
-        others: dict[str, int] = {"": known}
-        second = np.full(n, known)
-        if len(held):
-            sizes = pc.binary_length(core.take(pa.array(held))).to_numpy()
-            second[held] = [others.setdefault(w[k:].decode(), known + len(others)) for w, k in zip(words.take(pa.array(held)).cast(pa.binary()).to_pylist(), sizes.tolist(), strict=True)]
-        if len(whole):
-            first[whole] = [others.setdefault(w, known + len(others)) for w in words.take(pa.array(whole)).to_pylist()]
+        first = np.array(found, np.int64)[distinct.indices.to_numpy()]
+        longer = pc.binary_length(words).to_numpy() > pc.binary_length(core).to_numpy()
+        known, others = len(self.starts) - 1, [""]
+        second = np.full(len(words), known)
+        for held, unit, of in ((np.flatnonzero(longer & (first != OTHER)), second, lambda w: pc.utf8_ltrim(w, characters=ALL_LETTERS)), (np.flatnonzero(first == OTHER), first, lambda w: w)):
+            if len(held):
+                rest = of(words.take(pa.array(held))).dictionary_encode()
+                unit[held] = known + len(others) + rest.indices.to_numpy()
+                others += rest.dictionary.to_pylist()
         got = list(map(self.word, others))
         flat = np.r_[self.flat, np.frombuffer(b"".join(got), "<u2")]
         starts = np.r_[self.starts, self.starts[-1] + np.cumsum(np.fromiter(map(len, got), np.int64, len(got)) // 2)]
-        return flat, starts, first, second
+        ids, ends = gathered(flat, starts, np.column_stack([first, second]).ravel())
+        return ids, np.r_[0, ends[1::2]]
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and how many each has."""
@@ -158,19 +159,18 @@ class Encoder:
             texts = pc.ascii_lower(texts)  # as the normalizer does; the marks that the library takes for special ones could come to be otherwise
         lists = pc.ascii_split_whitespace(texts)
         words = lists.flatten().dictionary_encode()
-        flat, starts, first, second = self.units(words.dictionary)
-        index = words.indices.to_numpy()
-        # most words have no second unit
-        parts, doubled = first[index], second != len(self.starts) - 1
-        at = np.flatnonzero(doubled[index])
-        parts = np.insert(parts, at + 1, second[index[at]])
-        many = (starts[1:] - starts[:-1])[parts]
-        ends = np.cumsum(many)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = flat[np.repeat(starts[parts] - (ends - many), many) + np.arange(total)]
+        flat, starts = self.of_words(words.dictionary)
+        ids, ends = gathered(flat, starts, words.indices.to_numpy())
         bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        bounds = np.r_[0, ends][bounds + np.searchsorted(at, bounds)]
-        return ids, np.diff(bounds)
+        return ids, np.diff(np.r_[0, ends][bounds])
+
+
+def gathered(flat: np.ndarray, starts: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of some parts (part k is flat[starts[k] : starts[k + 1]]), one after another, and where each ends."""
+    many = (starts[1:] - starts[:-1])[parts]
+    ends = np.cumsum(many)
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.repeat(starts[parts] - (ends - many), many) + np.arange(total)], ends
 
 
 def parted(rules: dict) -> bool:
@@ -209,22 +209,24 @@ def section(kind: bytes, body: bytes) -> bytes:
 
 def pack(blocks: list[np.ndarray]) -> bytes:
     coded = coder.encode(blocks)
-    heads = [struct.pack("<III", len(b), len(c), zlib.crc32(b.astype("<u4").tobytes())) for b, c in zip(blocks, coded, strict=True)]
+    heads = [struct.pack("<IIII", len(b), len(c), zlib.crc32(c), zlib.crc32(b.astype("<u4").tobytes())) for b, c in zip(blocks, coded, strict=True)]
     return section(b"BLKS", struct.pack("<I", len(blocks)) + b"".join(heads) + b"".join(coded))
 
 
 def unpack(body: bytes) -> list[np.ndarray]:
     """The blocks of a section; raises ValueError where a checksum differs."""
     (n,) = struct.unpack_from("<I", body)
-    heads = [struct.unpack_from("<III", body, 4 + 12 * i) for i in range(n)]
-    at, coded = 4 + 12 * n, []
-    for _, size, _ in heads:
+    heads = [struct.unpack_from("<IIII", body, 4 + 16 * i) for i in range(n)]
+    at, coded = 4 + 16 * n, []
+    for _, size, crc, _ in heads:
         coded.append(body[at : at + size])
         at += size
+        if zlib.crc32(coded[-1]) != crc:
+            raise ValueError("a block's bytes differ from their checksum")
     blocks = coder.decode(coded, [h[0] for h in heads])
-    for b, (_, _, crc) in zip(blocks, heads, strict=True):
+    for b, (*_, crc) in zip(blocks, heads, strict=True):
         if zlib.crc32(b.astype("<u4").tobytes()) != crc:
-            raise ValueError("a block's checksum differs")
+            raise ValueError("a block's ids differ from their checksum")
     return blocks
 
 
