@@ -44,7 +44,7 @@ MAGIC, END, OTHER = b"PALID3\n", 1, -1
 #: What a splitter's pattern that never crosses white space begins with: words, digits, and whatever is neither.
 SPLIT = r"[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 #: Ids in a block; blocks that go in step; words kept at hand; bytes of texts whose words are looked up together.
-BLOCK, LANES, MEMO, STEP = 4096, 1024, 800_000, 16 << 20
+BLOCK, LANES, MEMO, STEP = 4096, 1024, 500_000, 8 << 20
 #: Letters of one code point that stay as they are but for case.
 LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 ALL_LETTERS = string.ascii_letters + "".join(chr(c) for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7))
@@ -167,10 +167,15 @@ class Encoder:
 
 def gathered(flat: np.ndarray, starts: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Values of some parts (part k is flat[starts[k] : starts[k + 1]]), one after another, and where each ends."""
+    starts = starts.astype(np.int32)  # there are far fewer values than that
     many = (starts[1:] - starts[:-1])[parts]
-    ends = np.cumsum(many)
-    total = int(ends[-1]) if len(ends) else 0
-    return flat[np.repeat(starts[parts] - (ends - many), many) + np.arange(total)], ends
+    ends = np.cumsum(many, dtype=np.int32)
+    shift = starts[parts]
+    shift -= ends
+    shift += many
+    at = np.repeat(shift, many)
+    at += np.arange(len(at), dtype=np.int32)
+    return flat[at], ends
 
 
 def parted(rules: dict) -> bool:
