@@ -19,6 +19,9 @@ FEW_RULES, FEW_RULES_TURNS, SHOWN_RULES, SHOWN_RULE_LENGTH = 3, 10, 5, 72
 MAX_INPUT_CHARS, WARN_INPUT_CHARS = 2_000_000, 5 * 1024 * 1024
 CLOSERS = ")]\"'’”"
 CONTAINER_KEYS = ("messages", "conversation", "chat_messages", "turns")
+#: Terms that keep a long sentence whole.
+SAFETY_TERMS = ("hate crime", "physical safety", "jeopardy", "endangered", "anti-trans")
+#: Terms for which a rule is made if none has been found.
 PROTECTED_TERMS = ("anti-trans hate crime", "physical safety", "jeopardy from an")
 #: What each strength does to older turns.
 PRESCRIPTIONS = {
@@ -37,8 +40,9 @@ TAGS = (
     r"|<local-command(?:-caveat|-stdout|-stderr)?>.*?</local-command(?:-caveat|-stdout|-stderr)?>"
     r"|<command-(?:name|message|args)>.*?</command-(?:name|message|args)>"
 )
-#: Ends of both: what comes after the last of them can't be removed.
-THINKING_END, TAGS_END = r"(?is)\A.*</think(?:ing)?>", r"(?s)\A.*</(?:system-reminder|local-command(?:-caveat|-stdout|-stderr)?|command-(?:name|message|args))>"
+#: What the patterns above join: flags, and the names that open and close a block of each kind.
+THINKING_KINDS = ("i", ("thinking", "think"))
+TAG_KINDS = ("", ("system-reminder", "local-command(?:-caveat|-stdout|-stderr)?", "command-(?:name|message|args)"))
 #: A line of at most 200 characters and the same line below it; replaced from the left, so a run of n leaves its first, third, ...
 LINE_PAIR = r"(?dm)^([^\S\n]*+)(\S(?:[^\n]{0,198}\S)?)([^\S\n]*+)\n[^\S\n]*+\2[^\S\n]*+$"
 MORE_FIRST = r"\A(?:[^\S\n]*+Show more[^\S\n]*+(?:\n|\z))++"

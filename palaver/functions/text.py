@@ -1,7 +1,8 @@
 """Column expressions over message texts. All are built-in functions, so plans stay in the JVM.
 
 A null text gives a null, or an empty array; an empty one is a text like any other. Where pieces of a text have to be told from the text itself, Unicode's
-noncharacters U+FDD0 to U+FDD2, which no text may hold, stand between them; ``compress`` and the parser of pasted text drop them from their input.
+noncharacters U+FDD0 to U+FDD2, which no text may hold, stand between them; ``compress`` and the parser of pasted text drop them from their input, and ``without``
+behind a "<".
 """
 
 from __future__ import annotations
@@ -31,10 +32,32 @@ def unmarked(c: Column) -> Column:
     return F.translate(c, "".join(MARKS), "")
 
 
-def without(c: Column, pattern: str, end: str) -> Column:
-    """Text without what the pattern finds, which ends as ``end`` says: only what comes before the last such end is searched."""
-    head = lambda h: F.concat(F.regexp_replace(h, pattern, ""), F.substring(c, F.length(h) + 1, F.length(c)))
-    return F.when(F.contains(c, F.lit("</")), let(F.regexp_extract(c, end, 0), head)).otherwise(c)
+def without(c: Column, pattern: str, kinds: tuple[str, tuple[str, ...]]) -> Column:
+    """Text without what the pattern finds: blocks from a start tag to the next end tag of its kind.
+
+    A start tag behind the last end tag of its kind is held back first. So every start that the pattern tries has an end, which it goes to once: the time is
+    linear, whatever tags there are and however they are mixed.
+    """
+    flags, names = kinds
+
+    def held(name: str) -> Callable[[Column], Column]:
+        last = rf"(?s{flags})\A.*</{name}>"
+        behind = lambda t, h: F.regexp_replace(F.substring(t, F.length(h) + 1, F.length(t)), rf"(?{flags or 's'})<(?={name}>)", f"<{MARKS[0]}")
+        return lambda t: let(F.regexp_extract(t, last, 0), lambda h: F.concat(h, behind(t, h)))
+
+    marked = c
+    for name in names:
+        marked = let(marked, held(name))
+    return F.when(F.contains(c, F.lit("</")), F.replace(F.regexp_replace(marked, pattern, ""), F.lit(f"<{MARKS[0]}"), F.lit("<"))).otherwise(c)
+
+
+def holds(c: Column, kinds: tuple[str, tuple[str, ...]]) -> Column:
+    """Whether a text has a block from a start tag to an end tag of its kind; in linear time."""
+    flags, names = kinds
+    out = F.lit(False)
+    for name in names:
+        out = out | F.regexp_extract(c, rf"(?s{flags})\A.*</{name}>", 0).rlike(rf"(?{flags or 's'})<{name}>")
+    return out
 
 
 def tokens(c: Column) -> Column:
@@ -48,11 +71,11 @@ def normal_role(raw: Column) -> Column:
 
 
 def strip_thinking(c: Column) -> Column:
-    return strip(without(c, P.THINKING, P.THINKING_END))
+    return strip(without(c, P.THINKING, P.THINKING_KINDS))
 
 
 def strip_tags(c: Column) -> Column:
-    return strip(without(c, P.TAGS, P.TAGS_END))
+    return strip(without(c, P.TAGS, P.TAG_KINDS))
 
 
 def strip_ui_artifacts(c: Column) -> Column:
@@ -123,14 +146,14 @@ def unit_sentences(c: Column) -> Column:
     return let(sentence_units(c), sentences)
 
 
-def protected(c: Column, terms: tuple[str, ...] = P.PROTECTED_TERMS) -> Column:
+def protected(c: Column, terms: tuple[str, ...] = P.SAFETY_TERMS) -> Column:
     out = F.lit(False)
     for term in terms:
         out = out | F.contains(F.lower(c), F.lit(term.lower()))
     return out
 
 
-def trim_rule(sentence: Column, terms: tuple[str, ...] = P.PROTECTED_TERMS, most: int = P.MAX_RULE_LENGTH) -> Column:
+def trim_rule(sentence: Column, terms: tuple[str, ...] = P.SAFETY_TERMS, most: int = P.MAX_RULE_LENGTH) -> Column:
     """A sentence that is too long is cut at a word, near the trigger if that would be lost; the ellipsis counts. Protected ones stay whole."""
 
     def around(s: Column) -> Column:

@@ -14,7 +14,7 @@ from palaver.functions import text as T
 from palaver.operators.turns import beside
 
 
-def rule_sentences(turns: DataFrame, terms: tuple[str, ...] = P.PROTECTED_TERMS) -> DataFrame:
+def rule_sentences(turns: DataFrame, terms: tuple[str, ...] = P.SAFETY_TERMS) -> DataFrame:
     """conv_id, pos, kind (0 correction, 1 implicit), unit_no, rule: every sentence with a trigger. Narrow.
 
     A trigger counts within the unit (up to a full stop or line end) that holds it, or across full stops of a line; that sentence goes from the unit in which the
@@ -32,7 +32,7 @@ def rule_sentences(turns: DataFrame, terms: tuple[str, ...] = P.PROTECTED_TERMS)
     return every.select("conv_id", "pos", "kind", "unit_no", T.trim_rule(F.col("sentence"), terms).alias("rule"))
 
 
-def extract_rules(turns: DataFrame, most: int = P.MAX_RULES, terms: tuple[str, ...] = P.PROTECTED_TERMS) -> DataFrame:
+def extract_rules(turns: DataFrame, most: int = P.MAX_RULES, terms: tuple[str, ...] = P.SAFETY_TERMS) -> DataFrame:
     """conv_id, rule_pos, rule, rule_key: distinct rules of each conversation in order, the first ``most``."""
     found = rule_sentences(turns, terms).where((F.length("rule") >= P.MIN_RULE_LENGTH) & ((F.length("rule") <= P.MAX_RULE_LENGTH) | T.protected(F.col("rule"), terms)))
     keyed = found.withColumn("rule_key", T.space_key(F.lower("rule")))

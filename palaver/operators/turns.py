@@ -102,7 +102,7 @@ def summary_columns(content: Column) -> list[Column]:
 
 
 def noise_columns(content: Column) -> list[Column]:
-    return [F.count_if(content.rlike(P.THINKING)).alias("thinking_turns"), F.count_if(content.rlike(P.TAGS)).alias("tag_turns")]
+    return [F.count_if(T.holds(content, P.THINKING_KINDS)).alias("thinking_turns"), F.count_if(T.holds(content, P.TAG_KINDS)).alias("tag_turns")]
 
 
 def conversation_summary(turns: DataFrame) -> DataFrame:

@@ -1,10 +1,13 @@
 """Text functions against values derived by hand."""
 
+import random
+import re
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from palaver.functions import patterns as P
 from palaver.functions import text as T
 
 
@@ -27,6 +30,40 @@ def test_thinking_and_tags(spark):
     assert apply(spark, T.strip_tags, text) == ["km<System-Reminder>z</System-Reminder>"]
 
 
+KINDS = {
+    "thinking": re.compile(r"<thinking>.*?</thinking>|<think>.*?</think>", re.S | re.I),
+    "tags": re.compile(r"<system-reminder>.*?</system-reminder>|<local-command(?:-caveat|-stdout|-stderr)?>.*?</local-command(?:-caveat|-stdout|-stderr)?>|<command-(?:name|message|args)>.*?</command-(?:name|message|args)>", re.S),
+}
+
+
+def test_blocks_of_mixed_tags(spark):
+    """Nested, crossing, unclosed and foreign tags go as the lazy patterns say."""
+    r = random.Random(8)
+    pieces = ["<system-reminder>", "</system-reminder>", "<local-command>", "</local-command-stdout>", "<local-command-caveat>", "<command-name>", "</command-args>", "<thinking>", "</thinking>", "<THINK>", "</think>", "x", "\n", "< "]
+    texts = ["".join(r.choice(pieces) for _ in range(r.randint(0, 25))) for _ in range(2000)]
+    for kind, strip, kinds in (("thinking", T.strip_thinking, P.THINKING_KINDS), ("tags", T.strip_tags, P.TAG_KINDS)):
+        assert apply(spark, strip, *texts) == [KINDS[kind].sub("", t).strip() for t in texts]
+        assert apply(spark, lambda c, k=kinds: T.holds(c, k), *texts) == [bool(KINDS[kind].search(t)) for t in texts]
+
+
+def test_a_megabyte_of_tags_without_ends(spark):
+    cases = ["<system-reminder>" * 60_000 + "</command-name>", "<thinking>" * 100_000 + "</think>", "<command-name><system-reminder>" * 30_000 + "</command-args>", "<think><thinking>" * 60_000 + "</think>"]
+    rows = spark.createDataFrame([(c,) for c in cases], "c string").repartition(1)
+    apply(spark, lambda c: F.struct(T.strip_thinking(c), T.strip_tags(c)), "warm")
+    began = time.time()
+    found = rows.select(*[F.length(f(F.col("c"))).alias(f"n{i}") for i, f in enumerate((T.strip_thinking, T.strip_tags))], T.holds(F.col("c"), P.TAG_KINDS).alias("h")).collect()
+    assert time.time() - began < 5
+    assert sorted(map(tuple, found)) == sorted((len(KINDS["thinking"].sub("", c)) if i == 3 else len(c), 0 if i == 2 else len(c), i == 2) for i, c in enumerate(cases))
+
+
+def test_safety_terms_keep_long_sentences_whole(spark):
+    filler = "word " * 250
+    for term in ("hate crime", "physical safety", "jeopardy", "Endangered", "anti-trans"):
+        assert apply(spark, T.trim_rule, f"never {filler}{term} {filler}end.") == [f"never {filler}{term} {filler}end."]
+    cut = apply(spark, T.trim_rule, f"never {filler}end.")[0]
+    assert len(cut) <= 800 and cut.endswith("…") and cut.startswith("never word")
+
+
 def reference_ui(text):
     out, lines, i = [], text.split("\n"), 0
     while i < len(lines):
