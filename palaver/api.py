@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from palaver.functions import patterns as P
@@ -12,10 +12,14 @@ from palaver.plans import prune as plans
 from palaver.sources import transcripts
 
 
-def load(spark: SparkSession, paths: str | list[str], most: int | None = None) -> DataFrame:
-    """Turns of files; inputs of over ``most`` characters are left out."""
-    raw = transcripts.read_files(spark, paths)
-    return transcripts.parse(transcripts.within_limit(raw, most) if most else raw)
+def load(spark: SparkSession, paths: str | list[str], most: int | None = P.MAX_INPUT_CHARS) -> DataFrame:
+    """Turns of files; inputs of over ``most`` characters are refused, with None none is."""
+    return transcripts.load(spark, paths, most)[0]
+
+
+def load_with_rejects(spark: SparkSession, paths: str | list[str], most: int | None = P.MAX_INPUT_CHARS, observation: Observation | None = None, warn: int = P.WARN_INPUT_CHARS) -> tuple[DataFrame, DataFrame]:
+    """Turns of files, and whatever is no turn with the reason; an action over the turns tells ``observation`` the sizes of the inputs, and how many have over ``warn`` characters."""
+    return transcripts.load(spark, paths, most, observation=observation, warn=warn)
 
 
 def diagnose_conversation(turns: DataFrame, verbatim: int = P.VERBATIM_TURNS) -> DataFrame:
@@ -31,6 +35,11 @@ def create_briefing(turns: DataFrame, verbatim: int = P.VERBATIM_TURNS, prescrip
     return plans.briefing(turns, verbatim, prescription, stamp)
 
 
+def write_briefings(turns: DataFrame, path: str, verbatim: int = P.VERBATIM_TURNS, prescription: str = "aggressive", stamp: str | None = None) -> None:
+    """Briefings of conversations of any length, in parts (conv_id, part, text), as the current result at ``path``."""
+    plans.write_briefings(turns, path, verbatim, prescription, stamp)
+
+
 def extract_rules(turns: DataFrame, store: RuleStore | None = None, review: bool = False) -> tuple[DataFrame, DataFrame | None]:
     """Rules with the forced ones, merged into ``store`` if given, and flags of near duplicates if asked for."""
     rules = R.extract_rules(turns)

@@ -6,7 +6,7 @@ rules are left out of merges; empty tables give empty results; further columns a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palaver.functions import patterns as P
@@ -14,28 +14,42 @@ from palaver.functions import text as T
 from palaver.operators.turns import beside
 
 
-def rule_sentences(turns: DataFrame, terms: tuple[str, ...] = P.SAFETY_TERMS) -> DataFrame:
-    """conv_id, pos, kind (0 correction, 1 implicit), unit_no, rule: every sentence with a trigger. Narrow.
+def sentences(c: Column, terms: tuple[str, ...] = P.SAFETY_TERMS) -> Column:
+    """kind (0 correction, 1 implicit), unit_no and rule of every sentence of a text with a trigger.
 
     A trigger counts within the unit (up to a full stop or line end) that holds it, or across full stops of a line; that sentence goes from the unit in which the
     trigger begins to the one in which it ends. A unit with both kinds is a correction.
     """
-    c = F.col("content")
-    users = turns.where(F.col("role") == "user").where(c.rlike(P.CORRECTION) | c.rlike(P.IMPLICIT_CORRECTION))
     kind = lambda u: F.when(u.rlike(P.CORRECTION), 0).when(u.rlike(P.IMPLICIT_CORRECTION), 1)
     found = lambda kind, unit_no, sentence: F.struct(kind.alias("kind"), unit_no.cast("int").alias("unit_no"), sentence.alias("sentence"))
     paired = F.arrays_zip(T.sentence_units(c).alias("unit"), T.unit_sentences(c).alias("sentence"))
     units = F.filter(F.transform(paired, lambda u, i: found(kind(u["unit"]), i, u["sentence"])), lambda x: x["kind"].isNotNull())
     before = lambda x: F.size(T.sentence_units(F.substring(c, F.lit(1), F.instr(c, x) - 1))) - 1
     across = F.transform(F.regexp_extract_all(c, F.lit(P.ACROSS), F.lit(0)), lambda x: found(F.lit(0), before(x), T.strip(x)))
-    every = users.select("conv_id", "pos", F.explode(F.concat(units, across)).alias("u")).select("conv_id", "pos", "u.kind", "u.unit_no", "u.sentence")
-    return every.select("conv_id", "pos", "kind", "unit_no", T.trim_rule(F.col("sentence"), terms).alias("rule"))
+    return F.transform(F.concat(units, across), lambda u: F.struct(u["kind"].alias("kind"), u["unit_no"].alias("unit_no"), T.trim_rule(u["sentence"], terms).alias("rule")))
+
+
+def correcting(turns: DataFrame) -> DataFrame:
+    """Turns of users with a trigger."""
+    return turns.where(F.col("role") == "user").where(F.col("content").rlike(P.CORRECTION) | F.col("content").rlike(P.IMPLICIT_CORRECTION))
+
+
+def is_rule(rule: Column, terms: tuple[str, ...] = P.SAFETY_TERMS) -> Column:
+    return (F.length(rule) >= P.MIN_RULE_LENGTH) & ((F.length(rule) <= P.MAX_RULE_LENGTH) | T.protected(rule, terms))
+
+
+def rule_key(rule: Column) -> Column:
+    return T.space_key(F.lower(rule))
+
+
+def rule_sentences(turns: DataFrame, terms: tuple[str, ...] = P.SAFETY_TERMS) -> DataFrame:
+    """conv_id, pos, kind, unit_no, rule: every sentence with a trigger. Narrow."""
+    return correcting(turns).select("conv_id", "pos", F.explode(sentences(F.col("content"), terms)).alias("u")).select("conv_id", "pos", "u.kind", "u.unit_no", "u.rule")
 
 
 def extract_rules(turns: DataFrame, most: int = P.MAX_RULES, terms: tuple[str, ...] = P.SAFETY_TERMS) -> DataFrame:
     """conv_id, rule_pos, rule, rule_key: distinct rules of each conversation in order, the first ``most``."""
-    found = rule_sentences(turns, terms).where((F.length("rule") >= P.MIN_RULE_LENGTH) & ((F.length("rule") <= P.MAX_RULE_LENGTH) | T.protected(F.col("rule"), terms)))
-    keyed = found.withColumn("rule_key", T.space_key(F.lower("rule")))
+    keyed = rule_sentences(turns, terms).where(is_rule(F.col("rule"), terms)).withColumn("rule_key", rule_key(F.col("rule")))
     first = keyed.groupBy("conv_id", "rule_key").agg(F.min(F.struct("pos", "kind", "unit_no", "rule")).alias("first"))
     order = Window.partitionBy("conv_id").orderBy(F.col("first.pos").asc_nulls_last(), "first.kind", "first.unit_no")
     ranked = first.withColumn("rule_pos", F.row_number().over(order)).where(F.col("rule_pos") <= most)

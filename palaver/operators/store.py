@@ -1,13 +1,16 @@
 """The rule store: versions of a small table, each with a manifest that is written last, and an audit log.
 
-A version counts once its manifest is there and its checksum holds; otherwise the version before it does. So a save that is cut
-off changes nothing, and earlier versions are the backups. A store holds ``STORE_HARD_MAX`` rules at most, so its checks run on the driver.
+A version counts once its manifest is there and its checksum holds; otherwise the version before it does. So a save that is cut off changes nothing, and earlier versions are the
+backups. A manifest is created once (``sinks.once``): of savers who merge into the same version one gets the next number, and the others load what it saved and merge again,
+so no rule is lost. A store holds ``STORE_HARD_MAX`` rules at most, so its checks run on the driver.
 """
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 import json
+import uuid
 import warnings
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,12 +19,11 @@ from pyspark.sql import types as S
 from pyspark.sql.utils import AnalysisException
 
 from palaver.functions import patterns as P
+from palaver.functions import text as T
 from palaver.operators.rules import merge_rules
+from palaver.sinks.once import Folder, name_of, number_of
 
 RULES = S.StructType([S.StructField("rule", S.StringType()), S.StructField("first_seen_seq", S.LongType())])
-MANIFEST = "version long, n long, checksum string, saved_at timestamp"
-#: Versions, from the latest on, among which one that is whole is looked for.
-LOOKED_AT = 50
 
 
 def checksum(rules: list[str]) -> str:
@@ -32,33 +34,34 @@ class RuleStore:
     def __init__(self, spark: SparkSession, path: str, most: int = P.STORE_RULES):
         self.spark, self.path, self.most = spark, path.rstrip("/"), min(most, P.STORE_HARD_MAX)
 
-    def _rows(self, version: int) -> list[tuple[str, int]]:
-        rows = self.spark.read.schema(RULES).parquet(f"{self.path}/rules/v{version:09d}").orderBy("first_seen_seq").collect()
-        return [(r[0], r[1]) for r in rows]
+    def _manifests(self) -> Folder:
+        return Folder(self.spark, f"{self.path}/manifest")
 
-    def _manifests(self) -> list[tuple]:
-        try:
-            found = self.spark.read.schema(MANIFEST).parquet(f"{self.path}/manifest").orderBy(F.col("version").desc())
-            return found.select("version", "n", "checksum", "saved_at").limit(LOOKED_AT).collect()
-        except AnalysisException:
-            return []
+    def _rows(self, folder: str) -> list[tuple[str, int]]:
+        rows = self.spark.read.schema(RULES).parquet(f"{self.path}/rules/{folder}").orderBy("first_seen_seq").collect()
+        return [(r[0], r[1]) for r in rows]
 
     def load(self) -> DataFrame:
         """rule and first_seen_seq of the latest version that is whole; empty if there is none."""
         return self.spark.createDataFrame(self._load()[1], RULES)
 
     def _load(self) -> tuple[int, list[tuple[str, int]]]:
-        for version, n, digest, _ in self._manifests():
+        """The latest version's number, whole or not, and the rules of the latest that is whole."""
+        manifests = self._manifests()
+        names = sorted(((number_of(n), n) for n in manifests.names()), reverse=True)
+        latest = max([0, *(number for number, _ in names)])
+        for _, name in names:
             try:
-                rows = self._rows(version)
-            except AnalysisException:
+                told = json.loads(manifests.text(name))
+                rows = self._rows(told["folder"])
+            except (AnalysisException, ValueError, KeyError, TypeError):
                 continue
-            if len(rows) == n and checksum([r[0] for r in rows]) == digest:
+            if len(rows) == told["n"] and checksum([r[0] for r in rows]) == told["checksum"]:
                 longest = max((len(r[0]) for r in rows if r[0] is not None), default=0)
                 if longest > P.STORE_WARN_LENGTH:
                     warnings.warn(f"the rule store holds a rule of {longest} characters", stacklevel=3)
-                return version, [r for r in rows if r[0] is not None][: self.most]
-        return 0, []
+                return latest, [r for r in rows if r[0] is not None][: self.most]
+        return latest, []
 
     @staticmethod
     def refusal(old: list[str], new: list[str]) -> str | None:
@@ -81,21 +84,33 @@ class RuleStore:
 
     def merge(self, rules: DataFrame) -> str | None:
         """Merge rules (columns rule, seq) into the store; the reason if nothing was saved."""
-        version, old = self._load()
-        merged = merge_rules(rules, self.spark.createDataFrame(old, RULES), self.most).orderBy("first_seen_seq").collect()
-        reason = self.refusal([r[0] for r in old], [r[0] for r in merged])
-        if reason is None:
-            self._save(max([version, *(m[0] for m in self._manifests())]) + 1, [(r[0], r[1]) for r in merged])
+        rules = self.spark.createDataFrame(self._wanted(rules), "rule string, seq long")
+        while True:
+            version, old = self._load()
+            merged = merge_rules(rules, self.spark.createDataFrame(old, RULES), self.most).orderBy("first_seen_seq").collect()
+            reason = self.refusal([r[0] for r in old], [r[0] for r in merged])
+            if reason or self._save(version + 1, [(r[0], r[1]) for r in merged]):
+                break
         self._audit("refused: " + reason if reason else "saved", len(merged))
         return reason
 
-    def _save(self, version: int, rows: list[tuple[str, int]]) -> None:
-        digest = checksum([r[0] for r in rows])
-        self.spark.createDataFrame(rows, RULES).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/rules/v{version:09d}")
-        if checksum([r[0] for r in self._rows(version)]) != digest:
+    def _wanted(self, rules: DataFrame) -> list[tuple[str, int]]:
+        """Those of the rules that can find a place, the first of them: no more than a full store and as many others."""
+        own = rules.select(T.strip(F.col("rule")).alias("rule"), F.col("seq").cast("long").alias("seq")).where("rule != ''")
+        first = own.groupBy("rule").agg(F.min("seq").alias("seq")).orderBy("seq", "rule").limit(2 * P.STORE_HARD_MAX)
+        return [(r["rule"], r["seq"]) for r in first.collect()]
+
+    def _save(self, version: int, rows: list[tuple[str, int]]) -> bool:
+        """Write the rows, read them again, and make them the version of this number; false if another saver has."""
+        digest, folder = checksum([r[0] for r in rows]), f"v{version:09d}-{uuid.uuid4().hex}"
+        self.spark.createDataFrame(rows, RULES).coalesce(1).write.parquet(f"{self.path}/rules/{folder}")
+        if checksum([r[0] for r in self._rows(folder)]) != digest:
             raise RuntimeError("the rule store differs from what was written")
-        manifest = self.spark.range(1).select(F.lit(version).cast("long").alias("version"), F.lit(len(rows)).cast("long").alias("n"), F.lit(digest).alias("checksum"), F.current_timestamp().alias("saved_at"))
-        manifest.write.mode("append").parquet(f"{self.path}/manifest")
+        saved_at = datetime.datetime.now(datetime.timezone.utc).isoformat()
+        if self._manifests().create(name_of(version), json.dumps({"version": version, "n": len(rows), "checksum": digest, "folder": folder, "saved_at": saved_at})):
+            return True
+        Folder(self.spark, f"{self.path}/rules").delete(folder)
+        return False
 
     def _audit(self, action: str, n: int) -> None:
         row = self.spark.range(1).select(F.current_timestamp().alias("at"), F.lit(action).alias("action"), F.lit(n).cast("long").alias("n"), F.lit(self.most).cast("long").alias("most"))

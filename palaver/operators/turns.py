@@ -62,6 +62,24 @@ def largest_turns(turns: DataFrame, n: int = 5) -> DataFrame:
     return sized.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
+def running_parts(turns: DataFrame, size: Column, most: int, block: int = 64, region: int = 4096) -> DataFrame:
+    """conv_id, block and part: consecutive turns, by blocks of places, in parts of about ``most`` of ``size`` each.
+
+    Sums run over blocks within a region and over regions, so that no task holds more than a region's blocks or a conversation's regions; texts don't travel.
+    """
+    at = block_of(block)
+    blocks = turns.groupBy("conv_id", at.alias("block")).agg(F.sum(size).alias("n")).withColumn("region", F.floor(F.col("block") / region))
+    regions = blocks.groupBy("conv_id", "region").agg(F.sum("n").alias("m"))
+    up_to = lambda *keys: Window.partitionBy("conv_id", *keys[:-1]).orderBy(F.col(keys[-1]).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    regions = regions.withColumn("start", F.coalesce(F.sum("m").over(up_to("region")), F.lit(0))).drop("m")
+    own = blocks.withColumn("own", F.coalesce(F.sum("n").over(up_to("region", "block")), F.lit(0)))
+    return beside(own, regions, "conv_id", "region").select("conv_id", "block", F.floor((F.col("start") + F.col("own")) / most).alias("part"))
+
+
+def block_of(block: int) -> Column:
+    return F.floor(F.col("pos") / block)
+
+
 def repeated_parts(turns: DataFrame, content: Column) -> DataFrame:
     """conv_id, pos and, in order, the places of long chunks that occurred before: earlier in the turn or in an earlier turn of the conversation.
 

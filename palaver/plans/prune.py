@@ -10,13 +10,14 @@ Defined results are those of ``operators.turns``; a conversation whose turns hav
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palaver.functions import patterns as P
 from palaver.functions import text as T
 from palaver.operators import rules as R
 from palaver.operators import turns as O
+from palaver.sinks import outputs
 
 
 def of(prescription: str) -> set[str]:
@@ -70,8 +71,8 @@ def rules_of(turns: DataFrame) -> DataFrame:
     return R.extract_rules(turns).groupBy("conv_id").agg(F.transform(ordered, lambda x: x["rule"]).alias("rules"))
 
 
-def measured(turns: DataFrame, verbatim: int, prescriptions: list[str], *more: Column) -> DataFrame:
-    """One row per conversation: turns and tokens before, and for each prescription p ``turns_p`` and ``tokens_p`` after; ``more`` aggregates of the same rows.
+def measured(turns: DataFrame, verbatim: int, prescriptions: list[str], *more: Column, by: tuple[str, ...] = ("conv_id",)) -> DataFrame:
+    """One row per conversation (or what else ``by`` says): turns and tokens before, and for each prescription p ``turns_p`` and ``tokens_p`` after; ``more`` aggregates of the same rows.
 
     Prescriptions that take the same steps before compressing share their rows.
     """
@@ -82,7 +83,7 @@ def measured(turns: DataFrame, verbatim: int, prescriptions: list[str], *more: C
     for p in prescriptions:
         rows = rows.withColumn(f"left_{p}", content_of(of(p)))
     after = [c for p in prescriptions for c in (F.count(f"left_{p}").alias(f"turns_{p}"), F.coalesce(F.sum(T.tokens(F.col(f"left_{p}")) * F.when(F.col(f"left_{p}").isNotNull(), 1)), F.lit(0)).cast("long").alias(f"tokens_{p}"))]
-    return rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("orig_turns"), F.sum(T.tokens(F.col("content"))).alias("orig_tokens"), *after, *more)
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("orig_turns"), F.sum(T.tokens(F.col("content"))).alias("orig_tokens"), *after, *more)
 
 
 def stats_columns(prescription: str, verbatim: int) -> list[Column]:
@@ -160,22 +161,80 @@ def diagnosis_text(turns: DataFrame, verbatim: int = P.VERBATIM_TURNS) -> DataFr
     return d.select("conv_id", F.concat_ws("\n", *lines).alias("report"))
 
 
-def briefing(turns: DataFrame, verbatim: int = P.VERBATIM_TURNS, prescription: str = "aggressive", stamp: str | None = None) -> DataFrame:
-    """conv_id and document: statistics, rules, and the pruned history with labels. A document is one row, as large as its conversation's history."""
-    label = F.when(F.col("role") == "user", "**User**").otherwise("**Assistant**")
-    turn = F.when(F.col(f"left_{prescription}").isNotNull(), F.struct("pos", F.concat(label, F.lit(": "), F.col(f"left_{prescription}")).alias("line")))
-    history = F.array_join(F.transform(F.array_sort(F.collect_list(turn)), lambda x: x["line"]), "\n\n").alias("history")
-    rows = O.beside(measured(turns, verbatim, [prescription], history), rules_of(turns), "conv_id")
-    d = rows.select("conv_id", "history", "rules", *stats_columns(prescription, verbatim))
+#: Characters of original text from which on the history of a briefing gets another part, and places that stay in one part.
+PART_CHARS, PART_BLOCK = 1 << 20, 64
+
+
+def labelled(prescription: str) -> Column:
+    """A turn's place and its line of the history, null if it goes."""
+    label, left = F.when(F.col("role") == "user", "**User**").otherwise("**Assistant**"), F.col(f"left_{prescription}")
+    return F.when(left.isNotNull(), F.struct("pos", F.concat(label, F.lit(": "), left).alias("line")))
+
+
+def history_parts(turns: DataFrame, verbatim: int, prescription: str, part_chars: int = PART_CHARS) -> DataFrame:
+    """conv_id, part (from 0), text and the statistics of ``measured`` for consecutive turns of a conversation; a part is about ``part_chars`` of the original.
+
+    What a row holds is bounded by a part, however long the conversation. Texts of the parts, joined by a blank line where they aren't null, are the history.
+    """
+    place = O.block_of(PART_BLOCK)
+    numbered = O.beside(turns.withColumn("block", place), O.running_parts(turns, F.coalesce(F.length("content"), F.lit(0)), part_chars, PART_BLOCK), "conv_id", "block").drop("block")
+    line = labelled(prescription)
+    text = F.when(F.count(line) > 0, F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n\n")).alias("text")
+    return measured(numbered, verbatim, [prescription], text, by=("conv_id", "part"))
+
+
+def totals(parts: DataFrame, prescription: str, *more: Column) -> DataFrame:
+    """The statistics of each conversation from those of its parts."""
+    sums = [F.sum(c).cast("long").alias(c) for c in ("orig_turns", "orig_tokens", f"turns_{prescription}", f"tokens_{prescription}")]
+    return parts.groupBy("conv_id").agg(*sums, *more)
+
+
+def heading(stats: DataFrame, rules: DataFrame, verbatim: int, prescription: str, stamp: str | None, *more: str) -> DataFrame:
+    """conv_id, heading, and columns ``more`` of ``stats``: what comes before the history of a briefing."""
+    d = O.beside(stats, rules, "conv_id").select("conv_id", *more, "rules", *stats_columns(prescription, verbatim))
     number = lambda c: F.format_number(c, 0)
     n = F.col("rules_found")
     listed = F.array_join(F.transform("rules", lambda r: F.concat(F.lit("- "), r)), "\n")
     rule_lines = F.when(n > 0, F.concat_ws("\n", F.lit("---"), F.lit(""), F.lit("## BEHAVIORAL RULES"), F.lit("*Stated by the user in the original conversation; they hold from here on.*"), F.lit(""), listed, F.lit("")))
     warning = F.when(n >= int(P.STORE_RULES * 0.8), F.concat(F.lit("**WARNING:** "), n.cast("string"), F.lit(f" of {P.STORE_RULES} rules are in use.")))
-    document = F.concat_ws(
+    text = F.concat_ws(
         "\n", F.lit("# CONVERSATION BRIEFING"), *([F.lit(f"*Made on {stamp}*")] if stamp else []), F.lit(""), F.concat(F.lit("*Original: "), F.col("orig_turns").cast("string"), F.lit(" turns, ~"), number("orig_tokens"), F.lit(" tokens*")),
         F.concat(F.lit("*Compressed: "), F.col("final_turns").cast("string"), F.lit(" turns, ~"), number("final_tokens"), F.lit(" tokens*")),
         F.concat(F.lit("*Saved: "), F.col("saved_pct").cast("string"), F.lit("% | Last "), F.col("verbatim").cast("string"), F.lit(" turns verbatim*")),
-        warning, F.lit(""), F.lit("> **How to use**: paste this document as the first message of a new conversation."), F.lit(""), rule_lines, F.lit("---"), F.lit(""), F.lit("## CONVERSATION HISTORY"), F.lit(""), F.col("history"),
+        warning, F.lit(""), F.lit("> **How to use**: paste this document as the first message of a new conversation."), F.lit(""), rule_lines, F.lit("---"), F.lit(""), F.lit("## CONVERSATION HISTORY"), F.lit(""), F.lit(""),
     )
-    return d.select("conv_id", document.alias("document"))
+    return d.select("conv_id", text.alias("heading"), *more)
+
+
+def briefing_parts(turns: DataFrame, verbatim: int = P.VERBATIM_TURNS, prescription: str = "aggressive", stamp: str | None = None, part_chars: int = PART_CHARS) -> DataFrame:
+    """conv_id, part and text: the heading (part 0) and the parts of the history; one after the other, they are the briefing."""
+    parts = history_parts(turns, verbatim, prescription, part_chars)
+    heads = heading(totals(parts, prescription), rules_of(turns), verbatim, prescription, stamp)
+    return heads.select("conv_id", F.lit(0).cast("long").alias("part"), F.col("heading").alias("text")).unionByName(_history(parts))
+
+
+def _history(parts: DataFrame) -> DataFrame:
+    """conv_id, part (from 1) and text of the parts that have one, from the second on after a blank line."""
+    had = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    held = parts.where("text IS NOT NULL").select("conv_id", "part")  # the text stays where it is
+    begins = held.withColumn("later", F.count(F.lit(1)).over(had) > 0)
+    text = F.when(F.col("later"), F.concat(F.lit("\n\n"), F.col("text"))).otherwise(F.col("text"))
+    return O.beside(parts.where("text IS NOT NULL"), begins, "conv_id", "part").select("conv_id", (F.col("part") + 1).alias("part"), text.alias("text"))
+
+
+def write_briefings(turns: DataFrame, path: str, verbatim: int = P.VERBATIM_TURNS, prescription: str = "aggressive", stamp: str | None = None, part_chars: int = PART_CHARS) -> None:
+    """Write what ``briefing_parts`` gives as the current result at ``path``, sorted; the parts are written first, and the headings come from what was written."""
+    with outputs.staged(turns.sparkSession, path) as out:
+        history_parts(turns, verbatim, prescription, part_chars).write.parquet(out.side("parts"))
+        parts = turns.sparkSession.read.parquet(out.side("parts"))
+        in_order = lambda df: df.repartitionByRange("conv_id", "part").sortWithinPartitions("conv_id", "part")
+        in_order(_history(parts)).write.mode("append").parquet(out.folder)
+        heads = heading(totals(parts, prescription), rules_of(turns), verbatim, prescription, stamp)
+        heads.select("conv_id", F.lit(0).cast("long").alias("part"), F.col("heading").alias("text")).write.mode("append").parquet(out.folder)
+
+
+def briefing(turns: DataFrame, verbatim: int = P.VERBATIM_TURNS, prescription: str = "aggressive", stamp: str | None = None) -> DataFrame:
+    """conv_id and document: statistics, rules, and the pruned history with labels. A document is one row, as large as its conversation's history; ``briefing_parts`` has no such rows."""
+    history = F.array_join(F.transform(F.array_sort(F.collect_list(labelled(prescription))), lambda x: x["line"]), "\n\n").alias("history")
+    heads = heading(measured(turns, verbatim, [prescription], history), rules_of(turns), verbatim, prescription, stamp, "history")
+    return heads.select("conv_id", F.concat("heading", "history").alias("document"))

@@ -17,7 +17,9 @@ from palaver.functions import text as T
 from palaver.operators import rules as R
 from palaver.operators import turns as O
 from palaver.plans import prune as plans
+from palaver.sinks import outputs
 from palaver.sources import transcripts
+from palaver.streaming import sessions
 
 VERBATIM = 2
 NL = "chr(10)"
@@ -498,3 +500,103 @@ def parse_solo_labels(spark, sf_dir):
 def parse_date_lines(spark, sf_dir):
     raw = rendered(conversations(spark, sf_dir).where("role != 'system'"), lambda t: F.array_join(F.transform(t, lambda x: x["content"]), "\nMay 16\n"))
     return transcripts.parse(raw).select(*KEEP)
+
+
+@query("""SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY c, pos) - 1)::BIGINT AS pos, role, content FROM (
+  SELECT conv_id % 5 AS conv_id, conv_id AS c, turn AS pos, role, text AS content FROM conversations WHERE role <> 'system' AND regexp_matches(text, '\\S'))""")
+def parse_log_lines(spark, sf_dir):
+    """Session logs of many conversations each, read by lines whatever their size."""
+    rows = conversations(spark, sf_dir).withColumn("c", F.col("conv_id"))
+    line = F.to_json(F.struct(F.col("role").alias("type"), F.struct(F.col("content")).alias("message"))).alias("value")
+    path = outputs.scratch(spark, "logs")
+    logs = rows.select((F.col("conv_id") % 5).alias("log"), "c", "pos", line).repartition("log").sortWithinPartitions("log", "c", "pos")
+    logs.select("log", "value").write.partitionBy("log").text(path)
+    turns = transcripts.log_turns(transcripts.read_lines(spark, path))
+    return turns.select(F.regexp_extract("conv_id", "log=([^/]+)", 1).cast("long").alias("conv_id"), "pos", "role", "content")
+
+
+@query(f"""SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY pos) - 1)::BIGINT AS pos, role, 'top' || chr(10) || '[result: ' || substring(
+  'a' || chr(10) || '[result: b' || chr(10) || '[result: [result: [result: ' || content || chr(10) || 'z' || ']]]]', 1, 300) || ']' AS content FROM ({CONVERSATIONS_SQL})""")
+def parse_nested_results(spark, sf_dir):
+    """Results five deep."""
+    quoted = lambda c: F.to_json(F.array(c))
+    text = lambda c: F.concat(F.lit('{"type":"text","text":'), F.substring(quoted(c), F.lit(2), F.length(quoted(c)) - 2), F.lit("}"))
+    result = lambda *blocks: F.concat(F.lit('{"type":"tool_result","content":['), F.concat_ws(",", *blocks), F.lit("]}"))
+    nested = lambda c: result(text(F.lit("a")), result(text(F.lit("b")), result(result(result(text(c), text(F.lit("")), text(F.lit("z")))))))
+    message = lambda t: F.concat(F.lit('{"role":"'), t["role"], F.lit('","content":['), text(F.lit("top")), F.lit(","), nested(t["content"]), F.lit("]}"))
+    raw = rendered(conversations(spark, sf_dir), lambda t: F.concat(F.lit("["), F.array_join(F.transform(t, message), ","), F.lit("]")))
+    return transcripts.parse(raw).select(*KEEP)
+
+
+@query("""SELECT conv_id, reason, count(*)::BIGINT AS n, min(idx)::BIGINT AS first_idx FROM (
+  SELECT conv_id, turn AS idx, CASE turn % 4 WHEN 0 THEN NULL WHEN 1 THEN 'no message' WHEN 2 THEN 'other role' ELSE 'blank' END AS reason FROM conversations
+  UNION ALL SELECT conv_id, NULL, 'no turns' FROM conversations GROUP BY conv_id HAVING count(*) FILTER (WHERE turn % 4 = 0) = 0) GROUP BY ALL""")
+def parse_outcomes(spark, sf_dir):
+    """Turns and rejects, counted by reason."""
+    message = lambda t: F.when(t["pos"] % 4 == 1, F.lit("7")).otherwise(F.to_json(F.struct(F.when(t["pos"] % 4 == 2, "tool").otherwise(t["role"]).alias("role"), F.when(t["pos"] % 4 == 3, " ").otherwise(t["content"]).alias("content"))))
+    raw = rendered(conversations(spark, sf_dir), lambda t: F.concat(F.lit("["), F.array_join(F.transform(t, message), ","), F.lit("]")))
+    return transcripts.outcomes(raw).groupBy("conv_id", "reason").agg(F.count(F.lit(1)).alias("n"), F.min("idx").alias("first_idx"))
+
+
+@query(sql_prune(OVERLAY_SQL, "standard"))
+def written_output(spark, sf_dir):
+    """A result that replaced another one as a whole."""
+    path, turns = outputs.scratch(spark, "output"), overlay(spark, sf_dir)
+    for prescription in ("gentle", "standard"):
+        outputs.write_output(plans.prune(turns, VERBATIM, prescription).select(*KEEP), path)
+    return outputs.read_output(spark, path)
+
+
+PART_CHARS = 100_000
+
+
+def sql_briefing_parts(source: str, prescription: str, most: int) -> str:
+    blocks = f"SELECT conv_id, pos // 64 AS block, sum(length(content)) AS n FROM ({source}) GROUP BY ALL"
+    parts = f"SELECT conv_id, block, ((sum(n) OVER (PARTITION BY conv_id ORDER BY block) - n) // {most})::BIGINT AS part FROM ({blocks})"
+    texts = f"SELECT p.conv_id, p.part, string_agg(CASE WHEN role = 'user' THEN '**User**' ELSE '**Assistant**' END || ': ' || content, chr(10) || chr(10) ORDER BY pos) AS text FROM ({sql_prune(source, prescription)}) t JOIN ({parts}) p ON p.conv_id = t.conv_id AND p.block = t.pos // 64 GROUP BY ALL"
+    heads = f"SELECT conv_id, 0::BIGINT AS part, substring(document, 1, strpos(document, '## CONVERSATION HISTORY') + 24) AS text FROM ({sql_briefing(source, prescription)})"
+    return f"{heads} UNION ALL SELECT conv_id, part + 1, CASE WHEN part > min(part) OVER (PARTITION BY conv_id) THEN chr(10) || chr(10) ELSE '' END || text FROM ({texts})"
+
+
+@query(sql_briefing_parts(DOCUMENTS_SQL, "standard", PART_CHARS))
+def briefing_parts(spark, sf_dir):
+    """Briefings of long conversations, in parts."""
+    path = outputs.scratch(spark, "briefings")
+    plans.write_briefings(documents(spark, sf_dir), path, VERBATIM, "standard", part_chars=PART_CHARS)
+    return outputs.read_output(spark, path)
+
+
+@query(sql_rules(OVERLAY_SQL))
+def stream_rules(spark, sf_dir):
+    """Rules from conversations that come in three batches, each cut somewhere."""
+    turns = overlay(spark, sf_dir).select("conv_id", F.col("pos").alias("seq"), "role", "content")
+    arrived, found, checkpoint = (outputs.scratch(spark, f"stream-{name}") for name in ("in", "out", "checkpoint"))
+    spark.conf.set(*sessions.STATE_STORE)
+    for k in range(3):
+        turns.where(F.least(F.lit(2), F.floor(F.col("seq") / (2 + F.col("conv_id") % 3))) == k).write.mode("append").parquet(arrived)
+        rules = sessions.found_rules(spark.readStream.schema(turns.schema).parquet(arrived), verbatim=VERBATIM)
+        rules.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(found).awaitTermination()
+    return spark.read.schema(rules.schema).parquet(found).where("rule IS NOT NULL").select("conv_id", "rule_pos", "rule", "rule_key")
+
+
+LONG_RULES = f"""SELECT conv_id, turn::BIGINT AS pos, 'user' AS role, CASE (conv_id + turn) % 5 WHEN 0 THEN 'never ' || repeat('word ', 200) || 'endangered' || ' ' || text WHEN 1 THEN 'Never ' || repeat('some ', 30) || replace(text, '.', ',') || repeat(' more', 200)
+  WHEN 2 THEN repeat('filler ', 130) || 'always keep it ' || replace(text, '.', ',') ELSE text END AS content FROM conversations WHERE text IS NOT NULL"""
+
+
+def sql_trimmed(source: str, most: int = P.MAX_RULE_LENGTH) -> str:
+    """Sentences of over 800 characters: whole with a safety term, else from half of it before the trigger if that would be lost, cut at a late blank."""
+    trigger = f"regexp_extract(rule, {duck('(?i)(' + S_CORRECTION[4:] + '|' + S_IMPLICIT[4:] + ')')})"
+    moved = f"CASE WHEN place + n <= {most} THEN rule ELSE {sql_strip('substring(rule, word + 1)')} END"
+    return f"""SELECT conv_id, pos, kind, unit_no, CASE WHEN length(rule) <= {most} OR regexp_matches(lower(rule), 'hate crime|physical safety|jeopardy|endangered|anti-trans') THEN rule WHEN length(moved) <= {most} THEN moved
+        WHEN length(tail) < 40 THEN substring(head, 1, length(head) - length(tail) - 1) || '…' ELSE head || '…' END AS rule
+      FROM (SELECT *, substring(moved, 1, {most - 1}) AS head, list_last(string_split(substring(moved, 1, {most - 1}), ' ')) AS tail FROM (SELECT *, {moved} AS moved
+        FROM (SELECT *, CASE WHEN start = 0 OR substring(rule, start, 1) = ' ' THEN start ELSE start - length(list_last(string_split(substring(rule, 1, start), ' '))) END AS word
+          FROM (SELECT *, greatest(0, strpos(rule, found) - 1) AS place, length(found) AS n, greatest(0, strpos(rule, found) - 1 - {most // 2}) AS start FROM (SELECT *, {trigger} AS found FROM ({sql_sentences(source)}))))))"""
+
+
+@query(f"SELECT conv_id, pos, kind, unit_no::INTEGER AS unit_no, rule FROM ({sql_trimmed(LONG_RULES)})")
+def trimmed_rules(spark, sf_dir):
+    """Sentences with a trigger at either end that are longer than a rule may be."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    rows.createOrReplaceTempView("palaver_long_rules")
+    return R.rule_sentences(spark.sql(LONG_RULES.replace("FROM conversations", "FROM palaver_long_rules").replace("::BIGINT", "")).withColumn("pos", F.col("pos").cast("long")))
