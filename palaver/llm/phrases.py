@@ -35,7 +35,7 @@ SCORE_UNIT = 1_000_000
 UNKNOWN = "und"
 PIECE_END, BLANKS = "[.,;:!?\n-\r]", "[ \t]+"
 #: Bytes of text that are cut into words together, and places whose n-grams are counted together.
-BYTES, PLACES = 8 << 20, 1 << 20
+BYTES, PLACES = 4 << 20, 1 << 19
 
 
 def _cuts(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
