@@ -11,6 +11,7 @@ from palaver.operators import rules as R
 from palaver.operators import turns as O
 from palaver.operators.store import RuleStore
 from palaver.plans import prune as plans
+from palaver.sinks import outputs
 from palaver.sources import files, transcripts
 from palaver.streaming import sessions
 
@@ -196,7 +197,7 @@ def test_formats(spark):
     nested = '[{"role":"user","content":[{"type":"tool_result","content":[{"type":"tool_result","content":[{"type":"tool_result","content":"deep"}]}]}]}]'
     assert got(nested) == [("user", "[result: [result: [result: deep]]]")]
     assert got("x\ufdd0y\u0001z") == [("user", "xy\u0001z")]
-    assert transcripts.oversize(raw("x" * 10), 5).count() == 1 and transcripts.within_limit(raw("x" * 10), 5).count() == 0
+    assert transcripts.parse_checked(raw("x" * 10), 5).count() == 0 and transcripts.parse_checked(raw("x" * 10), 10).count() == 1
 
 
 def test_briefing_reads_back(spark):
@@ -247,7 +248,7 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert cli.main(["prune", str(tmp_path / "talk.txt"), "--verbatim", "2", "--output", str(tmp_path / "out")]) == 0
     said = capsys.readouterr().err
     assert "Turns:   12 -> 12" in said and "Rules:   6 kept" in said and "-> Never drop column 8." in said and "WARNING" not in said
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 12
+    assert outputs.read_output(spark, str(tmp_path / "out")).count() == 12
     assert cli.main(["diagnose", str(tmp_path / "talk.txt"), "--warn-size", "10"]) == 0
     out = capsys.readouterr()
     assert "Correction rules: 6" in " ".join(out.out.split()) and "talk.txt" in out.err
