@@ -9,10 +9,11 @@ classes, nested by the roles around their tokens and ordered by their places in
 The template's text tokens are constants of the site and are removed, unless they are nearly all of the host's text (then its pages are copies of each
 other), and never from an article. Each role with what stands in it, down to the next roles of the template, is a slot. Slots are judged once
 for all pages of the host: those of menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments
-are dropped. Where only an element's names speak for that, the slot must hold less than half of the host's text; a slot outside articles whose text
+are dropped. Where only an element's names speak for that, the slot must hold less than half of the host's text, and so must forms and elements whose end tag is missing, which must hold no
+article either; reader comments go whatever their size. A slot outside articles whose text
 is nearly all links is a menu whatever its names are. All that remains is extracted. Elements that the template doesn't have are judged on
-the page itself, and so are pages of hosts without a template and pages where its roles come in another order. If there is an article (or else a main element) with text left, its text
-is the main text, otherwise all that is left.
+the page itself, and so are pages of hosts without a template and pages where its roles come in another order. Where articles, or else a main element, hold enough of what is left
+(``IN_MAIN`` of a main element's text, ``IN_PAGE`` of the page's), their text is the main text, otherwise all that is left.
 
 Vectors are never gathered: a task sums two 32-bit hashes of (page, count) for each token, and sums of tasks are summed again, so a host with a third of
 all pages is many tasks' work. Different pages are dealt to 64 parts by a digest, and a class must be in most of the parts that the host has, so the text
@@ -20,7 +21,8 @@ of a page's copies isn't taken for a template. Templates are one small row per h
 written table is small and splits where a host is hot.
 
 Defined results: a null or empty html gives an empty text; a null url is a host of its own; a page that is cut off is read as far as it
-goes; repeated rows are returned each; an empty table gives an empty result; other columns are ignored.
+goes; an element that is never closed ends with the one around it, and links in it are a menu; repeated rows are returned each; an empty table gives an empty result; other columns are ignored. A very long
+page is read as a whole, which takes some ten times its size in a task; its template's tokens are summed as others are.
 """
 
 from __future__ import annotations
@@ -41,6 +43,8 @@ from .shared import save
 CLASS_TOKENS, SUPPORT, MIN_PAGES = 3, 0.9, 5
 #: Text nodes up to so many words are read word by word; share of linked text that makes a slot a menu; share of constants that makes pages copies; tokens that a task holds.
 SHORT, LINKED, COPIES, HELD = 12, 0.8, 0.9, 100_000
+#: Share of the text of a main element, and of a page, from which on an article holds the main text.
+IN_MAIN, IN_PAGE = 0.5, 0.25
 MARK = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]+|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -48,12 +52,19 @@ WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+# elements that end no line, or hold none of their own
+UNBROKEN = INLINE | {"script", "style", "noscript", "template", "iframe", "object", "svg", "math", "canvas", "video", "audio", "picture", "map", "area", "button", "select", "option", "optgroup", "datalist", "textarea", "input", "output", "progress", "meter", "link", "meta", "slot"}
+UNBROKEN_WITHIN = {"svg", "math", "select", "button", "object", "video", "audio", "canvas"}
+HEAD_CONTENT = {"title", "meta", "link", "script", "style", "base", "noscript", "template"}
 # elements that hold no main text, and names (class, id, role) that say so or say the contrary
-ASIDE = {"nav", "footer", "aside", "form", "script", "style", "noscript", "iframe", "template", "head", "title", "button", "select", "option", "textarea", "svg", "canvas", "object", "dialog", "menu", "video", "audio", "math"}
+ASIDE = {"nav", "footer", "aside", "script", "style", "noscript", "iframe", "template", "head", "title", "button", "select", "option", "textarea", "svg", "canvas", "object", "dialog", "menu", "video", "audio", "math"}
 ASIDE_WORDS = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "banner", "sponsor", "sponsored", "promo", "promotion", "cookie", "cookies", "consent", "gdpr", "notice", "notification", "alert", "sidebar", "aside", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "footer", "comment", "comments", "disqus", "reply", "replies", "respond", "related", "recommended", "share", "sharing", "social", "newsletter", "subscribe", "subscription", "popup", "modal", "overlay", "widget", "pagination", "pager", "login", "signup", "search", "form", "skip", "copyright", "contentinfo", "complementary"}
 HEAD_WORDS = {"header", "masthead", "topbar", "toolbar"}  # outside articles only
 CONTENT_WORDS = {"article", "post", "entry", "content", "main", "story", "body", "text", "result", "results", "title", "headline"}
+COMMENT_WORDS = {"comment", "comments", "disqus", "reply", "replies", "respond"}
 TAG_ASIDE, NAME_ASIDE, ARTICLE, MAIN, HOLDS, ROLE = 1, 2, 4, 8, 16, 32
+#: Dropped if small and without an article; one whose end tag is missing; reader comments; links.
+SOFT, OPEN, COMMENT, LINK = 64, 128, 256, 512
 
 
 def names_of(attributes: str) -> list[list[str]]:
@@ -62,9 +73,8 @@ def names_of(attributes: str) -> list[list[str]]:
     return [[w.lower() for w in WORDS.findall(n)] for n in given]
 
 
-def named_aside(names: list[list[str]], in_article: bool) -> bool:
-    """Whether names speak against main text: by their last word, or by the first if the last doesn't say the contrary."""
-    words = ASIDE_WORDS if in_article else ASIDE_WORDS | HEAD_WORDS
+def named(names: list[list[str]], words: set[str]) -> bool:
+    """Whether names say one of the words: by their last word, or by the first if the last doesn't say that there is main text."""
     if any(len(n) == 1 and n[0] in words for n in names):
         return True
     if any(len(n) == 1 and n[0] in CONTENT_WORDS for n in names):
@@ -72,6 +82,11 @@ def named_aside(names: list[list[str]], in_article: bool) -> bool:
     return any(n and (n[-1] in words or n[0] in words and n[-1] not in CONTENT_WORDS) for n in names)
 
 
+def aside(flags: int) -> bool:
+    """Whether an element holds no main text, however much text it has."""
+    return flags & TAG_ASIDE > 0 or flags & COMMENT > 0 and not flags & HOLDS
+
+
 @dataclass(slots=True)
 class Page:
     """Elements in the order of the page, the first around all others, and text nodes."""
@@ -87,7 +102,7 @@ class Page:
         """Characters and what an element holds, with those of the elements in it."""
         parent, flags, chars, linked = self.parent, self.flags, self.chars, self.linked
         for i in range(len(parent) - 1, 0, -1):
-            if not flags[i] & TAG_ASIDE:
+            if not aside(flags[i]):
                 chars[parent[i]] += chars[i]
                 linked[parent[i]] += linked[i]
                 if flags[i] & (ARTICLE | HOLDS):
@@ -103,7 +118,7 @@ def parse(html: str) -> Page:
     page = Page([0], [0], [ROLE], [0], [0], [])
     # of each open element: tag, index, hash of kinds, whether in an article, whether in a link, kinds of children so far
     stack: list[tuple[str, int, int, bool, bool, dict[bytes, int]]] = [("", 0, 0, False, False, {})]
-    at, block, raw = 0, 0, ""
+    at, block, raw, unbroken = 0, 0, "", 0
 
     def text(value: str, block: int) -> None:
         _, own, kinds, _, link, _ = stack[-1]
@@ -112,9 +127,17 @@ def parse(html: str) -> Page:
         page.linked[own] += size if link else 0
         page.texts.append((own, kinds, block, value))
 
+    def unclosed(low: int) -> None:
+        for tag, i, *_ in stack[low:]:
+            if page.flags[i] & TAG_ASIDE and tag not in RAW and tag not in ("head", "noscript", "template"):
+                page.flags[i] += SOFT + OPEN - TAG_ASIDE
+
     def close(tags: tuple[str, ...], until: tuple[str, ...]) -> None:
+        nonlocal unbroken
         for k in range(len(stack) - 1, 0, -1):
             if stack[k][0] in tags:
+                unclosed(k + 1)
+                unbroken -= sum(x[0] in UNBROKEN_WITHIN for x in stack[k:])
                 del stack[k:]
                 return
             if stack[k][0] in until:
@@ -125,7 +148,7 @@ def parse(html: str) -> Page:
             m = re.compile(rf"</{re.escape(raw)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(html, at)
             at = m.end() if m else len(html)
             raw = ""
-            stack.pop()
+            unbroken -= stack.pop()[0] in UNBROKEN_WITHIN
             continue
         m = MARK.search(html, at)
         value = html[at : m.start() if m else len(html)]
@@ -139,13 +162,15 @@ def parse(html: str) -> Page:
         tag = (m[2] or m[5] or "").lower()
         if not tag:
             continue
-        if tag not in INLINE:
+        if tag not in UNBROKEN and not unbroken:
             block += 1
         elif tag == "br":
             text(" ", block)
         if m[1] or m[4]:
             close((tag,), ())
             continue
+        if stack[-1][0] == "head" and tag not in HEAD_CONTENT:
+            close(("head",), ())
         if tag in ("p", "li", "tr", "td"):  # ends one that is open
             close((tag,), ("article", "section", "div", "ul", "ol", "table", "body", "main", "td", "blockquote"))
         attributes = m[3] or ""
@@ -156,10 +181,17 @@ def parse(html: str) -> Page:
         flags = 0
         if tag == "article" or tag == "main" or "role=\"main\"" in attributes:
             flags = ARTICLE if tag == "article" else MAIN
+        speak = names and tag not in ("html", "body", "main", "h1")
+        if speak and named(names, COMMENT_WORDS):
+            flags = flags & ~ARTICLE | COMMENT
         if tag in ASIDE or tag == "header" and not in_article:
             flags |= TAG_ASIDE
-        elif names and tag not in ("html", "body", "main", "h1") and named_aside(names, in_article or flags == ARTICLE):
+        elif speak and named(names, ASIDE_WORDS if in_article or flags & ARTICLE else ASIDE_WORDS | HEAD_WORDS):
             flags |= NAME_ASIDE
+        if tag == "form":
+            flags |= SOFT
+        elif tag == "a":
+            flags |= LINK
         page.role.append(_hash(b"%s %d" % (kind, n), page.role[up]))
         page.parent.append(up)
         page.flags.append(flags | ROLE)
@@ -168,8 +200,10 @@ def parse(html: str) -> Page:
         if tag in VOID or attributes.endswith("/"):
             continue
         stack.append((tag, len(page.role) - 1, _hash(kind, kinds), in_article or flags & ARTICLE > 0, link or tag == "a", {}))
+        unbroken += tag in UNBROKEN_WITHIN
         if tag in RAW:
             raw = tag
+    unclosed(1)
     return page.summed()
 
 
@@ -187,7 +221,8 @@ def dropped(parent: list[int], flags: list[int], chars: list[int], linked: list[
         within[i] = within[parent[i]] or flags[i] & ARTICLE > 0
         small = 2 * chars[i] < chars[0]
         link_list = menus and chars[i] > 0 and linked[i] >= LINKED * chars[i] and not within[i] and not flags[i] & HOLDS
-        out[i] = out[parent[i]] or flags[i] & TAG_ASIDE > 0 or small and (flags[i] & NAME_ASIDE > 0 or link_list)
+        soft = flags[i] & NAME_ASIDE > 0 or flags[i] & SOFT > 0 and not flags[i] & HOLDS
+        out[i] = out[parent[i]] or aside(flags[i]) or small and (soft or link_list)
     return out
 
 
@@ -257,7 +292,7 @@ def occurrences(page: Page) -> dict[int, list[int]]:
         out[page.role[i]] = [1, i, page.role[page.parent[i]], page.flags[i], page.chars[i], page.linked[i]]
     inside = [False] * len(page.role)
     for i in range(1, len(page.role)):
-        inside[i] = inside[page.parent[i]] or page.flags[i] & (TAG_ASIDE | NAME_ASIDE | ARTICLE) > 0
+        inside[i] = inside[page.parent[i]] or page.flags[i] & (TAG_ASIDE | NAME_ASIDE | SOFT | COMMENT | ARTICLE) > 0
     for own, kinds, _, text in page.texts:
         if inside[own]:  # never removed as a constant, or dropped whatever it says
             continue
@@ -357,25 +392,31 @@ def main_text(html: str, own: Template | None) -> str:
             slot = own.slots.get(page.role[i])
             # an element that the template hasn't falls by itself, not by what is around it
             out[i] = out[page.parent[i]] or (slot[0] if slot else alone[i] and not alone[page.parent[i]])
-    article, main = [False] * n, [False] * n
+    article, main, menu, link = ([False] * n for _ in range(4))
     for i in range(1, n):
-        article[i] = article[page.parent[i]] or page.flags[i] & ARTICLE > 0
-        main[i] = main[page.parent[i]] or page.flags[i] & MAIN > 0
+        up, flags = page.parent[i], page.flags[i]
+        article[i], main[i] = article[up] or flags & ARTICLE > 0, main[up] or flags & MAIN > 0
+        menu[i], link[i] = menu[up] or flags & OPEN > 0, link[up] or flags & LINK > 0
     kept: list[tuple[int, int, str]] = []
     for at, kinds, block, text in page.texts:
-        if out[at]:
+        if out[at] or menu[at] and link[at] and not article[at]:
             continue
         if own is not None and own.constants and not article[at] and not text.isspace() and all(t in own.constants for t, _ in text_tokens(kinds, text)):
             continue
-        kept.append((at, block, text))
-    for within in (article, main):
-        if any(within[at] and not text.isspace() for at, _, text in kept):
-            kept = [k for k in kept if within[k[0]]]
-            break
+        kept.append((at, block, unescape(text) if "&" in text else text))
+    size = lambda within: sum(len(t) - sum(map(str.isspace, t)) for at, _, t in kept if within(at))
+    whole, in_main, in_both = size(lambda at: True), size(lambda at: main[at]), size(lambda at: main[at] and article[at])
+    in_article = size(lambda at: article[at])
+    if in_main and in_main >= IN_PAGE * whole:
+        within = article if in_both >= IN_MAIN * in_main or in_article - in_both > in_main else main
+    else:
+        within = article if in_article and in_article >= IN_PAGE * whole else None
+    if within is not None:
+        kept = [k for k in kept if within[k[0]]]
     lines, last, held = [], None, []
     for _, block, text in [*kept, (0, -1, "")]:
         if block != last and held:
-            lines.append(" ".join(unescape("".join(held)).split()))
+            lines.append(" ".join("".join(held).split()))
             held = []
         last = block
         held.append(text)
