@@ -1,10 +1,13 @@
 """Line dedup by a deletion-neighbourhood join over words.
 
 A line is its words, joined by one space; blank lines are left alone. Of equal lines the earliest (by doc_id, then line) stays. A
-line of ``MIN_WORDS`` words or more also goes if an earlier line, of whatever length, is within one edit of a word (one put in, dropped or changed). All variants within the
+line of ``MIN_WORDS`` words or more also goes if an earlier line that stays, of whatever length, is within one edit of a word (one put in, dropped or changed). All variants within the
 bound, the line itself and the line without each of its words, are emitted as hashed keys; lines that share a key and the deleted place, or
-of which one is whole, are within one edit; that is verified on the words. Where that earlier line goes, too, the reason is the line at the end of the
-chain, which stays.
+of which one is whole, are within one edit; that is verified on the words.
+
+So whether a line goes hangs on the earlier lines beside it, and that is settled in rounds over the groups of lines that share a key (``settled``): a line with no undecided line before it in
+any of its groups stays, and a line with one that stays before it goes. There are as many rounds as lines hang on one another, two or three as a rule, each a written table. The reason told is the
+earliest line that stays, so no line goes for a line that it doesn't resemble.
 
 Only lines that can have a partner emit variants: one edit leaves the first or the second half of a line as it is, so lines whose
 halves (for their own length and for one word less) occur in no other line have none. That loses no pair. Halves that lines share are marked in a bitmap
@@ -12,7 +15,7 @@ of fixed size, which lets the second scan pass over most lines before any exchan
 aggregated to their earliest line, never paired, so a passage in a third of all documents costs its rows once.
 
 Defined results: null and empty texts have no lines; a null doc_id comes before all others; repeated rows have equal places, so neither's lines are
-earlier, and both stay as they are; an empty table gives an empty result; other columns are passed through by ``clean`` and ignored by ``repeats``.
+earlier, and both stay as they are; a very long text is cut into lines in its task, and a very long line into as many variants as it has words, in batches; an empty table gives an empty result; other columns are passed through by ``clean`` and ignored by ``repeats``.
 """
 
 from __future__ import annotations
@@ -138,7 +141,8 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             place = np.concatenate([np.arange(-1, n - 1) for n in each])
             doc = pa.array([d for d, _, _ in held], pa.int64()).take(pa.array(np.repeat(np.arange(len(held)), each)))
             line = pa.array(np.repeat([x for _, x, _ in held], each), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(place, pa.int64()), doc, line], ["key", "place", "doc_id", "line_no"])
+            words = pa.array(np.repeat(each, each) - 1, pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(place, pa.int64()), doc, line, words], ["key", "place", "doc_id", "line_no", "words"])
 
         for doc, line, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
             held.append((doc, line, variants(text.split(" "))))
@@ -166,18 +170,40 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.filter(pa.array(ok, pa.bool_())).select(["doc_id", "line_no", "kept_doc_id", "kept_line_no"])
 
 
-def ends(near: DataFrame) -> DataFrame:
-    """near_own and near_kept (places), with the end of each chain of them as near_kept. Chains halve with each round, which is a written table."""
-    while True:
-        further = near.select(F.col("near_own").alias("via"), F.col("near_kept").alias("end"))
-        jumped = save(near.join(further, F.col("near_kept").eqNullSafe(F.col("via")), "left").select("near_own", F.coalesce("end", "near_kept").alias("near_kept"), F.col("end").isNotNull().alias("moved")), "line-ends")
-        near = jumped.drop("moved")
-        if jumped.where("moved").isEmpty():
-            return near
+GROUP = ("key", "sub")
+
+
+def links(emitted: DataFrame, min_words: int) -> DataFrame:
+    """key and sub of a group, own (place of a line) and stays (whether it is too short to go): lines of a group are within one edit of each other.
+
+    Groups are lines with the same key and the same word left out, and each line with a line that has its key with a word left out. A hot passage is one group, whose lines are rows.
+    """
+    own = F.struct("doc_id", "line_no")
+    rows = emitted.select("key", "place", own.alias("own"), (F.col("words") < min_words).alias("stays"))
+    less = rows.where("place >= 0")
+    several = less.groupBy("key", "place").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    changed = less.join(several, ["key", "place"]).select("key", F.xxhash64("place").alias("sub"), "own", "stays")
+    whole = rows.where("place < 0").select("key", F.col("own").alias("whole"), F.col("stays").alias("whole_stays"))
+    both = F.array(F.struct("own", "stays"), F.struct(F.col("whole").alias("own"), F.col("whole_stays").alias("stays")))
+    put_in = less.join(whole, "key").select("key", F.xxhash64(F.lit("whole"), "own.doc_id", "own.line_no").alias("sub"), F.explode(both).alias("x")).select("key", "sub", "x.own", "x.stays")
+    return changed.unionByName(put_in)
+
+
+def settled(members: DataFrame) -> DataFrame:
+    """Those rows of ``members`` whose line stays: of the lines in order, each that is in no group with an earlier one that stays."""
+    while not members.where("NOT stays").isEmpty():
+        first = F.min(F.when(F.col("stays"), F.col("own"))).alias("kept"), F.min(F.when(~F.col("stays"), F.col("own"))).alias("open")
+        groups = members.groupBy(*GROUP).agg(*first)
+        open_ = members.where("NOT stays").join(groups, list(GROUP))
+        before = lambda c: F.max(F.coalesce(F.col(c) < F.col("own"), F.lit(False)))
+        verdict = open_.groupBy("own").agg(before("kept").alias("goes"), before("open").alias("waits")).select(F.col("own").alias("at"), "goes", "waits")
+        told = members.join(verdict, F.col("own").eqNullSafe(F.col("at")), "left").where(F.coalesce(~F.col("goes"), F.lit(True)))
+        members = save(told.select(*GROUP, "own", (F.col("stays") | ~F.coalesce("waits", F.lit(False))).alias("stays")), "line-rounds")
+    return members
 
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, line_no, kept_doc_id, kept_line_no and edits (0, or 1 for near lines) of each line that goes, with the earlier line that stays for it."""
+    """doc_id, line_no, kept_doc_id, kept_line_no and edits (0 for equal lines, 1 for those within one edit) of each line that goes, with the earliest line that stays for it."""
     texts = docs.select(F.col("doc_id").cast("long"), "text")
     schema = "doc_id long, line_no long, h long, k0 long, k1 long, k2 long, k3 long"
     keys = save(texts.mapInArrow(_keys(min_words), schema), "line-keys")
@@ -193,22 +219,18 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     chosen = hopeful.drop("ks").join(sure, "h").where(F.col("doc_id").eqNullSafe(F.col("fd")) & (F.col("line_no") == F.col("fl")))
     chosen = save(chosen.select("h", "doc_id", "line_no", "line").dropDuplicates(["h"]), "line-chosen")
 
-    emitted = save(chosen.select("doc_id", "line_no", "line").mapInArrow(_emit, "key long, place long, doc_id long, line_no long"), "line-variants")
-    own = F.struct("doc_id", "line_no").alias("own")
-    whole, less = F.col("place") < 0, F.col("place") >= 0
-    by_key = emitted.groupBy("key").agg(F.min(F.when(whole, own)).alias("whole"), F.min(F.when(less, own)).alias("less"), F.count(F.lit(1)).alias("n"))
-    put_in = emitted.join(by_key.where("n > 1").drop("n"), "key").select(own, F.when(whole, F.col("less")).otherwise(F.col("whole")).alias("kept"))
-    by_place = emitted.where(less).groupBy("key", "place").agg(F.min(own).alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    changed = emitted.join(by_place, ["key", "place"]).select(own, "kept")
-    near = put_in.unionByName(changed).where("kept < own").groupBy("own").agg(F.min("kept").alias("kept"))
-    enough = F.size(F.split("a", " ")) >= min_words
+    emitted = save(chosen.select("doc_id", "line_no", "line").mapInArrow(_emit, "key long, place long, doc_id long, line_no long, words long"), "line-variants")
+    members = save(links(emitted, min_words), "line-links")
+    stay = settled(members)
+    kept = stay.groupBy(*GROUP).agg(F.min("own").alias("kept"))
+    near = members.where("NOT stays").join(kept, list(GROUP)).where("kept < own").groupBy("own").agg(F.min("kept").alias("kept"))
+    near = near.join(stay.select(F.col("own").alias("at")).distinct(), F.col("own").eqNullSafe(F.col("at")), "left_anti")
     texts = chosen.select(F.struct("doc_id", "line_no").alias("at"), "line")
-    pairs = near.join(texts.withColumnRenamed("line", "a"), F.col("own").eqNullSafe(F.col("at"))).drop("at").where(enough)
+    pairs = near.join(texts.withColumnRenamed("line", "a"), F.col("own").eqNullSafe(F.col("at"))).drop("at")
     pairs = pairs.join(texts.withColumnRenamed("line", "b"), F.col("kept").eqNullSafe(F.col("at"))).drop("at")
     pairs = pairs.select("own.doc_id", "own.line_no", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.line_no").alias("kept_line_no"), "a", "b")
     verified = pairs.mapInArrow(_verify, "doc_id long, line_no long, kept_doc_id long, kept_line_no long")
     near = save(verified.select(F.struct("doc_id", "line_no").alias("near_own"), F.struct(F.col("kept_doc_id").alias("doc_id"), F.col("kept_line_no").alias("line_no")).alias("near_kept")), "line-near")
-    near = ends(near)
 
     verdict = first.join(near, F.col("first").eqNullSafe(F.col("near_own")), "left").select("h", "first", "near_kept")
     judged = keys.select("h", place.alias("own")).join(verdict, "h")  # a hot line's rows are split

@@ -311,6 +311,24 @@ def test_quality(spark):
 
 
 # --- lines ---
+def brute_repeats(rows):
+    """Of each line that goes, the earliest line that stays and the edits; lines in order, each against all that stay before it."""
+    want, first, kept = {}, {}, []
+    for d, text in sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0)):
+        for i, line in enumerate((text or "").split("\n")):
+            if w := tuple(line.split()):
+                if w not in first:
+                    near = next(((p, 1) for p, v in kept if len(w) >= lines.MIN_WORDS and lines.within_one(list(w), list(v))), None)
+                    first[w] = near or ((d, i), 0)
+                    if near:
+                        want[d, i] = (*near[0], 1)
+                    else:
+                        kept.append(((d, i), w))
+                else:
+                    want[d, i] = (*first[w][0], first[w][1])
+    return want, first, kept
+
+
 def test_lines(spark):
     r = random.Random(0)
     pool = list("abcde") + [f"w{i}" for i in range(50)]
@@ -329,16 +347,10 @@ def test_lines(spark):
             own.append(" " * r.randint(0, 2) + "  ".join(w))
         rows.append((d, "\n".join(own), 0))
     docs = frame(spark, rows, "doc_id long, text string, line_no int")
+    want, first, kept = brute_repeats([(d, t) for d, t, _ in rows])
+    assert len({k for k in want.values() if k[2]}) > 3
     found = lines.repeats(docs).collect()
-    got = {(x.doc_id, x.line_no) for x in found}
-    assert all((x.kept_doc_id, x.kept_line_no) not in got and (x.kept_doc_id, x.kept_line_no) < (x.doc_id, x.line_no) for x in found)  # reasons stay
-    seen, want = [], set()
-    for d, text, _ in sorted(rows):
-        for i, line in enumerate((text or "").split("\n")):
-            if w := line.split():
-                if any(v == w or len(w) >= lines.MIN_WORDS and lines.within_one(w, v) for v in seen):
-                    want.add((d, i))
-                seen.append(w)
+    got = {(x.doc_id, x.line_no): (x.kept_doc_id, x.kept_line_no, x.edits) for x in found}
     assert got == want
     cleaned = {x.doc_id: x.text for x in lines.clean(docs).collect()}
     assert lines.clean(docs).columns == docs.columns and cleaned[100] is None
@@ -352,8 +364,32 @@ def test_line_chains_and_short_partners(spark):
     a = "one two three four five six seven eight nine".split()
     rows = [(1, " ".join(a)), (2, " ".join(["x", *a[1:]])), (3, " ".join(["x", "y", *a[2:]])), (4, " ".join(["x", "y", "z", *a[3:]])), (5, " ".join(a[:7])), (6, " ".join([*a[:7], "more"])), (7, "a b c"), (8, "a b d"), (9, " ".join(["x", "y", "z", *a[3:]]))]
     got = {(x.doc_id, x.kept_doc_id, x.edits) for x in lines.repeats(frame(spark, rows)).collect()}
-    # the eight words of 6 go for the seven of 5; lines of under eight words go for equal ones only
-    assert got == {(2, 1, 1), (3, 1, 1), (4, 1, 1), (9, 1, 1), (6, 5, 1)}
+    # 3 is near 2 only, which goes, so it stays; the eight words of 6 go for the seven of 5; lines of under eight words go for equal ones only
+    assert got == {(2, 1, 1), (4, 3, 1), (9, 3, 1), (6, 5, 1)}
+
+
+def test_line_chains_of_any_length(spark):
+    """Each of 20 words one word off the line before, in shuffled order, with branches and a clique."""
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("aeioustrn") for _ in range(5))
+    rows = []
+    for length in (12, 12, 20):
+        w = [word() for _ in range(20)]
+        for k in range(length):
+            rows.append(" ".join(w))
+            if r.random() < 0.3:
+                rows.append(" ".join([*w[:3], word(), *w[4:]]))
+            w = [*w[:k], word(), *w[k + 1 :]]
+    hub = [word() for _ in range(10)]
+    rows += [" ".join([*hub[:4], word(), *hub[5:]]) for _ in range(40)] + [" ".join(hub[:4] + hub[5:])]
+    for shuffled in (False, True):
+        if shuffled:
+            r.shuffle(rows)
+        own = list(enumerate(rows))
+        want, _, kept = brute_repeats(own)
+        got = {(x.doc_id, x.line_no): (x.kept_doc_id, x.kept_line_no, x.edits) for x in lines.repeats(frame(spark, own)).collect()}
+        assert got == want
+        assert all(lines.within_one(rows[d].split(), rows[k].split()) for (d, _), (k, *_) in got.items())
 
 
 def test_within_one():
