@@ -8,7 +8,9 @@ as well as exact ones, as long as three words in a row are left of them. A windo
 
 The pass is narrow: documents are never shuffled, and the benchmark comes to them in blocks of ``BLOCK_CHARS``
 characters, which bounds what is broadcast. Passages of over ``PIECE`` words are cut into overlapping pieces, each
-searched for by itself.
+searched for by itself. Seeds are followed up some at a time, within a document, too: parts of a document overlap by ``OVERLAP`` words, more than an alignment of
+a score above 0 can span, so each lies in one part. Of a gram's places in a piece the first and the last tell all, as windows of one seed and piece always meet. So
+memory hangs on the benchmark's block, and on a text by its words' codes alone.
 
 Defined results: null and empty texts leak nothing; an item with fewer than 3 words, or null, matches nothing; items with a null id
 are one item, found with a null id; repeated rows are judged each; empty tables give an empty result; other columns are passed through by ``clean`` and ignored by ``leaks``.
@@ -34,7 +36,11 @@ WORD = re.compile(r"\w+")
 GRAM, MIN_SCORE = 3, 0.4
 PIECE, BLOCK_CHARS = 256, 8_000_000
 #: Alignments made in one step, and words of a batch of documents and places of seeds looked up in one step.
-LANES, STEP_WORDS, OCCURRENCES = 256, 1 << 20, 1 << 22
+LANES, STEP_WORDS, OCCURRENCES = 256, 1 << 20, 1 << 20
+#: An alignment has PIECE matches at most, worth 2 each, and every other word costs 1.
+OVERLAP = 4 * PIECE
+#: Characters of a text from which on its words are read one by one.
+LONG = 1 << 22
 
 
 @dataclass
@@ -62,8 +68,12 @@ def passages(rows: list[tuple[int, str]]) -> Passages:
     piece = np.repeat(np.arange(len(words)), [len(c) for c in codes])
     place = np.concatenate([np.arange(len(c)) for c in codes]) if words else np.empty(0, np.int64)
     grams, of = np.unique(np.concatenate(codes) if words else np.empty(0, np.int64), return_inverse=True)
-    order = np.argsort(of, kind="stable")
-    return Passages(items, words, vocabulary, grams, of[order], piece[order], place[order])
+    # the first and the last place of each gram in each piece
+    order = np.lexsort((place, piece, of))
+    of, piece, place = of[order], piece[order], place[order]
+    other = (of[1:] != of[:-1]) | (piece[1:] != piece[:-1])
+    ends = np.r_[True, other] | np.r_[other, True] if len(of) else np.empty(0, bool)
+    return Passages(items, words, vocabulary, grams, of[ends], piece[ends], place[ends])
 
 
 def gram_codes(w: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -102,7 +112,8 @@ def _coded(texts: list[str | None], p: Passages) -> Iterator[tuple[int, np.ndarr
     got, starts, first, known = [], [], 0, p.vocabulary.get
     for i, text in enumerate(texts):
         starts.append(len(got))
-        got.extend(map(known, WORD.findall((text or "").lower()), repeat(-1)))
+        text = (text or "").lower()
+        got.extend(map(known, WORD.findall(text) if len(text) < LONG else (m[0] for m in WORD.finditer(text)), repeat(-1)))
         got.append(-1)
         if len(got) >= STEP_WORDS or i + 1 == len(texts):
             yield first, np.array(got, np.int32), np.array(starts)
@@ -160,6 +171,26 @@ def _best(best: dict, first: int, words: np.ndarray, starts: np.ndarray, p: Pass
             best[key] = (float(score), int(x - starts[i]), int(y - starts[i]))
 
 
+def _parts(index: np.ndarray, at: np.ndarray, starts: np.ndarray, p: Passages) -> Iterator[tuple[int, int]]:
+    """Runs of seeds with ``OCCURRENCES`` places in the passages, or with ``2 * OVERLAP`` words. They end between documents if they can; within one they overlap."""
+    total = np.cumsum(np.searchsorted(p.gram_of, index, side="right") - np.searchsorted(p.gram_of, index))
+    doc = np.searchsorted(starts, at, side="right")
+    low, n = 0, len(index)
+    while low < n:
+        high = int(np.searchsorted(total, (total[low - 1] if low else 0) + OCCURRENCES, "right"))
+        high = max(high, int(np.searchsorted(at, at[low] + 2 * OVERLAP)))
+        if high >= n:
+            yield low, n
+            return
+        begin = int(np.searchsorted(doc, doc[high]))  # the first seed of the document that the run would end in
+        if begin > low:
+            yield low, begin
+            low = begin
+        else:
+            yield low, high
+            low = int(np.searchsorted(at, at[high] - OVERLAP))
+
+
 def find(texts: list[str | None], p: Passages, min_score: float) -> list[tuple[int, int, float, int, int]]:
     """(index of text, item, score, first word, end word) of each leak, the best place of an item in a text."""
     best: dict[tuple[int, int], tuple] = {}
@@ -167,13 +198,8 @@ def find(texts: list[str | None], p: Passages, min_score: float) -> list[tuple[i
         index, at = _lookup(words, p)
         if not len(index):
             continue
-        # some documents at a time: those whose seeds have OCCURRENCES places in the passages
-        many = np.searchsorted(p.gram_of, index, side="right") - np.searchsorted(p.gram_of, index)
-        begin = np.flatnonzero(np.diff(np.searchsorted(starts, at, side="right"), prepend=-1))
-        part = (np.cumsum(many) - many)[begin] // OCCURRENCES
-        cuts = begin[1:][part[1:] != part[:-1]]
-        for i, k in zip(np.split(index, cuts), np.split(at, cuts), strict=True):
-            _best(best, first, words, starts, p, min_score, i, k)
+        for low, high in _parts(index, at, starts, p):
+            _best(best, first, words, starts, p, min_score, index[low:high], at[low:high])
     return [(*k, *v) for k, v in best.items()]
 
 
@@ -201,7 +227,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE) -
 
     out, rows = None, docs.select(F.col("doc_id").cast("long"), "text")
     for p in _blocks(benchmark):
-        part = rows.mapInArrow(pairs(docs.sparkSession.sparkContext.broadcast(p)), "doc_id long, item_id long, score double, first_word long, end_word long")
+        held = docs.sparkSession.sparkContext.broadcast(p)
+        part = save(rows.mapInArrow(pairs(held), "doc_id long, item_id long, score double, first_word long, end_word long"), "leaks")
+        held.destroy()
         out = part if out is None else out.unionByName(part)
     return out
 

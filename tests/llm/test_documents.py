@@ -1,6 +1,7 @@
 """Operators on documents against brute force, held-out accuracy and planted cases."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -217,6 +218,35 @@ def test_pipeline_drops_copies_at_similarity_of_080(spark, monkeypatch, step):
 
 
 # --- decontamination ---
+def test_decontamination_of_long_texts(monkeypatch):
+    """Parts of a document, however small, give what the whole gives; memory doesn't grow with a text."""
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcd") for _ in range(2))
+    items = [(i, " ".join(word() for _ in range(r.choice([5, 40, 300])))) for i in range(30)] + [(90, "long " * 250)]
+    p = decontaminate.passages(items)
+    texts = []
+    for _ in range(6):
+        words = [word() for _ in range(9000)]
+        for _ in range(8):
+            copy = r.choice(items)[1].split()
+            for _ in range(len(copy) // 6):
+                copy[r.randrange(len(copy))] = "zz"
+            at = r.randrange(len(words))
+            words[at:at] = copy
+        texts.append(" ".join(words))
+    texts += ["short " + items[1][1], "", None, "long " * 3000]
+    whole = {(i, item): round(score, 9) for i, item, score, *_ in decontaminate.find(texts, p, 0.6)}
+    assert len(whole) > 20
+    monkeypatch.setattr(decontaminate, "OCCURRENCES", 50)
+    assert {(i, item): round(score, 9) for i, item, score, *_ in decontaminate.find(texts, p, 0.6)} == whole
+    monkeypatch.undo()
+    tracemalloc.start()
+    found = decontaminate.find(["long " * 200_000], p, 0.4)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert [f[1] for f in found] == [90] and peak < 300e6
+
+
 def test_decontamination(spark):
     r = random.Random(6)
     word = lambda: "".join(r.choice("aeioustrn") for _ in range(r.randint(2, 6)))
