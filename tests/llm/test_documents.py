@@ -191,6 +191,28 @@ def brute_shingles(text):
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
+@pytest.mark.parametrize("together", [1, 30])
+def test_loosely_similar_texts(spark, monkeypatch, together):
+    """A page's frame in all texts makes one large component of proposals; groups are those of brute force by bands of more values, and bucket by bucket."""
+    monkeypatch.setattr(nearcopies, "TOGETHER", together)
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("aeioustrn") for _ in range(6))
+    frame_words = [word() for _ in range(60)]
+    texts = []
+    for _ in range(60):
+        own = [word() for _ in range(r.choice([18, 45]))]
+        texts.append(" ".join(frame_words + own))
+        for _ in range(r.choice([0, 0, 1, 4])):
+            own = [word() if r.random() < 0.05 else w for w in own]
+            texts.append(" ".join(frame_words + own))
+    r.shuffle(texts)
+    sets = [brute_shingles(t) for t in texts]
+    roots = union(len(sets), [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
+    assert len(texts) > len(set(roots)) > 30
+    kept = nearcopies.representatives(frame(spark, list(enumerate(texts))))
+    assert sorted(roots[x.doc_id] for x in kept.collect()) == sorted(set(roots))
+
+
 @pytest.mark.parametrize("step", [1 << 17, 30])
 def test_pipeline_drops_copies_at_similarity_of_080(spark, monkeypatch, step):
     """Groups by chains of links, pairs just above and just below the bound, and a large group."""
