@@ -10,11 +10,11 @@ that repeat the word before, and the share of words that occur again. A lasso le
 gather no noise from neutral words.
 
 The model is fitted on at most ``FIT_ROWS`` labelled rows, chosen by a hash of the id, which have ``FIT_VALUES`` features in all at most (or on the first alone);
-everything else covers all rows. Scoring is narrow; only the weights (those that are not zero of ``2 ** BITS``, whatever the corpus) go to the executors.
+everything else covers all rows. The fit is 100 quasi-Newton steps at most, each a pass or two on the driver and ends when a step wins little. Scoring is narrow; only the weights (those that are not zero of ``2 ** BITS``, whatever the corpus) go to the executors.
 
 Defined results: a null or empty text has score 0 before thresholds (it is graded by the thresholds alone); labels with a
 null that leaves the grade open are left out, of repeated labels the lowest counts; without any labels nothing is rejected and all probabilities are 1;
-repeated rows are scored each; an empty table gives an empty result; other columns are passed through by ``select`` and ignored by ``score``.
+repeated rows are scored each; a very long text is scored by its words in its task, which takes some ten times its size; an empty table gives an empty result; other columns are passed through by ``select`` and ignored by ``score``.
 """
 
 from __future__ import annotations
@@ -34,8 +34,10 @@ from pyspark.sql import functions as F
 from .shared import save
 
 BITS, GRADES, MIN_TAIL = 22, 3, 0.5
-#: Labelled rows that the model is fitted on at most, and their features (8 bytes each); passes over them; lasso; rows of the sample that a feature occurs in at least.
-FIT_ROWS, FIT_VALUES, PASSES, LASSO, MIN_ROWS = 8_000, 8_000_000, 400, 1e-3, 3
+#: Labelled rows that the model is fitted on at most, and their features (8 bytes each); lasso; rows of the sample that a feature occurs in at least.
+FIT_ROWS, FIT_VALUES, LASSO, MIN_ROWS = 8_000, 8_000_000, 1e-3, 3
+#: Steps of the fit at most, the share of the loss that a step must win, and the steps that it knows the curvature from.
+STEPS, LEAST_GAIN, KNOWN = 100, 1e-5, 10
 STEM = 4
 EDGES = "!?#$%&*|;:~=+<>^@/\\.,()[]{}\"'`-_"
 #: Words whose features a task keeps at hand.
@@ -93,8 +95,48 @@ class Ordinal:
         return 1 / (1 + np.exp(-np.clip(self.thresholds[None, :] - score[:, None], -40, 40)))
 
 
+def minimised(smooth: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, lasso: np.ndarray) -> np.ndarray:
+    """Least of smooth(x)[0] + sum(lasso * |x|) from x on: quasi-Newton steps within an orthant.
+
+    ``smooth`` gives a value and its gradient. Where x is zero, the lasso holds it there unless the gradient is steeper; a step ends at zero where it would change a sign.
+    """
+    loss, g = smooth(x)
+    total, steps = loss + lasso @ np.abs(x), []
+    for _ in range(STEPS):
+        pull = np.where(x != 0, g + lasso * np.sign(x), np.sign(g) * np.maximum(0, np.abs(g) - lasso))
+        d, kept = -pull, []
+        for s, y, r in reversed(steps):
+            kept.append(r * (s @ d))
+            d = d - kept[-1] * y
+        if steps:
+            s, y, r = steps[-1]
+            d = d / (r * (y @ y))
+        for (s, y, r), a in zip(steps, reversed(kept), strict=True):
+            d = d + (a - r * (y @ d)) * s
+        d[(d * pull >= 0) & (lasso > 0)] = 0
+        side = np.where(x != 0, np.sign(x), -np.sign(pull))
+        length = 1.0 if steps else 1 / max(1.0, float(np.abs(pull).sum()))
+        for _ in range(20):
+            new = x + length * d
+            new[(new * side < 0) & (lasso > 0)] = 0
+            new_loss, new_g = smooth(new)
+            new_total = new_loss + lasso @ np.abs(new)
+            if new_total <= total + 1e-4 * (pull @ (new - x)):
+                break
+            length /= 2
+        else:
+            return x
+        s, y = new - x, new_g - g
+        if s @ y > 1e-12:
+            steps = [*steps[1 - KNOWN :], (s, y, 1 / (s @ y))]
+        gained, x, g, total = total - new_total, new, new_g, new_total
+        if gained < LEAST_GAIN * total:
+            break
+    return x
+
+
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray) -> Ordinal:
-    """Maximum likelihood with a lasso, by full-batch steps that are scaled for each weight."""
+    """Maximum likelihood with a lasso; each step takes a pass or two over the rows."""
     row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(i) for i, _ in rows])
     index = np.concatenate([i for i, _ in rows])
     value = np.concatenate([v for _, v in rows])
@@ -104,31 +146,29 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray) -> Ordina
     place[common] = np.arange(len(common))
     keep = place[index] >= 0
     row, index, value, used = row[keep], place[index[keep]].astype(np.int32), value[keep].astype(np.float64), used[common]
-    n, k = len(grades), np.arange(len(grades))
-    w = np.zeros(len(used))
-    at = np.clip(np.cumsum(np.bincount(grades, minlength=GRADES))[:-1] / n, 1e-3, 1 - 1e-3)
-    t = np.sort(np.log(at / (1 - at))) + np.arange(GRADES - 1) * 1e-2
-    z = np.r_[t[0], np.log(np.diff(t))]  # the logs of the gaps keep the thresholds in order
-    m, v = np.zeros(len(w) + len(z)), np.zeros(len(w) + len(z))
-    for step in range(1, PASSES + 1):
-        t = np.cumsum(np.r_[z[0], np.exp(z[1:])])
+    n, k, width = len(grades), np.arange(len(grades)), len(used)
+
+    def thresholds(z: np.ndarray) -> np.ndarray:  # the logs of the gaps keep them in order
+        return np.cumsum(np.r_[z[0], np.exp(np.clip(z[1:], -20, 5))])
+
+    def smooth(x: np.ndarray) -> tuple[float, np.ndarray]:
+        w, z = x[:width], x[width:]
         s = np.bincount(row, weights=value * w[index], minlength=n)
-        cdf = 1 / (1 + np.exp(-np.clip(np.r_[0, t, 0][None, :] - s[:, None], -60, 60)))
+        cdf = 1 / (1 + np.exp(-np.clip(np.r_[0, thresholds(z), 0][None, :] - s[:, None], -60, 60)))
         cdf[:, 0], cdf[:, -1] = 0, 1
         up, down = cdf[k, grades + 1], cdf[k, grades]
         p = np.maximum(up - down, 1e-12)
         du, dd = up * (1 - up) / p, down * (1 - down) / p
-        gw = np.bincount(index, weights=value * (du - dd)[row], minlength=len(w)) / n
+        gw = np.bincount(index, weights=value * (du - dd)[row], minlength=width) / n
         gt = np.array([(dd[grades == j + 1].sum() - du[grades == j].sum()) / n for j in range(GRADES - 1)])
-        g = np.r_[gw, np.array([gt[j:].sum() for j in range(GRADES - 1)]) * np.r_[1.0, np.exp(z[1:])]]
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        rate = 0.3 * (1 - step / (PASSES + 1)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-5)
-        move = rate * m / (1 - 0.9**step)
-        w -= move[: len(w)]
-        w = np.sign(w) * np.maximum(0, np.abs(w) - LASSO * rate[: len(w)])
-        z -= np.clip(move[len(w) :], -0.3, 0.3)
-    held = np.flatnonzero(w)
-    return Ordinal(used[held].astype(np.int64), w[held], np.cumsum(np.r_[z[0], np.exp(z[1:])]))
+        gz = np.array([gt[j:].sum() for j in range(GRADES - 1)]) * np.r_[1.0, np.exp(np.clip(z[1:], -20, 5))]
+        return float(-np.log(p).mean()), np.r_[gw, gz]
+
+    at = np.clip(np.cumsum(np.bincount(grades, minlength=GRADES))[:-1] / n, 1e-3, 1 - 1e-3)
+    t = np.sort(np.log(at / (1 - at))) + np.arange(GRADES - 1) * 1e-2
+    x = minimised(smooth, np.r_[np.zeros(width), t[0], np.log(np.diff(t))], np.r_[np.full(width, LASSO), np.zeros(GRADES - 1)])
+    held = np.flatnonzero(x[:width])
+    return Ordinal(used[held].astype(np.int64), x[held], thresholds(x[width:]))
 
 
 def graded(labels: DataFrame) -> DataFrame:
