@@ -13,12 +13,13 @@ Where white space never joins tokens in the vocabulary's rules, a word's ids are
 library and kept at hand, for as long as a worker lives. Where its normalizer and splitter leave words of Latin letters whole, these go straight to the
 library's model. Vocabularies with other rules get whole texts.
 
-Defined results: a null or empty text is the end id alone; a null doc_id comes before all others; repeated rows are written each; an
+Defined results: a very long text is cut into words as a whole, which takes some ten times its size in a task, and its ids into blocks as others are; a null or empty text is the end id alone; a null doc_id comes before all others; repeated rows are written each; an
 empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import json
 import os
@@ -43,7 +44,7 @@ from .shared import filesystem, save, scratch
 MAGIC, END, OTHER = b"PALID3\n", 1, -1
 #: What a splitter's pattern that never crosses white space begins with: words, digits, and whatever is neither.
 SPLIT = r"[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-#: Ids in a block; blocks that go in step; words kept at hand; bytes of texts whose words are looked up together.
+#: Ids in a block; blocks that go in step, the last ones of a file by half more; words kept at hand; bytes of texts whose words are looked up together.
 BLOCK, LANES, MEMO, STEP = 4096, 1024, 500_000, 8 << 20
 #: Letters of one code point that stay as they are but for case.
 LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
@@ -249,29 +250,29 @@ def _write(folder: str, tokenizer: str) -> Callable:
         part, out, encode = TaskContext.get().partitionId(), None, None
         ids, sizes, held, count, total = [], [], [], 0, 0
         path = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.ids"
-        for b in batches:
-            if b.num_rows and out is None:
-                fs, at = filesystem(path)
-                fs.create_dir(at.rpartition("/")[0], recursive=True)
-                out, encode = fs.open_output_stream(at, compression=None), encoder(tokenizer)
-                out.write(MAGIC)
-            ids += b.column(0).to_pylist()
-            for texts in slices(b.column(1)):
-                got, many = encode.texts(texts)
-                held.append(np.insert(got, np.cumsum(many), np.uint16(END)))  # after each text
-                sizes.append(many + 1)
-                count += len(held[-1])
-                while count >= BLOCK * LANES:
-                    stream = np.concatenate(held)
-                    out.write(pack(np.split(stream[: BLOCK * LANES], LANES)))
-                    held, count, total = [stream[BLOCK * LANES :]], count - BLOCK * LANES, total + BLOCK * LANES
-        if out is None:
-            return
-        if count:
-            out.write(pack(np.split(np.concatenate(held), range(BLOCK, count, BLOCK))))
-        body = zlib.compress(np.array([i or 0 for i in ids], "<i8").tobytes() + np.array([i is None for i in ids], np.uint8).tobytes() + np.concatenate(sizes).astype("<i8").tobytes())
-        out.write(section(b"DOCS", struct.pack("<QI", len(ids), zlib.crc32(body)) + body))
-        out.close()
+        with contextlib.ExitStack() as opened:
+            for b in batches:
+                if b.num_rows and out is None:
+                    fs, at = filesystem(path)
+                    fs.create_dir(at.rpartition("/")[0], recursive=True)
+                    out, encode = opened.enter_context(fs.open_output_stream(at, compression=None)), encoder(tokenizer)
+                    out.write(MAGIC)
+                ids += b.column(0).to_pylist()
+                for texts in slices(b.column(1)):
+                    got, many = encode.texts(texts)
+                    held.append(np.insert(got, np.cumsum(many), np.uint16(END)))  # after each text
+                    sizes.append(many + 1)
+                    count += len(held[-1])
+                    while count >= BLOCK * (LANES + LANES // 2):  # so that the last blocks of a file go in step with many others, too
+                        stream = np.concatenate(held)
+                        out.write(pack(np.split(stream[: BLOCK * LANES], LANES)))
+                        held, count, total = [stream[BLOCK * LANES :]], count - BLOCK * LANES, total + BLOCK * LANES
+            if out is None:
+                return
+            if count:
+                out.write(pack(np.split(np.concatenate(held), range(BLOCK, count, BLOCK))))
+            body = zlib.compress(np.array([i or 0 for i in ids], "<i8").tobytes() + np.array([i is None for i in ids], np.uint8).tobytes() + np.concatenate(sizes).astype("<i8").tobytes())
+            out.write(section(b"DOCS", struct.pack("<QI", len(ids), zlib.crc32(body)) + body))
         yield pa.RecordBatch.from_pydict({"part": [part], "path": [path], "n_docs": [len(ids)], "n_ids": [total + count]})
 
     return run
