@@ -26,24 +26,25 @@ def of(prescription: str) -> set[str]:
 
 
 def shortened(turns: DataFrame, verbatim: int, does: set[str]) -> DataFrame:
-    """Turns with ``is_recent``, ``cleaned`` (and freed of filler if old), ``gone`` (a later old turn is equal) and ``repeats``, as far as ``does`` needs them."""
-    role, cleaned = F.col("role"), T.clean(F.col("content"))
-    rows = O.flag_recent(turns, verbatim)
-    for step, strip in (("boilerplate", T.strip_boilerplate), ("acknowledgement", T.strip_acknowledgement)):
-        if step in does:
-            cleaned = T.unless_empty(role, cleaned, strip)
-    rows = rows.withColumn("cleaned", F.when(F.col("is_recent"), T.clean(F.col("content"))).otherwise(cleaned))
-    old = rows.where(~F.col("is_recent"))
+    """Turns with ``is_recent``, ``cleaned`` (and freed of filler if old), ``gone`` (a later old turn is equal) and ``repeats``, as far as ``does`` needs them.
+
+    ``mild`` is what is left by cleaning and by freeing old turns of boilerplate alone; the other strengths go on from there.
+    """
+    role, old = F.col("role"), ~F.col("is_recent")
+    freed = lambda c, step, strip: F.when(old, T.unless_empty(role, c, strip)).otherwise(c) if step in does else c
+    rows = O.flag_recent(turns, verbatim).withColumn("mild", freed(T.clean(F.col("content")), "boilerplate", T.strip_boilerplate))
+    rows = rows.withColumn("cleaned", freed(F.col("mild"), "acknowledgement", T.strip_acknowledgement))
+    earlier = rows.where(old)
     if "dedup" in does:
-        last = O.last_places(old, F.col("cleaned"))
+        last = O.last_places(earlier, F.col("cleaned"))
         mark = lambda df: O.beside(df.withColumn("hash", F.when(~F.col("is_recent"), T.content_hash(F.col("cleaned")))), last, "conv_id", "hash").drop("hash")
         gone = ~F.col("is_recent") & F.coalesce(F.col("pos") < F.col("last_pos"), F.lit(False))
         rows = mark(rows).withColumn("gone", gone).drop("last_pos")
-        old = rows.where(~F.col("is_recent") & ~F.col("gone"))
+        earlier = rows.where(old & ~F.col("gone"))
     else:
         rows = rows.withColumn("gone", F.lit(False))
     if "collapse" in does:
-        places = O.repeated_parts(old.where("role = 'assistant'"), F.col("cleaned")).select("*", F.lit("assistant").alias("role"), F.lit(False).alias("is_recent"), F.lit(False).alias("gone"))
+        places = O.repeated_parts(earlier.where("role = 'assistant'"), F.col("cleaned")).select("*", F.lit("assistant").alias("role"), F.lit(False).alias("is_recent"), F.lit(False).alias("gone"))
         rows = O.beside(rows, places, "conv_id", "pos", "role", "is_recent", "gone")
     else:
         rows = rows.withColumn("repeats", F.lit(None).cast("array<int>"))
@@ -52,6 +53,8 @@ def shortened(turns: DataFrame, verbatim: int, does: set[str]) -> DataFrame:
 
 def content_of(does: set[str]) -> Column:
     """The content that a turn is left with, null if it goes."""
+    if does <= {"boilerplate"}:
+        return F.when(F.col("mild").rlike(r"\S"), F.col("mild"))
     short = O.collapsed(F.col("cleaned"), F.col("repeats")) if "collapse" in does else F.col("cleaned")
     if "compress" in does:
         short = F.when(F.col("is_recent"), short).otherwise(T.compress(short))
@@ -74,10 +77,10 @@ def rules_of(turns: DataFrame) -> DataFrame:
 def measured(turns: DataFrame, verbatim: int, prescriptions: list[str], *more: Column, by: tuple[str, ...] = ("conv_id",)) -> DataFrame:
     """One row per conversation (or what else ``by`` says): turns and tokens before, and for each prescription p ``turns_p`` and ``tokens_p`` after; ``more`` aggregates of the same rows.
 
-    Prescriptions that take the same steps before compressing share their rows.
+    Prescriptions share their rows if they take the same steps before compressing, or nothing but boilerplate.
     """
     steps = set().union(*(of(p) for p in prescriptions))
-    if len({frozenset(of(p) - {"compress"}) for p in prescriptions}) > 1:
+    if any(not of(p) <= {"boilerplate"} and of(p) - {"compress"} != steps - {"compress"} for p in prescriptions):
         raise ValueError("these prescriptions don't share their rows")
     rows = shortened(turns, verbatim, steps)
     for p in prescriptions:
@@ -120,25 +123,23 @@ def prune_summary(turns: DataFrame, verbatim: int = P.VERBATIM_TURNS, prescripti
     return rows.select("conv_id", F.concat_ws("\n", *lines).alias("summary"))
 
 
-GENTLE, FIRM = ["gentle"], ["standard", "aggressive"]
+EVERY = ["gentle", "standard", "aggressive"]
 
 
 def savings(turns: DataFrame, verbatim: int = P.VERBATIM_TURNS) -> DataFrame:
     """Tokens saved by each prescription, over all conversations."""
-    parts = []
-    for group in (GENTLE, FIRM):
-        totals = measured(turns, verbatim, group).agg(F.sum("orig_tokens").alias("orig_tokens"), *[F.sum(f"tokens_{p}").alias(p) for p in group])
-        each = F.explode(F.array(*[F.struct(F.lit(p).alias("prescription"), F.col(p).alias("final")) for p in group])).alias("x")
-        parts.append(totals.where("orig_tokens IS NOT NULL").select("orig_tokens", each).select("x.prescription", "orig_tokens", (F.col("orig_tokens") - F.col("x.final")).alias("saved_tokens")))
-    return parts[0].unionByName(parts[1]).withColumn("saved_pct", T.saved_pct(F.col("orig_tokens"), F.col("orig_tokens") - F.col("saved_tokens")))
+    totals = measured(turns, verbatim, EVERY).agg(F.sum("orig_tokens").alias("orig_tokens"), *[F.sum(f"tokens_{p}").alias(p) for p in EVERY])
+    each = F.explode(F.array(*[F.struct(F.lit(p).alias("prescription"), F.col(p).alias("final")) for p in EVERY])).alias("x")
+    saved = totals.where("orig_tokens IS NOT NULL").select("orig_tokens", each).select("x.prescription", "orig_tokens", (F.col("orig_tokens") - F.col("x.final")).alias("saved_tokens"))
+    return saved.withColumn("saved_pct", T.saved_pct(F.col("orig_tokens"), F.col("orig_tokens") - F.col("saved_tokens")))
 
 
 def diagnose(turns: DataFrame, verbatim: int = P.VERBATIM_TURNS) -> DataFrame:
     """One row per conversation: sizes, noise, duplicates, rules, the largest turns, and what each prescription saves."""
     top = O.largest_turns(turns).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("rank", "pos", "role", "tokens"))).alias("largest"))
     content = F.col("content")
-    out = measured(turns, verbatim, FIRM, *O.summary_columns(content), *O.noise_columns(content))
-    for more in (measured(turns, verbatim, GENTLE).select("conv_id", "tokens_gentle"), O.duplicate_groups(turns), rules_of(turns), top):
+    out = measured(turns, verbatim, EVERY, *O.summary_columns(content), *O.noise_columns(content))
+    for more in (O.duplicate_groups(turns), rules_of(turns), top):
         out = O.beside(out, more, "conv_id")
     saved = [c for p in P.PRESCRIPTIONS for c in ((F.col("orig_tokens") - F.col(f"tokens_{p}")).alias(f"saved_{p}"), T.saved_pct(F.col("orig_tokens"), F.col(f"tokens_{p}")).alias(f"saved_pct_{p}"))]
     n_rules = F.coalesce(F.size("rules").cast("long"), F.lit(0).cast("long")).alias("n_rules")

@@ -600,3 +600,29 @@ def trimmed_rules(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     rows.createOrReplaceTempView("palaver_long_rules")
     return R.rule_sentences(spark.sql(LONG_RULES.replace("FROM conversations", "FROM palaver_long_rules").replace("::BIGINT", "")).withColumn("pos", F.col("pos").cast("long")))
+
+
+FALLBACK = f"""CASE turn % 4 WHEN 0 THEN text WHEN 1 THEN 'Assistant: ' || text WHEN 2 THEN 'You' || {NL} || text
+  ELSE 'Front matter of a report.' || {NL} || '## Conversation History (all)' || {NL} || '**User**: ' || text || {NL} || {NL} || '**Assistant**: Noted.' END"""
+
+
+@query(f"""SELECT conv_id, pos, role, {sql_strip('content')} AS content FROM (
+  SELECT conv_id * 1000 + turn AS conv_id, 0::BIGINT AS pos, CASE turn % 4 WHEN 1 THEN 'assistant' ELSE 'user' END AS role, text AS content FROM conversations
+  UNION ALL SELECT conv_id * 1000 + turn, 1, 'assistant', 'Noted.' FROM conversations WHERE turn % 4 = 3) WHERE regexp_matches(content, '\\S')""")
+def parse_fallbacks(spark, sf_dir):
+    """Texts with one label or none, and front matter before the history."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return transcripts.parse(rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("conv_id"), F.expr(FALLBACK).alias("value"))).select(*KEEP)
+
+
+ACROSS = f"text || {NL} || 'Please use plan ' || CAST(conv_id AS {{string}}) || '. row ' || CAST(turn AS {{string}}) || ' instead of it. Done'"
+ACROSS_SQL = f"SELECT conv_id, turn::BIGINT AS pos, role, {ACROSS.format(string='VARCHAR')} AS content, text FROM conversations WHERE text IS NOT NULL"
+
+
+@query(f"""SELECT conv_id, pos, kind, unit_no::INTEGER AS unit_no, rule FROM ({sql_sentences(f"SELECT conv_id, pos, role, content FROM ({ACROSS_SQL})")}) WHERE length(rule) <= {P.MAX_RULE_LENGTH}
+  UNION ALL SELECT conv_id, pos, 0, (length(text) - length(replace(replace(text, '.', ''), chr(10), '')) + 1)::INTEGER, 'Please use plan ' || conv_id || '. row ' || pos || ' instead of it.' FROM ({ACROSS_SQL}) WHERE role = 'user'""")
+def rules_across_full_stops(spark, sf_dir):
+    """A trigger that goes across a full stop, behind each turn."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("text IS NOT NULL")
+    turns = rows.select("conv_id", F.col("turn").cast("long").alias("pos"), "role", F.expr(ACROSS.format(string="STRING")).alias("content"))
+    return R.rule_sentences(turns).where(F.length("rule") <= P.MAX_RULE_LENGTH)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,14 +19,21 @@ def data_dirs(candidates: list[str] | None = None) -> list[str]:
 
 
 def list_files(spark: SparkSession, path: str, most: int = 60) -> DataFrame:
-    """path, kb and label of the first ``most`` files by path."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
-    name = F.lower(F.element_at(F.split("path", "/"), -1))
+    """path, kb and label of the files among the first ``most`` entries of a folder by path, part by part; folders that hold files are entries, too."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.col("length").alias("bytes"))
+    fixed = re.split(r"[*?\[{]", path)[0]
+    root = spark._jvm.org.apache.hadoop.fs.Path((fixed if fixed == path else fixed.rpartition("/")[0]) or ".")
+    depth = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toString().rstrip("/").count("/") + 1
+    listed = files.withColumn("parts", F.split("path", "/"))
+    above = F.transform(F.sequence(F.lit(depth), F.greatest(F.lit(depth), F.size("parts") - 1)), lambda k: F.slice("parts", F.lit(1), k))
+    folders = listed.select(F.explode(above).alias("parts")).distinct().where(F.size("parts") > depth)
+    entries = listed.unionByName(folders, allowMissingColumns=True).orderBy("parts").limit(most).where("path IS NOT NULL")
+    name = F.lower(F.element_at("parts", -1))
     label = (
         F.when(name.rlike(r"\.(sqlite3?|db)$"), "sqlite").when(name.endswith(".jsonl"), "jsonl").when(name.rlike(r"config.*\.json$"), "config json")
         .when(name.rlike(r"\.(ldb|leveldb)$") | F.lower("path").contains("leveldb") | F.lower("path").contains("indexeddb"), "leveldb").otherwise("other")
     )
-    return files.select("path", F.floor(F.col("length") / 1024).alias("kb"), label.alias("label")).orderBy("path").limit(most)
+    return entries.select("path", F.floor(F.col("bytes") / 1024).alias("kb"), label.alias("label")).orderBy("path")
 
 
 def host_config(candidates: list[str] | None = None) -> str | None:

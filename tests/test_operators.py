@@ -223,6 +223,13 @@ def test_files(spark, tmp_path):
     (tmp_path / "sub/data.sqlite").write_text("y")
     got = {r.path.rpartition("/")[2]: (r.kb, r.label) for r in files.list_files(spark, str(tmp_path)).collect()}
     assert got == {"a.jsonl": (2, "jsonl"), "data.sqlite": (0, "sqlite")}
+    # folders count among the entries; a folder comes before what it holds, and parts are compared one by one
+    (tmp_path / "sub/deep").mkdir()
+    (tmp_path / "sub/deep/x.db").write_text("z")
+    (tmp_path / "sub.txt").write_text("z")
+    names = lambda most: sorted(r.path.rpartition("/")[2] for r in files.list_files(spark, str(tmp_path), most).collect())
+    assert [names(k) for k in range(1, 7)] == [["a.jsonl"], ["a.jsonl"], ["a.jsonl", "data.sqlite"], ["a.jsonl", "data.sqlite"], ["a.jsonl", "data.sqlite", "x.db"], ["a.jsonl", "data.sqlite", "sub.txt", "x.db"]]
+    assert len(files.list_files(spark, f"{tmp_path}/s*").collect()) == 3
     assert files.data_dirs([str(tmp_path), "/none/such"]) == [str(tmp_path)] and files.configured_servers("/none") == []
 
 
