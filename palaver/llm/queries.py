@@ -25,11 +25,11 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The feature is a digest of the fingerprint's arrays."""
+    """The fingerprint's arrays, and as the feature a digest of them."""
     found = media.analyse(media.store(table(spark, sf_dir, "documents")))
     arrays = [F.concat_ws(",", F.col(c).cast("array<string>")) for c in ("times", "codes")]
     feature = F.concat(F.size("codes").cast("string"), F.lit(":"), F.sha1(F.concat_ws(";", *arrays)))
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), "times", "codes")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every finding that the forest takes for a secret."""
-    return secrets.scan(table(spark, sf_dir, "documents")).where(F.col("score") >= secrets.MIN_SCORE)
+    return secrets.scan(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).where(F.col("score") >= secrets.MIN_SCORE)
 
 
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
