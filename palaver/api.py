@@ -9,6 +9,7 @@ from palaver.functions import patterns as P
 from palaver.operators import rules as R
 from palaver.operators.store import RuleStore
 from palaver.plans import prune as plans
+from palaver.settings import settings
 from palaver.sources import transcripts
 
 
@@ -40,8 +41,9 @@ def write_briefings(turns: DataFrame, path: str, verbatim: int = P.VERBATIM_TURN
     plans.write_briefings(turns, path, verbatim, prescription, stamp)
 
 
-def extract_rules(turns: DataFrame, store: RuleStore | None = None, review: bool = False) -> tuple[DataFrame, DataFrame | None]:
-    """Rules with the forced ones, merged into ``store`` if given, and flags of near duplicates if asked for."""
+def extract_rules(turns: DataFrame, store: RuleStore | None = None, review: bool | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Rules with the forced ones, merged into ``store`` if given, and flags of near duplicates if asked for (by default, if the settings say so)."""
+    review = settings(turns.sparkSession).review if review is None else review
     rules = R.extract_rules(turns)
     forced = R.forced_rules(turns, rules).select("conv_id", F.lit(P.MAX_RULES + 1).alias("rule_pos"), "rule", F.lower("rule").alias("rule_key"))
     rules = rules.unionByName(forced)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import argparse
-import os
 import sys
 
 from pyspark.sql import Observation, SparkSession
@@ -12,6 +11,7 @@ from palaver import api
 from palaver.functions import patterns as P
 from palaver.operators.store import RuleStore
 from palaver.plans import prune as plans
+from palaver.settings import settings
 from palaver.sinks import outputs
 from palaver.sources import files
 
@@ -25,12 +25,12 @@ def parser() -> argparse.ArgumentParser:
     for name in ("diagnose", "prune", "brief"):
         c = commands.add_parser(name)
         c.add_argument("paths", nargs="+", help="files or folders; - for the standard input")
-        c.add_argument("--verbatim", type=int, default=int(os.environ.get("PALAVER_VERBATIM", P.VERBATIM_TURNS)))
+        c.add_argument("--verbatim", type=int, default=settings().verbatim)
         c.add_argument("--rx", choices=sorted(P.PRESCRIPTIONS), default="aggressive" if name == "brief" else "standard")
         c.add_argument("--output", help="folder for the result, which replaces the one before it as a whole; without it, a few rows are shown")
         c.add_argument("--warn-size", type=int, nargs="?", const=P.WARN_INPUT_CHARS, default=P.WARN_INPUT_CHARS, help="tell if inputs have more characters")
         c.add_argument("--rejects", help="folder for what is no turn, with the reasons")
-    commands.add_parser("rules-status").add_argument("store")
+    commands.add_parser("rules-status").add_argument("store", nargs="?", help="folder of the store; by default as the settings say")
     commands.add_parser("discover").add_argument("path")
     return p
 

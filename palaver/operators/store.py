@@ -21,6 +21,7 @@ from pyspark.sql.utils import AnalysisException
 from palaver.functions import patterns as P
 from palaver.functions import text as T
 from palaver.operators.rules import merge_rules
+from palaver.settings import settings
 from palaver.sinks.once import Folder, name_of, number_of
 
 RULES = S.StructType([S.StructField("rule", S.StringType()), S.StructField("first_seen_seq", S.LongType())])
@@ -31,8 +32,11 @@ def checksum(rules: list[str]) -> str:
 
 
 class RuleStore:
-    def __init__(self, spark: SparkSession, path: str, most: int = P.STORE_RULES):
-        self.spark, self.path, self.most = spark, path.rstrip("/"), min(most, P.STORE_HARD_MAX)
+    def __init__(self, spark: SparkSession, path: str | None = None, most: int | None = None):
+        """The store at ``path``, of ``most`` rules; by default as the settings say."""
+        own = settings(spark)
+        self.spark, self.path = spark, (path or own.rules_store).rstrip("/")
+        self.most = min(own.max_store_rules if most is None else most, P.STORE_HARD_MAX)
 
     def _manifests(self) -> Folder:
         return Folder(self.spark, f"{self.path}/manifest")

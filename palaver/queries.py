@@ -571,11 +571,15 @@ def stream_rules(spark, sf_dir):
     """Rules from conversations that come in three batches, each cut somewhere."""
     turns = overlay(spark, sf_dir).select("conv_id", F.col("pos").alias("seq"), "role", "content")
     arrived, found, checkpoint = (outputs.scratch(spark, f"stream-{name}") for name in ("in", "out", "checkpoint"))
+    before = spark.conf.get(sessions.STATE_STORE[0], None)
     spark.conf.set(*sessions.STATE_STORE)
-    for k in range(3):
-        turns.where(F.least(F.lit(2), F.floor(F.col("seq") / (2 + F.col("conv_id") % 3))) == k).write.mode("append").parquet(arrived)
-        rules = sessions.found_rules(spark.readStream.schema(turns.schema).parquet(arrived), verbatim=VERBATIM)
-        rules.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(found).awaitTermination()
+    try:
+        for k in range(3):
+            turns.where(F.least(F.lit(2), F.floor(F.col("seq") / (2 + F.col("conv_id") % 3))) == k).write.mode("append").parquet(arrived)
+            rules = sessions.found_rules(spark.readStream.schema(turns.schema).parquet(arrived), verbatim=VERBATIM)
+            rules.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(found).awaitTermination()
+    finally:
+        spark.conf.set(sessions.STATE_STORE[0], before) if before else spark.conf.unset(sessions.STATE_STORE[0])
     return spark.read.schema(rules.schema).parquet(found).where("rule IS NOT NULL").select("conv_id", "rule_pos", "rule", "rule_key")
 
 

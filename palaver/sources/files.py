@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 def data_dirs(candidates: list[str] | None = None) -> list[str]:
     """Those of the folders that exist; by default places where desktop applications keep data."""
     home = Path.home()
-    places = candidates or [str(home / ".config"), str(home / ".local/share"), str(home / "Library/Application Support"), os.environ.get("APPDATA", ""), os.environ.get("LOCALAPPDATA", "")]
+    places = candidates or [os.environ.get("XDG_CONFIG_HOME") or str(home / ".config"), str(home / ".local/share"), str(home / "Library/Application Support"), os.environ.get("APPDATA", ""), os.environ.get("LOCALAPPDATA", "")]
     return [p for p in places if p and os.path.isdir(p)]
 
 

@@ -11,6 +11,7 @@ from palaver.operators import rules as R
 from palaver.operators import turns as O
 from palaver.operators.store import RuleStore
 from palaver.plans import prune as plans
+from palaver.settings import Settings, settings
 from palaver.sinks import outputs
 from palaver.sources import files, transcripts
 from palaver.streaming import sessions
@@ -281,3 +282,23 @@ def test_distinct_turns_of_a_stream(spark, tmp_path):
     query = sessions.distinct_turns(timed, "at", "1 hour").writeStream.format("memory").queryName("distinct_turns").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert spark.table("distinct_turns").count() == 2
+
+
+def test_settings(spark, tmp_path, monkeypatch):
+    assert settings(spark) == settings() and settings().verbatim == P.VERBATIM_TURNS and settings().review and settings().rules_store.endswith("/palaver/rules")
+    for name, value in (("VERBATIM", "3"), ("MAX_STORE_RULES", "400"), ("REVIEW", "0"), ("RULES_STORE", str(tmp_path / "store"))):
+        monkeypatch.setenv(f"PALAVER_{name}", value)
+    assert settings() == Settings(3, P.STORE_HARD_MAX, False, str(tmp_path / "store"))
+    assert cli.parser().parse_args(["prune", "x"]).verbatim == 3 and cli.parser().parse_args(["rules-status"]).store is None
+    spark.conf.set("spark.palaver.max_store_rules", "2")
+    try:
+        store = RuleStore(spark)
+        talk = turns(spark, "Never drop a. Never drop b. Never drop c, please.", role="user")
+        rules, flags = api.extract_rules(talk, store)
+        assert store.path == str(tmp_path / "store") and store.most == 2 and flags is None and store.load().count() == 2 and rules.count() == 3
+        assert api.extract_rules(talk, store, review=True)[1] is not None
+    finally:
+        spark.conf.unset("spark.palaver.max_store_rules")
+    monkeypatch.setenv("PALAVER_VERBATIM", "many")
+    with pytest.raises(ValueError, match="verbatim"):
+        settings()
