@@ -3,6 +3,9 @@
 Each round moves links to smaller neighbours until every node points at the smallest node of its component. A round
 is two aggregations with partial sums and two joins that Spark can split where a node is hot; rounds are written
 tables, so an executor's loss costs one round at most. Nothing but two numbers a round comes to the driver.
+
+Defined results: links of a node to itself, and links with a null, join nothing; repeated links count once; nodes are numbers of any kind that has an order, and the smallest is the root; no links give an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations

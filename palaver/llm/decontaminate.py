@@ -12,7 +12,7 @@ searched for by itself. Seeds are followed up some at a time, within a document,
 a score above 0 can span, so each lies in one part. Of a gram's places in a piece the first and the last tell all, as windows of one seed and piece always meet. So
 memory hangs on the benchmark's block, and on a text by its words' codes alone.
 
-Defined results: null and empty texts leak nothing; an item with fewer than 3 words, or null, matches nothing; items with a null id
+Defined results: a very long text is cut into parts as said; null and empty texts leak nothing; an item with fewer than 3 words, or null, matches nothing; items with a null id
 are one item, found with a null id; repeated rows are judged each; empty tables give an empty result; other columns are passed through by ``clean`` and ignored by ``leaks``.
 """
 

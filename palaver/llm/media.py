@@ -7,7 +7,7 @@ bins and the frames between; the pairs are stored as two arrays, times and codes
 
 All is narrow: no row is shuffled, and a text's features need its bytes alone, in blocks of ``FRAMES`` frames. Equal bytes give equal features.
 
-Defined results: a null or empty text is ``FRAME`` bytes of 255 (silence, without peaks); repeated rows are returned each; an empty table gives
+Defined results: a very long text's features are made in blocks of frames, its bytes are held a few times in its task; a null or empty text is ``FRAME`` bytes of 255 (silence, without peaks); repeated rows are returned each; an empty table gives
 an empty result; other columns are ignored.
 """
 

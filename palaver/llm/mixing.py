@@ -8,7 +8,7 @@ document per source, and these meet again in a reduction tree of ``FAN_IN`` unti
 goes to the nearer whole number; what a source then misses, at most half a document, is made up as far as turning over some of
 the documents settled last, the smallest, brings it nearer.
 
-Defined results: a null or empty text has size 0 and takes no words (its row is copied by the whole part of its source's rate); a null source is a source of its own, last in
+Defined results: words are counted where a text is read, however long it is, and a document of nearly all words of a source is one document; a null or empty text has size 0 and takes no words (its row is copied by the whole part of its source's rate); a null source is a source of its own, last in
 order; a null id is an id like any other; repeated rows are separate documents; an empty table gives an empty result; further columns are ignored by
 ``mix`` and kept by ``mixed``, whatever they are called.
 """

@@ -14,7 +14,7 @@ is shared is factored into upper nodes. Pairs of nodes go down the tree; the dif
 down as masks grow, and pairs are dropped as whole groups once these exceed the bound; nodes whose entries all lie within it are linked as a whole; nodes
 already joined are skipped. A group returns at most one link per entry, so copies never become pairs.
 
-Defined results: null and empty texts and texts of white space have fingerprint zero, linked like any other; repeated
+Defined results: a very long text is hashed ``CHUNK`` words at a time, its words are held in its task; null and empty texts and texts of white space have fingerprint zero, linked like any other; repeated
 rows are returned each; a null id takes part but is never a component's id unless all its ids are null; an empty table gives an empty
 result; other columns are ignored.
 """

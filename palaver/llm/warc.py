@@ -8,7 +8,7 @@ Read: archives are cut into byte ranges. A task scans its range for gzip magic,
 to a WARC header, and owns the records that start inside the range; it reads the last one to its end, beyond the range if need
 be. A payload that differs from its digest is an error.
 
-Defined results: a null html is an empty payload; a null url gives no target; a null page_id is below all others; of repeated rows that share
+Defined results: a very long payload is compressed and read as one record in its task; a null html is an empty payload; a null url gives no target; a null page_id is below all others; of repeated rows that share
 the largest page_id each is a response; an empty table gives no files and an empty result; other columns are ignored.
 """
 

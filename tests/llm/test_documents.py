@@ -631,3 +631,11 @@ def test_what_the_template_tells(spark):
 ])
 def test_html_keeps_main_text(text, want):
     assert html.main_text(text, None) == want
+
+
+def test_components_of_odd_links(spark):
+    schema = "u long, v long, root long"
+    rows = [(1, 1, 0), (None, 2, 0), (3, None, 0), (7, 4, 0), (7, 4, 0), (4, 7, 0), (9, 7, 0), (20, 21, 0)]
+    got = components.components(spark.createDataFrame(rows, schema)).collect()
+    assert sorted((x.node, x.root) for x in got) == [(7, 4), (9, 4), (21, 20)]
+    assert components.components(spark.createDataFrame([], schema)).count() == 0
