@@ -9,7 +9,7 @@ goes to the nearer whole number; what a source then misses, at most half a docum
 the documents settled last, the smallest, brings it nearer.
 
 Defined results: words are counted where a text is read, however long it is, and a document of nearly all words of a source is one document; a null or empty text has size 0 and takes no words (its row is copied by the whole part of its source's rate); a null source is a source of its own, last in
-order; a null id is an id like any other; repeated rows are separate documents; an empty table gives an empty result; further columns are ignored by
+order; a null id is an id like any other; repeated rows are separate documents, told by a number within theirs, so that many of them are dealt over buckets; an empty table gives an empty result; further columns are ignored by
 ``mix`` and kept by ``mixed``, whatever they are called.
 """
 
@@ -20,10 +20,10 @@ from collections import deque
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import save, spare
+from .shared import ranked, save, spare
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents a bucket holds on average, and buckets that meet in a node of the tree.
@@ -38,23 +38,27 @@ def word_count(text: Column) -> Column:
 
 
 def source_targets(sized: DataFrame, weights: tuple[float, ...], share: float, cap: float) -> DataFrame:
-    """One row per source: source_size, n_docs, target. The windows run over the sources, not the documents.
+    """One row per source: source_size, n_docs, target. Sources are ranked across partitions, and nothing but sums comes to the driver.
 
-    Sorted by how soon a source reaches its cap, the capped ones are a prefix; the first that is not capped fixes
-    the words per unit of weight for all the rest.
+    All sources get the same words per unit of weight; those that this takes past their cap stop there, and the rest is shared anew, until no further one does.
     """
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (rank % len(weights) + 1).cast("int"))
-    ranked = totals.select("*", weight.alias("weight"), (F.col("source_size") * F.lit(float(cap))).alias("most"))
-    order = Window.orderBy(F.col("most") / F.col("weight"), F.col("source").asc_nulls_last())
-    every, before = Window.partitionBy(), order.rowsBetween(Window.unboundedPreceding, -1)
-    rest = F.sum("source_size").over(every) * F.lit(float(share)) - F.coalesce(F.sum("most").over(before), F.lit(0.0))
-    unit = rest / F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
-    staged = ranked.select("*", unit.alias("unit"), F.row_number().over(order).alias("at"))
-    fixed = F.min(F.when(F.col("most") / F.col("weight") >= F.col("unit"), F.struct("at", "unit"))).over(every)["unit"]
-    target = F.least("most", F.coalesce(fixed, F.lit(float("inf"))) * F.col("weight"))
-    return staged.select("source", "source_size", "n_docs", target.alias("target"))
+    rank = ranked(totals, "rank", F.col("source").asc_nulls_last())
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
+    known = save(rank.select("source", "source_size", "n_docs", weight.alias("weight"), (F.col("source_size") * F.lit(float(cap))).alias("most")), "mix-sources")
+    every = (known.agg(F.sum("source_size")).first()[0] or 0) * float(share)
+    unit, stopped = 0.0, -1
+    while True:
+        full = F.col("most") < F.lit(unit) * F.col("weight")
+        sums = known.agg(F.count_if(full).alias("n"), F.sum(F.when(full, F.col("most"))).alias("given"), F.sum(F.when(~full, F.col("weight"))).alias("left")).first()
+        if sums["n"] == stopped or not sums["left"]:
+            break
+        unit, stopped = max(unit, (every - (sums["given"] or 0.0)) / sums["left"]), sums["n"]
+    if sums["left"]:
+        target = F.least("most", F.lit(unit) * F.col("weight"))
+    else:
+        target = F.col("most")
+    return known.select("source", "source_size", "n_docs", target.alias("target"))
 
 
 def uniform(seed: int, a: int, b: int) -> float:
@@ -161,14 +165,18 @@ def settle(seed: int, last: bool) -> Callable:
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 11) -> DataFrame:
     """doc_id, source, size, source_size, target, copies and taken (words, repeats counted) of every document."""
     sized = save(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
+    # rows that are equal are one row with a number, in parts that a bucket can hold
+    counted = sized.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("n"))
+    first = F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(BUCKET_ROWS).cast("long"))
+    alike = counted.select("doc_id", "source", "size", "n", F.explode(first).alias("part")).withColumn("n", F.least(F.col("n") - F.col("part"), F.lit(BUCKET_ROWS).cast("long")))
     targets = save(source_targets(sized, weights, share, cap), "mix-targets")
     rows = targets.agg(F.sum("n_docs")).first()[0] or 0
     buckets = max(1, math.ceil(rows / BUCKET_ROWS))
     same = F.col("d.source").eqNullSafe(F.col("t.source"))
     rate = F.when(F.col("t.source_size") > 0, F.col("t.target") / F.col("t.source_size")).otherwise(F.lit(0.0))
-    units = sized.alias("d").join(targets.alias("t"), same).select(
-        F.pmod(F.xxhash64("d.doc_id", "d.size"), F.lit(buckets)).alias("bucket"), "d.source", "d.doc_id", "d.size",
-        F.floor(rate).alias("base"), F.when(F.col("d.size") > 0, rate - F.floor(rate)).otherwise(F.lit(0.0)).alias("p"),
+    units = alike.alias("d").join(targets.alias("t"), same).select(
+        F.pmod(F.xxhash64("d.doc_id", "d.size", "d.part"), F.lit(buckets)).alias("bucket"), "d.source", "d.doc_id", "d.size",
+        F.floor(rate).alias("base"), F.when(F.col("d.size") > 0, rate - F.floor(rate)).otherwise(F.lit(0.0)).alias("p"), "d.n",
     )
     done, level, left = None, 0, units
     while True:
@@ -177,6 +185,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
         dealt = left.repartition(buckets, "bucket").sortWithinPartitions(
             "bucket", "source", F.col("size").desc(), F.xxhash64("doc_id"), "doc_id"
         )
+        if level == 0:
+            dealt = dealt.withColumn("n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).drop("n")
         out = save(dealt.mapInArrow(settle(seed + level, last), OUT), f"mix-level{level}")
         settled = out.where((F.col("p") == 0) | (F.col("p") == 1))
         done = settled if done is None else done.unionByName(settled)

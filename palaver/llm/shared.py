@@ -6,7 +6,8 @@ import tempfile
 import uuid
 
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,6 +38,24 @@ def save(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ranked(df: DataFrame, name: str, *keys: Column) -> DataFrame:
+    """A written table of ``df`` with each row's place, from 0, in the order of ``keys``.
+
+    Rows are sorted across partitions and numbered in each; the numbers of rows in the partitions before are added, one number a partition.
+    """
+    at = F.monotonically_increasing_id()
+    table = save(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(name, at), "ranked")
+    part = F.shiftright(name, 33)
+    before, rows = [], 0
+    for r in table.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect():
+        before.append((r["part"], rows))
+        rows += r["n"]
+    offsets = df.sparkSession.createDataFrame(before, "part long, before long").alias("o")
+    place = F.col("o.before") + F.col(f"t.{name}").bitwiseAND(F.lit((1 << 33) - 1))
+    own = [place.alias(name) if c == name else F.col(f"t.`{c}`") for c in table.columns]
+    return table.alias("t").join(offsets, F.shiftright(f"t.{name}", 33) == F.col("o.part")).select(*own)
+
+
 def spare(df: DataFrame, name: str) -> str:
     """A column name that ``df`` doesn't use, whatever the case of letters."""
     taken = {c.lower() for c in df.columns}

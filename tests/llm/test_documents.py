@@ -639,3 +639,20 @@ def test_components_of_odd_links(spark):
     got = components.components(spark.createDataFrame(rows, schema)).collect()
     assert sorted((x.node, x.root) for x in got) == [(7, 4), (9, 4), (21, 20)]
     assert components.components(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_mixing_of_many_equal_rows_and_many_sources(spark, monkeypatch):
+    """A third of the rows are equal and without an id; every document of the rest has a source of its own."""
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 40)
+    monkeypatch.setattr(mixing, "FAN_IN", 3)
+    rows = [(None, "four words of text", "hot")] * 300 + [(i, " ".join(["w"] * (1 + i % 9)), f"site{i:04d}") for i in range(600)]
+    docs = frame(spark, rows, "doc_id long, text string, source string")
+    out = mixing.mix(docs).collect()
+    sizes = {}
+    for _, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    want = brute_targets(sizes)
+    assert len(out) == 900 and all(x.target == pytest.approx(want[x.source]) for x in out)
+    hot = [x for x in out if x.source == "hot"]
+    assert len(hot) == 300 and abs(sum(x.taken for x in hot) - want["hot"]) <= 4 and len({x.taken for x in hot}) <= 2
+    assert sorted(map(repr, out)) == sorted(map(repr, mixing.mix(docs.repartition(5)).collect()))
