@@ -76,8 +76,8 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        """Empty what is kept: of words of letters, which unit they are, the units' ids and where each begins; of other units, their ids' bytes."""
-        self.cores: dict[str, int] = {}
+        """Empty what is kept: words and which unit each is, the units' ids and where each begins; of other units, their ids' bytes."""
+        self.cores, self.units = pa.array([], pa.string()), np.empty(0, np.int64)
         self.flat, self.starts = np.empty(0, np.uint16), np.zeros(1, np.int64)
         self.words: dict[str, bytes] = {}
 
@@ -91,18 +91,17 @@ class Encoder:
             ids = self.words[word] = self.direct(word)
         return ids
 
-    def learn(self, cores: list[str]) -> None:
+    def learn(self, new: pa.Array) -> None:
         """Keep the ids of words of Latin letters only; other words are kept as ``OTHER``."""
-        held, pieces = [], []
-        for core in cores:
+        cores = new.to_pylist()
+        pieces, unit = [], np.full(len(cores), OTHER)
+        for k, core in enumerate(cores):
             if core.isascii() and core.isalpha():
-                held.append(core)
+                unit[k] = len(pieces)
                 pieces.append(core.lower())
             elif LETTERS.fullmatch(core):
-                held.append(core)
+                unit[k] = len(pieces)
                 pieces.append(core.lower().translate(self.pieces))
-            else:
-                self.cores[core] = OTHER
         tokenize = self.library.model.tokenize
         flat, sizes = [], []
         collects = gc.isenabled()
@@ -113,11 +112,24 @@ class Encoder:
             flat += [t.id for t in own]
         if collects:
             gc.enable()
-        first = len(self.starts) - 1
-        self.cores.update(zip(held, range(first, first + len(held)), strict=True))
+        unit[unit != OTHER] += len(self.starts) - 1
+        self.cores, self.units = pa.concat_arrays([self.cores, new]), np.r_[self.units, unit]
         self.flat = np.r_[self.flat, np.array(flat, np.uint16)]
         self.starts = np.r_[self.starts, self.starts[-1] + np.cumsum(sizes, dtype=np.int64)]
 
+    def unit_of(self, cores: pa.Array) -> np.ndarray:
+        """The unit of each of some distinct words, which are learned if they are new."""
+        found = pc.index_in(cores, value_set=self.cores)
+        if found.null_count:
+            at = np.flatnonzero(found.is_null())
+            known = len(self.cores)
+            self.learn(cores.take(pa.array(at)))
+            place = found.fill_null(0).to_numpy().astype(np.int64)
+            place[at] = known + np.arange(len(at))
+        else:
+            place = found.to_numpy()
+        return self.units[place]
+
     def of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct words, one after another, and where each word's begin and the last one's end.
 
@@ -130,12 +142,7 @@ class Encoder:
             return np.frombuffer(b"".join(own), "<u2"), np.r_[0, np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) // 2)]
         core = pc.ascii_rtrim(words, characters=string.punctuation)  # after letters these are one token of their own
         distinct = core.dictionary_encode()
-        cores = distinct.dictionary.to_pylist()
-        found = list(map(self.cores.get, cores))
-        if None in found:
-            self.learn([c for c, k in zip(cores, found, strict=True) if k is None])
-            found = list(map(self.cores.get, cores))
-        first = np.array(found, np.int64)[distinct.indices.to_numpy()]
+        first = self.unit_of(distinct.dictionary)[distinct.indices.to_numpy()]
         longer = pc.binary_length(words).to_numpy() > pc.binary_length(core).to_numpy()
         known, others = len(self.starts) - 1, [""]
         second = np.full(len(words), known)
