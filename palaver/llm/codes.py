@@ -146,7 +146,7 @@ def _codes(books: np.ndarray) -> Callable:
 
 
 def encode(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES, rounds: int = ROUNDS) -> DataFrame:
-    """vec_id, label, code (two hex digits a part), error, label_error (of all vectors with that label) and codebooks_sha256 of each vector that can be coded."""
+    """vec_id, label, code (two hex digits a part, or as many as an index needs), error, label_error (of all vectors with that label) and codebooks_sha256 of each vector that can be coded."""
     table = whole_numbers(vectors, parts)
     books = codebooks(table, parts, entries, rounds)
     kinds = dict(vectors.dtypes)

@@ -166,8 +166,9 @@ def brute_codes(rows, parts, entries, rounds):
             for p, x in enumerate(cut(v)):
                 held[p][near(p, x)[1]].append(x)
         books = [[[sum(c) // len(own) for c in zip(*own, strict=True)] if own else old for own, old in zip(held[p], books[p], strict=True)] for p in range(parts)]
+    width = 2 if len(books[0]) <= 256 else 3  # as many digits as every index needs, two at least
     sha = hashlib.sha256(",".join(str(x) for b in books for c in b for x in c).encode()).hexdigest()
-    out = [(i, label, "".join(f"{near(p, x)[1]:02x}" for p, x in enumerate(cut(v))), min(sum(near(p, x)[0] for p, x in enumerate(cut(v))), 2**63 - 1)) for i, label, v in ok]
+    out = [(i, label, "".join(f"{near(p, x)[1]:0{width}x}" for p, x in enumerate(cut(v))), min(sum(near(p, x)[0] for p, x in enumerate(cut(v))), 2**63 - 1)) for i, label, v in ok]
     by = Counter()
     for _, label, _, e in out:
         by[label] += e
