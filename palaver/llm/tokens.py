@@ -45,7 +45,7 @@ MAGIC, END, OTHER = b"PALID3\n", 1, -1
 #: What a splitter's pattern that never crosses white space begins with: words, digits, and whatever is neither.
 SPLIT = r"[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 #: Ids in a block; blocks that go in step, the last ones of a file by half more; words kept at hand; bytes of texts whose words are looked up together.
-BLOCK, LANES, MEMO, STEP = 4096, 1024, 500_000, 8 << 20
+BLOCK, LANES, MEMO, STEP = 4096, 1024, 500_000, 12 << 20
 #: Letters of one code point that stay as they are but for case.
 LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 ALL_LETTERS = string.ascii_letters + "".join(chr(c) for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7))
@@ -77,10 +77,23 @@ class Encoder:
 
     def forget(self) -> None:
         """Empty what is kept: words and which unit each is, the units' ids and where each begins; of other units, their ids' bytes."""
-        self.cores, self.units = pa.array([], pa.string()), np.empty(0, np.int64)
+        self.cores, self.units, self.hits = pa.array([], pa.string()), np.empty(0, np.int64), np.empty(0, np.int64)
         self.flat, self.starts = np.empty(0, np.uint16), np.zeros(1, np.int64)
         self.words: dict[str, bytes] = {}
 
+    def trim(self) -> None:
+        """Keep the words that were met in several steps, as far as they are not too many."""
+        keep = self.hits > 1
+        own = self.units[keep]
+        if len(own) > MEMO // 2:
+            self.forget()
+            return
+        letters = own != OTHER
+        self.flat, ends = gathered(self.flat, self.starts, own[letters])
+        self.starts = np.r_[0, ends].astype(np.int64)
+        own[letters] = np.arange(np.count_nonzero(letters))
+        self.cores, self.units, self.hits = self.cores.filter(pa.array(keep)), own, np.zeros(len(own), np.int64)
+
     def direct(self, text: str) -> bytes:
         return array("H", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
@@ -113,7 +126,7 @@ class Encoder:
         if collects:
             gc.enable()
         unit[unit != OTHER] += len(self.starts) - 1
-        self.cores, self.units = pa.concat_arrays([self.cores, new]), np.r_[self.units, unit]
+        self.cores, self.units, self.hits = pa.concat_arrays([self.cores, new]), np.r_[self.units, unit], np.r_[self.hits, np.zeros(len(unit), np.int64)]
         self.flat = np.r_[self.flat, np.array(flat, np.uint16)]
         self.starts = np.r_[self.starts, self.starts[-1] + np.cumsum(sizes, dtype=np.int64)]
 
@@ -128,6 +141,7 @@ class Encoder:
             place[at] = known + np.arange(len(at))
         else:
             place = found.to_numpy()
+        self.hits[place] += 1
         return self.units[place]
 
     def of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -135,8 +149,10 @@ class Encoder:
 
         A word is one or two units: a core of letters and what follows it, or the whole word.
         """
-        if len(self.cores) > MEMO or len(self.words) > MEMO:
+        if len(self.words) > MEMO:
             self.forget()
+        elif len(self.cores) > MEMO:
+            self.trim()
         if not self.by_model:
             own = list(map(self.word, words.to_pylist()))
             return np.frombuffer(b"".join(own), "<u2"), np.r_[0, np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) // 2)]
@@ -222,7 +238,7 @@ def section(kind: bytes, body: bytes) -> bytes:
 
 def pack(blocks: list[np.ndarray]) -> bytes:
     coded = coder.encode(blocks)
-    heads = [struct.pack("<IIII", len(b), len(c), zlib.crc32(c), zlib.crc32(b.astype("<u4").tobytes())) for b, c in zip(blocks, coded, strict=True)]
+    heads = [struct.pack("<IIII", len(b), len(c), zlib.crc32(c), zlib.crc32(b.astype("<u4"))) for b, c in zip(blocks, coded, strict=True)]
     return section(b"BLKS", struct.pack("<I", len(blocks)) + b"".join(heads) + b"".join(coded))
 
 
@@ -238,7 +254,7 @@ def unpack(body: bytes) -> list[np.ndarray]:
             raise ValueError("a block's bytes differ from their checksum")
     blocks = coder.decode(coded, [h[0] for h in heads])
     for b, (*_, crc) in zip(blocks, heads, strict=True):
-        if zlib.crc32(b.astype("<u4").tobytes()) != crc:
+        if zlib.crc32(b.astype("<u4")) != crc:
             raise ValueError("a block's ids differ from their checksum")
     return blocks
 
@@ -337,7 +353,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for path, start in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             rows: list[tuple] = []
             for doc_id, ids in documents(path):
-                rows.append((doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+                rows.append((doc_id, start, len(ids), zlib.crc32(ids.astype("<u4"))))
                 start += len(ids)
                 if len(rows) == 10_000:
                     yield _rows(rows)

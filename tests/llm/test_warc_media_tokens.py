@@ -169,3 +169,18 @@ def test_warc_sql(spark, tmp_path):
         want = duck.execute(queries.ORACLE_SQL["op1_warc"])
         assert got.columns == [c[0] for c in want.description]
         assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want.fetchall()))
+
+
+def test_kept_words_are_trimmed(monkeypatch):
+    """Words met once are forgotten when too many are kept; ids stay the library's."""
+    monkeypatch.setattr(tokens, "MEMO", 60)
+    encode = tokens.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("aeioustrné") for _ in range(r.randint(1, 8)))
+    common = [word() for _ in range(20)]
+    for _ in range(12):
+        texts = [" ".join([*r.choices(common, k=30), word() + "!", "x9 日本", word()]) for _ in range(10)]
+        ids, many = encode.texts(pa.array(texts))
+        want = [encode.library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert ids.tolist() == sum(want, []) and many.tolist() == [len(w) for w in want]
+        assert len(encode.cores) <= 60 + 20 + 40
