@@ -4,11 +4,13 @@ import random
 import re
 import time
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from palaver.functions import patterns as P
 from palaver.functions import text as T
+from palaver.queries import sql_pct
 
 
 def apply(spark, function, *values):
@@ -172,3 +174,12 @@ def test_chunks_join_to_the_text(spark):
     text = "One. Two!  Three?\n\nfour\n\n\nFive. six"
     (parts,) = apply(spark, T.chunks, text)
     assert "".join(parts) == text and parts[::2] == ["One.", "Two!", "Three?", "four", "Five. six"]
+
+
+def test_percents_are_rounded_as_sql_does(spark):
+    """1.85 is a bit less in binary; ten times as much is 18.5 again."""
+    pairs = [(2000, 1963), (2000, 2001), (100_000, 100_001), (0, 0), *((b, a) for b in range(1, 3000, 7) for a in (b // 3, b * 9 // 10, b - 1, b + 1))]
+    got = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, b long, a long").orderBy("i").select(T.saved_pct(F.col("b"), F.col("a")).cast("string")).collect()
+    values = ", ".join(f"({i}, {b}, {a})" for i, (b, a) in enumerate(pairs))
+    want = duckdb.connect().execute(f"SELECT ({sql_pct('b', 'a')})::VARCHAR FROM (VALUES {values}) t(i, b, a) ORDER BY i").fetchall()
+    assert [r[0] for r in got] == [w for (w,) in want] and [r[0] for r in got[:4]] == ["1.9", "-0.1", "-0.0", "0.0"]
