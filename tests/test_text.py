@@ -183,3 +183,12 @@ def test_percents_are_rounded_as_sql_does(spark):
     values = ", ".join(f"({i}, {b}, {a})" for i, (b, a) in enumerate(pairs))
     want = duckdb.connect().execute(f"SELECT ({sql_pct('b', 'a')})::VARCHAR FROM (VALUES {values}) t(i, b, a) ORDER BY i").fetchall()
     assert [r[0] for r in got] == [w for (w,) in want] and [r[0] for r in got[:4]] == ["1.9", "-0.1", "-0.0", "0.0"]
+
+
+def test_numbers_of_one_digit_are_written_as_sql_does(spark):
+    """0.15 is a bit less in binary; 0.25 and 0.75 are halves."""
+    counts = [300, 500, 1500, 0, 1, 99, 100, 199_900, 199_999, *range(1, 60_000, 100), *range(100, 600_000, 1_400), 10**7 + 100, 10**9 + 500]
+    got = spark.createDataFrame([(i, n) for i, n in enumerate(counts)], "i int, n long").orderBy("i").select(T.one_digit(F.col("n") / F.lit(200_000) * 100)).collect()
+    want = [f"{n / 200_000 * 100:.1f}" for n in counts]
+    assert [r[0] for r in got] == want and want[:3] == ["0.1", "0.2", "0.8"]
+    assert [w for (w,) in duckdb.connect().execute("SELECT printf('%.1f', unnest(?::BIGINT[]) / 200000::DOUBLE * 100)", [counts]).fetchall()] == want
