@@ -168,3 +168,19 @@ def test_running_parts_go_over_regions(spark):
     rows = spark.range(3000).select(F.lit(1).alias("conv_id"), (F.col("id") * 3).alias("pos"))
     got = {r.block: r.part for r in O.running_parts(rows, F.lit(2), 100, 30, 4).collect()}
     assert got == {b: b * 10 * 2 // 100 for b in range(300)}
+
+
+def test_texts_of_a_briefing_travel_cleaned_and_not_to_small_tables(spark, tmp_path):
+    spark.createDataFrame([(i % 2, i, i, "assistant", f"Body {i}. " * 30) for i in range(200)], SCHEMA).write.parquet(f"{tmp_path}/turns")
+
+    def kept(df):
+        df.write.parquet(f"{tmp_path}/blocks")
+        return spark.read.schema(df.schema).parquet(f"{tmp_path}/blocks")
+
+    parts = plans.history_parts(spark.read.parquet(f"{tmp_path}/turns"), 2, "standard", 5000, kept)
+    plan = parts._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    moved = [x.split("Input")[1].split("\n")[0] for x in plan.split("\n\n") if ") Exchange" in x.split("\n")[0]]
+    assert moved and not any("content#" in x for x in moved)
+    before = spark.conf.get(plans.CLEANUP, None)
+    api.write_briefings(spark.read.parquet(f"{tmp_path}/turns"), f"{tmp_path}/b")
+    assert spark.conf.get(plans.CLEANUP, None) == before
