@@ -3,7 +3,8 @@
 Words as in ``simhash`` (A-Z lower-cased, between ASCII white space); a text is the set of its ``SHINGLE``-word shingles, hashed to 64 bits, a
 shorter one its words as one shingle. Texts link at a similarity of ``SIMILARITY`` or more; components of links are one group.
 
-Equal sets are one entry. MinHash signatures cut into bands propose what is compared: entries with an equal
+Equal sets are one entry. Two things propose what is compared. SimHash fingerprints of the same shingles go through the index of ``simhash``, its tree over Gray order: the components of
+fingerprints within ``simhash.MAX_BITS`` are proposed. Pairs at 0.8 mostly differ in more bits than that; so MinHash signatures cut into bands propose, too: entries with an equal
 band are joined to the smallest of them, never paired, and the components of that hold all pairs that share a band. A pair at 0.8 shares none of the bands of a level
 (``LEVELS``) once in 300,000 times, a closer one less often. Proposals are then verified on the shingles: first each entry against its component's smallest
 one, which deals large groups out. Components with an entry left over are visited by links, each in a task if it has ``TOGETHER`` entries at most. Bands of few values propose
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shared import save, spare
-from .simhash import LOWER
+from .simhash import LOWER, fingerprint, links
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bands and values of each, level by level: at 0.8, (1 - 0.8 ** values) ** bands is about 3e-6.
@@ -71,22 +72,24 @@ def bands(sets: list[np.ndarray], level: int = 0) -> np.ndarray:
 
 
 def _signed(width: int, level: int) -> Callable:
-    """row, a hash of the set, and its band keys."""
+    """row, a hash of the set, its fingerprint (at the first level), and its band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = 0
             while at < b.num_rows:
-                sets, size, start = [], 0, at
+                sets, codes, size, start = [], [], 0, at
                 while at < b.num_rows and size < STEP:
-                    sets.append(shingles(b.column(1)[at].as_py(), width))
+                    text = b.column(1)[at].as_py()
+                    sets.append(shingles(text, width))
+                    codes.append(fingerprint(text, width) if level == 0 else 0)
                     size, at = size + len(sets[-1]), at + 1
                 full = [s for s in sets if len(s)]
                 keys = bands(full, level).ravel() if full else np.empty(0, np.uint64)
                 ends = np.cumsum([0, *(LEVELS[level][0] * (len(s) > 0) for s in sets)]).astype(np.int32)
                 same = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, at - start), pa.array(same.view(np.int64)), lists], ["row", "s", "ks"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, at - start), pa.array(same.view(np.int64)), pa.array(np.array(codes, np.uint64).view(np.int64)), lists], ["row", "s", "f", "ks"])
 
     return run
 
@@ -168,11 +171,20 @@ def _visit(keyed: DataFrame, texts: DataFrame, shingle: int, similarity: float)
     return together.mapInArrow(_visited(shingle, similarity), "row long, kept long")
 
 
-def _level(entries: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of entries (row, ks): the rows that are near the smallest one of their component, where all of it is; the components (root, row) that are left, with their sizes; the bands (row, k)."""
+def alike(codes: DataFrame) -> DataFrame:
+    """u, v: of codes (row, f), the rows whose fingerprints are in one component, each with the smallest of them."""
+    roots = components(links(codes.select("f").distinct()))
+    rooted = codes.join(roots, codes["f"] == roots["node"], "left").select("row", F.coalesce("root", "f").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("row").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return rooted.join(least, "root").where("row != v").select(F.col("row").alias("u"), "v")
+
+
+def _level(entries: DataFrame, also: DataFrame | None, texts: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of entries (row, ks), which bands and ``also`` (u, v) propose: the rows that are near the smallest one of their component, where all of it is; the components (root, row) that are left, with their sizes; the bands (row, k)."""
     dealt = save(entries.select("row", F.explode("ks").alias("k")), "near-dealt")
     least = dealt.groupBy("k").agg(F.min("row").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     proposed = dealt.join(least, "k").where("row != v").select(F.col("row").alias("u"), "v")
+    proposed = proposed if also is None else proposed.unionByName(also)
     members = save(components(proposed).select(F.col("node").alias("row"), "root"), "near-members")
     beside = members.join(texts, "row").join(texts.select(F.col("row").alias("root"), F.col("text").alias("root_text")), "root")
     beside = save(beside.select("root", "row", "text", "root_text").mapInArrow(_beside(shingle, similarity), "root long, row long, near boolean"), "near-beside")
@@ -187,14 +199,15 @@ def representatives(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     own = spare(docs, "row")
     numbered = save(docs.withColumn(own, F.monotonically_increasing_id()), "numbered")
     texts = numbered.select(F.col(own).alias("row"), "text")
-    signed = lambda rows, level: save(rows.mapInArrow(_signed(shingle, level), "row long, s long, ks array<long>"), "near-bands")
+    signed = lambda rows, level: save(rows.mapInArrow(_signed(shingle, level), "row long, s long, f long, ks array<long>"), "near-bands")
     every = signed(texts, 0)
     first = save(every.groupBy("s").agg(F.min("row").alias("first")), "near-first")
     gone = every.select("s", "row").join(first, "s").where("row != first").select("row")  # copies
 
-    entries = every.select("row", "ks").join(first.select(F.col("first").alias("row")), "row", "left_semi")
+    entries = every.select("row", "f", "ks").join(first.select(F.col("first").alias("row")), "row", "left_semi")
+    also = alike(save(entries.where(F.size("ks") > 0).select("row", "f"), "near-codes"))  # texts without words are one entry already
     for level in range(len(LEVELS)):
-        settled, left, dealt = _level(entries, texts, shingle, similarity)
+        settled, left, dealt = _level(entries, also if level == 0 else None, texts, shingle, similarity)
         small = left.where(F.col("size") <= TOGETHER).select(F.col("root").alias("key"), "row")
         gone = gone.unionByName(settled).unionByName(_visit(small, texts, shingle, similarity).select("row"))
         large = left.where(F.col("size") > TOGETHER).select("row")
@@ -205,7 +218,7 @@ def representatives(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
             entries = signed(texts.join(large, "row", "left_semi"), level + 1).select("row", "ks")
         else:
             buckets = dealt.join(large, "row", "left_semi").withColumnRenamed("k", "key")
-            links = save(_visit(buckets, texts, shingle, similarity).select(F.col("row").alias("u"), F.col("kept").alias("v")), "near-links")
-            gone = gone.unionByName(components(links).select(F.col("node").alias("row")))
+            found = save(_visit(buckets, texts, shingle, similarity).select(F.col("row").alias("u"), F.col("kept").alias("v")), "near-links")
+            gone = gone.unionByName(components(found).select(F.col("node").alias("row")))
     gone = save(gone, "near-gone").select(F.col("row").alias(own))
     return numbered.join(gone, own, "left_anti").select(*docs.columns)

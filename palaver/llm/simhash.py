@@ -39,15 +39,15 @@ SPLIT, FAN, CHUNK, ENTRIES, PAIRS = 4096, 8, 1 << 16, 1 << 18, 1 << 21
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def fingerprint(text: str | None) -> int:
+def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
     if not words:
         return 0
-    total = max(1, len(words) - SHINGLE + 1)
+    total = max(1, len(words) - width + 1)
     counts = np.zeros(64, np.int64)
     for at in range(0, total, CHUNK):
-        part = words[at : min(len(words), at + CHUNK + SHINGLE - 1)]
-        shingles = map(b" ".join, zip(*(part[i:] for i in range(SHINGLE)), strict=False)) if len(words) >= SHINGLE else [b" ".join(words)]
+        part = words[at : min(len(words), at + CHUNK + width - 1)]
+        shingles = map(b" ".join, zip(*(part[i:] for i in range(width)), strict=False)) if len(words) >= width else [b" ".join(words)]
         h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64)
         counts += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(counts * 2 > total).tobytes(), "big")

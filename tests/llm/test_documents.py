@@ -656,3 +656,15 @@ def test_mixing_of_many_equal_rows_and_many_sources(spark, monkeypatch):
     hot = [x for x in out if x.source == "hot"]
     assert len(hot) == 300 and abs(sum(x.taken for x in hot) - want["hot"]) <= 4 and len({x.taken for x in hot}) <= 2
     assert sorted(map(repr, out)) == sorted(map(repr, mixing.mix(docs.repartition(5)).collect()))
+
+
+def test_near_copies_are_proposed_by_fingerprints_too(spark):
+    """Five-word fingerprints go through the index of ``simhash``: what is within its bits is proposed, whatever the bands say."""
+    rng = random.Random(5)
+    words = [f"w{rng.randrange(5000)}" for _ in range(2000)]
+    texts = [" ".join(words), " ".join([*words[:999], "other", *words[1000:]]), " ".join(f"x{rng.randrange(5000)}" for _ in range(2000))]
+    codes = [simhash.fingerprint(t, nearcopies.SHINGLE) for t in texts]
+    assert (codes[0] ^ codes[1]).bit_count() <= simhash.MAX_BITS < (codes[0] ^ codes[2]).bit_count()
+    signed = [c - (1 << 64) if c >= 1 << 63 else c for c in codes]
+    got = nearcopies.alike(spark.createDataFrame(list(enumerate(signed)), "row long, f long")).collect()
+    assert [(r.u, r.v) for r in got] == [(1, 0)]
