@@ -36,9 +36,6 @@ STEPS = tuple(np.unique(np.r_[64 << np.arange(3), np.arange(ORDER0_STEP, MOST +
 #: Digits of an event's share, in 256ths: what it costs.
 COST = np.rint(256 * (EVENT_BITS - np.log2(np.maximum(1, np.arange(ONE + 1))))).astype(np.int32)
 FULL, HALF, WORD = float(1 << 48), float(1 << 32), float(1 << 16)
-#: A prediction that held is surer by one, 3 at most.
-UP = np.arange(1 << 16, dtype=U16)
-UP += UP & 3 != 3
 #: Of a block: bytes of its list, distinct ids, ids of order 0, and words of each coder but the last.
 HEAD = Struct(f"<{3 + WAYS}H")
 
@@ -68,15 +65,15 @@ class Events:
 
     def mixed(self, ia: np.ndarray, ib: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ends of the first two events' shares."""
-        both = self.a.take(ia)
-        both += self.b.take(ib)
+        both = self.a.take(ia, mode="clip")
+        both += self.b.take(ib, mode="clip")
         return both.real, both.imag
 
     def learn(self, ia: np.ndarray, ib: np.ndarray, event: np.ndarray) -> None:
-        """Contexts and events of a segment; (ids, lanes)."""
+        """Contexts and events of a segment, in any order."""
         costs = []
         for count, shares, at, contexts in ((self.count_a, self.shares[0], ia, CONTEXTS_A), (self.count_b, self.shares[1], ib, CONTEXTS_B)):
-            seen = np.bincount((event.astype(np.int64) * count.shape[1] + at).ravel(), minlength=count.size).reshape(count.shape).astype(np.int32)
+            seen = np.bincount((event * count.shape[1] + at).ravel(), minlength=count.size).reshape(count.shape).astype(np.int32)
             costs.append(sum(seen[e] * COST.take(shares[e]) for e in range(EVENTS)).reshape(self.lanes, contexts).sum(1))
             count += seen * COUNT
             over = np.flatnonzero(count[0] + count[1] + count[2] > LIMIT)
@@ -133,16 +130,17 @@ class Writer:
             s *= width
             low += s
             width *= z
-            narrow = width < HALF
-            if narrow.any():
-                word = np.floor(low * (1 / HALF))
-                words[used] = word  # stays only where it is passed over
-                used += narrow
-                np.multiply(width, WORD, out=width, where=narrow)
-                word *= HALF
-                word *= narrow
-                low -= word
-                np.multiply(low, WORD, out=low, where=narrow)
+            narrow = np.flatnonzero(width < HALF)  # few of the lanes
+            part, at = low[narrow], used[narrow]
+            word = np.floor(part * (1 / HALF))
+            words[at] = word
+            at += 1
+            used[narrow] = at
+            width[narrow] *= WORD
+            word *= HALF
+            part -= word
+            part *= WORD
+            low[narrow] = part
 
     def close(self) -> tuple[np.ndarray, np.ndarray]:
         """All words (lanes, words) and how many each lane has. Two more words name a place within the interval, whatever follows them."""
@@ -167,27 +165,33 @@ class Reader:
         self.at = at + 3
 
     def fill(self) -> None:
-        narrow = self.width < HALF
-        if narrow.any():
-            np.multiply(self.width, WORD, out=self.width, where=narrow)
-            np.multiply(self.code, WORD, out=self.code, where=narrow)
-            np.add(self.code, self.words.take(self.at, mode="clip"), out=self.code, where=narrow)
-            self.at += narrow
+        narrow = np.flatnonzero(self.width < HALF)  # few of the lanes
+        self.width[narrow] *= WORD
+        at = self.at[narrow]
+        self.code[narrow] = self.code[narrow] * WORD + self.words.take(at, mode="clip")
+        at += 1
+        self.at[narrow] = at
 
 
 def _predictions(ids: np.ndarray, context: np.ndarray) -> np.ndarray:
     """Of each id: the one that followed its context last time and how often in a row (1 to 3; 0: never seen), as prediction * 4 + times."""
     order = np.argsort(context, kind="stable")
-    own, group = ids[order], context[order]
-    same = group[1:] == group[:-1]
-    hit = same & (own[1:] == own[:-1])
+    own, group = ids.take(order), context.take(order)
+    other = group[1:] != group[:-1]
     at = np.arange(len(ids), dtype=np.int16)
     missed = at.copy()
-    missed[1:][hit] = 0
+    missed[1:] *= other | (own[1:] != own[:-1])
     np.maximum.accumulate(missed, out=missed)
-    times = np.minimum(at - missed, 2).astype(U16)
+    at -= missed
+    np.minimum(at, 2, out=at)
+    found = own[:-1] << 2
+    found += at[:-1].view(U16)
+    found += 1
+    first = -other.astype(np.int16)  # all digits set where a context is new
+    found &= ~first.view(U16)
+    found |= first.view(U16) & U16(NONE << 2)
     out = np.full(len(ids), NONE << 2, U16)
-    out[order[1:]] = np.where(same, (own[:-1] << 2) + times[:-1] + 1, U16(NONE << 2))
+    out[order[1:]] = found
     return out
 
 
@@ -199,23 +203,25 @@ def _modelled(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     e2 = _predictions(ids, (last * U16(13) + before * U16(601)) & U16((1 << ORDER2_BITS) - 1))
     c1, c2 = e1 >> 2, e2 >> 2
     a = ((e2 & 3) << 3) | ((e1 & 3) << 1) | (c1 == c2)
-    event = np.where(c2 == ids, 0, np.where(c1 == ids, 1, 2)).astype(np.int16)
+    no2, no1 = (c2 != ids).view(np.int8), (c1 != ids).view(np.int8)
+    event = no2 + (no2 & no1)
     b = np.zeros(len(ids), np.int16)
     b[1:] = event[:-1]
     b[2:] += 3 * event[:-2]
     return a, b, event
 
 
-def _listed(block: np.ndarray, seen: np.ndarray, rank: np.ndarray) -> tuple[int, np.ndarray, bytes]:
-    """How many distinct ids a block has, its ids by their place among them, and the list as bytes. ``seen`` (all false) and ``rank`` are scratch space."""
-    seen[block] = True
-    known = np.flatnonzero(seen)
-    seen[known] = False
+def _listed(block: np.ndarray, rank: np.ndarray) -> tuple[int, np.ndarray, bytes]:
+    """How many distinct ids a block has, its ids by their place among them, and the list as bytes. ``rank`` is scratch space."""
+    own, new = np.sort(block, kind="stable"), np.ones(len(block), bool)
+    np.not_equal(own[1:], own[:-1], out=new[1:])
+    known = own[new].astype(np.int64)
     rank[known] = np.arange(len(known))
-    local = rank[block]
-    gaps = np.diff(known, prepend=-1) - 1
+    local = rank.take(block)
+    gaps = known.copy()
+    gaps[1:] -= known[:-1] + 1
     small = np.minimum(gaps, 255).astype(np.uint8).tobytes() + gaps[gaps >= 255].astype("<u4").tobytes()
-    deflate = zlib.compressobj(6, zlib.DEFLATED, -15, 9, zlib.Z_HUFFMAN_ONLY)
+    deflate = zlib.compressobj(6, zlib.DEFLATED, -12, 7, zlib.Z_HUFFMAN_ONLY)
     return len(known), local, deflate.compress(small) + deflate.flush()
 
 
@@ -239,10 +245,10 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
     n, steps = len(blocks), max(map(len, blocks))
     a, b, event = (np.zeros((n, steps), np.int16) for _ in range(3))
     sizes, heads, given = np.zeros(n, np.int64), [], []
-    seen, rank = np.zeros(1 << 16, bool), np.zeros(1 << 16, U16)
+    rank = np.zeros(1 << 16, U16)
     length = np.array([len(x) for x in blocks])
     for k, block in enumerate(blocks):
-        sizes[k], local, head = _listed(block, seen, rank)
+        sizes[k], local, head = _listed(block, rank)
         heads.append(head)
         own = slice(0, len(block))
         a[k, own], b[k, own], event[k, own] = _modelled(local)
@@ -251,16 +257,20 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
     events, writer, short = Events(n), Writer(n, steps), int(length.min())
     for at in range(0, steps, EVENT_STEP):
         part = slice(at, min(steps, at + EVENT_STEP))
-        kind = np.ascontiguousarray(event[:, part].T)
-        ia, ib = events.base_a + a[:, part].T, events.base_b + b[:, part].T
-        first, second = events.mixed(ia, ib)
-        rest, one = kind == 2, kind == 1
-        start = np.where(rest, second, np.where(one, first, 0.0))
-        size = np.where(rest, ALL - second, np.where(one, second - first, first))
+        kind = event[:, part].astype(np.int64)
+        ia, ib = events.base_a[:, None] + a[:, part], events.base_b[:, None] + b[:, part]
+        ends = np.empty((EVENTS + 1, *kind.shape))
+        ends[0], ends[3] = 0, ALL
+        ends[1], ends[2] = events.mixed(ia, ib)
+        pick = kind * kind.size
+        pick += np.arange(kind.size).reshape(kind.shape)
+        start = ends.take(pick, mode="clip")
+        size = ends[1:].ravel().take(pick, mode="clip")
+        size -= start
         if part.stop > short:
-            over = np.arange(part.start, part.stop)[:, None] >= length
+            over = np.arange(part.start, part.stop) >= length[:, None]
             start[over], size[over] = 0, ALL
-        writer.put(start, size, ALL)
+        writer.put(np.ascontiguousarray(start.T), np.ascontiguousarray(size.T), ALL)
         events.learn(ia, ib, kind)
     streams = [writer.close()]
 
@@ -338,56 +348,60 @@ def decode(coded: list[bytes], lengths: list[int]) -> list[np.ndarray]:
     given = given.transpose(1, 0, 2).ravel()
     at_given = lane * (turns * WAYS)
 
-    # the events, and so all ids
+    # the events, and so all ids; order 2 comes first where both orders are rows of one array, and what the events choose from are rows, too
     events, reader = Events(n), Reader(words, begin[:, 0])
-    base1, base2 = frequencies.base, lane << ORDER2_BITS
-    table1, table2 = np.full(n * frequencies.most, NONE << 2, U16), np.full(n << ORDER2_BITS, NONE << 2, U16)
+    base = np.array([n * frequencies.most + (lane << ORDER2_BITS), frequencies.base])
+    table = np.full(n * (frequencies.most + (1 << ORDER2_BITS)), NONE << 2, U16)
     ids = np.zeros((steps, n), U16)
     a, b, event = (np.zeros((EVENT_STEP, n), np.int64) for _ in range(3))
-    last, before, old = np.zeros(n, U16), np.zeros(n, U16), np.zeros(n, np.int64)
-    history, lane_end, mask = np.zeros(n, np.int64), (sizes - 1).astype(U16), U16((1 << ORDER2_BITS) - 1)
+    context, entry, sure = (np.zeros((2, n), U16) for _ in range(3))
+    choice, ends, over = np.zeros((3, n), U16), np.zeros((EVENTS + 1, n)), np.zeros((2, n), bool)
+    starts, stops, at, pick = ends.ravel(), ends[1:].ravel(), np.zeros((2, n), np.int64), np.zeros(n, np.int64)
+    before, history, old = np.zeros(n, U16), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    lane_end, mask = (sizes - 1).astype(U16), U16((1 << ORDER2_BITS) - 1)
     width, code = reader.width, reader.code
     for t in range(steps):
         row = t % EVENT_STEP
         now, ia, ib, kind = ids[t], a[row], b[row], event[row]
         np.add(events.base_b, history, out=ib)
-        i1 = base1 + last
-        i2 = last * U16(13)
-        i2 += before
-        i2 &= mask
-        i2 = base2 + i2
-        e1, e2 = table1.take(i1), table2.take(i2)
-        c1, c2 = e1 >> 2, e2 >> 2
-        sure = e2 & 3
-        sure <<= 2
-        sure |= e1 & 3
-        sure <<= 1
-        sure |= c1 == c2
-        np.add(events.base_a, sure, out=ia)
+        np.add(base, context, out=at)
+        table.take(at, out=entry, mode="clip")
+        np.right_shift(entry, 2, out=choice[:2])
+        np.bitwise_and(entry, 3, out=sure)
+        both = sure[0] << 2
+        both |= sure[1]
+        both <<= 1
+        both |= choice[0] == choice[1]
+        np.add(events.base_a, both, out=ia)
         first, second = events.mixed(ia, ib)
         width *= 1 / ALL
         np.floor(width, out=width)
-        first = first * width
-        second = second * width
-        one, rest = code >= first, code >= second
-        start = np.where(one, first, 0.0)
-        np.copyto(start, second, where=rest)
-        end = np.where(one, second, first)
-        width *= ALL
-        np.copyto(end, width, where=rest)
+        np.multiply(first, width, out=ends[1])
+        np.multiply(second, width, out=ends[2])
+        np.multiply(width, ALL, out=ends[3])
+        np.greater_equal(code, ends[1:3], out=over)
+        kind[:] = over[0].view(np.int8) + over[1].view(np.int8)
+        np.multiply(kind, n, out=pick)
+        pick += lane
+        start = starts.take(pick, mode="clip")
         code -= start
-        np.subtract(end, start, out=width)
+        np.subtract(stops.take(pick, mode="clip"), start, out=width)
         reader.fill()
-        np.minimum(np.where(rest, given.take(at_given, mode="clip"), np.where(one, c1, c2)), lane_end, out=now)  # damaged blocks may name what there isn't
-        at_given += rest
-        np.add(one, rest, out=kind, dtype=np.int64)
-        history = old + kind
-        old = 3 * kind
-        fresh = now << 2
-        fresh |= 1
-        table1[i1] = np.where(c1 == now, UP.take(e1), fresh)
-        table2[i2] = np.where(c2 == now, UP.take(e2), fresh)
-        before, last = last * U16(601), now
+        given.take(at_given, out=choice[2], mode="clip")
+        np.minimum(choice.ravel().take(pick, mode="clip"), lane_end, out=now)  # damaged blocks may name what there isn't
+        at_given += over[1]
+        np.add(old, kind, out=history)
+        np.multiply(kind, 3, out=old)
+        held = choice[:2] == now
+        np.minimum(sure, 2, out=sure)  # one that held is surer by one, 3 at most
+        sure *= held
+        sure += (now << 2) | 1
+        table[at] = sure
+        np.multiply(now, U16(13), out=context[0])
+        context[0] += before
+        context[0] &= mask
+        context[1] = now
+        np.multiply(now, U16(601), out=before)
         if row == EVENT_STEP - 1:
             events.learn(a, b, event)
     by_lane = np.ascontiguousarray(ids.T)

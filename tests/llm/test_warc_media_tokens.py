@@ -110,6 +110,27 @@ def test_all_three_orders_predict():
     assert size(pair) < 0.75 * size(rng.permutation(pair))
 
 
+def test_only_coders_that_need_a_word_read_one():
+    """A step's work goes with the words that are due, not with all coders."""
+    taken = []
+
+    class Words(np.ndarray):
+        def take(self, at, **options):
+            taken.append(np.size(at))
+            return np.asarray(self).take(at, **options)
+
+    words = np.arange(1, 401, dtype=np.uint16)
+    reader = coder.Reader(words.view(Words), np.arange(0, 400, 4))
+    before, due = np.asarray(reader.code).copy(), np.arange(100) % 25 == 7
+    reader.code[due] = before[due] = 5
+    reader.width[due] = 9
+    reader.fill()
+    assert sum(taken) == 4
+    assert reader.width[due].tolist() == [9 * 65536.0] * 4 and (reader.width[~due] == coder.FULL - 1).all()
+    assert np.asarray(reader.code)[due].tolist() == (5 * 65536.0 + words[3::4][due]).tolist() and np.array_equal(np.asarray(reader.code)[~due], before[~due])
+    assert reader.at.tolist() == (np.arange(3, 400, 4) + due).tolist()
+
+
 def test_damage_is_noticed():
     body = tokens.pack([np.arange(500, dtype=np.uint16), np.arange(4096, dtype=np.uint16)])[12:]
     assert [len(b) for b in tokens.unpack(body)] == [500, 4096]
